@@ -189,22 +189,24 @@ def match_boxes(span_rows: DataFrame, boxes: DataFrame,
                 keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
     """First image box (by box_no) whose corner lies near the span's corner.
 
-    The band test becomes an equi join on a cell of the tolerance's size: a span
-    looks into its own cell and the two beside it, so a page full of boxes does
+    The band test becomes an equi join on cells of the tolerance's size: a box is
+    listed in its own cell and the eight around it, so a page full of boxes does
     not meet a page full of words pairwise.
     """
     span_cols = span_rows.columns
-    cell = F.floor(F.col("x") / BOX_DX)
-    left = span_rows.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = boxes.select(
-        *keys, "box_no", F.col("x").alias("box_x"), F.col("top_y").alias("box_y"),
-        F.col("width").alias("box_width"), F.floor(F.col("x") / BOX_DX).alias("_cell"),
-        F.floor(F.col("top_y") / BOX_DY).alias("_row"),
+    col, row = F.floor(F.col("x") / BOX_DX), F.floor(F.col("y") / BOX_DY)
+    left = span_rows.withColumns({"_col": col, "_row": row})
+    near_by = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    right = (
+        boxes.select(*keys, "box_no", F.col("x").alias("box_x"), F.col("top_y").alias("box_y"),
+                     F.col("width").alias("box_width"))
+        .withColumn("_dx", F.explode(near_by)).withColumn("_dy", F.explode(near_by))
+        .withColumns({"_col": F.floor(F.col("box_x") / BOX_DX) + F.col("_dx"),
+                      "_row": F.floor(F.col("box_y") / BOX_DY) + F.col("_dy")})
+        .drop("_dx", "_dy")
     )
-    row = F.floor(F.col("y") / BOX_DY)
-    left = left.withColumn("_row", F.explode(F.array(row - 1, row, row + 1)))
     near = (
-        left.join(right, [*keys, "_cell", "_row"])
+        left.join(right, [*keys, "_col", "_row"])
         .where((F.abs(F.col("box_x") - F.col("x")) < BOX_DX)
                & (F.abs(F.col("box_y") - F.col("y")) < BOX_DY))
     )

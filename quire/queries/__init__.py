@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["text"]
+AREAS = ["text", "pii"]
 
 
 def all_queries() -> dict:
