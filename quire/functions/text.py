@@ -30,12 +30,19 @@ _BLOCK = rf"((?:[{WS}]*+[^{WS}]++){{1,64}})"
 _SEGMENT = rf"([{WS}]*[^{WS}]+)"
 
 
+def raw_lines(text: Column) -> Column:
+    """Parts of a text between LF or CRLF; a final line end leaves an empty part."""
+    return F.split(text, "\r?\n", -1)
+
+
+def line_count(parts: Column) -> Column:
+    """Number of lines: all parts but one trailing empty part."""
+    return F.size(parts) - (F.element_at(parts, -1) == "").cast("int")
+
+
 def lines(text: Column) -> Column:
-    """Lines of a text: split at LF or CRLF, without one trailing empty line."""
-    parts = F.split(text, "\r?\n", -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    """Lines of a text without one trailing empty line."""
+    return bind(raw_lines(text), lambda parts: F.slice(parts, 1, line_count(parts)))
 
 
 def page_of_line(line_no: Column, per_page: int = LINES_PER_PAGE) -> Column:

@@ -14,9 +14,13 @@ from quire.functions import text as X
 def lines(docs: DataFrame, text: str = "text", per_page: int = X.LINES_PER_PAGE) -> DataFrame:
     """One row per line: line_no (0-based), line, page_number, page_count."""
     kept = [c for c in docs.columns if c != text]
+    # the outer form keeps the optimizer from splitting every text a second time
+    # for an inferred "not empty" filter; the range test drops what it adds
     return (
-        docs.select(*kept, X.lines(F.col(text)).alias("_lines"))
-        .select(*kept, F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_no", "line"))
+        docs.select(*kept, X.raw_lines(F.col(text)).alias("_lines"))
+        .select(*kept, X.line_count(F.col("_lines")).alias("_n"),
+                F.posexplode_outer("_lines").alias("line_no", "line"))
+        .where(F.col("line_no") < F.col("_n"))
         .select(
             *kept, "line_no", "line",
             X.page_of_line(F.col("line_no"), per_page).alias("page_number"),
@@ -30,7 +34,8 @@ def pages(docs: DataFrame, text: str = "text", per_page: int = X.LINES_PER_PAGE)
     kept = [c for c in docs.columns if c != text]
     n, p = F.col("_n"), F.col("page_number")
     return (
-        docs.select(*kept, F.size(X.lines(F.col(text))).alias("_n"))
+        docs.select(*kept, X.raw_lines(F.col(text)).alias("_lines"))
+        .select(*kept, X.line_count(F.col("_lines")).alias("_n"))
         .select(*kept, "_n", F.explode(F.sequence(F.lit(1), X.page_count(n, per_page)))
                 .alias("page_number"))
         .select(
@@ -84,7 +89,8 @@ def spans(df: DataFrame) -> DataFrame:
     """Positioned word spans of lines (span_idx is 0-based inside the line)."""
     kept = [c for c in df.columns if c != "line"]
     return (
-        df.select(*kept, F.posexplode(X.located_words(F.col("line"))).alias("span_idx", "_w"))
+        df.select(*kept, X.located_words(F.col("line")).alias("_ws"))
+        .select(*kept, F.posexplode("_ws").alias("span_idx", "_w"))
         .select(
             *kept, "span_idx", F.col("_w.text").alias("text"),
             (X.LEFT_MARGIN + X.CHAR_WIDTH * F.col("_w.start")).alias("x"),
@@ -129,7 +135,8 @@ def wrap(df: DataFrame, col: str, max_chars: int) -> DataFrame:
         return texts.map(fold)
 
     kept = [c for c in df.columns if c != col]
-    return df.select(*kept, F.posexplode(wrapped(F.col(col))).alias("wrap_no", col))
+    return df.select(*kept, wrapped(F.col(col)).alias("_w")).select(
+        *kept, F.posexplode("_w").alias("wrap_no", col))
 
 
 # Variable-height page model (start, floor, heading, line, blank).
@@ -164,7 +171,8 @@ def flow_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     both = F.arrays_zip(F.col("_lines").alias("line"), F.col("_at").alias("at"))
     return (
         found.withColumn("_at", placed("_lines"))
-        .select(*kept, F.posexplode(both).alias("line_no", "_p"))
+        .select(*kept, both.alias("_both"))
+        .select(*kept, F.posexplode("_both").alias("line_no", "_p"))
         .select(*kept, "line_no", F.col("_p.line").alias("line"),
                 F.col("_p.at.page_number").alias("page_number"), F.col("_p.at.y").alias("y"))
     )
@@ -177,8 +185,8 @@ def headings(line_rows: DataFrame) -> DataFrame:
 def markup_nodes(pages_df: DataFrame, html: str = "html") -> DataFrame:
     """Text nodes of markup, one row each (node_no 0-based among the kept ones)."""
     kept = [c for c in pages_df.columns if c != html]
-    return pages_df.select(*kept, F.posexplode(X.markup_text_nodes(F.col(html)))
-                           .alias("node_no", "node_text"))
+    return pages_df.select(*kept, X.markup_text_nodes(F.col(html)).alias("_nodes")).select(
+        *kept, F.posexplode("_nodes").alias("node_no", "node_text"))
 
 
 # Tolerances between a word and an image box.

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from quire.session import tune
+
 AREAS = ["text", "pii"]
 
 
+def _tuned(fn):
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        return fn(tune(spark), sf_dir)
+
+    return run
+
+
 def all_queries() -> dict:
     found = {}
     for area in AREAS:
         found.update(importlib.import_module(f"quire.queries.{area}").QUERIES)
-    return found
+    return {name: _tuned(fn) for name, fn in found.items()}
 
 
 def all_sql() -> dict:

@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators rely on, in any session.
+
+    HotSpot does not compile methods above 8000 bytes of bytecode; Spark's
+    documentation recommends this limit so that such stages fall back to
+    smaller generated methods.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def local_session(app: str, cpus: str | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus or os.environ.get('BENCH_CPUS', '8')}]")
@@ -22,4 +34,4 @@ def local_session(app: str, cpus: str | None = None) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
