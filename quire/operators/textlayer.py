@@ -20,7 +20,7 @@ def lines(docs: DataFrame, text: str = "text", per_page: int = X.LINES_PER_PAGE)
         docs.select(*kept, X.raw_lines(F.col(text)).alias("_lines"))
         .select(*kept, X.line_count(F.col("_lines")).alias("_n"),
                 F.posexplode_outer("_lines").alias("line_no", "line"))
-        .where(F.col("line_no") < F.col("_n"))
+        .where(F.col("line_no") < F.coalesce("_n", F.lit(0)))
         .select(
             *kept, "line_no", "line",
             X.page_of_line(F.col("line_no"), per_page).alias("page_number"),

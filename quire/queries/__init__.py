@@ -7,7 +7,7 @@ import importlib
 
 from quire.session import tune
 
-AREAS = ["text", "pii"]
+AREAS = ["text", "pii", "search", "redaction"]
 
 
 def _tuned(fn):
