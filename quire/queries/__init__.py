@@ -7,7 +7,7 @@ import importlib
 
 from quire.session import tune
 
-AREAS = ["text", "pii", "search", "redaction"]
+AREAS = ["text", "pii", "search", "redaction", "catalog"]
 
 
 def _tuned(fn):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.operators import pii, redact, textlayer
+from quire.plans.durable import settled
 from quire.queries.pii import CONTACT_HITS, CONTACTS, REFERENCE, contacts
 from quire.queries.shared import words_of
 from quire.sources.tables import table
@@ -31,7 +32,7 @@ def redacted_text(spark, sf):
 def redaction_leaks(spark, sf):
     """Hits per category before and after redaction."""
     text = contacts(spark, sf)
-    hits = pii.scan_text(text)
+    hits = settled(pii.scan_text(text))
     done = redact.redact_lines(textlayer.lines(text), pii.redaction_orders(hits))
     left = redact.remaining_hits(done, hits)
     tagged = hits.select("category", F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
