@@ -7,7 +7,7 @@ import importlib
 
 from quire.session import tune
 
-AREAS = ["text", "pii", "search", "redaction", "catalog"]
+AREAS = ["text", "pii", "search", "redaction", "catalog", "compare", "usage"]
 
 
 def _tuned(fn):

@@ -16,6 +16,7 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
@@ -30,7 +31,6 @@ def local_session(app: str, cpus: str | None = None) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
