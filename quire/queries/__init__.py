@@ -7,7 +7,8 @@ import importlib
 
 from quire.session import tune
 
-AREAS = ["text", "pii", "search", "redaction", "catalog", "compare", "usage"]
+AREAS = ["text", "pii", "search", "redaction", "catalog", "compare", "usage",
+         "records"]
 
 
 def _tuned(fn):
