@@ -96,9 +96,13 @@ def summary(field_rows: DataFrame, docs: DataFrame) -> DataFrame:
         "has_forms", F.col("fields_count") > 0)
 
 
-def fill(field_rows: DataFrame, values: DataFrame) -> DataFrame:
-    """Fill fields by name from (doc_id, values map<string,string>); marks the updated ones."""
-    given = values.select("doc_id", F.explode("values").alias("name", "new_value"))
+def given_values(requests: DataFrame) -> DataFrame:
+    """Rows (doc_id, name, new_value) of requests holding a map of values."""
+    return requests.select("doc_id", F.explode("values").alias("name", "new_value"))
+
+
+def fill(field_rows: DataFrame, given: DataFrame) -> DataFrame:
+    """Fill fields by name from (doc_id, name, new_value); marks the updated ones."""
     truthy = F.lower("new_value").isin(*CHECKED)
     filled = F.when(F.col("field_type") == "checkbox",
                     F.when(truthy, "Yes").otherwise("Off")).otherwise(F.col("new_value"))

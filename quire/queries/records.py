@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from quire.operators import annotations as A, assemble as B, forms as Fo, textlayer
+from quire.plans import skew
 from quire.sources import corpus
 from quire.sources.tables import table
 
@@ -35,13 +36,13 @@ def _annotations(spark, sf):
 
 def xfdf_export(spark, sf):
     return A.to_xfdf(_annotations(spark, sf)).select(
-        "doc_id", F.md5("xfdf").alias("xfdf_md5"), F.length("xfdf").cast("bigint").alias("n_chars"))
+        "doc_id", "part_no", F.md5("xfdf").alias("xfdf_md5"), F.length("xfdf").cast("bigint").alias("n_chars"))
 
 
 def xfdf_import(spark, sf):
     back = A.from_xfdf(A.to_xfdf(_annotations(spark, sf)))
     return back.select(
-        "doc_id", F.col("seq").cast("bigint").alias("seq"),
+        "doc_id", "part_no", F.col("seq").cast("bigint").alias("seq"),
         F.col("page_number").cast("bigint").alias("page_number"), "annotation_type",
         F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("width", 2).alias("width"),
         F.round("height", 2).alias("height"), "color", "opacity", "author", "created_at", "content",
@@ -161,8 +162,9 @@ def digest_verification(spark, sf):
 def _objects(spark, sf):
     """Orders of a customer as form objects, each the child of the one before."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    k, p = F.col("o_orderkey"), F.col("o_totalprice")
-    prev = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = skew.chunked_running(o, ["o_custkey"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 4096),
+                             lags={"prev": F.col("o_orderkey")})
+    k, p, prev = F.col("o_orderkey"), F.col("o_totalprice"), F.col("prev")
     fts = F.array(*[F.lit(t) for t in ("Tx", "Btn", "Ch", "Sig", None)])
     opt = F.array(
         F.struct(F.lit("a").alias("value"), F.lit("Option A").alias("display")),
@@ -199,12 +201,10 @@ def form_summary(spark, sf):
 def form_fill(spark, sf):
     fields = _field_table(spark, sf)
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    # a value per named field of the customer: every fourth order names one
-    pair = F.struct(F.concat(F.lit("field"), "o_orderkey").alias("k"),
-                    F.when(F.col("o_orderkey") % 8 == 0, "ON").otherwise(F.col("o_orderpriority"))
-                    .alias("v"))
-    values = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(
-        F.map_from_entries(F.collect_list(pair)).alias("values"))
+    values = o.select(
+        F.col("o_custkey").alias("doc_id"), F.concat(F.lit("field"), "o_orderkey").alias("name"),
+        F.when(F.col("o_orderkey") % 8 == 0, "ON").otherwise(F.col("o_orderpriority"))
+        .alias("new_value"))
     return Fo.fill(fields, values).select("doc_id", "obj_id", "name", "value", "updated")
 
 
@@ -277,10 +277,11 @@ SQL = {
     "xfdf_export": f"""WITH {ANN}, x AS (SELECT doc_id,
   '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">'
   || chr(10) || '  <annots>' || chr(10) || string_agg(e, '' ORDER BY seq) || '  </annots>' || chr(10)
-  || '</xfdf>' || chr(10) AS xfdf FROM el GROUP BY 1)
-SELECT doc_id, md5(xfdf) AS xfdf_md5, length(xfdf) AS n_chars FROM x""",
+  || '</xfdf>' || chr(10) AS xfdf, seq // 10000 AS part_no FROM el GROUP BY doc_id, seq // 10000)
+SELECT doc_id, part_no, md5(xfdf) AS xfdf_md5, length(xfdf) AS n_chars FROM x""",
     "xfdf_import": f"""WITH {ANN}
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, page AS page_number,
+SELECT doc_id, seq // 10000 AS part_no,
+  row_number() OVER (PARTITION BY doc_id, seq // 10000 ORDER BY seq) - 1 AS seq, page AS page_number,
   CASE tag WHEN 'text' THEN 'note' WHEN 'square' THEN 'rectangle' WHEN 'ink' THEN 'freehand' ELSE tag END
     AS annotation_type, round(CAST(x AS DOUBLE), 2) AS x, round(CAST(y AS DOUBLE), 2) AS y,
   CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, color,
