@@ -6,9 +6,11 @@ a document is one input row, so lines and spans are generated without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
+from quire.plans.grouped import Arrays, map_sorted_groups
 
 
 def lines(docs: DataFrame, text: str = "text", per_page: int = X.LINES_PER_PAGE) -> DataFrame:
@@ -193,17 +195,16 @@ def markup_nodes(pages_df: DataFrame, html: str = "html") -> DataFrame:
 BOX_DX, BOX_DY = 12.0, 25.0
 
 
-def match_boxes(span_rows: DataFrame, boxes: DataFrame,
-                keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """First image box (by box_no) whose corner lies near the span's corner.
+def _near_boxes(span_rows: DataFrame, boxes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pairs of spans and image boxes whose corners lie within the tolerances.
 
     The band test becomes an equi join on cells of the tolerance's size: a box is
     listed in its own cell and the eight around it, so a page full of boxes does
     not meet a page full of words pairwise.
     """
-    span_cols = span_rows.columns
     col, row = F.floor(F.col("x") / BOX_DX), F.floor(F.col("y") / BOX_DY)
-    left = span_rows.withColumns({"_col": col, "_row": row})
+    left = span_rows.select(*keys, "line_no", "span_idx", "x", "y",
+                            col.alias("_col"), row.alias("_row"))
     near_by = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     right = (
         boxes.select(*keys, "box_no", F.col("x").alias("box_x"), F.col("top_y").alias("box_y"),
@@ -213,15 +214,90 @@ def match_boxes(span_rows: DataFrame, boxes: DataFrame,
                       "_row": F.floor(F.col("box_y") / BOX_DY) + F.col("_dy")})
         .drop("_dx", "_dy")
     )
-    near = (
-        left.join(right, [*keys, "_col", "_row"])
-        .where((F.abs(F.col("box_x") - F.col("x")) < BOX_DX)
-               & (F.abs(F.col("box_y") - F.col("y")) < BOX_DY))
-    )
+    return left.join(right, [*keys, "_col", "_row"]).where(
+        (F.abs(F.col("box_x") - F.col("x")) < BOX_DX)
+        & (F.abs(F.col("box_y") - F.col("y")) < BOX_DY))
+
+
+def match_boxes(span_rows: DataFrame, boxes: DataFrame,
+                keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
+    """Spans with the first image box (by box_no) near their corner, null without one."""
     ident = [*keys, "line_no", "span_idx"]
-    first = near.groupBy(*ident).agg(
-        F.min(F.struct("box_no", "box_x", "box_y", "box_width")).alias("_box")
-    )
+    first = _near_boxes(span_rows, boxes, keys).groupBy(*ident).agg(
+        F.min(F.struct("box_no", "box_x", "box_width")).alias("_box"))
     return span_rows.join(first, ident, "left").select(
-        *span_cols, F.col("_box.box_no"), F.col("_box.box_x"), F.col("_box.box_width")
-    )
+        *span_rows.columns, F.col("_box.box_no"), F.col("_box.box_x"), F.col("_box.box_width"))
+
+
+# Grouping and scaling of words over an image box.
+NEXT_DX, RIGHT_SLACK, OTHER_BOX = 8.0, 15.0, 2.0
+TRIM_ONE, TRIM_MORE, MAX_WIDTH_SCALE, MAX_FONT_SCALE, MIN_FONT = 0.855, 0.935, 1.25, 1.20, 10.0
+
+
+def _box_groups(g: Arrays) -> Arrays:
+    """Group of every word of a line: words run on from a matched one inside its box."""
+    n = len(g["span_idx"])
+    start = np.arange(n)
+    end = np.arange(n)
+    i = 0
+    while i < n:
+        j = i
+        if not np.isnan(g["box_x"][i]):
+            bx, right = g["box_x"][i], g["box_x"][i] + g["box_width"][i] + RIGHT_SLACK
+            while j + 1 < n:
+                lo, hi = g["near_min"][j + 1], g["near_max"][j + 1]
+                other = not np.isnan(lo) and (abs(lo - bx) > OTHER_BOX or abs(hi - bx) > OTHER_BOX)
+                if other or g["x"][j + 1] + g["width"][j + 1] > right:
+                    break
+                j += 1
+        start[i:j + 1], end[i:j + 1] = i, j
+        i = j + 1
+    x_max = g["x"] + g["width"]
+    return {**g, "group_x": g["x"][start], "group_width": np.abs(x_max[end] - g["x"][start]),
+            "group_size": (end - start + 1).astype(np.int32),
+            "target_width": g["box_width"][start], "first_bytes": g["n_bytes"][start]}
+
+
+def fit_to_boxes(span_rows: DataFrame, boxes: DataFrame,
+                 keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
+    """Stretch the words drawn over an image box to the width of the box.
+
+    The matching is a join, the grouping walks the words of one line, and the
+    scaling is plain columns.
+    """
+    matched = match_boxes(span_rows, boxes, keys)
+    near = match_all_near(span_rows, boxes, keys)
+    ident = [*keys, "line_no", "span_idx"]
+    types = dict(span_rows.dtypes)
+    nan = F.lit(float("nan"))
+    rows = matched.join(near, ident, "left").select(
+        *ident, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")],
+        F.octet_length("text").alias("n_bytes"), "text",
+        *[F.coalesce(F.col(c).cast("double"), nan).alias(c)
+          for c in ("box_x", "box_width", "near_min", "near_max")])
+    schema = ", ".join(f"{k} {types[k]}" for k in ident) + (
+        ", x double, y double, width double, height double, n_bytes int, text string, "
+        "box_x double, box_width double, near_min double, near_max double, group_x double, "
+        "group_width double, group_size int, target_width double, first_bytes int")
+    grouped = map_sorted_groups(rows, [*keys, "line_no"], ["span_idx"], _box_groups, schema)
+    one = F.col("group_size") == 1
+    wanted = F.col("target_width") * F.when(one, TRIM_ONE).otherwise(TRIM_MORE)
+    raw = F.when(F.col("group_width") > 0, wanted / F.col("group_width")).otherwise(F.lit(1.0))
+    keep = F.isnan("target_width") | (one & (F.col("first_bytes") <= 1)) | (raw <= 1.0)
+    # an absent box comes back from Arrow as null
+    scale = F.when(F.coalesce(keep, F.lit(True)), 1.0).otherwise(F.least(raw, F.lit(MAX_WIDTH_SCALE)))
+    return grouped.withColumn("scale", scale).select(
+        *ident, "text",
+        F.when(F.col("scale") > 1, F.col("group_x") + (F.col("x") - F.col("group_x")) * F.col("scale"))
+        .otherwise(F.col("x")).alias("x"), "y", (F.col("width") * F.col("scale")).alias("width"),
+        "height", F.greatest(F.col("height") * F.least("scale", F.lit(MAX_FONT_SCALE)),
+                             F.lit(MIN_FONT)).alias("font_size"), "scale")
+
+
+def match_all_near(span_rows: DataFrame, boxes: DataFrame,
+                   keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
+    """Leftmost and rightmost box starting close to a span."""
+    pairs = _near_boxes(span_rows, boxes, keys).where(
+        F.abs(F.col("box_x") - F.col("x")) < NEXT_DX)
+    return pairs.groupBy(*keys, "line_no", "span_idx").agg(
+        F.min("box_x").alias("near_min"), F.max("box_x").alias("near_max"))

@@ -8,7 +8,7 @@ import importlib
 from quire.session import tune
 
 AREAS = ["text", "pii", "search", "redaction", "catalog", "compare", "usage",
-         "records", "media"]
+         "records", "media", "extraction", "streams"]
 
 
 def _tuned(fn):

@@ -108,10 +108,18 @@ def span_image_boxes(spark, sf):
         F.col("box_no").cast("bigint").alias("box_no"), "box_width")
 
 
+def spans_fitted_to_boxes(spark, sf):
+    found = L.lines(docs(spark, sf).select("doc_id", "text"))
+    return L.fit_to_boxes(L.spans(found), _boxes(found)).where("scale > 1").select(
+        "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
+        F.col("span_idx").cast("bigint").alias("span_idx"), "text", F.round("x", 6).alias("x"),
+        F.round("width", 6).alias("width"), F.round("font_size", 6).alias("font_size"))
+
+
 QUERIES = {f.__name__: f for f in (
     text_lines, text_pages, text_mail_pages, text_layout, text_spans, text_page_plain,
     text_headings, text_wrapped, text_flow_pages, markup_text_nodes, escaped_markup,
-    span_image_boxes,
+    span_image_boxes, spans_fitted_to_boxes,
 )}
 
 SQL = {
