@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Extension families.
 FAMILIES = {
@@ -149,7 +149,7 @@ def is_restricted_ipv4(host: Column) -> Column:
 _IPV4 = r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_restricted_ipv6(hosts):
     """IPv6 literals only: loopback, unspecified, multicast, ULA, link-local, mapped IPv4."""
     import ipaddress
