@@ -223,3 +223,10 @@ def redacted_name(name: Column) -> Column:
 
 def watermarked_name(name: Column) -> Column:
     return F.concat(F.regexp_replace(name, r"\.pdf$", ""), F.lit("_filigrane.pdf"))
+
+
+def converted_name(name: Column, watermarked: Column) -> Column:
+    """Name of a converted file: its stem, marked when a watermark was drawn."""
+    base = basename(name)
+    stem = F.coalesce(F.regexp_replace(base, r"([^/])\.[^.]*$", "$1"), F.lit("document"))
+    return F.concat(stem, F.when(watermarked, "_converted.pdf").otherwise(F.lit(".pdf")))

@@ -44,76 +44,105 @@ def aci_hex(aci: Column) -> Column:
     return color.otherwise(ACI_OTHER)
 
 
-def pairs(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
-    """Group-code pairs (pos, code, value) of drawing texts."""
+def raw_records(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
+    """Records of drawing texts: runs of group-code pairs that start at a code 0.
+
+    Output: key, pos (pair number of the start), type, items array<struct<code, value>>.
+    """
     rows = F.transform(X.lines(F.col(content)), lambda s: F.trim(s, F.lit(" \t\r\x0b\x0c")))
-    cut = X.bind(rows, lambda ls: F.transform(
-        F.sequence(F.lit(1), F.floor(F.size(ls) / 2)),
-        lambda i: F.struct(F.get(ls, (2 * i - 2).cast("int")).alias("code"),
-                           F.get(ls, (2 * i - 1).cast("int")).alias("value"))))
-    long_enough = drawings.repartition(key).select(key, content).where(
-        F.col(content).contains("\n"))
+
+    def paired(ls: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.floor(F.size(ls) / 2).cast("int")),
+            lambda i: F.struct(F.get(ls, 2 * i - 2).alias("code"), F.get(ls, 2 * i - 1).alias("value")))
+
+    def cut(ps: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: F.get(ps, i - 1)["code"] == "0")
+        return X.bind(opens, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(ps) + 1)),
+            lambda a, b: F.when(a.isNotNull(), F.struct(
+                a.alias("pos"), F.get(ps, a - 1)["value"].alias("type"),
+                F.slice(ps, a + 1, b - a - 1).alias("items")))))
+
+    recs = X.bind(rows, lambda ls: X.bind(paired(ls), cut))
+    usable = drawings.repartition(key).select(key, content).where(F.col(content).contains("\n"))
     return (
-        long_enough.select(key, cut.alias("_pairs"))
-        .select(key, F.posexplode("_pairs").alias("pos", "_pair"))
-        .select(key, "pos", F.col("_pair.code").alias("code"), F.col("_pair.value").alias("value"))
+        usable.select(key, recs.alias("_recs"))
+        .select(key, F.explode_outer("_recs").alias("_r")).where("_r is not null")
+        .select(key, "_r.*")
     )
 
 
-def records(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
-    """Records opened by code 0 with their place (in_entities, in_layers) and fields."""
-    along = Window.partitionBy(key).orderBy("pos")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.col("code") == "0"
-    named = F.when(F.lead("code").over(along) == "2", F.lead("value").over(along))
-    marked = (
-        pairs(drawings, key, content)
-        .withColumns({"rec": F.sum(opens.cast("int")).over(upto), "_name": named})
-        .withColumns({
-            # a marker changes the state, everything else leaves it
-            "_section": F.when(opens & (F.col("value") == "SECTION") & F.col("_name").isNotNull(),
-                               F.col("_name"))
-            .when(opens & (F.col("value") == "ENDSEC"), ""),
-        })
-        .withColumn("section", F.last("_section", True).over(upto))
-        .withColumn("_table", F.when(
-            opens & (F.col("value") == "TABLE") & (F.col("section") == "TABLES")
-            & F.col("_name").isNotNull(), F.col("_name"))
-            .when(opens & F.col("value").isin("ENDTAB", "ENDSEC"), ""))
-        .withColumn("in_table", F.last("_table", True).over(upto))
-        .where(F.col("rec") > 0)
-        .withColumns({"num": F.col("value").try_cast("double"),
-                      "whole": F.when(F.col("value").rlike("^[+-]?[0-9]+$"),
-                                      F.col("value").try_cast("int")),
-                      "item": F.when(~opens, F.col("code").try_cast("int"))})
-        .withColumn("_vx", F.last(F.when(F.col("item") == 10, F.col("num")), True).over(
-            Window.partitionBy(key, "rec").orderBy("pos").rowsBetween(
-                Window.unboundedPreceding, 0)))
-    )
+def _points(items: Column) -> Column:
+    """Vertices: every y (code 20) with the x (code 10) read last before it."""
+    coords = F.transform(
+        F.filter(items, lambda p: p["code"].isin("10", "20") & p["value"].try_cast("double").isNotNull()),
+        lambda p: F.struct((p["code"] == "20").alias("is_y"), p["value"].cast("double").alias("v")))
+    none = F.expr("cast(array() as array<struct<x:double,y:double>>)")
+
+    def point(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def in_pairs(cs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.floor(F.size(cs) / 2).cast("int")),
+                           lambda i: point(F.get(cs, 2 * i - 2)["v"], F.get(cs, 2 * i - 1)["v"]))
 
-    def last_of(code: int, col: str) -> Column:
-        here = F.when((F.col("item") == code) & F.col(col).isNotNull(), F.col("pos"))
-        return F.max_by(col, here)
-
-    point = F.struct("pos", F.coalesce("_vx", F.lit(0.0)).alias("x"), F.col("num").alias("y"))
-    is_point = (F.col("item") == 20) & F.col("num").isNotNull()
-    zero = F.lit(0.0)
-    return marked.groupBy(key, "rec").agg(
-        F.max(F.when(opens, F.col("value"))).alias("type"),
-        F.coalesce(F.max(F.when(opens, F.col("section"))), F.lit("")).alias("section"),
-        F.coalesce(F.max(F.when(opens, F.col("in_table"))), F.lit("")).alias("in_table"),
-        last_of(2, "value").alias("name"), last_of(8, "value").alias("layer"),
-        last_of(62, "whole").alias("aci"), last_of(1, "value").alias("text"),
-        F.max((F.col("item") == 62) & (F.col("whole") < 0)).alias("negative"),
-        F.max((F.col("item") == 70) & (F.col("whole").bitwiseAND(1) != 0)).alias("odd_flag"),
-        last_of(70, "whole").alias("flag"),
-        *[F.coalesce(last_of(code, "num"), zero).alias(n)
-          for code, n in ((10, "x1"), (20, "y1"), (11, "x2"), (21, "y2"), (40, "radius"),
-                          (50, "start_angle"))],
-        F.coalesce(last_of(51, "num"), F.lit(360.0)).alias("end_angle"),
-        F.coalesce(last_of(40, "num"), F.lit(TEXT_HEIGHT)).alias("height"),
-        F.transform(F.array_sort(F.collect_list(F.when(is_point, point))),
-                    lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"),
+    def one_by_one(cs: Column) -> Column:
+        return F.aggregate(
+            cs, F.struct(F.lit(0.0).alias("x"), none.alias("pts")),
+            lambda a, c: F.when(c["is_y"], F.struct(
+                a["x"].alias("x"), F.array_append(a["pts"], point(a["x"], c["v"])).alias("pts")))
+            .otherwise(F.struct(c["v"].alias("x"), a["pts"].alias("pts"))),
+            lambda a: a["pts"])
+
+    def regular(cs: Column) -> Column:
+        return (F.size(cs) % 2 == 0) & F.forall(
+            F.sequence(F.lit(1), F.greatest(F.size(cs), F.lit(1))),
+            lambda i: F.get(cs, i - 1)["is_y"] == (i % 2 == 0))
+
+    return X.bind(coords, lambda cs: F.when(F.size(cs) == 0, none)
+                  .when(regular(cs), in_pairs(cs)).otherwise(one_by_one(cs)))
+
+
+def records(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
+    """Records opened by code 0 with their place (section, in_table) and fields."""
+    def values(code: int) -> Column:
+        return F.transform(F.filter("items", lambda p: p["code"] == str(code)), lambda p: p["value"])
+
+    def numbers(code: int) -> Column:
+        return F.array_compact(F.transform(values(code), lambda v: v.try_cast("double")))
+
+    def wholes(code: int) -> Column:
+        return F.transform(F.filter(values(code), lambda v: v.rlike("^[+-]?[0-9]+$")
+                                    & v.try_cast("int").isNotNull()), lambda v: v.cast("int"))
+
+    def last(array: Column, default=None) -> Column:
+        found = F.try_element_at(array, F.lit(-1))
+        return found if default is None else F.coalesce(found, F.lit(default))
+
+    head = F.get("items", F.lit(0))
+    fields = raw_records(drawings, key, content).select(
+        key, F.col("pos").alias("rec"), "type",
+        F.when(head["code"] == "2", head["value"]).alias("_name"),
+        last(values(2)).alias("name"), last(values(8)).alias("layer"),
+        last(wholes(62)).alias("aci"), last(values(1)).alias("text"),
+        F.exists(wholes(62), lambda c: c < 0).alias("negative"),
+        F.exists(wholes(70), lambda f: f.bitwiseAND(1) != 0).alias("odd_flag"),
+        last(wholes(70)).alias("flag"),
+        *[last(numbers(code), 0.0).alias(n) for code, n in (
+            (10, "x1"), (20, "y1"), (11, "x2"), (21, "y2"), (40, "radius"), (50, "start_angle"))],
+        last(numbers(51), 360.0).alias("end_angle"), last(numbers(40), TEXT_HEIGHT).alias("height"),
+        F.when(F.col("type").isin("LWPOLYLINE", "POLYLINE"), _points(F.col("items"))).alias("points"))
+    # the state set by the last section or table marker; rows are already in place
+    upto = Window.partitionBy(key).orderBy("rec").rowsBetween(Window.unboundedPreceding, 0)
+    kind, name = F.col("type"), F.col("_name")
+    section = F.when(kind == "SECTION", name).when(kind == "ENDSEC", "")
+    table = F.when((kind == "TABLE") & (F.col("section") == "TABLES"), name).when(
+        kind.isin("ENDTAB", "ENDSEC"), "")
+    return (
+        fields.withColumn("section", F.coalesce(F.last(section, True).over(upto), F.lit("")))
+        .withColumn("in_table", F.coalesce(F.last(table, True).over(upto), F.lit("")))
+        .drop("_name")
     )
 
 
@@ -131,7 +160,7 @@ def defined_layers(recs: DataFrame, drawings: DataFrame, key: str = "drawing_id"
     implicit = drawings.select(
         key, F.lit(IMPLICIT_LAYER).alias("layer"), F.lit(DEFAULT_ACI).alias("color_aci"),
         F.lit(NO_LAYER_COLOR).alias("color_hex"), F.lit(True).alias("is_visible"),
-        F.lit(0).cast("bigint").alias("rec"))
+        F.lit(0).alias("rec"))
     row = F.struct("color_aci", "color_hex", "is_visible")
     return written.unionByName(implicit).groupBy(key, "layer").agg(
         F.max_by(row, "rec").alias("_l")).select(key, "layer", "_l.*")

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as X
 from quire.operators import textlayer
-
-# More distinct words than this per query set are joined, not broadcast.
-MAX_BROADCAST_QUERIES = 10_000
+from quire.plans.durable import settled
 
 
 def clean_query(query: Column) -> Column:
@@ -33,36 +31,35 @@ def search_text(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
         textlayer.spans(found.where(F.contains(F.lower("line"), F.lit(needle)))), query)
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct n-character pieces of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
-
-
-def search_many(spans: DataFrame, queries: DataFrame, vocabulary: list[str] | None = None,
-                gram: int = 3) -> DataFrame:
+def search_many(spans: DataFrame, queries: DataFrame, gram: int = 3) -> DataFrame:
     """Match many queries (query_id, query) against spans at once.
 
-    Substring search becomes equi joins. Spans are reduced to distinct words, a
-    word carries its n-grams, a query the rarest-looking of its own (its first
-    n characters); only word and query pairs sharing that piece are compared.
-    Queries shorter than n characters use a gram of their own length.
+    Substring search becomes equi joins. Spans are reduced to their distinct
+    words, and a query is compared only with the words that hold its rarest
+    n-gram, so a common piece does not pair every word with every query.
+    Queries shorter than n use pieces of their own length.
     """
     wanted = (
         queries.select("query_id", clean_query(F.col("query")).alias("needle"))
         .where((F.col("needle") != "") & ~F.col("needle").rlike(rf"[{X.WS}]"))
         .withColumn("_n", F.least(F.length("needle"), F.lit(gram)))
-        .withColumn("_gram", F.expr("substring(needle, 1, _n)"))
     )
-    words = spans.select(F.lower("text").alias("word")).distinct()
-    pieces = words.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(gram))))
-    pieces = pieces.select("word", "_n", F.explode(F.expr(
-        "array_distinct(transform(sequence(1, greatest(length(word) - _n + 1, 1)), "
-        "i -> substring(word, i, _n)))")).alias("_gram"))
+
+    def pieces(df: DataFrame, col: str) -> DataFrame:
+        grams = F.expr(f"array_distinct(transform(sequence(1, greatest(length({col}) - _n + 1, 1)), "
+                       f"i -> substring({col}, i, _n)))")
+        return df.withColumn("_grams", grams).select(*df.columns, F.explode("_grams").alias("_gram"))
+
+    words = settled(spans.select(F.lower("text").alias("word")).distinct())
+    sizes = wanted.select("_n").distinct()  # at most `gram` rows
+    word_grams = pieces(words.join(F.broadcast(sizes)), "word")
+    frequency = word_grams.groupBy("_n", "_gram").agg(F.count("*").alias("_words"))
+    # a query with a gram that no word has cannot match and may drop out here
+    rarest = pieces(wanted, "needle").join(frequency, ["_n", "_gram"]).groupBy(
+        "query_id", "needle", "_n").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram"))
     pairs = (
-        pieces.join(wanted, ["_n", "_gram"])
-        .where(F.contains("word", F.col("needle")))
-        .select("word", "query_id").distinct()
+        word_grams.join(rarest, ["_n", "_gram"])
+        .where(F.contains("word", F.col("needle"))).select("word", "query_id")
     )
     return spans.withColumn("word", F.lower("text")).join(pairs, "word").drop("word")
 

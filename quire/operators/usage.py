@@ -48,9 +48,13 @@ def resolve_limits(requests: DataFrame, limits: DataFrame, auth_required: bool)
     required; otherwise the key's own limit or the general one.
     """
     key = F.trim("api_key")
+    # requests without a key find no limit: spread them instead of joining one null key
+    place = F.coalesce(F.nullif(key, F.lit("")),
+                       F.concat(F.lit("\0"), F.spark_partition_id().cast("string")))
     joined = (
-        requests.withColumn("quota_key", key)
-        .join(limits.select(F.col("api_key").alias("quota_key"), "quota_limit"), "quota_key", "left")
+        requests.withColumns({"quota_key": key, "_place": place})
+        .join(limits.select(F.col("api_key").alias("_place"), "quota_limit"), "_place", "left")
+        .drop("_place")
     )
     missing, empty = F.col("api_key").isNull(), F.col("api_key") == ""
     if auth_required:
@@ -334,7 +338,7 @@ def interval_totals(cpu: DataFrame, at: Sequence[str] = ("ts",)) -> DataFrame:
 
 def sla_grid(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Metrics (metric, value) against thresholds (metric, op, threshold)."""
-    joined = metrics.join(F.broadcast(thresholds), "metric")  # one row per metric name
+    joined = metrics.join(thresholds, "metric")
     met = F.when(F.col("op") == "<=", F.col("value") <= F.col("threshold")).otherwise(
         F.col("value") >= F.col("threshold"))
     return joined.withColumn("met", met)

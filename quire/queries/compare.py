@@ -49,11 +49,11 @@ def changed_pages(spark, sf):
 
 def _turns(spark, sf):
     """Every turn of a conversation against the one before the last."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    t = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     nxt = t.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("text_b"))
-    return spread(t.join(nxt, ["conv_id", "turn"]).select(
+    return t.join(nxt, ["conv_id", "turn"]).select(
         F.col("conv_id").alias("pair_id"), F.col("turn").alias("page_number"),
-        F.col("text").alias("text_a"), "text_b"))
+        F.col("text").alias("text_a"), "text_b")
 
 
 def token_diff(spark, sf):

@@ -56,8 +56,8 @@ def cad_layers(spark, sf):
 def cad_entities(spark, sf):
     _, recs, layers = _parsed(spark, sf)
     return C.entities(recs, layers).select(
-        "drawing_id", F.col("rec").cast("bigint").alias("rec"), "kind", "layer", "color_hex", "x1",
-        "y1", "x2", "y2", "radius", "text", F.size("points").cast("bigint").alias("n_points"))
+        "drawing_id", "kind", "layer", "color_hex", "x1",
+        "y1", "x2", "y2", "radius", "text", F.coalesce(F.size("points"), F.lit(0)).cast("bigint").alias("n_points"))
 
 
 def cad_extents(spark, sf):
@@ -77,7 +77,7 @@ def cad_canvas(spark, sf):
     d, recs, layers = _parsed(spark, sf)
     ents = C.entities(recs, layers)
     fitted = C.fit(ents, C.extents(ents, d))
-    return fitted.select("drawing_id", F.col("rec").cast("bigint").alias("rec"), "canvas_w",
+    return fitted.select("drawing_id", "canvas_w",
                          "canvas_h", *[F.round(c, 6).alias(c) for c in
                                        ("scale", "cx1", "cy1", "cx2", "cy2")])
 
@@ -223,15 +223,15 @@ SQL = {
 SELECT k AS drawing_id, layer, CAST(aci AS BIGINT) AS color_aci, hex AS color_hex, vis AS is_visible,
        n AS entity_count FROM inv""",
     "cad_entities": f"""WITH {CAD}
-SELECT k AS drawing_id, 8 + i AS rec, kind, layer, color AS color_hex, CAST(x1 AS DOUBLE) AS x1,
+SELECT k AS drawing_id, kind, layer, color AS color_hex, CAST(x1 AS DOUBLE) AS x1,
   CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(r AS DOUBLE) AS radius,
-  t AS text, CAST(CASE WHEN kind = 'polyline' THEN 2 ELSE 1 END AS BIGINT) AS n_points FROM ent""",
+  t AS text, CAST(CASE WHEN kind = 'polyline' THEN 2 ELSE 0 END AS BIGINT) AS n_points FROM ent""",
     "cad_extents": f"WITH {CAD} SELECT k AS drawing_id, min_x, min_y, max_x, max_y FROM ext",
     "cad_active_layers": f"""WITH {CAD}
 SELECT k AS drawing_id, layer, count(*) AS entities FROM ent
 WHERE CASE WHEN k % 2 = 0 THEN layer IN ('FREE', '0') ELSE layer IN ('WO', 'WF', 'WP') END GROUP BY 1, 2""",
     "cad_canvas": f"""WITH {CAD}
-SELECT ent.k AS drawing_id, 8 + i AS rec, canvas_w, canvas_h, round(scale, 6) AS scale,
+SELECT ent.k AS drawing_id, canvas_w, canvas_h, round(scale, 6) AS scale,
   round((x1 - min_x + 40) * scale, 6) AS cx1, round(canvas_h - (y1 - min_y + 40) * scale, 6) AS cy1,
   round((x2 - min_x + 40) * scale, 6) AS cx2, round(canvas_h - (y2 - min_y + 40) * scale, 6) AS cy2
 FROM ent JOIN cv2 ON cv2.k = ent.k""",

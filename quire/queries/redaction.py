@@ -45,7 +45,8 @@ def redacted_names(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
     name = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ".PDF").otherwise(F.lit(".docx")))
     return part.select("p_partkey", N.redacted_name(name).alias("redacted_name"),
-                       N.watermarked_name(F.lower(name)).alias("watermarked_name"))
+                       N.watermarked_name(F.lower(name)).alias("watermarked_name"),
+                       N.converted_name(name, F.col("p_partkey") % 3 == 0).alias("converted_name"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -74,5 +75,6 @@ SELECT category, count(*) AS hits_before, CAST(0 AS BIGINT) AS hits_after FROM k
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'redacted_' || p_name || '.PDF'
                        ELSE 'redacted_' || p_name || '.docx.pdf' END AS redacted_name,
        CASE WHEN p_size % 2 = 0 THEN lower(p_name) || '_filigrane.pdf'
-            ELSE lower(p_name) || '.docx_filigrane.pdf' END AS watermarked_name FROM part""",
+            ELSE lower(p_name) || '.docx_filigrane.pdf' END AS watermarked_name,
+       p_name || CASE WHEN p_partkey % 3 = 0 THEN '_converted.pdf' ELSE '.pdf' END AS converted_name FROM part""",
 }

@@ -26,7 +26,7 @@ def search_page_counts(spark, sf):
 
 
 def search_many_queries(spark, sf):
-    """Every customer number's digits as a query over the words of all documents."""
+    """The first letters of every nation as queries over the words of all documents."""
     spans = textlayer.spans(textlayer.lines(docs(spark, sf).select("doc_id", "text")))
     queries = table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("query_id"), F.substring("n_name", 1, 3).alias("query"))

@@ -125,7 +125,7 @@ def _samples(spark, sf):
 
 def process_cpu(spark, sf):
     return U.process_cpu(_samples(spark, sf)).select(
-        "pid", "ts", F.round("cpu_percent", 6).alias("cpu_percent"))
+        "pid", "ts", F.round("cpu_percent", 9).alias("cpu_percent"))
 
 
 def telemetry_totals(spark, sf):
@@ -251,7 +251,7 @@ SELECT event_type, n, v[CAST(floor(n * 0.5) AS BIGINT) + 1] AS p50,
     "traffic_mix": """
 SELECT event_type, count(*) AS requests, count(*) / (SELECT count(*) FROM events) AS share
 FROM events GROUP BY 1""",
-    "process_cpu": f"WITH {SAMPLES} SELECT pid, ts, round(cpu, 6) AS cpu_percent FROM cpu",
+    "process_cpu": f"WITH {SAMPLES} SELECT pid, ts, round(cpu, 9) AS cpu_percent FROM cpu",
     "telemetry_totals": f"""WITH {SAMPLES}
 SELECT ts, count(DISTINCT pid) AS active_nodes, round(sum(cpu), 9) AS total_cpu_percent,
   sum(rss_mb) AS total_rss_mb, max(hwm_mb) AS max_hwm_mb FROM cpu GROUP BY 1""",

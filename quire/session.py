@@ -14,6 +14,9 @@ def tune(spark: SparkSession) -> SparkSession:
     documentation recommends this limit so that such stages fall back to
     smaller generated methods.
     """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # joins on a unique key leave a hot key of the other side to the skew split
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -50,6 +50,8 @@ def test_permissions_and_paths(spark):
     assert values(spark, N.is_traversal, ["a/../b", "a/b"]) == [True, False]
     assert values(spark, N.strip_root, ["//a/b", "\\x"]) == ["a/b", "x"]
     assert values(spark, N.redacted_name, ["a.PDF", "b.docx"]) == ["redacted_a.PDF", "redacted_b.docx.pdf"]
+    assert values(spark, lambda c: N.converted_name(c, F.lit(True)), ["d/a.b.docx", ".rc"]) == [
+        "a.b_converted.pdf", ".rc_converted.pdf"]
 
 
 def test_catalog_first_copy_latest_name(spark):
