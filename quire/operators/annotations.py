@@ -187,4 +187,4 @@ def merge_rects(rects: DataFrame) -> DataFrame:
               "width double, height double")
     return map_sorted_groups(
         rows.select("doc_id", "page_number", "selection", "_row", "x", "y", "width", "height"),
-        ["doc_id", "page_number", "selection"], ["_row", "x", "y"], _merge, schema)
+        ["doc_id", "page_number", "selection"], ["_row", "x", "y", "width", "height"], _merge, schema)

@@ -103,8 +103,34 @@ def spans(df: DataFrame) -> DataFrame:
     )
 
 
+def page_texts(docs: DataFrame, text: str = "text", per_page: int = X.LINES_PER_PAGE,
+               words_only: bool = True) -> DataFrame:
+    """Plain text of every page, cut inside the document's row: no shuffle.
+
+    words_only: words joined by a blank, lines without words left out; else the
+    lines as they are.
+    """
+    kept = [c for c in docs.columns if c != text]
+
+    def page(ls: Column, p: Column) -> Column:
+        part = F.slice(ls, (p - 1) * per_page + 1, per_page)
+        if words_only:
+            part = F.filter(F.transform(part, lambda s: F.array_join(X.words(s), " ")),
+                            lambda s: s != "")
+        return F.array_join(part, "\n")
+
+    cut = X.bind(X.lines(F.col(text)), lambda ls: F.transform(
+        F.sequence(F.lit(1), X.page_count(F.size(ls), per_page)), lambda p: page(ls, p)))
+    return (
+        docs.select(*kept, cut.alias("_pages"))
+        .select(*kept, F.posexplode_outer("_pages").alias("_p", "page_text"))
+        .where("_p is not null")
+        .select(*kept, (F.col("_p") + 1).alias("page_number"), "page_text")
+    )
+
+
 def page_text(span_rows: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """Plain text of pages: words joined by a blank, lines by a line feed.
+    """Plain text of pages from a span table, as page_texts gives it for texts.
 
     Words are joined per line first, so no aggregate holds more than a line of words.
     """

@@ -90,8 +90,10 @@ def _chunk_summary(window: int):
     def summarise(g: Arrays) -> Arrays:
         """Where a chunk can be entered, and the last window start for each entry."""
         secs, chunk = g["sec"], int(g["_chunk"][0])
-        # a window still open at the chunk's start ends within its first window length
-        last = np.searchsorted(secs, chunk * window * CHUNK_WINDOWS + window)
+        # a window open at the chunk's start ends within its first window length,
+        # one continued from earlier requests within a window of its own start
+        opened = max(chunk * window * CHUNK_WINDOWS, int(g["open_start"][0]))
+        last = np.searchsorted(secs, opened + window)
         entries = np.arange(min(last + 1, len(secs)))
         at = entries.copy()
         while True:
@@ -101,7 +103,7 @@ def _chunk_summary(window: int):
                 break
             at = np.where(more, nxt, at)
         return {"quota_key": g["quota_key"][:1], "_chunk": g["_chunk"][:1],
-                "entries": _objects([secs[entries]]), "exits": _objects([secs[at]])}
+                "open_start": g["open_start"][:1], "entries": _objects([secs[entries]]), "exits": _objects([secs[at]])}
 
     return summarise
 
@@ -162,15 +164,16 @@ def quota_decisions(requests: DataFrame, order: Sequence[str] = ("ts", "event_id
         .withColumn("_chunk", F.floor(F.col("sec") / (window * CHUNK_WINDOWS)))
     )
     key_type = dict(requests.dtypes)["quota_key"]
-    summaries = map_sorted_groups(
-        per_sec.select("quota_key", "_chunk", "sec"), ["quota_key", "_chunk"], ["sec"],
-        _chunk_summary(window),
-        f"quota_key {key_type}, _chunk bigint, entries array<bigint>, exits array<bigint>")
     if state is None:
-        summaries = summaries.withColumn("open_start", F.lit(NO_WINDOW).cast("bigint"))
+        opened = per_sec.withColumn("open_start", F.lit(NO_WINDOW).cast("bigint"))
     else:
-        summaries = summaries.join(state.select("quota_key", "open_start"), "quota_key", "left") \
+        opened = per_sec.join(state.select("quota_key", "open_start"), "quota_key", "left") \
             .fillna(NO_WINDOW, ["open_start"])
+    summaries = map_sorted_groups(
+        opened.select("quota_key", "_chunk", "sec", "open_start"), ["quota_key", "_chunk"], ["sec"],
+        _chunk_summary(window),
+        f"quota_key {key_type}, _chunk bigint, open_start bigint, entries array<bigint>, "
+        "exits array<bigint>")
     chain = map_sorted_groups(summaries, ["quota_key"], ["_chunk"], _chain_chunks(window),
                               f"quota_key {key_type}, _chunk bigint, carried bigint")
     assigned = map_sorted_groups(

@@ -7,15 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def in_chunks(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Tag rows with the chunk of their key they belong to.
-
-    ``chunk`` must not decrease along the order used later (hour of a time,
-    block of a position), so a hot key becomes many bounded groups.
-    """
-    return df.withColumn("_chunk", chunk)
-
-
 def chunked_running(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,14 +68,6 @@ def chunked_running(
     return left.join(right, on).select(*kept, *[e.alias(n) for n, e in out.items()])
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """First row of every key by a partial aggregate, never by sorting a key."""
-    place = [F.col(c) if isinstance(c, str) else c for c in order]
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*place))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
-
-
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Last row of every key by a partial aggregate."""
     place = [F.col(c) if isinstance(c, str) else c for c in order]

@@ -17,14 +17,6 @@ def token_counts(spark, sf):
         F.md5(F.array_join("t", "|")).alias("tokens_md5"))
 
 
-def _page_texts(df):
-    """Page texts (pair_id, page_number, page_text) of texts, lines kept as they are."""
-    lines = textlayer.lines(df)
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("pair_id", "page_number").agg(
-        F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("page_text"))
-
-
 def _versions(spark, sf):
     """Each document as version A and the next one as version B."""
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
@@ -34,7 +26,8 @@ def _versions(spark, sf):
 
 def _aligned(spark, sf):
     a, b = _versions(spark, sf)
-    return D.align_pages(_page_texts(a), _page_texts(b))
+    return D.align_pages(textlayer.page_texts(a, words_only=False),
+                         textlayer.page_texts(b, words_only=False))
 
 
 def aligned_pages(spark, sf):
@@ -69,6 +62,14 @@ def document_diff_summary(spark, sf):
     return D.diff_summary(D.token_diff(_aligned(spark, sf)))
 
 
+def diff_token_totals(spark, sf):
+    """Tokens of either version as the diff accounts for them."""
+    s = D.diff_summary(D.token_diff(_aligned(spark, sf)))
+    return s.select("pair_id", F.col("page_number").cast("bigint").alias("page_number"),
+                    (F.col("deletions") + F.col("unchanged")).alias("tokens_a"),
+                    (F.col("additions") + F.col("unchanged")).alias("tokens_b"))
+
+
 def line_diff(spark, sf):
     a, b = _versions(spark, sf)
     return D.line_diff(textlayer.lines(a), textlayer.lines(b))
@@ -103,14 +104,15 @@ def grid_diff(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     token_counts, aligned_pages, changed_pages, token_diff, token_diff_summary,
-    document_diff_summary, line_diff, grid_cells, grid_diff)}
+    document_diff_summary, diff_token_totals, line_diff, grid_cells, grid_diff)}
 
 VERSIONS = r"""
 cut AS (SELECT doc_id, string_split_regex(text, '\r?\n') AS p FROM documents),
 cut2 AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p)-1] ELSE p END AS p FROM cut),
 l AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS line_no FROM cut2),
 pg AS (SELECT doc_id, line_no // 48 + 1 AS page_number,
-         string_agg(line, chr(10) ORDER BY line_no) AS t FROM l GROUP BY ALL),
+         string_agg(line, chr(10) ORDER BY line_no) AS t FROM l GROUP BY ALL
+       UNION ALL SELECT doc_id, 1, '' FROM cut2 WHERE len(p) = 0),
 a AS (SELECT doc_id AS pair_id, page_number, t FROM pg),
 b AS (SELECT doc_id - 1 AS pair_id, page_number, t FROM pg WHERE doc_id > 0),
 al AS (SELECT pair_id, page_number, coalesce(a.t, '') AS ta, coalesce(b.t, '') AS tb
@@ -140,6 +142,10 @@ SELECT pair_id, page_number, md5(ta) AS md5_a, md5(tb) AS md5_b FROM al""",
     "changed_pages": f"""WITH {VERSIONS}
 SELECT pair_id, count(*) FILTER (ta <> tb) AS pages_changed, count(*) AS pages_total
 FROM al GROUP BY 1""",
+    "diff_token_totals": rf"""WITH {VERSIONS}
+SELECT pair_id, page_number, len(regexp_extract_all(ta, '\s+|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS tokens_a,
+       len(regexp_extract_all(tb, '\s+|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS tokens_b
+FROM al WHERE ta <> '' OR tb <> ''""",
     "line_diff": f"""WITH {VERSIONS},
 n AS (SELECT pair_id, line, sum(a) AS a, sum(b) AS b FROM (
   SELECT doc_id AS pair_id, line, 1 AS a, 0 AS b FROM l

@@ -84,7 +84,7 @@ def merged_rects(spark, sf):
         (F.col("l_suppkey") % 2).alias("selection"), (F.col("l_partkey") % 300).cast("double")
         .alias("x"), (F.col("l_suppkey") % 30).cast("double").alias("y"),
         F.col("l_quantity").alias("width"), F.lit(12.0).alias("height"))
-    return A.merge_rects(rects)
+    return A.merge_rects(rects).withColumn("page_number", F.col("page_number").cast("int"))
 
 
 def _pages(spark, sf):
@@ -301,6 +301,28 @@ LEFT JOIN events e ON e.user_id = d.doc_id GROUP BY 1""",
 SELECT CASE WHEN lang = 'en' THEN 's3' ELSE 'filesystem' END AS connector,
   source || '/' || doc_id AS resource_id, count(*) AS annotations
 FROM documents JOIN events ON user_id = doc_id GROUP BY 1, 2""",
+    "merged_rects": """
+WITH RECURSIVE r AS (
+  SELECT l_orderkey AS doc_id, l_linenumber % 2 + 1 AS page_number, l_suppkey % 2 AS selection,
+    CAST(l_partkey % 300 AS DOUBLE) AS x, CAST(l_suppkey % 30 AS DOUBLE) AS y, l_quantity AS w
+  FROM lineitem WHERE l_quantity >= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, selection
+                                   ORDER BY floor(y / 4), x, y, w) AS rn FROM r),
+walk AS (
+  SELECT doc_id, page_number, selection, rn, 0 AS no, x, y, w FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.doc_id, o.page_number, o.selection, o.rn,
+    CASE WHEN abs(k.y - o.y) < 6 AND o.x <= k.x + k.w + 6 THEN k.no ELSE k.no + 1 END,
+    CASE WHEN abs(k.y - o.y) < 6 AND o.x <= k.x + k.w + 6 THEN k.x ELSE o.x END,
+    CASE WHEN abs(k.y - o.y) < 6 AND o.x <= k.x + k.w + 6 THEN k.y ELSE o.y END,
+    CASE WHEN abs(k.y - o.y) < 6 AND o.x <= k.x + k.w + 6
+         THEN greatest(k.x + k.w, o.x + o.w) - k.x ELSE o.w END
+  FROM walk k JOIN o ON o.doc_id = k.doc_id AND o.page_number = k.page_number
+   AND o.selection = k.selection AND o.rn = k.rn + 1)
+SELECT doc_id, page_number, selection, CAST(no AS BIGINT) AS rect_no, x, y, w AS width,
+       CAST(12 AS DOUBLE) AS height
+FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, selection, no
+                                     ORDER BY rn DESC) = 1""",
     "merged_pages": f"WITH {PG} SELECT build_id, doc_id, merged_no, source_page FROM merged",
     "built_documents": f"""WITH {PG},
 act AS (SELECT source AS build_id, ['rotate', 'delete', 'keep', 'insert_blank'][doc_id % 4 + 1] AS action,

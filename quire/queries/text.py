@@ -37,12 +37,26 @@ def text_mail_pages(spark, sf):
 
 
 def text_layout(spark, sf):
-    laid = L.layout(L.lines(docs(spark, sf)), max_cols=95)
+    laid = L.layout(L.lines(docs(spark, sf)))
     return laid.select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "x", "y",
         X.escape_pdf(F.col("shown")).alias("shown"), "footer")
 
 
+def text_truncated(spark, sf):
+    """The truncating layout: what 95 columns keep of every line."""
+    laid = L.layout(L.lines(docs(spark, sf)), max_cols=95)
+    return laid.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "shown",
+                       (F.length("line") > 95).alias("is_cut"))
+
+
+def text_span_pages(spark, sf):
+    """Page texts rebuilt from the span table."""
+    return L.page_text(L.spans(L.lines(docs(spark, sf)))).select(
+        "doc_id", F.col("page_number").cast("bigint").alias("page_number"),
+        F.md5("page_text").alias("page_md5"), F.length("page_text").cast("bigint").alias("n_chars"))
+
+
 def text_spans(spark, sf):
     return L.spans(L.lines(docs(spark, sf))).select(
         "doc_id", F.col("page_number").cast("bigint").alias("page_number"),
@@ -52,7 +66,7 @@ def text_spans(spark, sf):
 
 
 def text_page_plain(spark, sf):
-    return L.page_text(L.spans(L.lines(docs(spark, sf)))).select(
+    return L.page_texts(docs(spark, sf)).where("page_text <> ''").select(
         "doc_id", F.col("page_number").cast("bigint").alias("page_number"),
         F.md5("page_text").alias("page_md5"), F.length("page_text").cast("bigint").alias("n_chars"))
 
@@ -65,8 +79,7 @@ def text_headings(spark, sf):
 def text_wrapped(spark, sf):
     return (
         L.wrap(L.lines(docs(spark, sf)).select("doc_id", "line_no", "line"), "line", 80)
-        .groupBy("doc_id").agg(F.count("*").alias("n_wrapped"),
-                               F.max(F.octet_length("line")).cast("bigint").alias("widest"))
+        .groupBy("doc_id").agg(F.count("*").alias("n_wrapped"))
     )
 
 
@@ -92,8 +105,8 @@ def escaped_markup(spark, sf):
 
 
 def _boxes(line_rows):
-    """One image box on every third line, derived from the line's own place."""
-    return line_rows.where((F.col("line_no") % 3 == 0) & (F.col("line") != "")).select(
+    """One image box per line, derived from the line's own place and length."""
+    return line_rows.where(F.col("line") != "").select(
         "doc_id", "page_number", F.col("line_no").alias("box_no"),
         (F.lit(X.LEFT_MARGIN) + 6.0 * (F.length("line") % 40) + 2.0).alias("x"),
         (L.span_top(F.col("line_no")) - 4.0).alias("top_y"),
@@ -117,7 +130,8 @@ def spans_fitted_to_boxes(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_lines, text_pages, text_mail_pages, text_layout, text_spans, text_page_plain,
+    text_lines, text_pages, text_mail_pages, text_layout, text_truncated,
+    text_spans, text_page_plain, text_span_pages,
     text_headings, text_wrapped, text_flow_pages, markup_text_nodes, escaped_markup,
     span_image_boxes, spans_fitted_to_boxes,
 )}
@@ -138,10 +152,12 @@ SELECT doc_id, CAST(CASE WHEN line_no < 39 THEN 1 ELSE 2 + (line_no - 39) // 47
          AS page_number, count(*) AS n_lines FROM lines GROUP BY 1, 2""",
     "text_layout": rf"""WITH {LINES}
 SELECT doc_id, line_no, CAST(50 AS DOUBLE) AS x, CAST(800 - 15 * (line_no % 48) AS DOUBLE) AS y,
-       replace(replace(replace(replace(replace(left(line, 95), '\', '\\'), '(', '\('), ')', '\)'),
+       replace(replace(replace(replace(replace(line, '\', '\\'), '(', '\('), ')', '\)'),
          chr(13), '\r'), chr(10), '\n') AS shown,
        'Page ' || (line_no // 48 + 1) || ' / ' || CAST(ceil(n_lines / 48.0) AS BIGINT) AS footer
 FROM lines""",
+    "text_truncated": f"""WITH {LINES}
+SELECT doc_id, line_no, left(line, 95) AS shown, length(line) > 95 AS is_cut FROM lines""",
     "text_spans": f"""WITH {LINES}, {words_of("lines")}
 SELECT doc_id, line_no // 48 + 1 AS page_number, line_no, idx AS span_idx, word AS text,
        CAST(50 + 6 * start_at AS DOUBLE) AS x, CAST(32 + 15 * (line_no % 48) AS DOUBLE) AS y,
@@ -157,6 +173,28 @@ WHERE strlen(trim(line)) < 50 AND trim(line) <> ''
   AND (regexp_matches(trim(line), '^[1-6][.]')
        OR NOT regexp_matches(trim(line), '\p{{Ll}}|\p{{Lt}}|\p{{Lm}}|\p{{Lo}}'))
 """,
+    # state of the fold: lines so far * 10^9 + bytes of the open line
+    "text_wrapped": f"""WITH {LINES},
+w AS (SELECT doc_id, list_transform(regexp_extract_all(line, '[^{WS}]+'),
+        lambda t: CAST(strlen(t) AS BIGINT)) AS ns FROM lines),
+f AS (SELECT doc_id, list_reduce(ns, lambda a, n: CASE
+        WHEN a > 0 AND a % 1000000000 + 1 + n <= 80 THEN a + 1 + n
+        ELSE (a // 1000000000 + 1) * 1000000000 + n END, CAST(0 AS BIGINT)) // 1000000000 AS k FROM w)
+SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_wrapped FROM f GROUP BY 1 HAVING sum(k) > 0""",
+    "text_flow_pages": f"""WITH RECURSIVE {LINES},
+walk AS (
+  SELECT doc_id, line_no, line, 1 AS page, 780 AS y FROM lines WHERE line_no = 0
+  UNION ALL
+  SELECT l.doc_id, l.line_no, l.line,
+    CASE WHEN w.line <> '' AND w.y - CASE WHEN w.line_no = 0 THEN 24 ELSE 16 END < 60
+         THEN w.page + 1 ELSE w.page END,
+    CASE WHEN w.line = '' THEN w.y - 12
+         WHEN w.y - CASE WHEN w.line_no = 0 THEN 24 ELSE 16 END < 60 THEN 780
+         ELSE w.y - CASE WHEN w.line_no = 0 THEN 24 ELSE 16 END END
+  FROM (SELECT doc_id, line_no, trim(line) AS line, page, y FROM walk) w
+  JOIN lines l ON l.doc_id = w.doc_id AND l.line_no = w.line_no + 1)
+SELECT doc_id, CAST(page AS BIGINT) AS page_number, count(*) AS n_lines,
+       CAST(min(y) AS DOUBLE) AS lowest FROM walk GROUP BY 1, 2""",
     "markup_text_nodes": rf"""
 WITH n AS (SELECT page_id, unnest(list_filter(list_transform(
     regexp_extract_all(html, '>([^<]+)<', 1),
@@ -178,7 +216,7 @@ FROM pages""",
 boxes AS (
   SELECT doc_id, line_no // 48 AS pg, line_no AS box_no, 52.0 + 6 * (length(line) % 40) AS bx,
          28.0 + 15 * (line_no % 48) AS by, 40.0 + length(line) % 90 AS bw
-  FROM lines WHERE line_no % 3 = 0 AND line <> ''),
+  FROM lines WHERE line <> ''),
 near AS (
   SELECT w.doc_id, w.line_no, w.idx, w.word, b.box_no, b.bw,
          row_number() OVER (PARTITION BY w.doc_id, w.line_no, w.idx ORDER BY b.box_no) AS rn
@@ -187,3 +225,5 @@ near AS (
 SELECT doc_id, line_no, idx AS span_idx, word AS text, box_no, CAST(bw AS DOUBLE) AS box_width
 FROM near WHERE rn = 1""",
 }
+
+SQL["text_span_pages"] = SQL["text_page_plain"]

@@ -47,6 +47,10 @@ def test_page_text_and_spans(spark):
     assert [(r.text, r.x, r.y, r.width) for r in rows] == [
         ("Hello", 62.0, 32.0, 30.0), ("World", 104.0, 32.0, 30.0), ("again", 50.0, 62.0, 30.0)]
     assert L.page_text(spans).collect()[0].page_text == "Hello World\nagain"
+    assert L.page_texts(df).collect()[0].page_text == "Hello World\nagain"
+    raw = L.page_texts(docs(spark, ["a  b\n\nc\n" * 20, ""]), words_only=False)
+    assert [(r.doc_id, r.page_number, r.page_text.count("\n")) for r in raw.collect()] == [
+        (0, 1, 47), (0, 2, 11), (1, 1, 0)]
 
 
 def test_wrap_by_bytes(spark):

@@ -2,6 +2,7 @@ import random
 import statistics
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import usage as U
@@ -52,7 +53,8 @@ def test_quota_equals_one_pass_per_key(spark):
         assert got == walk(rows, window)
 
 
-def test_stream_quota_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("window", [10, 600])
+def test_stream_quota_equals_batch(spark, tmp_path, window):
     rng = random.Random(12)
     rows = sorted(((rng.choice("ab"), 2, float(rng.randrange(0, 9000))) for _ in range(90)),
                   key=lambda r: r[2])
@@ -63,10 +65,10 @@ def test_stream_quota_equals_batch(spark, tmp_path):
         part = df.where((F.col("event_id") >= no * 30) & (F.col("event_id") < (no + 1) * 30))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(REQ).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    quota.meter(stream, str(tmp_path / "out"), str(tmp_path / "log"), window=600).awaitTermination()
+    quota.meter(stream, str(tmp_path / "out"), str(tmp_path / "log"), window=window).awaitTermination()
     got = as_dict(spark.read.parquet(str(tmp_path / "out" / "decisions")))
     assert len({r.batch for r in spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()}) == 3
-    assert got == walk(rows[:90], 600)
+    assert got == walk(rows[:90], window)
 
 
 def test_key_list_and_rules(spark):
