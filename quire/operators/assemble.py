@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
 from quire.plans import skew
+from quire.plans.durable import settled
 
 PAGE_BLOCK = 4096
 SOURCE_BLOCK = 1024
@@ -18,7 +19,7 @@ def merge_sources(sources: DataFrame, pages: DataFrame) -> DataFrame:
     """
     counts = pages.groupBy("doc_id").agg(F.max("page_number").alias("_n"))
     placed = skew.chunked_running(
-        sources.join(counts, "doc_id"), ["build_id"], ["seq"], F.floor(F.col("seq") / SOURCE_BLOCK),
+        settled(sources.join(counts, "doc_id")), ["build_id"], ["seq"], F.floor(F.col("seq") / SOURCE_BLOCK),
         sums={"_upto": F.col("_n")})
     return placed.join(pages, "doc_id").select(
         "build_id", "doc_id",
@@ -38,7 +39,7 @@ def apply_actions(merged: DataFrame, actions: DataFrame) -> DataFrame:
         .groupBy("build_id", target)
         .agg(F.sum(F.coalesce("degrees", F.lit(0))).alias("_turn"))
     )
-    kept = (
+    kept = settled(
         merged.join(turns, ["build_id", "merged_no"], "left")
         .join(deleted, ["build_id", "merged_no"], "left_anti")
     )

@@ -217,8 +217,8 @@ def markup_nodes(pages_df: DataFrame, html: str = "html") -> DataFrame:
         *kept, F.posexplode("_nodes").alias("node_no", "node_text"))
 
 
-# Tolerances between a word and an image box.
-BOX_DX, BOX_DY = 12.0, 25.0
+# Tolerances between a word and an image box; the next word's own.
+BOX_DX, BOX_DY, NEXT_DX = 12.0, 25.0, 8.0
 
 
 def _near_boxes(span_rows: DataFrame, boxes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -245,18 +245,25 @@ def _near_boxes(span_rows: DataFrame, boxes: DataFrame, keys: tuple[str, ...]) -
         & (F.abs(F.col("box_y") - F.col("y")) < BOX_DY))
 
 
+def _with_boxes(span_rows: DataFrame, boxes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Spans with the first box near their corner, and the outermost boxes starting close by."""
+    ident = [*keys, "line_no", "span_idx"]
+    close = F.when(F.abs(F.col("box_x") - F.col("x")) < NEXT_DX, F.col("box_x"))
+    facts = _near_boxes(span_rows, boxes, keys).groupBy(*ident).agg(
+        F.min(F.struct("box_no", "box_x", "box_width")).alias("_box"),
+        F.min(close).alias("near_min"), F.max(close).alias("near_max"))
+    return span_rows.join(facts, ident, "left").select(
+        *span_rows.columns, "_box.box_no", "_box.box_x", "_box.box_width", "near_min", "near_max")
+
+
 def match_boxes(span_rows: DataFrame, boxes: DataFrame,
                 keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
     """Spans with the first image box (by box_no) near their corner, null without one."""
-    ident = [*keys, "line_no", "span_idx"]
-    first = _near_boxes(span_rows, boxes, keys).groupBy(*ident).agg(
-        F.min(F.struct("box_no", "box_x", "box_width")).alias("_box"))
-    return span_rows.join(first, ident, "left").select(
-        *span_rows.columns, F.col("_box.box_no"), F.col("_box.box_x"), F.col("_box.box_width"))
+    return _with_boxes(span_rows, boxes, keys).drop("near_min", "near_max")
 
 
 # Grouping and scaling of words over an image box.
-NEXT_DX, RIGHT_SLACK, OTHER_BOX = 8.0, 15.0, 2.0
+RIGHT_SLACK, OTHER_BOX = 15.0, 2.0
 TRIM_ONE, TRIM_MORE, MAX_WIDTH_SCALE, MAX_FONT_SCALE, MIN_FONT = 0.855, 0.935, 1.25, 1.20, 10.0
 
 
@@ -291,12 +298,10 @@ def fit_to_boxes(span_rows: DataFrame, boxes: DataFrame,
     The matching is a join, the grouping walks the words of one line, and the
     scaling is plain columns.
     """
-    matched = match_boxes(span_rows, boxes, keys)
-    near = match_all_near(span_rows, boxes, keys)
     ident = [*keys, "line_no", "span_idx"]
     types = dict(span_rows.dtypes)
     nan = F.lit(float("nan"))
-    rows = matched.join(near, ident, "left").select(
+    rows = _with_boxes(span_rows, boxes, keys).select(
         *ident, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")],
         F.octet_length("text").alias("n_bytes"), "text",
         *[F.coalesce(F.col(c).cast("double"), nan).alias(c)
@@ -318,12 +323,3 @@ def fit_to_boxes(span_rows: DataFrame, boxes: DataFrame,
         .otherwise(F.col("x")).alias("x"), "y", (F.col("width") * F.col("scale")).alias("width"),
         "height", F.greatest(F.col("height") * F.least("scale", F.lit(MAX_FONT_SCALE)),
                              F.lit(MIN_FONT)).alias("font_size"), "scale")
-
-
-def match_all_near(span_rows: DataFrame, boxes: DataFrame,
-                   keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """Leftmost and rightmost box starting close to a span."""
-    pairs = _near_boxes(span_rows, boxes, keys).where(
-        F.abs(F.col("box_x") - F.col("x")) < NEXT_DX)
-    return pairs.groupBy(*keys, "line_no", "span_idx").agg(
-        F.min("box_x").alias("near_min"), F.max("box_x").alias("near_max"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.plans import skew
+from quire.plans.durable import settled
 from quire.plans.grouped import Arrays, map_sorted_groups
 
 # Quota window and default limits.
@@ -159,7 +160,8 @@ def quota_decisions(requests: DataFrame, order: Sequence[str] = ("ts", "event_id
     requests; times before an open window's start count into that window.
     """
     timed = requests.withColumn("sec", F.floor(F.unix_micros("ts") / 1e6).cast("bigint"))
-    per_sec = (
+    # the compact counts are read twice below, the requests only once more
+    per_sec = settled(
         timed.groupBy("quota_key", "sec").agg(F.count("*").alias("n"))
         .withColumn("_chunk", F.floor(F.col("sec") / (window * CHUNK_WINDOWS)))
     )
@@ -255,7 +257,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[s
     interpolation; index: position floor(n * p).
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = settled(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
     ranked = skew.chunked_running(counted, keys, [value], F.floor(F.col(value) / width),
                                   sums={"_upto": F.col("_n")})
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
@@ -313,7 +316,7 @@ def scenario_statistics(requests: DataFrame, keys: Sequence[str], duration: Colu
 
 def traffic_mix(requests: DataFrame, kind: str) -> DataFrame:
     """Share of every kind of request."""
-    n = requests.groupBy(kind).agg(F.count("*").alias("requests"))
+    n = settled(requests.groupBy(kind).agg(F.count("*").alias("requests")))
     total = n.agg(F.sum("requests").alias("_all"))  # one row
     return n.join(F.broadcast(total)).withColumn(
         "share", F.col("requests") / F.col("_all")).drop("_all")

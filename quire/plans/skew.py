@@ -20,7 +20,9 @@ def chunked_running(
     """Running sums, previous values and last non-null values per key.
 
     The window runs inside (key, chunk); one summary row per chunk carries the
-    totals of the chunks before it. No task sorts a whole key.
+    totals of the chunks before it. No task sorts a whole key. ``chunk`` must not
+    decrease along the order. The rows are read twice (once for the summaries):
+    hand in a scan or a written table, not a long plan.
 
     sums   name -> expression: inclusive running sum
     lags   name -> expression: value of the row before

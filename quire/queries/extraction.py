@@ -33,7 +33,7 @@ def _as_rtf(text):
 
 def rtf_lines(spark, sf):
     parts = E.decode(_files(_docs(spark, sf), "rtf", _as_rtf(F.col("text"))))
-    return E.body_lines(parts).select(
+    return E.part_lines(parts).select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), "line")
 
@@ -101,7 +101,7 @@ def xlsx_rows(spark, sf):
         F.lit("<si><t>"), X.escape_xml(t), F.lit("</t></si>")))
     xml = F.concat(F.lit("<sst>"), F.array_join(cells, ""), F.lit("</sst>"))
     files = _files(d, "xlsx", _zipped("xl/sharedStrings.xml")(xml))
-    return E.xlsx_lines(E.decode(files)).select(
+    return E.part_lines(E.decode(files)).select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), F.md5("line").alias("line_md5"))
 
@@ -112,7 +112,7 @@ def odt_lines(spark, sf):
         F.lit("<text:p>"), X.escape_xml(t), F.lit("</text:p>")))
     xml = F.concat(F.lit("<office:text>"), F.array_join(body, "\n"), F.lit("</office:text>"))
     files = _files(d, "odt", _zipped("content.xml")(xml))
-    return E.archive_lines(E.decode(files)).select(
+    return E.part_lines(E.decode(files)).select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), "line")
 

@@ -12,15 +12,15 @@ import email.policy
 import io
 import re
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
 
-# Bytes read of an archive member, and the members of each format.
-MEMBER_CAP = 30 * 1024 * 1024
+# Largest archive member taken as a table cell; a larger one is rejected, never cut.
+MEMBER_LIMIT = 1 << 30
+# The members read of each format.
 MEMBERS = {
     "docx": ["word/document.xml"],
     "xlsx": ["xl/sharedStrings.xml"],
@@ -109,16 +109,15 @@ def _decode_mail(data: bytes) -> list[dict]:
 
 def _decode_archive(ext: str):
     def decode(data: bytes) -> list[dict]:
-        rows = []
+        bodies = []
         with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = set(z.namelist())
             for name in MEMBERS[ext]:
-                try:
-                    with z.open(name) as f:
-                        xml = f.read(MEMBER_CAP).decode("utf-8", "replace")
-                except KeyError:
-                    continue
-                rows.append({"part": "xml", "name": name, "body": xml})
-        return rows or [{"part": "xml", "name": "", "body": ""}]
+                if name in names:
+                    if z.getinfo(name).file_size > MEMBER_LIMIT:
+                        raise ValueError(f"{name} is too large")
+                    bodies.append(z.read(name).decode("utf-8", "replace"))
+        return [{"part": "xml", "body": "\n".join(bodies)}]
 
     return decode
 
@@ -126,27 +125,34 @@ def _decode_archive(ext: str):
 DECODERS = {"rtf": _decode_rtf, "eml": _decode_mail, "msg": _decode_mail,
             **{ext: _decode_archive(ext) for ext in MEMBERS}}
 
-_FIELDS = ["path", "ext", "part", "name", "body", "subject", "sender", "recipient", "date", "mime",
-           "size", "reason"]
-_SCHEMA = ("path string, ext string, part string, name string, body string, subject string, "
-           "sender string, recipient string, date string, mime string, size bigint, reason string")
+_FIELDS = ("part", "name", "body", "subject", "sender", "recipient", "date", "mime", "size", "reason")
+_PARTS = "array<struct<%s>>" % ",".join(
+    f"{f}:{'bigint' if f == 'size' else 'string'}" for f in _FIELDS)
+
+
+def _parts(ext: Column, content: Column) -> Column:
+    """Decoded parts of a file; only files with a decoder are handed to Python."""
+    @F.pandas_udf(_PARTS)
+    def decoded(exts: pd.Series, contents: pd.Series) -> pd.Series:
+        def one(kind, data):
+            if data is None:
+                return None
+            try:
+                found = DECODERS[kind](bytes(data))
+            except Exception as e:  # a broken file must not end the job
+                found = [{"part": "reject", "reason": f"{type(e).__name__}: {e}"}]
+            return [{f: part.get(f) for f in _FIELDS} for part in found]
+
+        return pd.Series([one(k, d) for k, d in zip(exts, contents)], dtype=object)
+
+    return decoded(ext, F.when(ext.isin(*DECODERS), content))
 
 
 def decode(files: DataFrame) -> DataFrame:
     """Decoded parts of files (path, ext, content); unreadable files become a reject row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"]):
-                base = {"path": path, "ext": ext}
-                try:
-                    rows = [{**base, **r} for r in DECODERS[ext](bytes(content))]
-                except Exception as e:  # a broken file must not end the job
-                    rows = [{**base, "part": "reject", "reason": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=_FIELDS).astype(object).where(
-                    lambda d: d.notna(), None)
-
-    known = files.where(F.col("ext").isin(*DECODERS)).select("path", "ext", "content")
-    return known.mapInPandas(run, _SCHEMA)
+    parts = files.select("path", "ext", _parts(F.col("ext"), F.col("content")).alias("_parts"))
+    return parts.select("path", "ext", F.explode_outer("_parts").alias("_p")).where(
+        "_p is not null").select("path", "ext", "_p.*")
 
 
 # --- from decoded parts to lines, in Spark --------------------------------------
@@ -177,25 +183,20 @@ _PIECES = (r"(<(?:\w+:)?t(?: [^>]*)?>[^<]*</(?:\w+:)?t>|<(?:\w+:)?(?:blip|imaged
 _IMAGE = r"^<(?:\w+:)?(?:blip|imagedata) "
 
 
-def docx_blocks(parts: DataFrame) -> DataFrame:
-    """Paragraphs and image references of DOCX bodies in order.
+def _docx_blocks(xml: Column) -> Column:
+    """Blocks per paragraph: array of struct<blocks, ends_in_text>.
 
     A picture ends the text before it, which then counts as a plain paragraph.
     """
-    xml = parts.where((F.col("ext") == "docx") & (F.col("part") == "xml"))
-    paras = xml.select("path", F.regexp_extract_all("body", F.lit(_PARAGRAPH), 1).alias("_ps")).select(
-        "path", F.posexplode("_ps").alias("para_no", "_p"))
-    pieces = F.regexp_extract_all("_p", F.lit(_PIECES), 1)
     # walk the pieces of one paragraph: text gathers until a picture or the end
     block = "struct<text:string,rel_id:string,cx_pt:double,cy_pt:double>"
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("cx"),
-                     F.lit(None).cast("double").alias("cy"),
+    nothing = F.lit(None).cast("double")
+    start = F.struct(F.lit("").alias("text"), nothing.alias("cx"), nothing.alias("cy"),
                      F.expr(f"cast(array() as array<{block}>)").alias("done"))
 
     def paragraph(text: Column) -> Column:
         return F.struct(text.alias("text"), F.lit(None).cast("string").alias("rel_id"),
-                        F.lit(None).cast("double").alias("cx_pt"),
-                        F.lit(None).cast("double").alias("cy_pt"))
+                        nothing.alias("cx_pt"), nothing.alias("cy_pt"))
 
     def points(piece: Column, attr: str) -> Column:
         return F.regexp_extract(piece, rf'[ :]{attr}="([^"]*)"', 1).try_cast("double") / 12700.0
@@ -205,7 +206,6 @@ def docx_blocks(parts: DataFrame) -> DataFrame:
         return F.when(body != "", F.array_append(acc["done"], paragraph(body))).otherwise(acc["done"])
 
     def step(acc: Column, piece: Column) -> Column:
-        nothing = F.lit(None).cast("double")
         is_image, is_extent = piece.rlike(_IMAGE), piece.rlike(r"^<(?:\w+:)?extent ")
         rel = F.regexp_extract(piece, r'[ :](?:embed|link|id)="([^"]*)"', 1)
         image = F.struct(F.lit(None).cast("string").alias("text"), rel.alias("rel_id"),
@@ -223,9 +223,21 @@ def docx_blocks(parts: DataFrame) -> DataFrame:
                 .alias("text"), acc["cx"].alias("cx"), acc["cy"].alias("cy"),
                 acc["done"].alias("done"))))
 
-    blocks = F.aggregate(pieces, start, step, lambda acc: F.struct(
-        flushed(acc).alias("blocks"), (_trimmed(acc["text"]) != "").alias("ends_in_text")))
-    rows = paras.select("path", "para_no", blocks.alias("_b")).select(
+    def walk(body: Column) -> Column:
+        return F.aggregate(
+            F.regexp_extract_all(body, F.lit(_PIECES), 1), start, step,
+            lambda acc: F.struct(flushed(acc).alias("blocks"),
+                                 (_trimmed(acc["text"]) != "").alias("ends_in_text")))
+
+    return F.transform(F.regexp_extract_all(xml, F.lit(_PARAGRAPH), 1), walk)
+
+
+def docx_blocks(parts: DataFrame) -> DataFrame:
+    """Paragraphs and image references of DOCX bodies in order."""
+    xml = parts.where((F.col("ext") == "docx") & (F.col("part") == "xml"))
+    paras = xml.select("path", _docx_blocks(F.col("body")).alias("_ps")).select(
+        "path", F.posexplode("_ps").alias("para_no", "_b"))
+    rows = paras.select(
         "path", "para_no", (F.size("_b.blocks") - 1).alias("_last"),
         F.col("_b.ends_in_text").alias("_text"), F.posexplode("_b.blocks").alias("block_no", "b"))
     at_end = F.col("_text") & (F.col("block_no") == F.col("_last"))
@@ -237,42 +249,53 @@ def docx_blocks(parts: DataFrame) -> DataFrame:
         F.col("b.cy_pt").alias("cy_pt"))
 
 
-def xlsx_lines(parts: DataFrame) -> DataFrame:
-    """Shared strings of workbooks, five to a line, below a title."""
-    xml = parts.where((F.col("ext") == "xlsx") & (F.col("part") == "xml"))
-    strings = xml.select("path", _nodes(F.col("body"), r"<t(?: [^>]*)?>([^<]*)</t>").alias("s"))
-    rows = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("s") / XLSX_ROW).cast("int") - 1),
-        lambda i: F.array_join(F.slice("s", i * XLSX_ROW + 1, XLSX_ROW), XLSX_JOIN))
-    lines = F.when(F.size("s") > 0, F.concat(F.array(F.lit(XLSX_TITLE), F.lit(XLSX_FOUND)), rows)
-                   ).otherwise(F.array(F.lit(XLSX_TITLE), F.lit(XLSX_EMPTY)))
-    return strings.select("path", lines.alias("_l")).select(
-        "path", F.posexplode("_l").alias("line_no", "line"))
+def _docx_lines(xml: Column) -> Column:
+    texts = F.transform(F.flatten(F.transform(_docx_blocks(xml), lambda p: p["blocks"])),
+                        lambda b: b["text"])
+    return F.array_compact(texts)
+
+
+def _xlsx_lines(xml: Column) -> Column:
+    """Shared strings, five to a line, below a title."""
+    strings = _nodes(xml, r"<t(?: [^>]*)?>([^<]*)</t>")
+
+    def rows(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(s) / XLSX_ROW).cast("int") - 1),
+            lambda i: F.array_join(F.slice(s, i * XLSX_ROW + 1, XLSX_ROW), XLSX_JOIN))
 
+    return X.bind(strings, lambda s: F.when(
+        F.size(s) > 0, F.concat(F.array(F.lit(XLSX_TITLE), F.lit(XLSX_FOUND)), rows(s))
+    ).otherwise(F.array(F.lit(XLSX_TITLE), F.lit(XLSX_EMPTY))))
 
-def archive_lines(parts: DataFrame) -> DataFrame:
-    """Text nodes of OpenDocument and Visio archives below a title."""
-    xml = parts.where(F.col("ext").isin(*TITLES) & (F.col("part") == "xml"))
-    nodes = F.filter(_nodes(F.col("body"), r">([^<]+)<"),
+
+def _archive_lines(ext: Column, xml: Column) -> Column:
+    """Text nodes of an OpenDocument or Visio archive below a title."""
+    nodes = F.filter(_nodes(xml, r">([^<]+)<"),
                      lambda t: (F.octet_length(t) > 1) & ~t.rlike(r"^\p{N}+$"))
-    # at most two members per archive
-    found = xml.select("path", "ext", "name", nodes.alias("n")).groupBy("path", "ext").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(
-            (F.col("name") == "visio/document.xml").alias("later"), "n"))), lambda s: s["n"])).alias("n"))
     titles = F.create_map(*[F.lit(v) for kv in TITLES.items() for v in kv])
-    empty = F.concat(F.lit("Document diagramme ."), F.upper("ext"),
+    empty = F.concat(F.lit("Document diagramme ."), F.upper(ext),
                      F.lit(" prêt pour affichage vectoriel."))
-    body = F.when(F.size("n") > 0, F.col("n")).otherwise(F.array(empty))
-    lines = F.concat(F.array(titles[F.col("ext")]), body)
-    return found.select("path", lines.alias("_l")).select(
-        "path", F.posexplode("_l").alias("line_no", "line"))
+    return X.bind(nodes, lambda n: F.concat(
+        F.array(F.try_element_at(titles, ext)),
+        F.when(F.size(n) > 0, n).otherwise(F.array(empty))))
+
+
+def _part_lines(ext: Column, part: Column, body: Column) -> Column:
+    """Lines of one decoded part; null for parts without text."""
+    xml = part == "xml"
+    return (
+        F.when(part.isin("text", "message"), X.lines(body))
+        .when(xml & (ext == "docx"), _docx_lines(body))
+        .when(xml & (ext == "xlsx"), _xlsx_lines(body))
+        .when(xml & ext.isin(*TITLES), _archive_lines(ext, body)))
 
 
-def body_lines(parts: DataFrame) -> DataFrame:
-    """Lines of RTF texts and mail bodies."""
-    bodies = parts.where(F.col("part").isin("text", "message"))
-    return bodies.select("path", X.lines(F.col("body")).alias("_l")).select(
-        "path", F.posexplode("_l").alias("line_no", "line"))
+def part_lines(parts: DataFrame) -> DataFrame:
+    """Text lines of decoded parts."""
+    lines = _part_lines(F.col("ext"), F.col("part"), F.col("body"))
+    return parts.select("path", lines.alias("_l")).select(
+        "path", F.posexplode_outer("_l").alias("line_no", "line")).where("line_no is not null")
 
 
 def messages(parts: DataFrame) -> DataFrame:
@@ -291,13 +314,16 @@ def rejects(parts: DataFrame) -> DataFrame:
 
 
 def extract_lines(files: DataFrame) -> DataFrame:
-    """Text lines of all files (path, ext, content): decoded formats and plain text."""
-    parts = decode(files)
-    paragraphs = docx_blocks(parts).where(F.col("kind") == "paragraph")
-    docx = paragraphs.select("path", (F.col("para_no") * 1000 + F.col("block_no")).alias("line_no"),
-                             F.col("text").alias("line"))
-    plain = files.where(~F.col("ext").isin(*DECODERS)).select(
-        "path", X.lines(F.col("content").cast("string")).alias("_l")).select(
-        "path", F.posexplode("_l").alias("line_no", "line"))
-    return body_lines(parts).unionByName(xlsx_lines(parts)).unionByName(
-        archive_lines(parts)).unionByName(docx).unionByName(plain)
+    """Text lines of all files (path, ext, content): decoded formats and plain text.
+
+    One pass: plain text stays in the JVM, the rest is decoded once.
+    """
+    known = F.col("ext").isin(*DECODERS)
+    rows = files.select(
+        "path", "ext", F.when(~known, F.col("content").cast("string")).alias("_plain"),
+        _parts(F.col("ext"), F.col("content")).alias("_parts"))
+    parts = rows.select("path", "ext", "_plain", F.explode_outer("_parts").alias("_p"))
+    lines = F.when(F.col("_plain").isNotNull(), X.lines(F.col("_plain"))).otherwise(
+        _part_lines(F.col("ext"), F.col("_p.part"), F.col("_p.body")))
+    return parts.select("path", lines.alias("_l")).select(
+        "path", F.posexplode_outer("_l").alias("line_no", "line")).where("line_no is not null")

@@ -122,7 +122,7 @@ def test_rtf(spark):
            rb"Hello {\b World}!\par caf\'e9\tab end\~x \{ok\}}")
     got = E.rtf_text(raw)
     assert got == "Hello World!\ncafé\tend x {ok}"
-    assert lines(E.body_lines(E.decode(files(spark, ("a", "rtf", raw))))) == ["Hello World!", "café\tend x {ok}"]
+    assert lines(E.part_lines(E.decode(files(spark, ("a", "rtf", raw))))) == ["Hello World!", "café\tend x {ok}"]
 
 
 def test_mail(spark):
@@ -154,10 +154,10 @@ def test_archives(spark):
     sst = zipped(xl__sharedStrings_xml="<sst>" + "".join(f"<si><t>c{i}</t></si>" for i in range(7)) + "</sst>")
     empty = zipped(other_xml="<a/>")
     parts = E.decode(files(spark, ("a", "odg", odg), ("b", "odt", empty)))
-    assert lines(E.archive_lines(parts)) == [E.TITLES["odg"], "Un texte", "Deux", E.TITLES["odt"],
+    assert lines(E.part_lines(parts)) == [E.TITLES["odg"], "Un texte", "Deux", E.TITLES["odt"],
                                              "Document diagramme .ODT prêt pour affichage vectoriel."]
     book = E.decode(files(spark, ("x", "xlsx", sst), ("y", "xlsx", empty)))
-    assert lines(E.xlsx_lines(book)) == [E.XLSX_TITLE, E.XLSX_FOUND, "c0  |  c1  |  c2  |  c3  |  c4",
+    assert lines(E.part_lines(book)) == [E.XLSX_TITLE, E.XLSX_FOUND, "c0  |  c1  |  c2  |  c3  |  c4",
                                          "c5  |  c6", E.XLSX_TITLE, E.XLSX_EMPTY]
     everything = E.extract_lines(files(spark, ("a", "odg", odg), ("t", "txt", b"l1\nl2")))
     assert everything.count() == 5
