@@ -18,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="quire-"))
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="quire-")
+    return _LOCAL[app]
 
 
 def settled(df: DataFrame) -> DataFrame:
