@@ -25,25 +25,28 @@ def inherit(objects: DataFrame, cols: tuple[str, ...] = ("t", "v")) -> DataFrame
     Pointers are doubled: after r rounds every object has looked at 2^r
     ancestors, so a chain costs the logarithm of its length in joins. Only
     objects still without a value take part in a round, and every round's
-    state is written out, so the plan does not grow.
+    result is written out, so the plan does not grow.
     """
     attrs = F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).alias("val")) for c in cols])
     keys = ["doc_id", "attr", "obj_id"]
     state = settled(objects.select("doc_id", "obj_id", "parent_id", F.inline(attrs)).select(
         *keys, "val", F.when(F.col("val").isNull(), F.col("parent_id")).alias("next")))
+    is_open = F.col("next").isNotNull()
+    known, pending = state.where(~is_open), state.where(is_open)
     for _ in range(ROUNDS):
-        pending = state.where(F.col("next").isNotNull())
         if pending.isEmpty():
             break
-        up = state.select("doc_id", "attr", F.col("obj_id").alias("next"),
-                          F.col("val").alias("up_val"), F.col("next").alias("up_next"))
+        up = known.unionByName(pending).select(
+            "doc_id", "attr", F.col("obj_id").alias("next"), F.col("val").alias("up_val"),
+            F.col("next").alias("up_next"))
         further = F.col("up_val").isNull() & (F.col("up_next") != F.col("obj_id"))
-        moved = pending.join(up, ["doc_id", "attr", "next"], "left").select(
-            *keys, F.col("up_val").alias("val"), F.when(further, F.col("up_next")).alias("next"))
-        state = settled(state.where(F.col("next").isNull()).unionByName(moved))
-    values = state.groupBy("doc_id", "obj_id").agg(
+        # a pointer to a missing object finds nothing and drops out
+        moved = settled(pending.join(up, ["doc_id", "attr", "next"]).select(
+            *keys, F.col("up_val").alias("val"), F.when(further, F.col("up_next")).alias("next")))
+        known, pending = known.unionByName(moved.where(~is_open)), moved.where(is_open)
+    values = known.groupBy("doc_id", "obj_id").agg(
         *[F.max(F.when(F.col("attr") == c, F.col("val"))).alias(f"inherited_{c}") for c in cols])
-    return objects.join(values, ["doc_id", "obj_id"])
+    return objects.join(values, ["doc_id", "obj_id"], "left")
 
 
 def _rounded(c: Column) -> Column:
