@@ -39,9 +39,19 @@ def catalog(files: DataFrame, key: str, content: str = "content") -> DataFrame:
         F.max_by("clean_name", order).alias("filename"),
         F.count("*").alias("copies"),
         F.min(F.octet_length(content)).cast("bigint").alias("n_bytes"),
+        F.min(order).alias("first_seen"), F.max(order).alias("last_seen"),
     )
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """One catalog of the catalogs of several arrivals."""
+    return parts.groupBy("content_id", "ext").agg(
+        F.min_by("stored_key", "first_seen").alias("stored_key"),
+        F.max_by("filename", "last_seen").alias("filename"), F.sum("copies").alias("copies"),
+        F.min("n_bytes").alias("n_bytes"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"))
+
+
 def route(files: DataFrame) -> DataFrame:
     """Family, media flags and MIME types by extension; unknown ones are text."""
     dim = N.format_dimension(files.sparkSession)  # some sixty fixed rows

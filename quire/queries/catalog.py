@@ -33,7 +33,15 @@ def catalog_ids(spark, sf):
 
 
 def catalog_dedup(spark, sf):
-    return C.catalog(_files(spark, sf), "doc_id")
+    return C.catalog(_files(spark, sf), "doc_id").drop("first_seen", "last_seen")
+
+
+def catalog_merged(spark, sf):
+    """Catalogs of every source's files, merged into one."""
+    files = _files(spark, sf)
+    parts = [C.catalog(files.where(F.col("filename").startswith("src1")), "doc_id"),
+             C.catalog(files.where(~F.col("filename").startswith("src1")), "doc_id")]
+    return C.merged(parts[0].unionByName(parts[1])).drop("first_seen", "last_seen")
 
 
 def catalog_formats(spark, sf):
@@ -212,7 +220,7 @@ def document_versions(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    catalog_ids, catalog_dedup, catalog_formats, catalog_lookup, catalog_expired,
+    catalog_ids, catalog_dedup, catalog_merged, catalog_formats, catalog_lookup, catalog_expired,
     catalog_survivors, catalog_cascade, page_geometry, document_rollup, url_filenames, url_safety,
     path_checks, download_permissions, request_caps, corpus_profile, corpus_files,
     connector_mappings, catalog_sidecars, document_versions)}
@@ -353,3 +361,5 @@ SELECT DISTINCT content_id AS doc_id, clean_name AS filename, ext FROM ided""",
 SELECT o_custkey AS doc_id, o_orderkey AS latest FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
 }
+
+SQL["catalog_merged"] = SQL["catalog_dedup"]
