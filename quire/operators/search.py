@@ -57,10 +57,11 @@ def search_many(spans: DataFrame, queries: DataFrame, gram: int = 3) -> DataFram
     # a query with a gram that no word has cannot match and may drop out here
     rarest = pieces(wanted, "needle").join(frequency, ["_n", "_gram"]).groupBy(
         "query_id", "needle", "_n").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram"))
-    pairs = (
+    # written out, so that the size of the pairs is known when the spans are joined
+    # and the spans stay in place if it is small
+    pairs = settled(
         word_grams.join(rarest, ["_n", "_gram"])
-        .where(F.contains("word", F.col("needle"))).select("word", "query_id")
-    )
+        .where(F.contains("word", F.col("needle"))).select("word", "query_id"))
     return spans.withColumn("word", F.lower("text")).join(pairs, "word").drop("word")
 
 
