@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact, packing, simhash
+from quire.llm import exact, packing, quality, simhash, toxicity
 from quire.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_quality(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,9 +32,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_simhash, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_line_quality, op7_exact_dedup, op9_simhash, op10_packing, pipeline)}
 
 SQL = {
+    "op4_line_quality": quality.SQL,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
