@@ -154,7 +154,9 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     A column n_chars becomes the length of the text that is left.
     """
     name = _free(docs.columns, "line_verdict")
-    found = judged(docs, name).filter(F.col(name)["kept"])
+    # an explode, since a filter would be moved below the arrays and evaluate them again
+    kept = F.filter(F.array(F.col(name)), lambda v: v["kept"])
+    found = judged(docs, name).select(*docs.columns, F.explode(kept).alias(name))
     clean = F.col(name)["clean_text"]
     now = {"text": F.when(F.col("text").isNotNull(), clean)}
     if "n_chars" in docs.columns:
