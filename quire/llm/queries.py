@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact, packing, quality, simhash, toxicity
+from quire.llm import exact, lm, packing, quality, simhash, toxicity, warc
 from quire.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -21,6 +25,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("target_uri", "payload")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,9 +44,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_line_quality, op7_exact_dedup, op9_simhash, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_lm_scores, op4_line_quality, op7_exact_dedup, op8_warc, op9_simhash,
+                                   op10_packing, pipeline)}
 
 SQL = {
+    "op8_warc": warc.SQL,
     "op4_line_quality": quality.SQL,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
