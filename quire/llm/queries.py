@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import exact, lm, packing, quality, simhash, toxicity, warc
+from quire.llm import exact, licences, lines, lm, packing, pieces, quality, simhash, toxicity, warc
 from quire.llm.common import table
 
 
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,6 +28,16 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_runs(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed",
+                        F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_notices(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,10 +61,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_lm_scores, op4_line_quality, op7_exact_dedup, op8_warc, op9_simhash,
+QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_toxicity, op3_lm_scores, op4_line_quality, op5_line_runs,
+                                   op6_licences, op7_exact_dedup, op8_warc, op9_simhash,
                                    op10_packing, pipeline)}
 
 SQL = {
+    "op5_line_runs": lines.SQL,
     "op8_warc": warc.SQL,
     "op4_line_quality": quality.SQL,
     "op7_exact_dedup": """
