@@ -64,9 +64,8 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced without "
                     "the prior written permission of the copyright holder."),
 )
-#: words of context on both sides of a cue; share of a template's words that may differ, but for
-#: those with a digit
-AROUND, MAX_DIFFERENT = 12, 0.1
+#: share of a template's words that may differ, but for those with a digit
+MAX_DIFFERENT = 0.1
 LEVEL = 9
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -132,8 +131,8 @@ class Scanner:
         words = [m.span() for m in _WORD.finditer(text)]
         starts = np.array([a for a, _ in words])
         at = np.searchsorted(starts, cues, "right") - 1
-        low_edge = np.maximum(at - AROUND, 0)
-        high_edge = np.minimum(at + self.reach + AROUND, len(words))
+        low_edge = np.maximum(at - self.reach, 0)
+        high_edge = np.minimum(at + self.reach + 1, len(words))
         begin, end = int(low_edge[0]), int(high_edge[0])
         for a, b in zip(low_edge[1:].tolist(), high_edge[1:].tolist()):
             if a > end:
@@ -144,11 +143,15 @@ class Scanner:
 
     def notices(self, text: str) -> Iterator[dict]:
         """Confirmed notices of a text in the order of their blocks."""
+        seen: set[tuple[int, int]] = set()
         for block in self.blocks(text):
-            # a block of many notices is ranked window by window
-            width = 2 * (self.reach + AROUND)
-            for a in range(0, len(block), width):
-                yield from self._within(text, block[a:a + width + self.reach])
+            # a block of many notices is ranked window by window; windows overlap
+            step = 3 * self.reach
+            for a in range(0, max(1, len(block) - self.reach), step):
+                for n in self._within(text, block[a:a + step + self.reach]):
+                    if (n["begin"], n["end"]) not in seen:
+                        seen.add((n["begin"], n["end"]))
+                        yield n
 
     def _within(self, text: str, spans: list[tuple[int, int]]) -> Iterator[dict]:
         rest = [spans]
@@ -199,11 +202,7 @@ def licence_notices(docs: DataFrame) -> DataFrame:
             keys, rows = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 whole = text.as_py().decode(errors="replace")
-                seen = set()
                 for n in scanner.notices(whole):
-                    if (n["begin"], n["end"]) in seen:  # windows of a block overlap
-                        continue
-                    seen.add((n["begin"], n["end"]))
                     keys.append(key)
                     rows.append(n | {"wording": whole[n["begin"]:n["end"]]})
             cols = [pa.array(keys, pa.int64())]
