@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from quire.functions import text as X
 
 # Extension families.
 FAMILIES = {
@@ -133,69 +135,103 @@ def url_host(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def is_restricted_ipv4(host: Column) -> Column:
-    """Whether a dotted IPv4 literal is private, local, reserved or multicast."""
-    part = [F.split(host, r"\.")[i].cast("int") for i in range(4)]
-    a, b = part[0], part[1]
+def _number(part: Column) -> Column:
+    """Value of a decimal, octal (leading 0) or hexadecimal (0x) number; null if it is none."""
+    base = lambda digits, n: F.conv(digits, n, 10).try_cast("bigint")
     return (
-        a.isin(0, 10, 127)
-        | ((a == 169) & (b == 254))
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | (a >= 224)
-    )
+        F.when(part.rlike("^0x[0-9a-f]{0,12}$"), F.coalesce(base(F.substring(part, 3, 12), 16),
+                                                           F.lit(0)))
+        .when(part.rlike("^0[0-7]{1,15}$"), base(part, 8))
+        .when(part.rlike("^(0|[1-9][0-9]{0,11})$"), part.try_cast("bigint")))
+
+
+def ipv4_value(host: Column) -> Column:
+    """Number of an IPv4 address in any spelling a URL may use; null if it is none.
+
+    One to four parts, each decimal, octal or hexadecimal; the last one fills
+    the remaining bytes.
+    """
+    def value(parts: Column) -> Column:
+        n, last = F.size(parts), F.element_at(parts, -1)
+        head = F.slice(parts, 1, F.size(parts) - 1)
+        room = F.element_at(F.array(*[F.lit(256 ** k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+        fits = ((n <= 4) & (last < room)
+                & F.forall(head, lambda p: F.coalesce(p < 256, F.lit(False))))
+        lead = F.aggregate(head, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
+        return F.when(fits, lead * room + last)
+
+    labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.", -1)
+    return X.bind(F.transform(labels, _number), value)
 
 
-_IPV4 = r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
+def is_restricted_ipv4(value: Column) -> Column:
+    """Whether an IPv4 number is private, local, reserved or multicast."""
+    def restricted(v: Column) -> Column:
+        a, b = F.floor(v / 2 ** 24), F.floor(v / 2 ** 16) % 256
+        return (a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
+                | ((a == 192) & (b == 168)) | (a >= 224))
 
+    return X.bind(value, restricted)
 
-@F.pandas_udf(T.BooleanType())
-def _is_restricted_ipv6(hosts):
-    """IPv6 literals only: loopback, unspecified, multicast, ULA, link-local, mapped IPv4."""
-    import ipaddress
 
-    import pandas as pd
+def ipv6_groups(host: Column) -> Column:
+    """Eight 16-bit numbers of a bracketed IPv6 literal; null if it is none."""
+    inner = F.regexp_extract(host, r"^\[([0-9a-f:.]+)\]$", 1)
+    dotted = r"(?:^|:)([0-9]{1,3}(?:\.[0-9]{1,3}){3})$"
 
-    def restricted4(packed: bytes) -> bool:
-        a, b = packed[0], packed[1]
-        return (a in (0, 10, 127) or a >= 224 or (a, b) in ((169, 254), (192, 168))
-                or (a == 172 and 16 <= b <= 31))
+    def with_hex_tail(text: Column) -> Column:
+        four = ipv4_value(F.regexp_extract(text, dotted, 1))
+        return F.when(~text.rlike(dotted), text).otherwise(X.bind(four, lambda v: F.concat(
+            F.regexp_replace(text, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(v / 65536))),
+            F.lit(":"), F.lower(F.hex(v % 65536)))))
 
-    def restricted(host):
-        if host is None:
-            return None
-        try:
-            raw = ipaddress.IPv6Address(host.strip("[]")).packed
-        except ValueError:
-            return True
-        if raw[:10] == bytes(10) and raw[10:12] in (b"\0\0", b"\xff\xff"):
-            return restricted4(raw[12:])
-        return (raw[0] == 0xFF or raw[0] & 0xFE == 0xFC
-                or (raw[0] == 0xFE and raw[1] & 0xC0 == 0x80))
+    def groups_of(text: Column) -> Column:
+        return F.filter(F.split(text, ":", -1), lambda g: g != "")
 
-    return pd.Series([restricted(h) for h in hosts], dtype="object")
+    def whole(halves: Column) -> Column:
+        def filled(pair: Column) -> Column:
+            zeros = 8 - F.size(pair[0]) - F.size(pair[1])
+            return F.when(zeros >= 1, F.concat(
+                pair[0], F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), pair[1]))
 
+        return F.when(F.size(halves) == 1, groups_of(halves[0])).when(
+            F.size(halves) == 2, X.bind(F.transform(halves, groups_of), filled))
 
-def url_is_safe(url: Column, ipv6: bool = False) -> Column:
+    # a single colon stands only between two groups
+    good = (lambda g: (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")))
+    return X.bind(with_hex_tail(inner), lambda t: F.when(
+        ~t.rlike("^:(?!:)|(?<!:):$|:::"), X.bind(X.bind(F.split(t, "::", -1), whole), lambda g: F.when(
+            good(g), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))))
+
+
+def is_restricted_ipv6(groups: Column) -> Column:
+    """Loopback, unspecified, multicast, unique local, link-local and embedded IPv4."""
+    def restricted(g: Column) -> Column:
+        embedded = F.forall(F.slice(g, 1, 5), lambda x: x == 0) & g[5].isin(0, 0xFFFF)
+        return F.when(embedded, is_restricted_ipv4(g[6].cast("bigint") * 65536 + g[7])).otherwise(
+            (F.floor(g[0] / 256) == 0xFF) | (F.floor(g[0] / 512) == 0xFC >> 1)
+            | (F.floor(g[0] / 64) == 0xFE80 >> 6))
+
+    return X.bind(groups, restricted)
+
+
+def url_is_safe(url: Column) -> Column:
     """Scheme http(s), a host, no local name, no restricted literal address.
 
-    With ipv6=True bracketed literals are checked too (a small Arrow UDF);
-    otherwise they count as unsafe. Host names are not resolved.
+    A host whose last label is a number is an IPv4 address, in whatever
+    spelling, or no host at all. Names are not resolved.
     """
-    host = url_host(url)
-    local = (host == "localhost") | host.rlike(r"\.(localhost|local|internal)$")
-    bracketed = host.startswith("[")
-    if ipv6:
-        bad6 = _is_restricted_ipv6(F.when(bracketed, host))
-    else:
-        bad6 = F.lit(True)
-    return F.coalesce(
-        F.when(local, False)
-        .when(bracketed, ~bad6)
-        .when(host.rlike(_IPV4), ~is_restricted_ipv4(host))
-        .when(host.isNotNull(), True),
-        F.lit(False),
-    )
+    def safe(host: Column) -> Column:
+        local = host.rlike(r"(^|\.)localhost\.?$|\.(local|internal)\.?$")
+        numeric = host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+        return F.coalesce(
+            F.when(local, False)
+            .when(host.startswith("["), ~is_restricted_ipv6(ipv6_groups(host)))
+            .when(numeric, ~is_restricted_ipv4(ipv4_value(host)))
+            .when(host.isNotNull(), True),
+            F.lit(False))
+
+    return X.bind(url_host(url), safe)
 
 
 def is_traversal(path: Column) -> Column:

@@ -142,13 +142,43 @@ def is_heading(line: Column) -> Column:
     )
 
 
+# an ampersand that begins no known reference
+_BAD_REFERENCE = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
+
+
+def unescape_xml(text: Column) -> Column:
+    """Text with its references resolved; null if one is unknown or not closed."""
+    def point(digits: Column, base: int) -> Column:
+        # the code point as four bytes; there is no character function beyond 255
+        number = F.lpad(F.conv(digits, base, 16), 8, "0")
+        return F.decode(F.unhex(number), "UTF-32")
+
+    def resolved(piece: Column) -> Column:
+        return (F.when(piece.startswith("&#x"), point(F.regexp_extract(piece, "([0-9A-Fa-f]+);", 1), 16))
+                .when(piece.startswith("&#"), point(F.regexp_extract(piece, "([0-9]+);", 1), 10))
+                .otherwise(piece))
+
+    pieces = F.regexp_extract_all(text, F.lit("(&[^;&]*;|[^&]+)"), 1)
+    whole = F.when(text.contains("&#"), F.array_join(F.transform(pieces, resolved), "")).otherwise(text)
+    # XML entities; the ampersand goes last.
+    for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+                        ("&amp;", "&")):
+        whole = F.replace(whole, F.lit(entity), F.lit(raw))
+    return F.when(~text.contains("&"), text).when(~text.rlike(_BAD_REFERENCE), whole)
+
+
+def text_nodes(markup: Column, pattern: str) -> Column:
+    """Trimmed, unescaped matches of a text-node pattern; empty and malformed ones left out."""
+    edges = rf"^[{WS}]+|[{WS}]+$"
+    found = F.transform(F.regexp_extract_all(markup, F.lit(pattern), 1), lambda t: F.regexp_replace(
+        unescape_xml(F.regexp_replace(t, edges, "")), edges, ""))
+    return F.filter(found, lambda t: t.isNotNull() & (t != ""))
+
+
 def markup_text_nodes(html: Column) -> Column:
     """Trimmed text between tags, longer than one byte and not all numeric."""
-    nodes = F.transform(
-        F.regexp_extract_all(html, F.lit(r">([^<]+)<"), 1),
-        lambda t: F.regexp_replace(t, rf"^[{WS}]+|[{WS}]+$", ""),
-    )
-    return F.filter(nodes, lambda t: (F.octet_length(t) > 1) & ~t.rlike(r"^\p{N}+$"))
+    return F.filter(text_nodes(html, r">([^<]+)<"),
+                    lambda t: (F.octet_length(t) > 1) & ~t.rlike(r"^\p{N}+$"))
 
 
 def diff_tokens(text: Column) -> Column:

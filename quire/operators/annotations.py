@@ -58,22 +58,15 @@ def xfdf_element(row_type: Column) -> Column:
     )
 
 
-# Annotations per XFDF text, the cap of one save request.
-TEXT_CAP = 10_000
-
-
 def to_xfdf(annotations: DataFrame) -> DataFrame:
-    """XFDF texts per document (doc_id, part_no, xfdf), elements in the order of ``seq``.
+    """One XFDF text per document (doc_id, xfdf), elements in the order of ``seq``.
 
-    seq numbers the annotations of a document. A document beyond the cap gets
-    further texts, each complete in itself, so no text grows without bound.
+    The group of a document is its text, which is one value of the result.
     """
-    rows = annotations.select(
-        "doc_id", F.floor(F.col("seq") / TEXT_CAP).alias("part_no"), "seq",
-        xfdf_element(F.col("annotation_type")).alias("e"))
+    rows = annotations.select("doc_id", "seq", xfdf_element(F.col("annotation_type")).alias("e"))
     ordered = F.array_sort(F.collect_list(F.struct("seq", "e")))
     body = F.array_join(F.transform(ordered, lambda s: s["e"]), "")
-    return rows.groupBy("doc_id", "part_no").agg(
+    return rows.groupBy("doc_id").agg(
         F.concat(F.lit(XFDF_HEAD), body, F.lit(XFDF_TAIL)).alias("xfdf"))
 
 

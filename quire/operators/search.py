@@ -34,35 +34,54 @@ def search_text(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
 def search_many(spans: DataFrame, queries: DataFrame, gram: int = 3) -> DataFrame:
     """Match many queries (query_id, query) against spans at once.
 
-    Substring search becomes equi joins. Spans are reduced to their distinct
-    words, and a query is compared only with the words that hold its rarest
-    n-gram, so a common piece does not pair every word with every query.
-    Queries shorter than n use pieces of their own length.
+    Spans are reduced to their distinct texts, which are matched; the spans with
+    their coordinates join the result. A phrase matches spans that hold it.
+    """
+    texts = settled(spans.select(F.lower("text").alias("word")).distinct())
+    # written out, so that the size of the pairs is known when the spans are joined
+    # and the spans stay in place if it is small
+    pairs = settled(matched_texts(texts, queries, gram))
+    return spans.withColumn("word", F.lower("text")).join(pairs, "word").drop("word")
+
+
+def count_many(spans: DataFrame, queries: DataFrame, by: list[str], gram: int = 3) -> DataFrame:
+    """Number of spans by query and the columns ``by``, without joining single spans."""
+    texts = settled(spans.groupBy(*by, F.lower("text").alias("word")).agg(F.count("*").alias("_n")))
+    pairs = matched_texts(texts.select("word").distinct(), queries, gram)
+    return texts.join(pairs, "word").groupBy("query_id", *by).agg(F.sum("_n").alias("total_matches"))
+
+
+def matched_texts(texts: DataFrame, queries: DataFrame, gram: int = 3) -> DataFrame:
+    """Pairs (word, query_id) of the distinct texts that hold a query.
+
+    Substring search becomes equi joins: a query is compared only with the texts
+    that hold its rarest n-gram, so a common piece does not pair every text with
+    every query. Queries shorter than n use pieces of their own length.
     """
     wanted = (
         queries.select("query_id", clean_query(F.col("query")).alias("needle"))
-        .where((F.col("needle") != "") & ~F.col("needle").rlike(rf"[{X.WS}]"))
-        .withColumn("_n", F.least(F.length("needle"), F.lit(gram)))
+        .where(F.col("needle") != "").withColumn("_n", F.least(F.length("needle"), F.lit(gram)))
     )
 
     def pieces(df: DataFrame, col: str) -> DataFrame:
-        grams = F.expr(f"array_distinct(transform(sequence(1, greatest(length({col}) - _n + 1, 1)), "
-                       f"i -> substring({col}, i, _n)))")
-        return df.withColumn("_grams", grams).select(*df.columns, F.explode("_grams").alias("_gram"))
+        # a look-ahead at every place: one pass over the text, however long it is
+        found = F.lit(None).cast("array<string>")
+        for n in range(1, gram + 1):
+            at_all = F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+            found = F.when(F.col("_n") == n, at_all).otherwise(found)
+        return df.withColumn("_grams", F.array_distinct(found)).select(
+            *df.columns, F.explode("_grams").alias("_gram"))
 
-    words = settled(spans.select(F.lower("text").alias("word")).distinct())
     sizes = wanted.select("_n").distinct()  # at most `gram` rows
-    word_grams = pieces(words.join(F.broadcast(sizes)), "word")
+    lengths = F.explode(F.array(*[F.lit(n) for n in range(1, gram + 1)]))
+    word_grams = pieces(texts.select("word", lengths.alias("_n")).join(
+        F.broadcast(sizes), "_n", "left_semi"), "word")
     frequency = word_grams.groupBy("_n", "_gram").agg(F.count("*").alias("_words"))
     # a query with a gram that no word has cannot match and may drop out here
     rarest = pieces(wanted, "needle").join(frequency, ["_n", "_gram"]).groupBy(
         "query_id", "needle", "_n").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram"))
-    # written out, so that the size of the pairs is known when the spans are joined
-    # and the spans stay in place if it is small
-    pairs = settled(
-        word_grams.join(rarest, ["_n", "_gram"])
-        .where(F.contains("word", F.col("needle"))).select("word", "query_id"))
-    return spans.withColumn("word", F.lower("text")).join(pairs, "word").drop("word")
+    return word_grams.join(rarest, ["_n", "_gram"]).where(
+        F.contains("word", F.col("needle"))).select("word", "query_id")
 
 
 def counts(matches: DataFrame, by: list[str]) -> DataFrame:

@@ -209,7 +209,11 @@ def quota_state(decisions: DataFrame, state: DataFrame | None = None) -> DataFra
     """Open window and its use per key after some decisions."""
     now = decisions.select("quota_key", F.col("window_start").alias("open_start"),
                            F.col("used").alias("open_used"))
-    rows = now if state is None else now.unionByName(state)
+    return last_windows(now if state is None else now.unionByName(state))
+
+
+def last_windows(rows: DataFrame) -> DataFrame:
+    """The latest window of every key and its largest use."""
     return rows.groupBy("quota_key").agg(F.max(F.struct("open_start", "open_used")).alias("_s")) \
         .select("quota_key", "_s.open_start", "_s.open_used")
 

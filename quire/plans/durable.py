@@ -23,12 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, store = _hadoop(spark, path)
+    store.delete(where, True)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where, store = _hadoop(spark, path)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write the rows once and read them back: later uses do not recompute them.
 
     Unlike a cache the table survives the loss of executors, and unlike
-    checkpoint() the rows are computed a single time.
+    checkpoint() the rows are computed a single time. The table goes when the
+    application ends, since results that read it may be computed until then.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = f"{fresh_folder(df.sparkSession, 'settled')}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

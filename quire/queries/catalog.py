@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N, text as X
 from quire.operators import catalog as C, textlayer
+from quire.plans.durable import fresh_folder
 from quire.sources import corpus
 from quire.sources.tables import spread, table
 
@@ -130,6 +131,29 @@ def url_filenames(spark, sf):
                                .otherwise(F.lit("inline"))).alias("from_header"))
 
 
+def _spelled(k):
+    """An address as one number, in hexadecimal, octal and with fewer parts."""
+    v = k * 16777259 % 4294967296
+    byte = [F.floor(v / 256 ** i) % 256 for i in (3, 2, 1, 0)]
+    octal = F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(b.cast("string"), 10, 8)) for b in byte])
+    forms = [v.cast("string"), F.concat(F.lit("0x"), F.lower(F.hex(v))), octal,
+             F.concat_ws(".", byte[0], v % 16777216),
+             F.concat_ws(".", byte[0], F.concat(F.lit("0X"), F.hex(byte[1])), v % 65536)]
+    return F.concat(F.lit("http://"), F.element_at(F.array(*forms), (k % 5 + 1).cast("int")),
+                    F.lit("/x"))
+
+
+def _ipv6(k):
+    tail = F.lower(F.hex(k % 65536))
+    four = F.concat_ws(".", k * 7 % 256, k * 13 % 256, k % 251, F.lit(9))
+    forms = [F.concat(F.lit("::ffff:"), four), F.concat(F.lit("fd00::"), tail),
+             F.concat(F.lit("2001:DB8::"), tail, F.lit(":1")), F.concat(F.lit("fe80::1:"), tail),
+             F.lit("::1"), F.concat(F.lit("ff02:0:0:0:0:0:0:"), tail), F.concat(F.lit("::"), four),
+             F.concat(F.lit("2a00:1:2:3:4:5:6:"), tail), F.concat(F.lit("1::2::"), tail)]
+    return F.concat(F.lit("https://["), F.element_at(F.array(*forms), (k % 9 + 1).cast("int")),
+                    F.lit("]:443/"))
+
+
 def url_safety(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     k = F.col("page_id")
@@ -141,7 +165,9 @@ def url_safety(spark, sf):
     return p.select("page_id", N.url_host(F.col("url")).alias("host"),
                     N.url_is_safe(F.col("url")).alias("url_ok"),
                     N.url_is_safe(literal).alias("literal_ok"),
-                    N.url_is_safe(local).alias("local_ok"))
+                    N.url_is_safe(local).alias("local_ok"),
+                    N.url_is_safe(_spelled(k)).alias("spelled_ok"),
+                    N.url_is_safe(_ipv6(k)).alias("ipv6_ok"))
 
 
 def path_checks(spark, sf):
@@ -186,10 +212,32 @@ def corpus_profile(spark, sf):
 
 
 def corpus_files(spark, sf):
-    """The table files themselves as a corpus; files above the limit are not read."""
-    kept, _ = corpus.split_by_size(corpus.read_files(spark, sf))
-    return kept.select("filename", "ext", "mime_type", "length",
-                       F.sha2("content", 256).alias("sha256"))
+    """The table files themselves as a corpus; those above the limit come with a reason."""
+    files = corpus.checked(corpus.read_files(spark, sf))
+    return files.select("filename", "ext", "mime_type", "length",
+                        F.sha2("content", 256).alias("sha256"), "reason")
+
+
+def sidecar_notes(spark, sf):
+    """Documents of a store joined with their annotation sidecars, every third has one."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    name = F.concat(F.lit("/store/"), "lang", F.lit("/"), "doc_id", F.lit(".pdf"))
+    files = d.select(name.alias("path"), F.encode("text", "utf-8").alias("content")).unionAll(
+        d.where("doc_id % 3 = 0").select(
+            corpus.sidecar_path(name), F.encode(F.concat(F.lit("<xfdf>"), "lang"), "utf-8")))
+    return corpus.attach_sidecars(files)
+
+
+def annotation_save(spark, sf):
+    """All documents saved, a third saved again, some of them without annotations."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "event_id")
+    path = fresh_folder(spark, "annotations")
+    corpus.save_annotations(e, e.withColumn("version", F.lit(1)), path, 1)
+    again = e.where("doc_id % 3 = 0")
+    corpus.save_annotations(
+        again, again.where("doc_id % 2 = 0 and event_id % 2 = 0").withColumn("version", F.lit(2)),
+        path, 2)
+    return corpus.read_annotations(spark, path)
 
 
 def connector_mappings(spark, sf):
@@ -222,7 +270,8 @@ def document_versions(spark, sf):
 QUERIES = {f.__name__: f for f in (
     catalog_ids, catalog_dedup, catalog_merged, catalog_formats, catalog_lookup, catalog_expired,
     catalog_survivors, catalog_cascade, page_geometry, document_rollup, url_filenames, url_safety,
-    path_checks, download_permissions, request_caps, corpus_profile, corpus_files,
+    path_checks, download_permissions, request_caps, corpus_profile, corpus_files, sidecar_notes,
+    annotation_save,
     connector_mappings, catalog_sidecars, document_versions)}
 
 FILES = rf"""
@@ -254,9 +303,10 @@ stored AS (
          o_orderdate + to_days(CAST(n AS INT)) AS mtime
   FROM orders, (SELECT unnest(range(6)) AS n)),
 old AS (SELECT *, floor(epoch(TIMESTAMP '%s' - mtime)) > %d AS is_old FROM stored),
+dead AS (SELECT DISTINCT id FROM old WHERE n = 1 AND is_old),
 gone AS (
-  SELECT * FROM old WHERE id IN (SELECT id FROM old WHERE n = 1 AND is_old)
-     OR (is_old AND n IN (4, 5)))
+  SELECT old.* FROM old LEFT JOIN dead ON dead.id = old.id
+  WHERE dead.id IS NOT NULL OR (is_old AND n IN (4, 5)))
 """ % (NOW, TTL)
 
 BOXES = """
@@ -280,6 +330,12 @@ _AFTER_Q = "split_part(url, '?', len(string_split(url, '?')))"
 _LAST = f"string_split({_AFTER_Q}, '/')[-1]"
 
 SQL = {
+    "sidecar_notes": """
+SELECT '/store/' || lang || '/' || doc_id || '.pdf' AS path,
+       CASE WHEN doc_id % 3 = 0 THEN '<xfdf>' || lang END AS xfdf FROM documents""",
+    "annotation_save": """
+SELECT user_id AS doc_id, event_id, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END AS version
+FROM events WHERE user_id % 3 <> 0 OR (user_id % 2 = 0 AND event_id % 2 = 0)""",
     "catalog_ids": f"""WITH {FILES}
 SELECT doc_id, content_id, clean_name, ext, true AS id_ok, false AS name_ok FROM ided""",
     "catalog_dedup": f"""WITH {FILES}
@@ -315,12 +371,19 @@ SELECT page_id, CASE WHEN contains({_LAST}, '.') THEN {_LAST} ELSE 'remote_docum
        CASE WHEN page_id % 2 = 0 THEN page_id || '.pdf' END AS from_header FROM pages""",
     "url_safety": """
 WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host,
-  page_id % 256 AS a, page_id * 7 % 256 AS b FROM pages)
+  page_id % 256 AS a, page_id * 7 % 256 AS b, page_id * 16777259 % 4294967296 AS v,
+  page_id * 7 % 256 AS c, page_id * 13 % 256 AS d FROM pages)
 SELECT page_id, host, host <> '' AND host <> 'localhost'
          AND NOT regexp_matches(host, '[.](localhost|local|internal)$') AS url_ok,
   NOT (a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
        OR (a = 192 AND b = 168) OR a >= 224) AS literal_ok,
-  page_id % 3 = 2 AS local_ok FROM p""",
+  page_id % 3 = 2 AS local_ok,
+  NOT (v >> 24 IN (0, 10, 127) OR v >> 16 = 43518 OR v >> 20 = 2753 OR v >> 16 = 49320
+       OR v >> 24 >= 224) AS spelled_ok,
+  CASE WHEN page_id % 9 IN (2, 7) THEN true
+       WHEN page_id % 9 IN (0, 6) THEN NOT (c IN (0, 10, 127) OR (c = 169 AND d = 254)
+         OR (c = 172 AND d BETWEEN 16 AND 31) OR (c = 192 AND d = 168) OR c >= 224)
+       ELSE false END AS ipv6_ok FROM p""",
     "path_checks": r"""
 WITH p AS (SELECT page_id, regexp_replace(url, '^https?:/', '')
              || CASE WHEN page_id % 4 = 0 THEN '/../x' ELSE '' END AS path FROM pages),

@@ -124,15 +124,43 @@ def extraction_rejects(spark, sf):
     return E.rejects(E.decode(files)).select(F.col("path").cast("bigint").alias("doc_id"), "ext")
 
 
-def extracted_lines(spark, sf):
-    """Lines per file over all formats at once: every document takes one by its number."""
+# formats of the mixed corpus; every document takes one by its number
+KINDS = ["rtf", "txt", "docx", "xlsx", "odt", "ods", "odp", "odg", "vsdx", "png", "xyz", "bin", "doc",
+         "md", "docx"]
+
+
+def _mixed(spark, sf):
     d = _docs(spark, sf)
-    kind = F.element_at(F.array(F.lit("rtf"), F.lit("txt")), (F.col("doc_id") % 2 + 1).cast("int"))
-    files = d.select(F.col("doc_id").cast("string").alias("path"), kind.alias("ext"),
-                     F.when(kind == "rtf", _as_rtf(F.col("text")))
-                     .otherwise(F.encode("text", "utf-8")).alias("content"))
-    return E.extract_lines(files).groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(
-        F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    no = F.col("doc_id") % len(KINDS)
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (no + 1).cast("int"))
+    lines = X.lines(F.col("text"))
+
+    def tagged(tag):
+        return F.array_join(F.transform(lines, lambda t: F.concat(
+            F.lit(f"<{tag}>"), X.escape_xml(t), F.lit(f"</{tag}>"))), "\n")
+
+    broken = (kind == "docx") & (no == len(KINDS) - 1)
+    member = {"docx": "word/document.xml", "xlsx": "xl/sharedStrings.xml", "vsdx": "visio/pages/page2.xml"}
+    content = F.when(kind == "rtf", _as_rtf(F.col("text"))).when(
+        broken | kind.isin("txt", "md", "xyz", "doc"), F.encode("text", "utf-8")).when(
+        kind == "png", F.unhex(F.lit("89504E470D0A1A0A"))).when(
+        kind == "bin", F.encode(F.concat("text", F.lit("\0")), "utf-8"))
+    xml = F.when(kind == "docx", F.array_join(F.transform(lines, lambda t: F.concat(
+        F.lit("<w:p><w:t>"), X.escape_xml(t), F.lit("</w:t></w:p>"))), "")).when(
+        kind == "xlsx", F.array_join(F.transform(lines, lambda t: F.concat(
+            F.lit("<si><t>"), X.escape_xml(t), F.lit("</t></si>"))), "")).otherwise(tagged("p"))
+    for k in ("docx", "xlsx", "odt", "ods", "odp", "odg", "vsdx"):
+        content = content.when(kind == k, _zipped(member.get(k, "content.xml"))(xml))
+    return d.select(F.col("doc_id").cast("string").alias("path"), kind.alias("ext"),
+                    content.alias("content"))
+
+
+def extracted_lines(spark, sf):
+    """Lines per file over all formats at once, with the rejects of the same pass."""
+    reason = F.when(F.col("reason").startswith("BadZipFile"), "broken").otherwise(F.col("reason"))
+    return E.extract_lines(_mixed(spark, sf)).groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(
+        F.count("line").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"),
+        F.max(reason).alias("reason"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -180,6 +208,33 @@ UNION ALL SELECT doc_id, 0, '=== DOCUMENT TEXTE OPENDOCUMENT (ODT) ===' FROM doc
 UNION ALL SELECT doc_id, 1, 'Document diagramme .ODT prêt pour affichage vectoriel.' FROM documents
   WHERE doc_id NOT IN (SELECT doc_id FROM c)""",
     "extraction_rejects": "SELECT doc_id, 'docx' AS ext FROM documents",
-    "extracted_lines": f"""WITH {LINES}
-SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY 1""",
+    "extracted_lines": rf"""WITH {LINES},
+k AS (SELECT doc_id, text, {KINDS}[doc_id % {len(KINDS)} + 1] AS kind,
+        doc_id % {len(KINDS)} = {len(KINDS) - 1} AS broken FROM documents),
+x AS (SELECT doc_id, kind, broken, regexp_replace(line, '^[ \t\n\f\r\x0B]+|[ \t\n\f\r\x0B]+$', '', 'g') AS t,
+        line, line_no FROM k JOIN lines USING (doc_id)),
+plain AS (SELECT doc_id, line AS l FROM x WHERE kind IN ('rtf', 'txt', 'md', 'xyz')
+  UNION ALL SELECT doc_id, t FROM x WHERE kind = 'docx' AND NOT broken AND t <> ''
+  UNION ALL SELECT doc_id, t FROM x WHERE kind IN ('odt', 'ods', 'odp', 'odg', 'vsdx')
+    AND strlen(t) > 1 AND NOT regexp_matches(t, '^\p{{N}}+$')
+  UNION ALL SELECT doc_id, string_agg(t, '  |  ' ORDER BY i) FROM (
+    SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i
+    FROM x WHERE kind = 'xlsx' AND t <> '') GROUP BY doc_id, i // 5),
+titles AS (SELECT doc_id, unnest(CASE kind
+    WHEN 'xlsx' THEN ['=== CLASSEUR EXCEL (XLSX) ===', CASE WHEN doc_id IN (SELECT doc_id FROM plain)
+      THEN 'Données extraites des feuilles :' ELSE 'Feuille de calcul (aucune chaîne partagée détectée)' END]
+    ELSE list_filter([CASE kind WHEN 'odt' THEN '=== DOCUMENT TEXTE OPENDOCUMENT (ODT) ==='
+      WHEN 'ods' THEN '=== TABLEUR OPENDOCUMENT (ODS) ===' WHEN 'odp' THEN '=== PRESENTATION OPENDOCUMENT (ODP) ==='
+      WHEN 'odg' THEN '=== DESSIN / SCHEMA VECTORIEL OPENDOCUMENT (ODG) ==='
+      ELSE '=== DIAGRAMME MICROSOFT VISIO (VSDX) ===' END, CASE WHEN doc_id NOT IN (SELECT doc_id FROM plain)
+      THEN 'Document diagramme .' || upper(kind) || ' prêt pour affichage vectoriel.' END],
+      lambda v: v IS NOT NULL) END) AS l
+  FROM k WHERE kind IN ('xlsx', 'odt', 'ods', 'odp', 'odg', 'vsdx')),
+every AS (SELECT * FROM plain UNION ALL SELECT * FROM titles),
+n AS (SELECT doc_id, count(*) AS n, CAST(sum(length(l)) AS BIGINT) AS c FROM every GROUP BY 1),
+r AS (SELECT doc_id, n, c, CASE WHEN broken THEN 'broken' WHEN kind = 'png' THEN 'no text decoder: image'
+    WHEN kind = 'doc' THEN 'no text decoder: office' WHEN kind = 'bin' THEN 'binary' END AS reason
+  FROM k LEFT JOIN n USING (doc_id))
+SELECT doc_id, coalesce(n, 0) AS n_lines, c AS n_chars, reason FROM r
+WHERE n IS NOT NULL OR reason IS NOT NULL""",
 }

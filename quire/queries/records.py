@@ -36,13 +36,13 @@ def _annotations(spark, sf):
 
 def xfdf_export(spark, sf):
     return A.to_xfdf(_annotations(spark, sf)).select(
-        "doc_id", "part_no", F.md5("xfdf").alias("xfdf_md5"), F.length("xfdf").cast("bigint").alias("n_chars"))
+        "doc_id", F.md5("xfdf").alias("xfdf_md5"), F.length("xfdf").cast("bigint").alias("n_chars"))
 
 
 def xfdf_import(spark, sf):
     back = A.from_xfdf(A.to_xfdf(_annotations(spark, sf)))
     return back.select(
-        "doc_id", "part_no", F.col("seq").cast("bigint").alias("seq"),
+        "doc_id", F.col("seq").cast("bigint").alias("seq"),
         F.col("page_number").cast("bigint").alias("page_number"), "annotation_type",
         F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("width", 2).alias("width"),
         F.round("height", 2).alias("height"), "color", "opacity", "author", "created_at", "content",
@@ -277,11 +277,11 @@ SQL = {
     "xfdf_export": f"""WITH {ANN}, x AS (SELECT doc_id,
   '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">'
   || chr(10) || '  <annots>' || chr(10) || string_agg(e, '' ORDER BY seq) || '  </annots>' || chr(10)
-  || '</xfdf>' || chr(10) AS xfdf, seq // 10000 AS part_no FROM el GROUP BY doc_id, seq // 10000)
-SELECT doc_id, part_no, md5(xfdf) AS xfdf_md5, length(xfdf) AS n_chars FROM x""",
+  || '</xfdf>' || chr(10) AS xfdf FROM el GROUP BY doc_id)
+SELECT doc_id, md5(xfdf) AS xfdf_md5, length(xfdf) AS n_chars FROM x""",
     "xfdf_import": f"""WITH {ANN}
-SELECT doc_id, seq // 10000 AS part_no,
-  row_number() OVER (PARTITION BY doc_id, seq // 10000 ORDER BY seq) - 1 AS seq, page AS page_number,
+SELECT doc_id,
+  row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, page AS page_number,
   CASE tag WHEN 'text' THEN 'note' WHEN 'square' THEN 'rectangle' WHEN 'ink' THEN 'freehand' ELSE tag END
     AS annotation_type, round(CAST(x AS DOUBLE), 2) AS x, round(CAST(y AS DOUBLE), 2) AS y,
   CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, color,

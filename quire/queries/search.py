@@ -30,7 +30,7 @@ def search_many_queries(spark, sf):
     spans = textlayer.spans(textlayer.lines(docs(spark, sf).select("doc_id", "text")))
     queries = table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("query_id"), F.substring("n_name", 1, 3).alias("query"))
-    return search.counts(search.search_many(spans, queries), ["query_id", "doc_id"]).select(
+    return search.count_many(spans, queries, ["doc_id"]).select(
         F.col("query_id").cast("bigint").alias("query_id"), "doc_id", "total_matches")
 
 
@@ -39,7 +39,18 @@ def search_benchmark_words(spark, sf):
     spans = textlayer.spans(textlayer.lines(docs(spark, sf).select("doc_id", "text")))
     queries = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.split("text", " ")[0].alias("query"))
-    return search.counts(search.search_many(spans, queries), ["query_id"])
+    return search.count_many(spans, queries, [])
+
+
+def search_phrases(spark, sf):
+    """First two words of the benchmark items as queries over whole lines."""
+    spans = textlayer.lines(docs(spark, sf).select("doc_id", "text")).select(
+        "doc_id", "line_no", F.col("line").alias("text"))
+    queries = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+        .alias("query"))
+    return search.search_many(spans, queries).select(
+        "query_id", "doc_id", F.col("line_no").cast("bigint").alias("line_no"))
 
 
 def search_ordinals(spark, sf):
@@ -52,7 +63,8 @@ def search_ordinals(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_one, search_page_counts, search_many_queries, search_benchmark_words, search_ordinals)}
+    search_one, search_page_counts, search_many_queries, search_benchmark_words, search_phrases,
+    search_ordinals)}
 
 _W = f"WITH {LINES}, {words_of('lines')}"
 
@@ -74,6 +86,10 @@ v AS (SELECT lower(word) AS word, count(*) AS n FROM words GROUP BY 1),
 q AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 1)) AS q FROM benchmark)
 SELECT query_id, CAST(sum(n) AS BIGINT) AS total_matches
 FROM v JOIN q ON contains(word, q) GROUP BY 1""",
+    "search_phrases": f"""WITH {LINES},
+q AS (SELECT item_id AS query_id, lower(trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))) AS q
+  FROM benchmark)
+SELECT query_id, doc_id, line_no FROM lines JOIN q ON contains(lower(line), q)""",
     "search_ordinals": f"""{_W},
 m AS (SELECT doc_id, line_no, idx FROM words WHERE contains(lower(word), 'ing'))
 SELECT doc_id, line_no, idx AS span_idx, row_number() OVER o AS match_no,

@@ -91,8 +91,14 @@ def text_flow_pages(spark, sf):
     )
 
 
+# nodes with references, some numeric once resolved, some malformed
+REFERENCES = ("<b>&#49;&#50;</b><i> &#233;t&#xE9; &lt;b&gt; </i><u>A &nbsp; B</u><p>&#x1F642;</p>"
+              "<p>R&D</p><p>&amp;#49;</p>")
+
+
 def markup_text_nodes(spark, sf):
     pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = pages.withColumn("html", F.concat("html", F.lit(REFERENCES)))
     return L.markup_nodes(pages).select(
         "page_id", F.col("node_no").cast("bigint").alias("node_no"), "node_text")
 
@@ -196,15 +202,18 @@ walk AS (
 SELECT doc_id, CAST(page AS BIGINT) AS page_number, count(*) AS n_lines,
        CAST(min(y) AS DOUBLE) AS lowest FROM walk GROUP BY 1, 2""",
     "markup_text_nodes": rf"""
-WITH n AS (SELECT page_id, unnest(list_filter(list_transform(
-    regexp_extract_all(html, '>([^<]+)<', 1),
-    lambda t: regexp_replace(t, '^[{WS}]+|[{WS}]+$', '', 'g')),
-    lambda t: strlen(t) > 1 AND NOT regexp_matches(t, '^\p{{N}}+$'))) AS node_text,
-  unnest(range(len(list_filter(list_transform(
-    regexp_extract_all(html, '>([^<]+)<', 1),
-    lambda t: regexp_replace(t, '^[{WS}]+|[{WS}]+$', '', 'g')),
-    lambda t: strlen(t) > 1 AND NOT regexp_matches(t, '^\p{{N}}+$'))))) AS node_no FROM pages)
-SELECT page_id, node_no, node_text FROM n""",
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html || '{REFERENCES}', '>([^<]+)<', 1)) AS t,
+    unnest(range(len(regexp_extract_all(html || '{REFERENCES}', '>([^<]+)<', 1)))) AS i FROM pages),
+u AS (SELECT page_id, i, array_to_string(list_transform(regexp_extract_all(t, '(&[^;&]*;|[^&]+)', 1),
+    lambda p: CASE WHEN p LIKE '&#x%' THEN chr(('0x' || p[4:len(p) - 1])::INT)
+      WHEN p LIKE '&#%' THEN chr((p[3:len(p) - 1])::INT) WHEN p = '&lt;' THEN '<'
+      WHEN p = '&gt;' THEN '>' WHEN p = '&quot;' THEN '"' WHEN p = '&apos;' THEN chr(39)
+      WHEN p = '&amp;' THEN '&' ELSE p END), '') AS t FROM t
+  WHERE NOT regexp_matches(regexp_replace(t, '&(amp|lt|gt|quot|apos|#[0-9]{{1,7}}|#x[0-9A-Fa-f]{{1,6}});',
+    '', 'g'), '&')),
+n AS (SELECT page_id, i, regexp_replace(t, '^[{WS}]+|[{WS}]+$', '', 'g') AS node_text FROM u)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_no, node_text FROM n
+WHERE strlen(node_text) > 1 AND NOT regexp_matches(node_text, '^\p{{N}}+$')""",
     "escaped_markup": r"""
 SELECT page_id,
   md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),

@@ -16,16 +16,14 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions import text as X
+from quire.functions import names as N, text as X
 
-# Largest archive member taken as a table cell; a larger one is rejected, never cut.
-MEMBER_LIMIT = 1 << 30
-# The members read of each format.
+# The members read of each format, in order; a star stands for a number.
 MEMBERS = {
     "docx": ["word/document.xml"],
     "xlsx": ["xl/sharedStrings.xml"],
     "odg": ["content.xml"], "odt": ["content.xml"], "ods": ["content.xml"], "odp": ["content.xml"],
-    "vsdx": ["visio/pages/page1.xml", "visio/document.xml"],
+    "vsdx": ["visio/pages/page*.xml", "visio/document.xml"],
 }
 # Titles and fallback lines of extracted archives.
 TITLES = {
@@ -111,12 +109,11 @@ def _decode_archive(ext: str):
     def decode(data: bytes) -> list[dict]:
         bodies = []
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            names = set(z.namelist())
-            for name in MEMBERS[ext]:
-                if name in names:
-                    if z.getinfo(name).file_size > MEMBER_LIMIT:
-                        raise ValueError(f"{name} is too large")
-                    bodies.append(z.read(name).decode("utf-8", "replace"))
+            for wanted in MEMBERS[ext]:
+                pattern = re.compile(re.escape(wanted).replace(r"\*", "([0-9]+)"))
+                found = [m for m in map(pattern.fullmatch, z.namelist()) if m]
+                for m in sorted(found, key=lambda m: [int(n) for n in m.groups()]):
+                    bodies.append(z.read(m[0]).decode("utf-8", "replace"))
         return [{"part": "xml", "body": "\n".join(bodies)}]
 
     return decode
@@ -157,25 +154,10 @@ def decode(files: DataFrame) -> DataFrame:
 
 # --- from decoded parts to lines, in Spark --------------------------------------
 
-def _unescape(text: Column) -> Column:
-    # XML entities; the ampersand goes last.
-    for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-                        ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(raw))
-    return text
-
-
 def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{X.WS}]+|[{X.WS}]+$", "")
 
 
-def _nodes(xml: Column, pattern: str) -> Column:
-    """Trimmed, unescaped matches of a text-node pattern, empty ones left out."""
-    found = F.transform(F.regexp_extract_all(xml, F.lit(pattern), 1),
-                        lambda t: _unescape(_trimmed(t)))
-    return F.filter(found, lambda t: t != "")
-
-
 _T_NODE = r"<(?:\w+:)?t(?: [^>]*)?>([^<]*)</(?:\w+:)?t>"
 _PARAGRAPH = r"(?s)<(?:\w+:)?p(?: [^>]*)?(?<!/)>(.*?)</(?:\w+:)?p>"
 _PIECES = (r"(<(?:\w+:)?t(?: [^>]*)?>[^<]*</(?:\w+:)?t>|<(?:\w+:)?(?:blip|imagedata) [^>]*>"
@@ -219,7 +201,8 @@ def _docx_blocks(xml: Column) -> Column:
                 acc["text"].alias("text"), F.coalesce(points(piece, "cx"), acc["cx"]).alias("cx"),
                 F.coalesce(points(piece, "cy"), acc["cy"]).alias("cy"), acc["done"].alias("done")))
             .otherwise(F.struct(
-                F.concat(acc["text"], _unescape(_trimmed(F.regexp_extract(piece, _T_NODE, 1))))
+                F.concat(acc["text"], F.coalesce(
+                    X.unescape_xml(_trimmed(F.regexp_extract(piece, _T_NODE, 1))), F.lit("")))
                 .alias("text"), acc["cx"].alias("cx"), acc["cy"].alias("cy"),
                 acc["done"].alias("done"))))
 
@@ -257,7 +240,7 @@ def _docx_lines(xml: Column) -> Column:
 
 def _xlsx_lines(xml: Column) -> Column:
     """Shared strings, five to a line, below a title."""
-    strings = _nodes(xml, r"<t(?: [^>]*)?>([^<]*)</t>")
+    strings = X.text_nodes(xml, r"<t(?: [^>]*)?>([^<]*)</t>")
 
     def rows(s: Column) -> Column:
         return F.transform(
@@ -271,8 +254,7 @@ def _xlsx_lines(xml: Column) -> Column:
 
 def _archive_lines(ext: Column, xml: Column) -> Column:
     """Text nodes of an OpenDocument or Visio archive below a title."""
-    nodes = F.filter(_nodes(xml, r">([^<]+)<"),
-                     lambda t: (F.octet_length(t) > 1) & ~t.rlike(r"^\p{N}+$"))
+    nodes = X.markup_text_nodes(xml)
     titles = F.create_map(*[F.lit(v) for kv in TITLES.items() for v in kv])
     empty = F.concat(F.lit("Document diagramme ."), F.upper(ext),
                      F.lit(" prêt pour affichage vectoriel."))
@@ -313,17 +295,34 @@ def rejects(parts: DataFrame) -> DataFrame:
     return parts.where(F.col("part") == "reject").select("path", "ext", "reason")
 
 
+def no_text_reason(ext: Column, content: Column) -> Column:
+    """Why a file without a decoder is no text; null if it can be read as text."""
+    families = F.create_map(*[F.lit(v) for family, exts in N.FAMILIES.items()
+                              if family not in ("markdown", "text") for e in exts
+                              for v in (e, family)])
+    family = F.try_element_at(families, ext)
+    return (F.when(family.isNotNull(), F.concat(F.lit("no text decoder: "), family))
+            .when(~F.is_valid_utf8(content.cast("string")), "not UTF-8")
+            .when(F.contains(content, F.lit(b"\0")), "binary"))
+
+
 def extract_lines(files: DataFrame) -> DataFrame:
-    """Text lines of all files (path, ext, content): decoded formats and plain text.
+    """Text lines of all files (path, ext, content), and rows with the reason of each reject.
 
-    One pass: plain text stays in the JVM, the rest is decoded once.
+    path, line_no, line, reason. Known archives, mail and RTF are decoded, text
+    and unknown formats that hold text stay in the JVM, everything else and
+    every file that cannot be read is a reject, in one pass over the files.
     """
     known = F.col("ext").isin(*DECODERS)
     rows = files.select(
-        "path", "ext", F.when(~known, F.col("content").cast("string")).alias("_plain"),
-        _parts(F.col("ext"), F.col("content")).alias("_parts"))
-    parts = rows.select("path", "ext", "_plain", F.explode_outer("_parts").alias("_p"))
+        "path", "ext", "content", _parts(F.col("ext"), F.col("content")).alias("_parts"),
+        F.when(~known, no_text_reason(F.col("ext"), F.col("content"))).alias("_reason"))
+    plain = F.when(~known & F.col("_reason").isNull(), F.col("content").cast("string"))
+    parts = rows.select("path", "ext", plain.alias("_plain"), "_reason",
+                        F.explode_outer("_parts").alias("_p"))
     lines = F.when(F.col("_plain").isNotNull(), X.lines(F.col("_plain"))).otherwise(
         _part_lines(F.col("ext"), F.col("_p.part"), F.col("_p.body")))
-    return parts.select("path", lines.alias("_l")).select(
-        "path", F.posexplode_outer("_l").alias("line_no", "line")).where("line_no is not null")
+    reason = F.coalesce("_reason", F.when(F.col("_p.part") == "reject", F.col("_p.reason")))
+    return parts.select("path", lines.alias("_l"), reason.alias("reason")).select(
+        "path", F.posexplode_outer("_l").alias("line_no", "line"), "reason").where(
+        "line_no is not null or reason is not null")

@@ -12,11 +12,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+# bytes of a table that may be moved to use all cores; no larger one is ever shuffled for that
+SMALL_TABLE = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan that yields fewer splits than cores.
+    """Use all cores on a small table in a single file, which a scan cannot cut.
 
-    A corpus of many files has more splits than cores and is returned as it is,
-    so at scale this adds no shuffle.
+    Larger tables are returned as they are; their files are cut by
+    spark.sql.files.maxPartitionBytes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_TABLE:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

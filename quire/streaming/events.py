@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.catalog import RETENTION_SECONDS
+from quire.plans.skew import last_per_key
 from quire.sources.corpus import TELEMETRY_SCHEMA
 
 
-def expiries(touches: DataFrame, ttl: int = RETENTION_SECONDS, delay: str = "0 seconds") -> DataFrame:
+def expiries(touches: DataFrame, ttl: int = RETENTION_SECONDS, delay: str = "1 hour") -> DataFrame:
     """Documents (doc_id, ts of a store or change) that outlived their time to live.
 
+    A change may arrive ``delay`` late and still keep its document alive.
+
     A document lives while no gap between its changes exceeds the ttl in whole
     seconds, which is a session; the session's end is the moment of expiry and
     append mode emits it when the watermark has passed.
@@ -23,16 +27,34 @@ def expiries(touches: DataFrame, ttl: int = RETENTION_SECONDS, delay: str = "0 s
     )
 
 
-def annotation_updates(batches: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Latest annotation count per document (doc_id, batch_ts, annotation_count); update mode."""
+def annotation_updates(batches: DataFrame) -> DataFrame:
+    """Latest annotation count per document (doc_id, batch_ts, annotation_count)."""
     return (
-        batches.withWatermark("batch_ts", delay).groupBy("doc_id")
+        batches.groupBy("doc_id")
         .agg(F.max(F.struct("batch_ts", "annotation_count")).alias("_last"))
-        .select(F.lit("annotations_updated").alias("type"), "doc_id",
+        .select(F.lit("annotations_updated").alias("type"), "doc_id", "_last.batch_ts",
                 F.col("_last.annotation_count").alias("count"))
     )
 
 
+def publish_updates(batches: DataFrame, path: str, checkpoint: str,
+                    trigger: dict | None = None) -> StreamingQuery:
+    """Add the updates of every micro-batch to a table of increments.
+
+    No state is held between batches; a repeated batch writes the same increment.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        annotation_updates(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
+def latest_updates(spark: SparkSession, path: str) -> DataFrame:
+    """The newest update of every document over all increments."""
+    return last_per_key(spark.read.parquet(path), ["doc_id"], ["batch_ts", "batch"])
+
+
 def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(TELEMETRY_SCHEMA).option("header", True).csv(folder)
 

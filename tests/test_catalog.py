@@ -38,8 +38,15 @@ def test_urls(spark):
         "http://223.1.1.1": True, "http://0.0.0.0": False, "http://[::1]/": False,
         "http://[fc00::1]": False, "http://[fe80::1]": False, "http://[::ffff:10.0.0.1]": False,
         "http://[2001:db8::1]/": True, "http://[ff02::1]": False, "nothing": False,
+        "http://2130706433/x": False, "http://127.1/": False, "http://0x7f000001/": False,
+        "http://0177.0.0.1": False, "http://8.8.8.8": True, "http://134744072": True,
+        "http://010.1": True, "http://0x0a.1": False, "http://256.1.1.1": False,
+        "http://1.2.3.4.5": False, "http://host.09": False, "http://a.127": False,
+        "http://0": False, "http://localhost.": False, "http://[1::2::3]": False,
+        "http://[::8.8.8.8]": True, "http://[::FFFF:7f00:1]": False, "http://[1:2]": False,
+        "http://[2a00::1%25eth0]": False, "http://[fec0::1]": True, "http://3com.org": True,
     }
-    got = values(spark, lambda c: N.url_is_safe(c, ipv6=True), list(safe))
+    got = values(spark, N.url_is_safe, list(safe))
     assert dict(zip(safe, got)) == safe
 
 
@@ -101,6 +108,8 @@ def test_file_corpus_with_sidecars(spark, tmp_path):
     got = {r.filename: (r.ext, r.mime_type, r.xfdf) for r in corpus.attach_sidecars(files).collect()}
     assert got == {"a.pdf": ("pdf", "application/pdf", "<xfdf/>"),
                    "b.bin": ("bin", "application/octet-stream", None)}
+    assert {r.filename: (r.reason, r.content is None) for r in corpus.checked(files, 10).collect()
+            } == {"a.pdf": (None, False), "a.xfdf": (None, False), "b.bin": ("too_large", True)}
     kept, rest = corpus.split_by_size(files, 10)
     assert kept.count() == 2 and [r.filename for r in rest.collect()] == ["b.bin"]
     meta = corpus.read_meta(spark, str(root)).collect()[0]
@@ -110,11 +119,18 @@ def test_file_corpus_with_sidecars(spark, tmp_path):
     assert got.s == "/s/a.pdf.xfdf" and got.f == "/s/a.xfdf"
 
 
-def test_annotation_sink_replaces_only_touched_buckets(spark, tmp_path):
+def test_annotation_save_replaces_only_its_documents(spark, tmp_path):
     path = str(tmp_path / "ann")
-    corpus.write_annotations(spark.createDataFrame([("a", 1), ("b", 1)], "doc_id string, v int"), path)
-    corpus.write_annotations(spark.createDataFrame([("a", 2)], "doc_id string, v int"), path)
-    assert {(r.doc_id, r.v) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 1)}
+    first = spark.range(2000).selectExpr("id AS doc_id", "1 AS v")
+    corpus.save_annotations(first, first, path, 1)
+    for _ in range(2):  # a repeated batch replaces itself
+        again = spark.createDataFrame([(7, 2), (7, 3)], "doc_id long, v int")
+        corpus.save_annotations(spark.createDataFrame([(7,), (9,)], "doc_id long"), again, path, 2)
+    want = {(i, 1) for i in range(2000) if i not in (7, 9)} | {(7, 2), (7, 3)}
+    got = corpus.read_annotations(spark, path)
+    assert {(r.doc_id, r.v) for r in got.collect()} == want and got.count() == 2000
+    corpus.compact_annotations(spark, path, path + "-new", 2)
+    assert {(r.doc_id, r.v) for r in corpus.read_annotations(spark, path + "-new").collect()} == want
 
 
 def test_versions_and_mapping(spark, tmp_path):

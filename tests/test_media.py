@@ -161,6 +161,15 @@ def test_archives(spark):
                                          "c5  |  c6", E.XLSX_TITLE, E.XLSX_EMPTY]
     everything = E.extract_lines(files(spark, ("a", "odg", odg), ("t", "txt", b"l1\nl2")))
     assert everything.count() == 5
+    pages = zipped(**{f"visio__pages__page{n}_xml": f"<a>page {n}</a>" for n in (10, 2, 1)})
+    mixed = E.extract_lines(files(spark, ("v", "vsdx", pages), ("p", "png", b"\x89PNG"),
+                                  ("q", "xyz", b"a\xff"), ("z", "odt", b"no zip"), ("u", "xyz", b"ok")))
+    got = {(r.path, r.line, r.reason) for r in mixed.orderBy("line_no").collect()}
+    assert {(p, x) for p, x, _ in got} == {
+        ("v", E.TITLES["vsdx"]), ("v", "page 1"), ("v", "page 2"), ("v", "page 10"), ("p", None),
+        ("q", None), ("z", None), ("u", "ok")}
+    assert {p: r for p, _, r in got if r} == {"p": "no text decoder: image", "q": "not UTF-8",
+                                              "z": "BadZipFile: File is not a zip file"}
 
 
 @pytest.mark.parametrize("name", ["cad_layers", "dicom_headers", "extracted_lines"])

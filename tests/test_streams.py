@@ -49,11 +49,11 @@ def test_annotation_updates_keep_the_latest(spark, tmp_path):
     rows = [(0, "a", at(0), 3), (1, "a", at(50), 7), (2, "b", at(10), 1), (3, "a", at(40), 9)]
     df = spark.createDataFrame(rows, "i int, doc_id string, batch_ts timestamp, annotation_count bigint")
     stream = stream_of(spark, df, str(tmp_path / "in"), 4)
-    q = S.annotation_updates(stream).writeStream.format("memory").queryName("updates") \
-        .outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.type, r.doc_id, r["count"]) for r in spark.table("updates").collect()} == {
-        ("annotations_updated", "a", 7), ("annotations_updated", "b", 1)}
+    path = str(tmp_path / "out")
+    S.publish_updates(stream, path, str(tmp_path / "log")).awaitTermination()
+    assert spark.read.parquet(path).select("batch").distinct().count() == 4
+    assert sorted((r.type, r.doc_id, r["count"]) for r in S.latest_updates(spark, path).collect()) == [
+        ("annotations_updated", "a", 7), ("annotations_updated", "b", 1)]
 
 
 def test_telemetry_windows_drop_late_samples(spark, tmp_path):
@@ -81,6 +81,12 @@ def test_search(spark):
                                     "query_id int, query string")
     got = sorted((r.query_id, r.text) for r in search.search_many(spans, queries).collect())
     assert got == [(1, "ALPHABET"), (1, "Alpha"), (2, "gamma"), (4, "ALPHABET"), (4, "beta")]
+    phrase = spark.createDataFrame([(1, "foo bar"), (2, "foobar")], "i int, text string")
+    found_in = search.search_many(phrase, spark.createDataFrame([(9, "O b")], "query_id int, query string"))
+    assert [(r.i, r.query_id) for r in found_in.collect()] == [(1, 9)]
+    totals = search.count_many(spans, queries, ["doc_id"]).collect()
+    assert sorted((r.query_id, r.doc_id, r.total_matches) for r in totals) == [
+        (1, 1, 2), (2, 2, 1), (4, 1, 2)]
     nav = {r.text: (r.match_no, r.match_count, r.next_line_no, r.prev_line_no)
            for r in search.ordinals(found, ["doc_id"], ["line_no", "span_idx"]).collect()}
     assert nav == {"Alpha": (1, 2, 1, 1), "ALPHABET": (2, 2, 0, 0)}
