@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
-from quire.plans.grouped import Arrays, map_sorted_groups
 
 # XFDF tags of the annotation types; any other type becomes a stamp.
 TAGS = {"highlight": "highlight", "note": "text", "rectangle": "square", "freehand": "ink",
@@ -149,35 +147,41 @@ def by_connector(annotations: DataFrame, mappings: DataFrame) -> DataFrame:
 MIN_SIDE, ROW_TOLERANCE, LINE_TOLERANCE, TOUCH_GAP = 2.0, 4.0, 6.0, 6.0
 
 
-def _merge(g: Arrays) -> Arrays:
-    out: list[list[float]] = []
-    for x, y, w, h in zip(g["x"], g["y"], g["width"], g["height"]):
-        if out:
-            cx, cy, cw, ch = out[-1]
-            if abs(cy - y) < LINE_TOLERANCE and abs(ch - h) < LINE_TOLERANCE \
-                    and x <= cx + cw + TOUCH_GAP:
-                out[-1][2] = max(cx + cw, x + w) - cx
-                continue
-        out.append([x, y, w, h])
-    box = np.array(out)
-    n = len(out)
-    return {**{k: np.repeat(g[k][:1], n) for k in ("doc_id", "page_number", "selection")},
-            "rect_no": np.arange(n), "x": box[:, 0], "y": box[:, 1], "width": box[:, 2],
-            "height": box[:, 3]}
+def _merged_runs(rects: Column) -> Column:
+    """Rectangles of one selection in their order, those that touch joined to one."""
+    box = "struct<x:double,y:double,width:double,height:double>"
+    start = F.struct(F.lit(None).cast(box).alias("open"), F.expr(f"cast(array() as array<{box}>)")
+                     .alias("done"))
+
+    def step(acc: Column, r: Column) -> Column:
+        last = acc["open"]
+        touches = ((F.abs(last["y"] - r["y"]) < LINE_TOLERANCE)
+                   & (F.abs(last["height"] - r["height"]) < LINE_TOLERANCE)
+                   & (r["x"] <= last["x"] + last["width"] + TOUCH_GAP))
+        wider = F.greatest(last["x"] + last["width"], r["x"] + r["width"]) - last["x"]
+        fresh = F.struct(*[r[c].cast("double").alias(c) for c in ("x", "y", "width", "height")])
+        return (
+            F.when(last.isNull(), F.struct(fresh.alias("open"), acc["done"].alias("done")))
+            .when(touches, F.struct(
+                F.struct(last["x"].alias("x"), last["y"].alias("y"), wider.alias("width"),
+                         last["height"].alias("height")).alias("open"), acc["done"].alias("done")))
+            .otherwise(F.struct(fresh.alias("open"),
+                                F.array_append(acc["done"], last).alias("done"))))
+
+    return F.aggregate(rects, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
 
 
 def merge_rects(rects: DataFrame) -> DataFrame:
     """Merge the rectangles of a selection that touch on one line.
 
     Rows are bands of the tolerance's height, then x; sorting by a tolerance
-    itself is not transitive and would depend on the input order.
+    itself is not transitive and would depend on the input order. A selection
+    is one user's mark on one page.
     """
-    rows = rects.where((F.col("width") >= MIN_SIDE) & (F.col("height") >= MIN_SIDE)).withColumn(
-        "_row", F.floor(F.col("y") / ROW_TOLERANCE))
-    types = dict(rects.dtypes)
-    schema = (f"doc_id {types['doc_id']}, page_number {types['page_number']}, "
-              f"selection {types['selection']}, rect_no bigint, x double, y double, "
-              "width double, height double")
-    return map_sorted_groups(
-        rows.select("doc_id", "page_number", "selection", "_row", "x", "y", "width", "height"),
-        ["doc_id", "page_number", "selection"], ["_row", "x", "y", "width", "height"], _merge, schema)
+    keys = ["doc_id", "page_number", "selection"]
+    ordered = F.sort_array(F.collect_list(F.struct(
+        F.floor(F.col("y") / ROW_TOLERANCE).alias("_row"), "x", "y", "width", "height")))
+    rows = rects.where((F.col("width") >= MIN_SIDE) & (F.col("height") >= MIN_SIDE))
+    return rows.groupBy(*keys).agg(ordered.alias("_rects")).select(
+        *keys, F.posexplode(_merged_runs(F.col("_rects"))).alias("rect_no", "r")).select(
+        *keys, F.col("rect_no").cast("bigint").alias("rect_no"), "r.*")

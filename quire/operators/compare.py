@@ -38,7 +38,7 @@ def _rows_of(prev: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[n
         prev = cur
 
 
-def diff_runs(a: list[str], b: list[str], max_tokens: int | None = None) -> list[tuple[str, str]]:
+def diff_runs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """Runs of equal, inserted and deleted text between two token lists.
 
     Ties take the insertion, read from the end. Only every s-th row of the
@@ -48,8 +48,6 @@ def diff_runs(a: list[str], b: list[str], max_tokens: int | None = None) -> list
     if not a or not b:
         text = "".join(a or b)
         return [(DELETE if a else INSERT, text)] if a or b else []
-    if max_tokens is not None:
-        a, b = a[:max_tokens], b[:max_tokens]
     ids: dict[str, int] = {}
     ia = np.fromiter((ids.setdefault(t, len(ids)) for t in a), np.int64, len(a))
     ib = np.fromiter((ids.setdefault(t, len(ids)) for t in b), np.int64, len(b))
@@ -99,8 +97,7 @@ def diff_runs(a: list[str], b: list[str], max_tokens: int | None = None) -> list
     return [(op, "".join(tokens)) for op, tokens in runs]
 
 
-def token_diff(pairs: DataFrame, keys: tuple[str, ...] = ("pair_id", "page_number"),
-               max_tokens: int | None = None) -> DataFrame:
+def token_diff(pairs: DataFrame, keys: tuple[str, ...] = ("pair_id", "page_number")) -> DataFrame:
     """Diff runs of aligned pages: keys, run_no, op, text.
 
     Equal pages are answered by comparison alone. The others are spread over
@@ -117,7 +114,7 @@ def token_diff(pairs: DataFrame, keys: tuple[str, ...] = ("pair_id", "page_numbe
     def runs_of(row) -> list[tuple[str, str]]:
         if row.same is not None:
             return [(EQUAL, row.same)]
-        return diff_runs(list(row.ta), list(row.tb), max_tokens)
+        return diff_runs(list(row.ta), list(row.tb))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,10 +143,15 @@ def diff_summary(runs: DataFrame, keys: tuple[str, ...] = ("pair_id", "page_numb
         "diff_ratio", F.when(total > 0, changed / total).otherwise(F.lit(0.0)))
 
 
-def pages_with_differences(pairs: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """Differing pages out of all pages per pair."""
-    return pairs.groupBy(pair).agg(
-        F.count_if(F.col("text_a") != F.col("text_b")).alias("pages_changed"),
+def pages_with_differences(a: DataFrame, b: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """Differing pages out of all pages per pair; only hashes of the pages are moved."""
+    def hashed(pages: DataFrame, name: str) -> DataFrame:
+        return pages.select(pair, "page_number", F.unhex(F.sha2("page_text", 256)).alias(name))
+
+    blank = F.unhex(F.sha2(F.lit(""), 256))
+    both = hashed(a, "a").join(hashed(b, "b"), [pair, "page_number"], "full")
+    return both.groupBy(pair).agg(
+        F.count_if(F.coalesce("a", blank) != F.coalesce("b", blank)).alias("pages_changed"),
         F.count("*").alias("pages_total"))
 
 

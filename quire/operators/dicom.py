@@ -42,7 +42,7 @@ HEADER_SCHEMA = (
     "modality string, body_part string, series_description string, rows int, columns int, "
     "bits_allocated int, bits_stored int, pixel_representation int, rescale_intercept double, "
     "rescale_slope double, window_center double, window_width double, spacing_x double, "
-    "spacing_y double, has_pixels boolean, reject string"
+    "spacing_y double, has_pixels boolean, reject string, declared_rows int, declared_columns int"
 )
 _COLUMNS = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
 
@@ -85,8 +85,7 @@ def _read(kind: str, raw: memoryview):
     if kind in ("u16", "side"):
         if len(raw) < 2:
             return None
-        (n,) = struct.unpack_from("<H", raw)
-        return n if kind == "u16" else min(max(n, 1), MAX_SIDE)
+        return struct.unpack_from("<H", raw)[0]
     text = bytes(raw).decode("utf-8", "replace").strip("\0").strip()
     if kind == "text":
         return text
@@ -107,7 +106,7 @@ def read_header(data: bytes) -> tuple[dict, memoryview | None]:
             if length == UNDEFINED:
                 found["has_pixels"] = True
             elif found["rows"] * found["columns"] > MAX_PIXELS:
-                return {"reject": "too_many_pixels"}, None
+                found["reject"] = "too_many_pixels"
             elif len(raw) and found["bits_allocated"] in (8, 16):
                 found["has_pixels"], pixels = True, raw
         elif tag in TAGS:
@@ -115,9 +114,11 @@ def read_header(data: bytes) -> tuple[dict, memoryview | None]:
             value = _read(kind, raw)
             if value is not None:
                 found[name] = value
-    if not found["has_pixels"]:
-        for side in ("rows", "columns"):
-            found[side] = min(found[side], MAX_SIDE_WITHOUT_PIXELS)
+    # the size that is shown has limits; the declared one is kept beside it
+    most = MAX_SIDE if found["has_pixels"] else MAX_SIDE_WITHOUT_PIXELS
+    for side in ("rows", "columns"):
+        found[f"declared_{side}"] = found[side]
+        found[side] = min(max(found[side], 1), most)
     spacing = found.pop("spacing", (None, None))
     found["spacing_x"], found["spacing_y"] = spacing
     return found, pixels
@@ -148,7 +149,7 @@ def samples(files: DataFrame, block: int = 65_536) -> DataFrame:
                     "<i2" if head["pixel_representation"] == 1 else "<u2")
                 size = np.dtype(kind).itemsize
                 raw = np.frombuffer(pixels, kind, len(pixels) // size)
-                raw = raw[:head["rows"] * head["columns"]].astype(float)
+                raw = raw[:head["declared_rows"] * head["declared_columns"]].astype(float)
                 for a in range(0, len(raw), block):
                     part = raw[a:a + block]
                     yield pd.DataFrame({"object_id": i, "idx": np.arange(a, a + len(part)),

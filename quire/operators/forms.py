@@ -6,7 +6,7 @@ ff, rect array<double>, opt array<struct<value, display>>, is_widget.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from quire.plans.durable import settled
 
@@ -25,25 +25,32 @@ def inherit(objects: DataFrame, cols: tuple[str, ...] = ("t", "v")) -> DataFrame
     Pointers are doubled: after r rounds every object has looked at 2^r
     ancestors, so a chain costs the logarithm of its length in joins. Only
     objects still without a value take part in a round, and every round's
-    result is written out, so the plan does not grow.
+    result is written out, so the plan does not grow. The write counts what is
+    still open, so a round is one job.
     """
     attrs = F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).alias("val")) for c in cols])
     keys = ["doc_id", "attr", "obj_id"]
-    state = settled(objects.select("doc_id", "obj_id", "parent_id", F.inline(attrs)).select(
-        *keys, "val", F.when(F.col("val").isNull(), F.col("parent_id")).alias("next")))
     is_open = F.col("next").isNotNull()
-    known, pending = state.where(~is_open), state.where(is_open)
+
+    def written(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        seen = Observation()
+        kept = settled(rows.observe(seen, F.count_if(is_open).alias("open")))
+        return kept.where(~is_open), kept.where(is_open), seen.get["open"]
+
+    known, pending, n = written(
+        objects.select("doc_id", "obj_id", "parent_id", F.inline(attrs)).select(
+            *keys, "val", F.when(F.col("val").isNull(), F.col("parent_id")).alias("next")))
     for _ in range(ROUNDS):
-        if pending.isEmpty():
+        if not n:
             break
         up = known.unionByName(pending).select(
             "doc_id", "attr", F.col("obj_id").alias("next"), F.col("val").alias("up_val"),
             F.col("next").alias("up_next"))
         further = F.col("up_val").isNull() & (F.col("up_next") != F.col("obj_id"))
         # a pointer to a missing object finds nothing and drops out
-        moved = settled(pending.join(up, ["doc_id", "attr", "next"]).select(
+        closed, pending, n = written(pending.join(up, ["doc_id", "attr", "next"]).select(
             *keys, F.col("up_val").alias("val"), F.when(further, F.col("up_next")).alias("next")))
-        known, pending = known.unionByName(moved.where(~is_open)), moved.where(is_open)
+        known = known.unionByName(closed)
     values = known.groupBy("doc_id", "obj_id").agg(
         *[F.max(F.when(F.col("attr") == c, F.col("val"))).alias(f"inherited_{c}") for c in cols])
     return objects.join(values, ["doc_id", "obj_id"], "left")
@@ -55,6 +62,7 @@ def _rounded(c: Column) -> Column:
 
 def fields(objects: DataFrame) -> DataFrame:
     """Form fields of the widgets: name, type, geometry, value, flags, options."""
+    objects = settled(objects)
     parents = objects.select(
         "doc_id", F.col("obj_id").alias("parent_id"), F.col("ft").alias("_parent_ft"),
         F.col("ff").alias("_parent_ff"))
@@ -105,7 +113,11 @@ def given_values(requests: DataFrame) -> DataFrame:
 
 
 def fill(field_rows: DataFrame, given: DataFrame) -> DataFrame:
-    """Fill fields by name from (doc_id, name, new_value); marks the updated ones."""
+    """Fill fields by name from (doc_id, name, new_value); marks the updated ones.
+
+    Of several values for one name the largest is taken, so no field is doubled.
+    """
+    given = given.groupBy("doc_id", "name").agg(F.max("new_value").alias("new_value"))
     truthy = F.lower("new_value").isin(*CHECKED)
     filled = F.when(F.col("field_type") == "checkbox",
                     F.when(truthy, "Yes").otherwise("Off")).otherwise(F.col("new_value"))

@@ -253,17 +253,19 @@ def cache_metrics(counters: DataFrame, by: Sequence[str] = ("node",)) -> DataFra
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                method: str = "linear", width: float = 1.0) -> DataFrame:
+                method: str = "linear") -> DataFrame:
     """Exact percentiles per key without holding a key's values in one task.
 
-    Values are counted, running counts are taken in chunks of ``width`` and the
-    rows at the wanted positions are picked. linear: position (n - 1) * p with
-    interpolation; index: position floor(n * p).
+    Values are counted and dealt into ranges of (key, value) of equal size, as a
+    sample of them tells; a range is a chunk of the running counts, whatever the
+    scale of the values. The rows at the wanted positions are picked. linear:
+    position (n - 1) * p with interpolation; index: position floor(n * p).
     """
     keys = list(keys)
-    counted = settled(
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
-    ranked = skew.chunked_running(counted, keys, [value], F.floor(F.col(value) / width),
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = settled(counts.repartitionByRange(*keys, value)
+                      .withColumn("_range", F.spark_partition_id()))
+    ranked = skew.chunked_running(counted, keys, [value], F.col("_range"),
                                   sums={"_upto": F.col("_n")})
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     rows = ranked.join(totals, keys)

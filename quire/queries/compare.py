@@ -37,7 +37,9 @@ def aligned_pages(spark, sf):
 
 
 def changed_pages(spark, sf):
-    return D.pages_with_differences(_aligned(spark, sf))
+    a, b = _versions(spark, sf)
+    return D.pages_with_differences(textlayer.page_texts(a, words_only=False),
+                                    textlayer.page_texts(b, words_only=False))
 
 
 def _turns(spark, sf):

@@ -134,7 +134,8 @@ def dicom_headers(spark, sf):
                     "patient_id", "study_date", "modality", "body_part",
                     *[F.col(c).cast("bigint").alias(c) for c in ints], "rescale_intercept",
                     "rescale_slope", "window_center", "window_width", "spacing_x", "spacing_y",
-                    "has_pixels", "reject")
+                    "has_pixels", "reject",
+                    *[F.col(c).cast("bigint").alias(c) for c in ("declared_rows", "declared_columns")])
 
 
 def dicom_samples(spark, sf):
@@ -246,7 +247,8 @@ SELECT k AS object_id, 'Patient^' || o_custkey AS patient_name, CAST(NULL AS VAR
   CAST('-' || (k % 1000) AS DOUBLE) AS rescale_intercept, CAST(1 AS DOUBLE) AS rescale_slope,
   CAST(k % 100 AS DOUBLE) AS window_center, CAST(400 AS DOUBLE) AS window_width,
   CAST((k % 9) || '.25' AS DOUBLE) AS spacing_x, CAST(0.5 AS DOUBLE) AS spacing_y,
-  true AS has_pixels, CAST(NULL AS VARCHAR) AS reject FROM d""",
+  true AS has_pixels, CAST(NULL AS VARCHAR) AS reject, CAST(2 AS BIGINT) AS declared_rows,
+  CAST(4 AS BIGINT) AS declared_columns FROM d""",
     "dicom_samples": f"""WITH {DICOM},
 s AS (SELECT k, unnest(range(8)) AS idx FROM d)
 SELECT k AS object_id, idx, CAST(CASE WHEN k % 2 = 1 AND k * (idx + 1) % 65536 > 32767

@@ -44,10 +44,11 @@ def text_layout(spark, sf):
 
 
 def text_truncated(spark, sf):
-    """The truncating layout: what 95 columns keep of every line."""
+    """The truncating layout: what 95 columns keep of every line, and the rest."""
     laid = L.layout(L.lines(docs(spark, sf)), max_cols=95)
     return laid.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "shown",
-                       (F.length("line") > 95).alias("is_cut"))
+                       (F.length("line") > 95).alias("is_cut"),
+                       F.substr("line", F.lit(96)).alias("rest"))
 
 
 def text_span_pages(spark, sf):
@@ -163,7 +164,8 @@ SELECT doc_id, line_no, CAST(50 AS DOUBLE) AS x, CAST(800 - 15 * (line_no % 48)
        'Page ' || (line_no // 48 + 1) || ' / ' || CAST(ceil(n_lines / 48.0) AS BIGINT) AS footer
 FROM lines""",
     "text_truncated": f"""WITH {LINES}
-SELECT doc_id, line_no, left(line, 95) AS shown, length(line) > 95 AS is_cut FROM lines""",
+SELECT doc_id, line_no, left(line, 95) AS shown, length(line) > 95 AS is_cut,
+  substr(line, 96) AS rest FROM lines""",
     "text_spans": f"""WITH {LINES}, {words_of("lines")}
 SELECT doc_id, line_no // 48 + 1 AS page_number, line_no, idx AS span_idx, word AS text,
        CAST(50 + 6 * start_at AS DOUBLE) AS x, CAST(32 + 15 * (line_no % 48) AS DOUBLE) AS y,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,17 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # rows can be whole files: a batch for a Python worker is bounded by its bytes as well
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers of a cluster that does not have it installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark copies the archive
+        path = shutil.make_archive(os.path.join(folder, "quire"), "zip", root, "quire")
+        spark.sparkContext.addPyFile(path)
     return spark
 
 
