@@ -1,6 +1,6 @@
 """SentencePiece BPE with seeded merge-dropout, and its decoding.
 
-Merges run over an agenda: the pair with the best score first, of equal scores the leftmost. A
+Merges run over an agenda of candidates: the best score first, of equal scores the leftmost. A
 candidate that comes up is skipped if a hash of seed, variant, the characters around it, its place
 and the piece it would make falls below the dropout rate. A seed therefore always gives the same
 pieces, another seed others, and the decoded text is the same whatever was skipped. Without
@@ -13,6 +13,8 @@ several ways within one pass over a corpus, while a worker can still remember wh
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 RATE, SEED, VARIANTS = 0.1, 1, 4
-#: words that a worker remembers over all variants, in each of two generations
-REMEMBERED = 500_000
+#: words, in each of two generations, and runs that a worker remembers over all variants
+REMEMBERED = 700_000
 #: ids of one batch of results
 _OUT = 2_000_000
 _MARK, _OWN_MARK = "▁", "\ud800"  # the sign for a space; stands for that sign in a text
-_WORD = (1 << 64) - 1
+_WORD, _NO_PIECE = (1 << 64) - 1, 1 << 30
+#: characters up to which a run's agenda is a list
+SHORT = 64
+#: marks that mostly end a word; fixed values
+_TAIL = ".,;:!?\"')]"
+
+
+def skipped(state: int, place: int, made: int, limit: int) -> bool:
+    """Whether the candidate that makes a piece at a place is left out."""
+    dice = state ^ place * 0x9E3779B97F4A7C15 ^ made * 0xD1B54A32D192ED03
+    return (dice * 0xBF58476D1CE4E5B9 & _WORD) >> 32 < limit
 
 
 class Vocabulary:
@@ -53,6 +65,9 @@ class Vocabulary:
                 self.bytes_of.append(piece.replace(_MARK, " ").encode())
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.meet = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        order = {s: k for k, s in enumerate(sorted({self.scores[i] for i in self.ids.values()},
+                                                   reverse=True))}
+        self.ranks = {p: order[self.scores[i]] for p, i in self.ids.items()}
 
     def spelled(self, char: str) -> list[int]:
         """Byte pieces of a character that is no piece."""
@@ -65,12 +80,40 @@ class Vocabulary:
 
     def merge(self, text: str, rate: float = 0.0, key: int = 0) -> list[int]:
         """Ids of one run of characters by agenda, with candidates skipped at ``rate``."""
+        limit = int(rate * (1 << 32))
+        state = xxhash.xxh64_intdigest(text.encode(errors="surrogatepass"), key) if limit else 0
+        parts = (self._in_list if len(text) <= SHORT else self._in_heap)(text, limit, state)
+        found = [*map(self.ids.get, parts)]
+        if None not in found:
+            return found
+        return [i for part, one in zip(parts, found)
+                for i in ([one] if one is not None else self.spelled(part))]
+
+    def _in_list(self, text: str, limit: int, state: int) -> list[str]:
+        """The agenda as a list of the ranks at each place: fastest for words."""
+        ids, rank, none = self.ids, self.ranks.get, _NO_PIECE
+        parts, places = [*text], [*range(len(text))]
+        agenda = [rank(a + b, none) for a, b in zip(text, text[1:])]
+        while agenda and (best := min(agenda)) != none:
+            k = agenda.index(best)
+            joined = parts[k] + parts[k + 1]
+            if limit and skipped(state, places[k], ids[joined], limit):
+                agenda[k] = none
+                continue
+            parts[k] = joined
+            del parts[k + 1], places[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank(joined + parts[k + 1], none)
+            if k:
+                agenda[k - 1] = rank(parts[k - 1] + joined, none)
+        return parts
+
+    def _in_heap(self, text: str, limit: int, state: int) -> list[str]:
+        """The agenda as a heap: no more than n log n for a run of any length."""
         n, ids = len(text), self.ids
         parts = list(text)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         agenda: list[tuple] = []
-        limit = int(rate * (1 << 32))
-        state = xxhash.xxh64_intdigest(text.encode(errors="surrogatepass"), key) if limit else 0
 
         def offer(left: int, right: int) -> None:
             made = ids.get(parts[left] + parts[right])
@@ -85,11 +128,8 @@ class Vocabulary:
             if not parts[left] or not parts[right] or after[left] != right or (
                     len(parts[left]) + len(parts[right]) != size):
                 continue  # one of the two has been merged otherwise
-            if limit:
-                dice = (state + left * 0x9E3779B97F4A7C15 + made * 0xD1B54A32D192ED03) & _WORD
-                dice = ((dice ^ dice >> 29) * 0xBF58476D1CE4E5B9) & _WORD
-                if dice >> 32 < limit:
-                    continue
+            if limit and skipped(state, left, made, limit):
+                continue
             parts[left] += parts[right]
             parts[right] = ""
             after[left] = after[right]
@@ -98,12 +138,7 @@ class Vocabulary:
                 offer(left, after[left])
             if before[left] >= 0:
                 offer(before[left], left)
-        out: list[int] = []
-        for part in parts:
-            if part:
-                found = ids.get(part)
-                out += [found] if found is not None else self.spelled(part)
-        return out
+        return [part for part in parts if part]
 
 
 class Encoder:
@@ -115,31 +150,40 @@ class Encoder:
         self.young: list[dict] = [{} for _ in range(variants)]
         self.old: list[dict] = [{} for _ in range(variants)]
         self.runs: list[dict] = [{} for _ in range(variants)]
-        self.count = 0
+        self.count = self.run_count = 0
+        self.feeds = any("\n" in pair for pair in vocabulary.meet)
 
     def _run(self, run: str, variant: int) -> bytes:
         ids = self.runs[variant].get(run)
         if ids is None:
-            if len(self.runs[variant]) > REMEMBERED // self.variants:
-                self.runs[variant].clear()
-            ids = np.array(self.vocabulary.merge(run, self.rate, self.keys[variant]),
-                           "<u4").tobytes()
+            found = self.vocabulary.merge(run, self.rate, self.keys[variant])
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if self.run_count > REMEMBERED:
+                self.runs, self.run_count = [{} for _ in self.keys], 0
             self.runs[variant][run] = ids
+            self.run_count += 1
         return ids
 
+    def lines(self, text: str) -> list[str]:
+        """Parts between line feeds, and the line feeds, if no piece reaches over one."""
+        if "\n" not in text or self.feeds:
+            return [text]
+        return [x for x in re.split("(\n)", text) if x]
+
+    def _marked(self, part: str, variant: int) -> bytes:
+        """Ids of a word, apart from the marks at its end if no piece reaches over to them."""
+        core = part.rstrip(_TAIL)
+        if core and core != part and part[len(core) - 1:len(core) + 1] not in self.vocabulary.meet:
+            return self._run(core, variant) + self._run(part[len(core):], variant)
+        return self._run(part, variant)
+
     def _new(self, word: bytes, variant: int) -> bytes:
         """Ids of a word with the space before it; further spaces are the word's own."""
         ids = self.old[variant].get(word)
         if ids is None:
             text = word.decode(errors="surrogateescape").replace(_MARK, _OWN_MARK)
             text = _MARK + text.replace(" ", _MARK)
-            meet, at, out = self.vocabulary.meet, 0, []
-            for k in range(1, len(text)):
-                if text[k - 1:k + 1] not in meet:  # no piece reaches over this place
-                    out.append(self._run(text[at:k], variant))
-                    at = k
-            out.append(self._run(text[at:], variant))
-            ids = b"".join(out)
+            ids = b"".join([self._marked(part, variant) for part in self.lines(text)])
         if self.count > REMEMBERED:
             self.old, self.young, self.count = self.young, [{} for _ in self.keys], 0
         self.young[variant][word] = ids

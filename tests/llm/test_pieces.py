@@ -1,5 +1,6 @@
 import public_tokenizers
 import sentencepiece
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from quire.llm import pieces
@@ -44,8 +45,6 @@ def test_dropout_is_seeded_and_varied():
 
 def agenda_by_scan(text, rate, key):
     """The same merges by looking for the best remaining candidate each time."""
-    import xxhash
-
     parts, places, skipped = list(text), list(range(len(text))), set()
     state = xxhash.xxh64_intdigest(text.encode(), key)
     while True:
@@ -61,9 +60,8 @@ def agenda_by_scan(text, rate, key):
             return [i for p in parts
                     for i in ([VOCABULARY.ids[p]] if p in VOCABULARY.ids else VOCABULARY.spelled(p))]
         _, k, made = best
-        dice = (state + places[k] * 0x9E3779B97F4A7C15 + made * 0xD1B54A32D192ED03) % 2 ** 64
-        dice = (dice ^ dice >> 29) * 0xBF58476D1CE4E5B9 % 2 ** 64
-        if dice >> 32 < int(rate * 2 ** 32):
+        dice = state ^ (places[k] * 0x9E3779B97F4A7C15) ^ (made * 0xD1B54A32D192ED03)
+        if dice * 0xBF58476D1CE4E5B9 % 2 ** 64 >> 32 < int(rate * 2 ** 32):
             skipped.add((places[k], places[k + 1], made))
             continue
         parts[k:k + 2] = [parts[k] + parts[k + 1]]
@@ -74,7 +72,10 @@ def agenda_by_scan(text, rate, key):
 @given(st.text(alphabet="▁theingorasd", min_size=1, max_size=14), st.integers(0, 99))
 def test_agenda_against_scan(text, key):
     for rate in (0.1, 0.5):
-        assert VOCABULARY.merge(text, rate, key) == agenda_by_scan(text, rate, key)
+        want = agenda_by_scan(text, rate, key)
+        assert VOCABULARY.merge(text, rate, key) == want
+        limit, state = int(rate * 2 ** 32), xxhash.xxh64_intdigest(text.encode(), key)
+        assert VOCABULARY._in_heap(text, limit, state) == VOCABULARY._in_list(text, limit, state)
 
 
 def test_frames(odd_docs, no_docs):
