@@ -1,14 +1,12 @@
 """Text of mail, RTF, DOCX, XLSX and archive XML files.
 
 Only what needs a decoder runs in Python, one file at a time and without state
-between files: MIME parsing, RTF control words, unzipping. Cutting XML into
-text nodes, paragraphs, rows and lines is left to Spark expressions.
+between files: RTF control words, unzipping. Mail, XML text nodes, paragraphs,
+rows and lines are left to Spark expressions.
 """
 
 from __future__ import annotations
 
-import email
-import email.policy
 import io
 import re
 import zipfile
@@ -16,7 +14,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions import names as N, text as X
+from quire.functions import mail as M, names as N, text as X
 
 # The members read of each format, in order; a star stands for a number.
 MEMBERS = {
@@ -37,8 +35,8 @@ XLSX_TITLE = "=== CLASSEUR EXCEL (XLSX) ==="
 XLSX_FOUND = "Données extraites des feuilles :"
 XLSX_EMPTY = "Feuille de calcul (aucune chaîne partagée détectée)"
 XLSX_JOIN, XLSX_ROW = "  |  ", 5
-# Mail defaults.
-NO_SUBJECT, NO_SENDER = "(Sans objet)", "Inconnu"
+# Extensions of mail messages.
+MAIL = ("eml", "msg")
 # RTF groups without readable text, control words that write a character.
 RTF_SKIPPED = ("fonttbl", "colortbl", "stylesheet", "info")
 RTF_WORDS = {"par": "\n", "line": "\n", "row": "\n", "tab": "\t"}
@@ -81,30 +79,6 @@ def _decode_rtf(data: bytes) -> list[dict]:
     return [{"part": "text", "body": rtf_text(data)}]
 
 
-def _decode_mail(data: bytes) -> list[dict]:
-    msg = email.message_from_bytes(data, policy=email.policy.default)
-    body = msg.get_body(("plain",))
-    if body is not None:
-        text = body.get_content()
-    else:
-        html = msg.get_body(("html",))
-        text = html.get_content() if html is not None else ""
-        text = text.replace("<br>", "\n").replace("</p>", "\n\n")
-    try:
-        date = msg["date"].datetime.isoformat() if msg["date"] else ""
-    except (ValueError, AttributeError, TypeError):
-        date = ""
-    rows = [{"part": "message", "body": text, "subject": str(msg["subject"] or NO_SUBJECT),
-             "sender": str(msg["from"] or NO_SENDER), "recipient": str(msg["to"] or ""),
-             "date": date}]
-    for no, att in enumerate(msg.iter_attachments(), 1):
-        payload = att.get_payload(decode=True) or b""
-        rows.append({"part": "attachment", "name": f"att_{no}",
-                     "subject": att.get_filename() or f"attachment_{no}",
-                     "mime": att.get_content_type(), "size": len(payload)})
-    return rows
-
-
 def _decode_archive(ext: str):
     def decode(data: bytes) -> list[dict]:
         bodies = []
@@ -119,8 +93,7 @@ def _decode_archive(ext: str):
     return decode
 
 
-DECODERS = {"rtf": _decode_rtf, "eml": _decode_mail, "msg": _decode_mail,
-            **{ext: _decode_archive(ext) for ext in MEMBERS}}
+DECODERS = {"rtf": _decode_rtf, **{ext: _decode_archive(ext) for ext in MEMBERS}}
 
 _FIELDS = ("part", "name", "body", "subject", "sender", "recipient", "date", "mime", "size", "reason")
 _PARTS = "array<struct<%s>>" % ",".join(
@@ -142,7 +115,8 @@ def _parts(ext: Column, content: Column) -> Column:
 
         return pd.Series([one(k, d) for k, d in zip(exts, contents)], dtype=object)
 
-    return decoded(ext, F.when(ext.isin(*DECODERS), content))
+    mail = F.when(ext.isin(*MAIL), M.message_parts(content))
+    return F.coalesce(mail, decoded(ext, F.when(ext.isin(*DECODERS), content)))
 
 
 def decode(files: DataFrame) -> DataFrame:
@@ -313,7 +287,7 @@ def extract_lines(files: DataFrame) -> DataFrame:
     and unknown formats that hold text stay in the JVM, everything else and
     every file that cannot be read is a reject, in one pass over the files.
     """
-    known = F.col("ext").isin(*DECODERS)
+    known = F.col("ext").isin(*DECODERS, *MAIL)
     rows = files.select(
         "path", "ext", "content", _parts(F.col("ext"), F.col("content")).alias("_parts"),
         F.when(~known, no_text_reason(F.col("ext"), F.col("content"))).alias("_reason"))

@@ -135,6 +135,28 @@ def test_mail(spark):
     assert got["b"].body.startswith("<p>one\ntwo\n\n") and E.attachments(parts).count() == 0
 
 
+def test_mail_parts_and_encodings(spark):
+    inner = (b"Content-Type: multipart/alternative; boundary=\"b1\"\r\n\r\n--b1\r\n"
+             b"Content-Type: text/plain; charset=iso-8859-1\r\nContent-Transfer-Encoding: quoted-printable"
+             b"\r\n\r\ncaf=E9 =3D long=\r\n line\r\n--b1\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+             b"\r\n--b1--\r\n")
+    mail = (b"Subject: =?utf-8?B?w4l0w6k=?= =?utf-8?Q?_=C3=A0_Paris?= now\r\nFrom: =?iso-8859-1?Q?Ren=E9?="
+            b" <r@x.fr>\r\nTo: a@x.fr,\r\n b@x.fr\r\nDate: 4 Mar 2024 09:05 GMT\r\n"
+            b"Content-Type: multipart/mixed;\r\n boundary=b\r\n\r\npreamble\r\n--b\r\n" + inner +
+            b"\r\n--b\r\nContent-Type: application/pdf; name=\"a b.pdf\"\r\n"
+            b"Content-Transfer-Encoding: base64\r\n\r\nAAEC\r\nAw==\r\n--b\r\n"
+            b"Content-Disposition: attachment\r\n\r\n\xff\xfe\r\n--b--\r\nepilogue")
+    parts = E.decode(files(spark, ("m", "eml", mail), ("n", "eml", b""), ("o", "msg", b"\r\nbody only")))
+    got = {r.path: r for r in E.messages(parts).collect()}
+    m = got["m"]
+    assert (m.subject, m.sender, m.recipient) == ("Été à Paris now", "René <r@x.fr>", "a@x.fr, b@x.fr")
+    assert m.date == "2024-03-04T09:05:00+00:00" and m.body == "café = long line"
+    assert (got["n"].subject, got["n"].body, got["o"].body) == ("(Sans objet)", "", "body only")
+    assert sorted((r.attachment_id, r.filename, r.mime_type, r["size"])
+                  for r in E.attachments(parts).collect()) == [
+        ("att_1", "a b.pdf", "application/pdf", 4), ("att_2", "attachment_2", "text/plain", 2)]
+
+
 def test_docx_with_image(spark):
     xml = ("<w:document><w:body><w:p><w:r><w:t>First &amp; only</w:t></w:r></w:p><w:p/>"
            "<w:p><w:r><w:t>Before</w:t></w:r><w:drawing><wp:extent cx=\"1270000\" cy=\"1270000\"/>"
