@@ -16,6 +16,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +26,22 @@ from pyspark.sql import DataFrame, functions as F
 RATE, SEED, VARIANTS = 0.1, 1, 4
 #: words, in each of two generations, and runs that a worker remembers over all variants
 REMEMBERED = 700_000
-#: ids of one batch of results
-_OUT = 2_000_000
+#: bytes of text that are encoded at a time
+_BYTES = 4_000_000
 _MARK, _OWN_MARK = "▁", "\ud800"  # the sign for a space; stands for that sign in a text
 _WORD, _NO_PIECE = (1 << 64) - 1, 1 << 30
-#: characters up to which a run's agenda is a list
-SHORT = 64
+#: characters up to which runs are merged many at once, and how many
+SHORT, _ROWS = 32, 20_000
+_PLACE, _MADE, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03,
+                                              0xBF58476D1CE4E5B9))
 #: marks that mostly end a word; fixed values
 _TAIL = ".,;:!?\"')]"
 
 
 def skipped(state: int, place: int, made: int, limit: int) -> bool:
     """Whether the candidate that makes a piece at a place is left out."""
-    dice = state ^ place * 0x9E3779B97F4A7C15 ^ made * 0xD1B54A32D192ED03
-    return (dice * 0xBF58476D1CE4E5B9 & _WORD) >> 32 < limit
+    dice = state ^ place * int(_PLACE) ^ made * int(_MADE)
+    return (dice * int(_MIX) & _WORD) >> 32 < limit
 
 
 class Vocabulary:
@@ -68,6 +71,12 @@ class Vocabulary:
         order = {s: k for k, s in enumerate(sorted({self.scores[i] for i in self.ids.values()},
                                                    reverse=True))}
         self.ranks = {p: order[self.scores[i]] for p, i in self.ids.items()}
+        pairs = sorted((self.ids[p[:k]] << 32 | self.ids[p[k:]], self.ranks[p], i)
+                       for p, i in self.ids.items() for k in range(1, len(p))
+                       if p[:k] in self.ids and p[k:] in self.ids)
+        # the last row stands for two symbols that make no piece
+        table = np.array([*pairs, (-1, _NO_PIECE, -1)], np.int64).T
+        self.pair_keys, self.pair_ranks, self.pair_made = table[0][:-1], table[1], table[2]
 
     def spelled(self, char: str) -> list[int]:
         """Byte pieces of a character that is no piece."""
@@ -82,34 +91,85 @@ class Vocabulary:
         """Ids of one run of characters by agenda, with candidates skipped at ``rate``."""
         limit = int(rate * (1 << 32))
         state = xxhash.xxh64_intdigest(text.encode(errors="surrogatepass"), key) if limit else 0
-        parts = (self._in_list if len(text) <= SHORT else self._in_heap)(text, limit, state)
+        parts = self._in_heap(text, limit, state)
         found = [*map(self.ids.get, parts)]
         if None not in found:
             return found
         return [i for part, one in zip(parts, found)
                 for i in ([one] if one is not None else self.spelled(part))]
 
-    def _in_list(self, text: str, limit: int, state: int) -> list[str]:
-        """The agenda as a list of the ranks at each place: fastest for words."""
-        ids, rank, none = self.ids, self.ranks.get, _NO_PIECE
-        parts, places = [*text], [*range(len(text))]
-        agenda = [rank(a + b, none) for a, b in zip(text, text[1:])]
-        while agenda and (best := min(agenda)) != none:
-            k = agenda.index(best)
-            joined = parts[k] + parts[k + 1]
-            if limit and skipped(state, places[k], ids[joined], limit):
-                agenda[k] = none
-                continue
-            parts[k] = joined
-            del parts[k + 1], places[k + 1], agenda[k]
-            if k < len(agenda):
-                agenda[k] = rank(joined + parts[k + 1], none)
-            if k:
-                agenda[k - 1] = rank(parts[k - 1] + joined, none)
-        return parts
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Row of the pair table for each two neighbouring symbols."""
+        none = len(self.pair_keys)
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), none - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == keys), at, none)
+
+    def merge_many(self, runs: list[str], rate: float = 0.0, key: int = 0) -> list[list[int]]:
+        """``merge`` for many runs at once: a row of symbols for each, a merge a round."""
+        limit = int(rate * (1 << 32))
+        out: list = [None] * len(runs)
+        known = [k for k, run in enumerate(runs)
+                 if run and len(run) <= SHORT and not self.strange(run)]
+        for a in range(0, len(known), _ROWS):
+            some = known[a:a + _ROWS]
+            states = np.array([xxhash.xxh64_intdigest(runs[k].encode(), key) for k in some],
+                              np.uint64) if limit else np.zeros(len(some), np.uint64)
+            symbols = self._merged_rows([runs[k] for k in some], limit, states)
+            sizes = (symbols >= 0).sum(axis=1)
+            flat = symbols[symbols >= 0].tolist()
+            for k, begin, n in zip(some, (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
+                out[k] = flat[begin:begin + n]
+        return [ids if ids is not None else self.merge(run, rate, key)
+                for run, ids in zip(runs, out)]
+
+    def _merged_rows(self, runs: list[str], limit: int, states: np.ndarray) -> np.ndarray:
+        """Symbols left of each run, -1 behind them; the agenda of a row is its row of ranks."""
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        width = int(sizes.max(initial=1)) + 1
+        symbol = np.full((len(runs), width), -1, np.int64)
+        symbol[np.arange(width) < sizes[:, None]] = [self.ids[c] for c in "".join(runs)]
+        result = np.full_like(symbol, -1)
+        place = np.broadcast_to(np.arange(width, dtype=np.uint64), symbol.shape).copy()
+        pair = self._pairs(symbol[:, :-1], symbol[:, 1:])
+        rank, row = self.pair_ranks[pair], np.arange(len(runs))
+        columns = np.arange(width)
+        while len(row):
+            k = rank.argmin(axis=1)
+            here = np.arange(len(row))
+            going = rank[here, k] < _NO_PIECE
+            if not going.all():
+                result[row[~going]] = symbol[~going]
+                symbol, place, pair, rank, row, states, k = (
+                    x[going] for x in (symbol, place, pair, rank, row, states, k))
+                here = np.arange(len(row))
+            made = self.pair_made[pair[here, k]]
+            if limit:
+                dice = states ^ place[here, k] * _PLACE ^ made.astype(np.uint64) * _MADE
+                left_out = dice * _MIX >> np.uint64(32) < limit
+                rank[here[left_out], k[left_out]] = _NO_PIECE
+                here, k, made = here[~left_out], k[~left_out], made[~left_out]
+            # what stands behind the merged pair moves up by one
+            symbol[here, k] = made
+            behind = np.minimum(columns + (columns > k[:, None]), width - 1)
+            symbol[here] = np.take_along_axis(symbol[here], behind, 1)
+            place[here] = np.take_along_axis(place[here], behind, 1)
+            behind = np.minimum(columns[:-1] + (columns[:-1] >= k[:, None]), width - 2)
+            pair[here] = np.take_along_axis(pair[here], behind, 1)
+            rank[here] = np.take_along_axis(rank[here], behind, 1)
+            for begin in (k, k - 1):  # the last column is never a symbol
+                fits = (begin >= 0) & (begin < width - 1)
+                h, c = here[fits], begin[fits]
+                pair[h, c] = self._pairs(symbol[h, c], symbol[h, c + 1])
+                rank[h, c] = self.pair_ranks[pair[h, c]]
+        return result
+
+    def strange(self, run: str) -> bool:
+        """Whether a character of the run is no piece."""
+        return not all(map(self.ids.__contains__, run))
 
     def _in_heap(self, text: str, limit: int, state: int) -> list[str]:
-        """The agenda as a heap: no more than n log n for a run of any length."""
+        """Symbols left of one run; a heap takes no more than n log n for any length."""
         n, ids = len(text), self.ids
         parts = list(text)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
@@ -153,62 +213,81 @@ class Encoder:
         self.count = self.run_count = 0
         self.feeds = any("\n" in pair for pair in vocabulary.meet)
 
-    def _run(self, run: str, variant: int) -> bytes:
-        ids = self.runs[variant].get(run)
-        if ids is None:
-            found = self.vocabulary.merge(run, self.rate, self.keys[variant])
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if self.run_count > REMEMBERED:
-                self.runs, self.run_count = [{} for _ in self.keys], 0
-            self.runs[variant][run] = ids
-            self.run_count += 1
-        return ids
-
-    def lines(self, text: str) -> list[str]:
-        """Parts between line feeds, and the line feeds, if no piece reaches over one."""
-        if "\n" not in text or self.feeds:
-            return [text]
-        return [x for x in re.split("(\n)", text) if x]
-
-    def _marked(self, part: str, variant: int) -> bytes:
-        """Ids of a word, apart from the marks at its end if no piece reaches over to them."""
-        core = part.rstrip(_TAIL)
-        if core and core != part and part[len(core) - 1:len(core) + 1] not in self.vocabulary.meet:
-            return self._run(core, variant) + self._run(part[len(core):], variant)
-        return self._run(part, variant)
-
-    def _new(self, word: bytes, variant: int) -> bytes:
-        """Ids of a word with the space before it; further spaces are the word's own."""
-        ids = self.old[variant].get(word)
-        if ids is None:
+    def _learn(self, words: set[bytes], variant: int) -> None:
+        """Remember the ids of words with the space before them; further spaces are their own."""
+        known, runs, old = self.young[variant], self.runs[variant], self.old[variant]
+        parts: dict[bytes, list[str]] = {}
+        for word in words:
+            ids = old.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
             text = word.decode(errors="surrogateescape").replace(_MARK, _OWN_MARK)
-            text = _MARK + text.replace(" ", _MARK)
-            ids = b"".join([self._marked(part, variant) for part in self.lines(text)])
+            parts[word] = self.cut(_MARK + text.replace(" ", _MARK))
+        new = [*{x for found in parts.values() for x in found if x not in runs}]
+        merged = self.vocabulary.merge_many(new, self.rate, self.keys[variant])
+        runs.update(zip(new, (struct.pack(f"<{len(x)}I", *x) for x in merged)))
+        for word, found in parts.items():
+            known[word] = b"".join([runs[x] for x in found])
+        self.count += len(words)
+        self.run_count += len(new)
+
+    def cut(self, text: str) -> list[str]:
+        """Runs of a word: cut at line feeds and before the marks at its end, where no piece
+        reaches over."""
+        lines = [text] if "\n" not in text or self.feeds else [
+            x for x in re.split("(\n)", text) if x]
+        out = []
+        for line in lines:
+            core = line.rstrip(_TAIL)
+            if core and core != line and line[len(core) - 1:len(core) + 1] not in (
+                    self.vocabulary.meet):
+                out += [core, line[len(core):]]
+            else:
+                out.append(line)
+        return out
+
+    def encode(self, texts: list[bytes], variants: list[int]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit numbers."""
         if self.count > REMEMBERED:
             self.old, self.young, self.count = self.young, [{} for _ in self.keys], 0
-        self.young[variant][word] = ids
-        self.count += 1
-        return ids
-
-    def encode(self, text: bytes, variant: int = 0) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        words = text.split(b" ")
-        if b"" in words:  # several spaces: all but one stay with the word behind them
-            joined, spaces = [], b""
-            for word in words[:-1]:
-                if word:
-                    joined.append(spaces + word)
-                    spaces = b""
-                else:
-                    spaces += b" "
-            words = [*joined, spaces + words[-1]]
-        out = []
-        for a in range(0, len(words), 100_000):
-            get, new = self.young[variant].get, self._new
-            out.append(b"".join([get(w) or new(w, variant) for w in words[a:a + 100_000]]))
-        return b"".join(out)
+        if self.run_count > REMEMBERED:
+            self.runs, self.run_count = [{} for _ in self.keys], 0
+        cut = [spaced(t) for t in texts]
+        missing: list[set] = [set() for _ in self.keys]
+        for words, v in zip(cut, variants):
+            missing[v].update(words)
+        for v, words in enumerate(missing):
+            self._learn(words.difference(self.young[v]), v)
+        return [b"".join([*map(self.young[v].__getitem__, words)])
+                for words, v in zip(cut, variants)]
+
+
+def spaced(text: bytes) -> list[bytes]:
+    """Words between single spaces; of several spaces all but one stay with the word behind."""
+    words = text.split(b" ") if text else []
+    if b"" not in words:
+        return words
+    joined, spaces = [], b""
+    for word in words[:-1]:
+        if word:
+            joined.append(spaces + word)
+            spaces = b""
+        else:
+            spaces += b" "
+    return [*joined, spaces + words[-1]]
+
+
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of at most ``_BYTES`` bytes of text together, or a single row."""
+    begin = total = 0
+    for k, n in enumerate(sizes):
+        if total + n > _BYTES and k > begin:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 _LOADED: dict[tuple, Encoder] = {}
@@ -249,20 +328,14 @@ def encoded(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED,
                  pa.array(good, pa.bool_())],
                 names=["doc_id", "variant", "n_pieces", "ids", "lossless"])
 
-        held, size = [], 0
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
-            for key, variant, text in rows:
-                raw = text.as_py() or b""
-                ids = of.encode(raw, variant)
-                back = of.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
-                held.append((key, variant, ids, back == raw))
-                size += len(ids) // 4
-                if size >= _OUT:
-                    yield batch_of(held)
-                    held, size = [], 0
-        if held:
-            yield batch_of(held)
+            keys, variants_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sizes = [len(x.as_buffer() or b"") for x in batch.column(2)]
+            for a, b in slices(sizes):
+                texts = [x.as_py() or b"" for x in batch.column(2).slice(a, b - a)]
+                ids = of.encode(texts, variants_of[a:b])
+                back = [of.vocabulary.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+                yield batch_of([*zip(keys[a:b], variants_of[a:b], ids, map(eq, back, texts))])
 
     variant = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(variants)),
                          F.lit(0)).cast("int")

@@ -16,7 +16,7 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
 def ids(encoder, text, variant=0):
     import numpy as np
 
-    return np.frombuffer(encoder.encode(text, variant), "<u4").tolist()
+    return np.frombuffer(encoder.encode([text], [variant])[0], "<u4").tolist()
 
 
 @settings(max_examples=300, deadline=None)
@@ -68,14 +68,21 @@ def agenda_by_scan(text, rate, key):
         del places[k + 1]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="▁theingorasd.é\n日", min_size=1, max_size=40), max_size=20),
+       st.integers(0, 99))
+def test_many_runs_as_each_alone(runs, key):
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        assert VOCABULARY.merge_many(runs, rate, key) == [
+            VOCABULARY.merge(x, rate, key) for x in runs]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="▁theingorasd", min_size=1, max_size=14), st.integers(0, 99))
 def test_agenda_against_scan(text, key):
     for rate in (0.1, 0.5):
         want = agenda_by_scan(text, rate, key)
         assert VOCABULARY.merge(text, rate, key) == want
-        limit, state = int(rate * 2 ** 32), xxhash.xxh64_intdigest(text.encode(), key)
-        assert VOCABULARY._in_heap(text, limit, state) == VOCABULARY._in_list(text, limit, state)
 
 
 def test_frames(odd_docs, no_docs):
