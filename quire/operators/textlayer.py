@@ -145,20 +145,22 @@ def page_text(span_rows: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_num
 
 
 def wrap(df: DataFrame, col: str, max_chars: int) -> DataFrame:
-    """Greedy word wrap by byte length; one row per wrapped line (wrap_no 0-based)."""
+    """Greedy word wrap by byte length; one row per wrapped line (wrap_no 0-based).
+
+    The end of a line is looked up in the running sizes of the words.
+    """
     @F.pandas_udf("array<string>")
     def wrapped(texts):
         def fold(text):
-            out, size = [], 0
-            for word in (text or "").split():
-                n = len(word.encode())
-                if out and size + 1 + n <= max_chars:
-                    out[-1].append(word)
-                    size += 1 + n
-                else:
-                    out.append([word])
-                    size = n
-            return [" ".join(ws) for ws in out]
+            words = (text or "").split()
+            upto = np.cumsum([0, *(len(w.encode()) + 1 for w in words)])
+            out, at = [], 0
+            while at < len(words):
+                end = int(np.searchsorted(upto, upto[at] + max_chars + 1, "right")) - 1
+                end = max(end, at + 1)  # a word longer than a line has one for itself
+                out.append(" ".join(words[at:end]))
+                at = end
+            return out
 
         return texts.map(fold)
 
@@ -175,34 +177,43 @@ FLOW_HEADING, FLOW_LINE, FLOW_BLANK = 24, 16, 12
 def flow_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     """Pages of lines with different heights: first line 24, others 16, blank 12.
 
-    The page break depends on the fill so far, so the lines of one document are
-    walked in order; documents are independent rows of an Arrow batch.
+    A page ends with the first line that is not blank and falls below the floor;
+    it is looked up in the running heights, once a page.
     """
-    @F.pandas_udf("array<struct<page_number:int,y:double>>")
+    @F.pandas_udf("struct<page_number:array<int>,y:array<double>>")
     def placed(line_lists):
+        import pandas as pd
+
         def place(items):
-            page, y, out = 1, float(FLOW_TOP), []
-            for no, line in enumerate(items):
-                out.append({"page_number": page, "y": y})
-                if not line.strip():
-                    y -= FLOW_BLANK
-                    continue
-                y -= FLOW_LINE if no else FLOW_HEADING
-                if y < FLOW_FLOOR:
-                    page, y = page + 1, float(FLOW_TOP)
-            return out
+            n = len(items)
+            filled = np.fromiter((bool(x.strip()) for x in items), bool, n)
+            height = np.where(filled, FLOW_LINE, FLOW_BLANK)
+            if n and filled[0]:
+                height[0] = FLOW_HEADING
+            upto = np.concatenate([[0], np.cumsum(height)])
+            ends, starts = np.flatnonzero(filled) + 1, [0]
+            while True:
+                below = np.searchsorted(upto, upto[starts[-1]] + FLOW_TOP - FLOW_FLOOR, "right")
+                k = np.searchsorted(ends, below)
+                if k == len(ends):
+                    break
+                starts.append(int(ends[k]))
+            page = np.searchsorted(starts, np.arange(n), "right")
+            return page, FLOW_TOP - (upto[:n] - upto[np.array(starts)[page - 1]]).astype(float)
 
-        return line_lists.map(place)
+        rows = [place(x) for x in line_lists]
+        return pd.DataFrame({"page_number": [p for p, _ in rows], "y": [y for _, y in rows]})
 
     kept = [c for c in docs.columns if c != text]
     found = docs.select(*kept, X.lines(F.col(text)).alias("_lines"))
-    both = F.arrays_zip(F.col("_lines").alias("line"), F.col("_at").alias("at"))
+    both = F.arrays_zip(F.col("_lines").alias("line"), F.col("_at.page_number").alias("page_number"),
+                        F.col("_at.y").alias("y"))
     return (
         found.withColumn("_at", placed("_lines"))
         .select(*kept, both.alias("_both"))
         .select(*kept, F.posexplode("_both").alias("line_no", "_p"))
         .select(*kept, "line_no", F.col("_p.line").alias("line"),
-                F.col("_p.at.page_number").alias("page_number"), F.col("_p.at.y").alias("y"))
+                F.col("_p.page_number").alias("page_number"), F.col("_p.y").alias("y"))
     )
 
 
