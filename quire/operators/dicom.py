@@ -47,8 +47,11 @@ HEADER_SCHEMA = (
 _COLUMNS = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
 
 
-def _elements(data: bytes) -> Iterator[tuple[tuple[int, int], memoryview, int]]:
-    """Data elements up to the pixel data: tag, value, declared length."""
+def _elements(data: bytes, total: int) -> Iterator[tuple[tuple[int, int], memoryview, int, int]]:
+    """Data elements up to the pixel data: tag, value, declared length, bytes there are.
+
+    ``total`` is the size of the object, of which ``data`` may be the beginning.
+    """
     view, at = memoryview(data), 132 if data[128:132] == b"DICM" else 0
     while at + 8 <= len(data):
         tag = struct.unpack_from("<HH", data, at)
@@ -61,7 +64,7 @@ def _elements(data: bytes) -> Iterator[tuple[tuple[int, int], memoryview, int]]:
         (length,) = struct.unpack_from(fmt, data, at)
         at += struct.calcsize(fmt)
         end = min(at + length, len(data))
-        yield tag, view[at:end], length
+        yield tag, view[at:end], length, min(length, total - at)
         if tag == PIXEL_DATA:
             return
         if length == UNDEFINED:
@@ -95,19 +98,21 @@ def _read(kind: str, raw: memoryview):
     return _number(text.split("\\")[0].strip() if kind == "first" else text)
 
 
-def read_header(data: bytes) -> tuple[dict, memoryview | None]:
+def read_header(data: bytes, total: int | None = None) -> tuple[dict, memoryview | None]:
     """Header fields and, where present, the plain pixel bytes of one object."""
-    if len(data) < 132:
+    total = len(data) if total is None else total
+    if total < 132:
         return {"reject": "too_short"}, None
     found, pixels = dict(DEFAULTS), None
-    found["has_pixels"] = False
-    for tag, raw, length in _elements(data):
+    found["has_pixels"], found["cut_off"] = False, len(data) < total
+    for tag, raw, length, there in _elements(data, total):
         if tag == PIXEL_DATA:
+            found["cut_off"] = False
             if length == UNDEFINED:
                 found["has_pixels"] = True
             elif found["rows"] * found["columns"] > MAX_PIXELS:
                 found["reject"] = "too_many_pixels"
-            elif len(raw) and found["bits_allocated"] in (8, 16):
+            elif there > 0 and found["bits_allocated"] in (8, 16):
                 found["has_pixels"], pixels = True, raw
         elif tag in TAGS:
             name, kind = TAGS[tag]
@@ -124,17 +129,39 @@ def read_header(data: bytes) -> tuple[dict, memoryview | None]:
     return found, pixels
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """Header row per object (object_id, content); unreadable ones carry a reject reason."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"object_id": i, **read_header(bytes(c))[0]}
-                    for i, c in zip(batch["object_id"], batch["content"])]
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype(object).where(
-                lambda d: d.notna(), None)
+def before_pixels(content: Column) -> Column:
+    """Beginning of an object up to the length of its pixel data, which stays in the JVM.
 
-    return files.select(F.col("object_id").cast("string"), "content").mapInPandas(
-        run, HEADER_SCHEMA)
+    The last place that could be the pixel tag is taken, so that a value that
+    looks like it cuts nothing off an object with pixels; without such a place
+    it is the whole object.
+    """
+    size, tag = F.octet_length(content), "\xe0\x7f\x10\x00"
+    back = F.instr(F.reverse(F.decode(content, "ISO-8859-1")), tag[::-1])
+    return F.when(back > 0, F.substr(content, F.lit(1), size - back + 9)).otherwise(content)
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """Header row per object (object_id, content); unreadable ones carry a reject reason.
+
+    The few objects whose beginning ends without the pixel data are read whole.
+    """
+    fields = HEADER_SCHEMA.split(", ", 1)[1]
+
+    @F.pandas_udf(f"{fields}, cut_off boolean")
+    def read(contents: pd.Series, totals: pd.Series) -> pd.DataFrame:
+        rows = [{} if c is None else read_header(bytes(c), n)[0] for c, n in zip(contents, totals)]
+        return pd.DataFrame(rows, columns=[*_COLUMNS[1:], "cut_off"]).astype(object).where(
+            lambda d: d.notna(), None)
+
+    total = F.octet_length("content")
+    first = files.select(F.col("object_id").cast("string").alias("object_id"), "content",
+                         read(before_pixels(F.col("content")), total).alias("_h"))
+    again = read(F.when(F.col("_h.cut_off"), F.col("content")), total)
+    both = first.select("object_id", "_h", again.alias("_whole"))
+    head = F.when(F.col("_h.cut_off"), F.col("_whole")).otherwise(F.col("_h"))
+    return both.select("object_id", head.alias("_h")).select("object_id", *[
+        F.col(f"_h.{c}").alias(c) for c in _COLUMNS[1:]])
 
 
 def samples(files: DataFrame, block: int = 65_536) -> DataFrame:

@@ -58,24 +58,42 @@ def covered_lines(orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFr
     )
 
 
-def redact_lines(lines: DataFrame, orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFrame:
-    """Lines with every overlapped word replaced by the label of the first order.
-
-    The text itself is removed. Lines without an order pass through unchanged.
-    """
+def _redacted(line: Column, orders: Column) -> Column:
+    """A line with every overlapped word replaced by the label of the first order."""
     def hit(word: Column) -> Column:
         x0 = X.LEFT_MARGIN + X.CHAR_WIDTH * word["start"]
         x1 = x0 + X.CHAR_WIDTH * F.length(word["text"])
-        first = F.get(F.filter("orders", lambda o: (o["x0"] < x1) & (o["x1"] > x0)), F.lit(0))
+        first = F.get(F.filter(orders, lambda o: (o["x0"] < x1) & (o["x1"] > x0)), F.lit(0))
         return F.coalesce(first["label"], word["text"])
 
-    redacted = F.array_join(F.transform(X.located_words(F.col("line")), hit), " ")
+    return F.when(orders.isNotNull(), F.array_join(F.transform(X.located_words(line), hit), " ")
+                  ).otherwise(line)
+
+
+def redact_lines(lines: DataFrame, orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFrame:
+    """Lines of a table with the words under an order removed; others pass through unchanged."""
+    return lines.join(covered_lines(orders, per_page), ["doc_id", "line_no"], "left").select(
+        *[F.col(c) for c in lines.columns if c != "line"],
+        _redacted(F.col("line"), F.col("orders")).alias("line"),
+        F.col("orders").isNotNull().alias("is_redacted")).select(*lines.columns, "is_redacted")
+
+
+def redact_texts(docs: DataFrame, orders: DataFrame, text: str = "text",
+                 per_page: int = X.LINES_PER_PAGE) -> DataFrame:
+    """Lines of documents with the words under an order removed: line_no, line, is_redacted.
+
+    The orders of a document meet its row once; its lines are cut and redacted
+    there, so no line takes part in a join.
+    """
+    by_line = F.map_from_entries(F.collect_list(F.struct("line_no", "orders")))
+    found = covered_lines(orders, per_page).groupBy("doc_id").agg(by_line.alias("_by_line"))
+    kept = [c for c in docs.columns if c != text]
+    cells = F.transform(X.lines(F.col(text)), lambda line, no: F.struct(
+        line.alias("line"), F.try_element_at("_by_line", no).alias("orders")))
     return (
-        lines.join(covered_lines(orders, per_page), ["doc_id", "line_no"], "left")
-        .withColumn("is_redacted", F.col("orders").isNotNull())
-        .withColumn("line", F.when(F.col("is_redacted"), redacted).otherwise(F.col("line")))
-        .drop("orders")
-        .select(*lines.columns, "is_redacted")
+        docs.join(found, "doc_id", "left").select(*kept, F.posexplode(cells).alias("line_no", "_c"))
+        .select(*kept, "line_no", _redacted(F.col("_c.line"), F.col("_c.orders")).alias("line"),
+                F.col("_c.orders").isNotNull().alias("is_redacted"))
     )
 
 

@@ -24,8 +24,7 @@ def redaction_orders(spark, sf):
 
 
 def redacted_text(spark, sf):
-    lines = textlayer.lines(contacts(spark, sf))
-    return redact.redact_lines(lines, _orders(spark, sf)).select(
+    return redact.redact_texts(contacts(spark, sf), _orders(spark, sf)).select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "is_redacted")
 
 
@@ -33,7 +32,7 @@ def redaction_leaks(spark, sf):
     """Hits per category before and after redaction."""
     text = contacts(spark, sf)
     hits = settled(pii.scan_text(text))
-    done = redact.redact_lines(textlayer.lines(text), pii.redaction_orders(hits))
+    done = redact.redact_texts(text, pii.redaction_orders(hits))
     left = redact.remaining_hits(done, hits)
     tagged = hits.select("category", F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
         left.select("category", F.lit(0).alias("b"), F.lit(1).alias("a")))

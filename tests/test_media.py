@@ -72,6 +72,24 @@ def element(group, elem, vr, value):
     return head + struct.pack("<H", len(value)) + value
 
 
+def test_pixels_stay_behind(spark):
+    def element(group, elem, vr, value):
+        return struct.pack("<HH", group, elem) + vr + struct.pack("<H", len(value)) + value
+
+    head = b"\0" * 128 + b"DICM" + element(0x0010, 0x0010, b"PN", b"\xe0\x7f\x10\x00Doe ") + element(
+        0x0028, 0x0010, b"US", struct.pack("<H", 2)) + element(0x0028, 0x0011, b"US", struct.pack("<H", 9000))
+    pixels = b"\xe0\x7f\x10\x00OW\0\0" + struct.pack("<I", 36000) + b"\1\2" * 18000
+    df = spark.createDataFrame([("a", head + pixels), ("b", head), ("c", head + pixels + pixels)],
+                               "object_id string, content binary")
+    sizes = {r.object_id: r.n for r in df.select("object_id", F.octet_length(
+        M.before_pixels(F.col("content"))).alias("n")).collect()}
+    assert sizes["a"] == len(head) + 12 and sizes["c"] == len(head + pixels) + 12
+    got = {r.object_id: r for r in M.headers(df).collect()}
+    assert {k: (r.rows, r.columns, r.declared_columns, r.has_pixels) for k, r in got.items()} == {
+        "a": (2, 4096, 9000, True), "b": (2, 1024, 9000, False), "c": (2, 4096, 9000, True)}
+    assert M.samples(df).where("object_id = 'a'").count() == 18000
+
+
 def test_dicom_headers(spark):
     body = element(0x8, 0x60, b"CS", b"MR\0") + element(0x28, 0x10, b"US", struct.pack("<H", 2))
     sequence = struct.pack("<HH", 0x40, 0x275) + b"SQ\0\0" + struct.pack("<I", M.UNDEFINED) + b"ab" * 5 \
