@@ -205,7 +205,8 @@ def normalised(monolithic: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield written()
 
     entry = ", ".join(f"{c}: {'bigint' if c in columns[:2] else 'string'}" for c in columns)
-    both = settled(monolithic.repartition("archive").sortWithinPartitions("archive", "part")
+    # ranges of names hold whole archives and are even, which hashes of a few names are not
+    both = settled(monolithic.repartitionByRange("archive").sortWithinPartitions("archive", "part")
                    .mapInArrow(run, "archive string, part long, start long, data binary, "
                                     f"entries array<struct<{entry}>>"))
     index = settled(both.select("archive", "part", F.explode("entries").alias("e"))
