@@ -7,7 +7,7 @@ no pair is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
 
@@ -47,7 +47,8 @@ def aci_hex(aci: Column) -> Column:
 def raw_records(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
     """Records of drawing texts: runs of group-code pairs that start at a code 0.
 
-    Output: key, pos (pair number of the start), type, items array<struct<code, value>>.
+    Output: key, pos (pair number of the start), type, items array<struct<code, value>>,
+    marks (the section and table markers of the drawing).
     """
     rows = F.transform(X.lines(F.col(content)), lambda s: F.trim(s, F.lit(" \t\r\x0b\x0c")))
 
@@ -65,14 +66,42 @@ def raw_records(drawings: DataFrame, key: str = "drawing_id", content: str = "co
                 F.slice(ps, a + 1, b - a - 1).alias("items")))))
 
     recs = X.bind(rows, lambda ls: X.bind(paired(ls), cut))
-    usable = drawings.repartition(key).select(key, content).where(F.col(content).contains("\n"))
+    def mark(r: Column) -> Column:
+        first = F.get(r["items"], F.lit(0))
+        return F.named_struct(F.lit("pos"), r["pos"], F.lit("type"), r["type"], F.lit("name"),
+                              F.when(first["code"] == "2", first["value"]))
+
+    marks = F.transform(F.filter("_recs", lambda r: r["type"].isin(*MARKS)), mark)
+    usable = drawings.select(key, content).where(F.col(content).contains("\n"))
     return (
         usable.select(key, recs.alias("_recs"))
-        .select(key, F.explode_outer("_recs").alias("_r")).where("_r is not null")
-        .select(key, "_r.*")
+        .select(key, marks.alias("marks"), F.explode_outer("_recs").alias("_r"))
+        .where("_r is not null").select(key, "_r.*", "marks")
     )
 
 
+# Records that open and close sections and tables.
+MARKS = ("SECTION", "ENDSEC", "TABLE", "ENDTAB")
+
+
+def _section_at(marks: Column, pos: Column) -> Column:
+    """Name set by the last section marker up to a record; empty outside of sections."""
+    so_far = F.filter(marks, lambda m: (m["pos"] <= pos) & (
+        (m["type"] == "ENDSEC") | ((m["type"] == "SECTION") & m["name"].isNotNull())))
+    last = F.try_element_at(so_far, F.lit(-1))
+    return F.coalesce(F.when(last["type"] == "SECTION", last["name"]), F.lit(""))
+
+
+def _table_at(marks: Column, pos: Column) -> Column:
+    """Name set by the last marker of a table in the section of tables, empty outside."""
+    so_far = F.filter(marks, lambda m: (m["pos"] <= pos) & (
+        m["type"].isin("ENDTAB", "ENDSEC") | (
+            (m["type"] == "TABLE") & m["name"].isNotNull()
+            & (_section_at(marks, m["pos"]) == "TABLES"))))
+    last = F.try_element_at(so_far, F.lit(-1))
+    return F.coalesce(F.when(last["type"] == "TABLE", last["name"]), F.lit(""))
+
+
 def _points(items: Column) -> Column:
     """Vertices: every y (code 20) with the x (code 10) read last before it."""
     coords = F.transform(
@@ -120,10 +149,11 @@ def records(drawings: DataFrame, key: str = "drawing_id", content: str = "conten
         found = F.try_element_at(array, F.lit(-1))
         return found if default is None else F.coalesce(found, F.lit(default))
 
-    head = F.get("items", F.lit(0))
-    fields = raw_records(drawings, key, content).select(
+    # the state set by the last section or table marker is looked up in the row
+    return raw_records(drawings, key, content).select(
         key, F.col("pos").alias("rec"), "type",
-        F.when(head["code"] == "2", head["value"]).alias("_name"),
+        _section_at(F.col("marks"), F.col("pos")).alias("section"),
+        _table_at(F.col("marks"), F.col("pos")).alias("in_table"),
         last(values(2)).alias("name"), last(values(8)).alias("layer"),
         last(wholes(62)).alias("aci"), last(values(1)).alias("text"),
         F.exists(wholes(62), lambda c: c < 0).alias("negative"),
@@ -133,17 +163,6 @@ def records(drawings: DataFrame, key: str = "drawing_id", content: str = "conten
             (10, "x1"), (20, "y1"), (11, "x2"), (21, "y2"), (40, "radius"), (50, "start_angle"))],
         last(numbers(51), 360.0).alias("end_angle"), last(numbers(40), TEXT_HEIGHT).alias("height"),
         F.when(F.col("type").isin("LWPOLYLINE", "POLYLINE"), _points(F.col("items"))).alias("points"))
-    # the state set by the last section or table marker; rows are already in place
-    upto = Window.partitionBy(key).orderBy("rec").rowsBetween(Window.unboundedPreceding, 0)
-    kind, name = F.col("type"), F.col("_name")
-    section = F.when(kind == "SECTION", name).when(kind == "ENDSEC", "")
-    table = F.when((kind == "TABLE") & (F.col("section") == "TABLES"), name).when(
-        kind.isin("ENDTAB", "ENDSEC"), "")
-    return (
-        fields.withColumn("section", F.coalesce(F.last(section, True).over(upto), F.lit("")))
-        .withColumn("in_table", F.coalesce(F.last(table, True).over(upto), F.lit("")))
-        .drop("_name")
-    )
 
 
 def _layer_record() -> Column:
