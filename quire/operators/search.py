@@ -74,11 +74,14 @@ def matched_texts(texts: DataFrame, queries: DataFrame, gram: int = 3) -> DataFr
 
     sizes = wanted.select("_n").distinct()  # at most `gram` rows
     lengths = F.explode(F.array(*[F.lit(n) for n in range(1, gram + 1)]))
-    word_grams = pieces(texts.select("word", lengths.alias("_n")).join(
-        F.broadcast(sizes), "_n", "left_semi"), "word")
+    needle_grams = pieces(wanted, "needle")
+    # only grams that a query has can be its rarest one; what is left is read twice
+    word_grams = settled(pieces(texts.select("word", lengths.alias("_n")).join(
+        F.broadcast(sizes), "_n", "left_semi"), "word").join(
+        needle_grams.select("_n", "_gram").distinct(), ["_n", "_gram"], "left_semi"))
     frequency = word_grams.groupBy("_n", "_gram").agg(F.count("*").alias("_words"))
     # a query with a gram that no word has cannot match and may drop out here
-    rarest = pieces(wanted, "needle").join(frequency, ["_n", "_gram"]).groupBy(
+    rarest = needle_grams.join(frequency, ["_n", "_gram"]).groupBy(
         "query_id", "needle", "_n").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram"))
     return word_grams.join(rarest, ["_n", "_gram"]).where(
         F.contains("word", F.col("needle"))).select("word", "query_id")

@@ -32,7 +32,7 @@ def _as_rtf(text):
 
 
 def rtf_lines(spark, sf):
-    parts = E.decode(_files(_docs(spark, sf), "rtf", _as_rtf(F.col("text"))))
+    parts = E.decode(_files(_docs(spark, sf), "rtf", _as_rtf(F.col("text"))), ("rtf",))
     return E.part_lines(parts).select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), "line")
@@ -90,7 +90,7 @@ def docx_paragraphs(spark, sf):
     xml = F.concat(F.lit("<w:document><w:body>"), F.array_join(para, ""), image,
                    F.lit("</w:body></w:document>"))
     files = _files(d, "docx", _zipped("word/document.xml")(xml))
-    return E.docx_blocks(E.decode(files)).select(
+    return E.docx_blocks(E.decode(files, ("docx",))).select(
         F.col("path").cast("bigint").alias("doc_id"), F.col("para_no").cast("bigint")
         .alias("para_no"), "kind", "text", "is_heading", "rel_id", "cx_pt", "cy_pt")
 
@@ -101,7 +101,7 @@ def xlsx_rows(spark, sf):
         F.lit("<si><t>"), X.escape_xml(t), F.lit("</t></si>")))
     xml = F.concat(F.lit("<sst>"), F.array_join(cells, ""), F.lit("</sst>"))
     files = _files(d, "xlsx", _zipped("xl/sharedStrings.xml")(xml))
-    return E.part_lines(E.decode(files)).select(
+    return E.part_lines(E.decode(files, ("xlsx",))).select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), F.md5("line").alias("line_md5"))
 
@@ -112,7 +112,7 @@ def odt_lines(spark, sf):
         F.lit("<text:p>"), X.escape_xml(t), F.lit("</text:p>")))
     xml = F.concat(F.lit("<office:text>"), F.array_join(body, "\n"), F.lit("</office:text>"))
     files = _files(d, "odt", _zipped("content.xml")(xml))
-    return E.part_lines(E.decode(files)).select(
+    return E.part_lines(E.decode(files, ("odt",))).select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), "line")
 
@@ -121,7 +121,7 @@ def extraction_rejects(spark, sf):
     """Plain texts that claim to be archives are rejected, not fatal."""
     d = _docs(spark, sf)
     files = _files(d, "docx", F.encode("text", "utf-8"))
-    return E.rejects(E.decode(files)).select(F.col("path").cast("bigint").alias("doc_id"), "ext")
+    return E.rejects(E.decode(files, ("docx",))).select(F.col("path").cast("bigint").alias("doc_id"), "ext")
 
 
 # formats of the mixed corpus; every document takes one by its number

@@ -100,7 +100,7 @@ _PARTS = "array<struct<%s>>" % ",".join(
     f"{f}:{'bigint' if f == 'size' else 'string'}" for f in _FIELDS)
 
 
-def _parts(ext: Column, content: Column) -> Column:
+def _parts(ext: Column, content: Column, formats: tuple[str, ...]) -> Column:
     """Decoded parts of a file; only files with a decoder are handed to Python."""
     @F.pandas_udf(_PARTS)
     def decoded(exts: pd.Series, contents: pd.Series) -> pd.Series:
@@ -115,13 +115,18 @@ def _parts(ext: Column, content: Column) -> Column:
 
         return pd.Series([one(k, d) for k, d in zip(exts, contents)], dtype=object)
 
-    mail = F.when(ext.isin(*MAIL), M.message_parts(content))
-    return F.coalesce(mail, decoded(ext, F.when(ext.isin(*DECODERS), content)))
+    python = [f for f in formats if f in DECODERS]
+    found = [decoded(ext, F.when(ext.isin(*python), content))] if python else []
+    mail = [f for f in formats if f in MAIL]
+    return F.coalesce(*[F.when(ext.isin(*mail), M.message_parts(content))] * bool(mail), *found)
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """Decoded parts of files (path, ext, content); unreadable files become a reject row."""
-    parts = files.select("path", "ext", _parts(F.col("ext"), F.col("content")).alias("_parts"))
+def decode(files: DataFrame, formats: tuple[str, ...] = (*DECODERS, *MAIL)) -> DataFrame:
+    """Decoded parts of files (path, ext, content); unreadable files become a reject row.
+
+    ``formats`` are the extensions to decode; files of others have no parts.
+    """
+    parts = files.select("path", "ext", _parts(F.col("ext"), F.col("content"), formats).alias("_parts"))
     return parts.select("path", "ext", F.explode_outer("_parts").alias("_p")).where(
         "_p is not null").select("path", "ext", "_p.*")
 
@@ -289,7 +294,8 @@ def extract_lines(files: DataFrame) -> DataFrame:
     """
     known = F.col("ext").isin(*DECODERS, *MAIL)
     rows = files.select(
-        "path", "ext", "content", _parts(F.col("ext"), F.col("content")).alias("_parts"),
+        "path", "ext", "content",
+        _parts(F.col("ext"), F.col("content"), (*DECODERS, *MAIL)).alias("_parts"),
         F.when(~known, no_text_reason(F.col("ext"), F.col("content"))).alias("_reason"))
     plain = F.when(~known & F.col("_reason").isNull(), F.col("content").cast("string"))
     parts = rows.select("path", "ext", plain.alias("_plain"), "_reason",
