@@ -4,8 +4,8 @@ A word is the sum of four rows of one embedding table: two chosen by two halves
 that other words rarely share both, and two by hashes of its first letters, which forms of a word
 have in common. Filters over one, two and three words run along
 the whole text; each keeps its largest value, and a logistic layer turns those into a score. The
-score is calibrated on labelled rows kept apart from the fit, and so is one threshold for each
-language.
+score is calibrated on sampled rows kept apart from the fit; one threshold for each language is
+chosen on all labelled rows that the fit did not see.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import bucket
+from quire.llm.common import bucket, small_side
+from quire.plans.durable import settled
 
 #: bounds of the sample that the model is fitted on: labelled rows, words of one of them
 TRAIN_ROWS, TRAIN_WORDS = 8_000, 3_000
@@ -26,6 +28,8 @@ TRAIN_ROWS, TRAIN_WORDS = 8_000, 3_000
 CALIBRATE = 4
 #: toxic rows of a language that it takes for a threshold of its own
 OWN_THRESHOLD = 8
+#: bins of a logit's unit in which scores are counted for the thresholds
+LOGIT_BINS = 256
 HASH_BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: bytes of a word that count as its beginning
 STEMS = (4, 6)
@@ -176,21 +180,28 @@ def _step(net: Network, texts: list[np.ndarray], y: np.ndarray, sums: dict) -> N
         net.table[index] -= RATE * total / np.sqrt(s[index])
 
 
-def _best_limit(scores: np.ndarray, y: np.ndarray) -> float:
-    """Threshold with the largest F1, in the middle of the gap below the lowest accepted score."""
-    order = np.argsort(-scores, kind="stable")
-    s, hit = scores[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(len(s)) + 1 + y.sum())
-    f1[:-1][s[1:] == s[:-1]] = -1  # equal scores are accepted together
+def _best_limit(bins: pd.DataFrame) -> float:
+    """Threshold with the largest F1, in the middle of the gap below the lowest accepted score.
+
+    A row for each bin of logits: bin, n, hits, low and high (its least and largest score).
+    """
+    bins = bins.sort_values("bin", ascending=False)
+    hit = bins["hits"].cumsum().to_numpy()
+    f1 = 2 * hit / (bins["n"].cumsum().to_numpy() + hit[-1])
     k = int(np.argmax(f1))
-    below = s[k + 1] if k + 1 < len(s) else 0.0
-    return float((s[k] + below) / 2)
+    below = bins["high"].iloc[k + 1] if k + 1 < len(bins) else 0.0
+    return float((bins["low"].iloc[k] + below) / 2)
+
+
+def calibrating(n: int) -> np.ndarray:
+    """Which of the sampled rows calibrate."""
+    return np.arange(n) % CALIBRATE == 0
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int = 7) -> Network | None:
-    """Network for labelled word hashes; None if a class is missing."""
+def fit(texts: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Network | None:
+    """Network for labelled word hashes, without thresholds; None if a class is missing."""
     y = np.asarray(y, np.float32)
-    held = np.arange(len(y)) % CALIBRATE == 0
+    held = calibrating(len(y))
     toxic, clean = np.flatnonzero(~held & (y > 0)), np.flatnonzero(~held & (y == 0))
     if not len(toxic) or not len(clean):
         return None
@@ -215,27 +226,62 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int = 7)
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), grad)
     if np.isfinite(w).all() and 0.1 < w[0] < 10:
         net.scale, net.shift = float(w[0]), float(w[1])
-    scores, own = net.scores([texts[i] for i in rows]), np.array([langs[i] for i in rows])
-    net.limit = _best_limit(scores, y[rows])
-    for lang in sorted(set(own.tolist())):
-        mine = own == lang
-        n = y[rows][mine].sum()
-        if OWN_THRESHOLD <= n < mine.sum():
-            net.limits[lang] = _best_limit(scores[mine], y[rows][mine])
     return net
 
 
+def set_limits(net: Network, rows: DataFrame) -> None:
+    """Thresholds from all of the labelled rows (doc_id, lang, toxic, text), whole texts.
+
+    Scores are counted in bins of 1 / LOGIT_BINS of the logit, so that a language has at most
+    80 * LOGIT_BINS of them; its threshold is picked where its bins are. A repeated document counts
+    once in a language.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            if b.num_rows:
+                z = model.logits([word_hashes(x.as_py() or b"") for x in b.column(3)])
+                yield pa.record_batch([*b.columns[:3], pa.array(np.clip(z, -40, 40))],
+                                      names=["doc_id", "lang", "toxic", "z"])
+
+    def best(bins: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": bins["lang"].iloc[:1], "best": [_best_limit(bins)]})
+
+    score = 1 / (1 + F.exp(-F.col("z")))
+    bins = settled(
+        rows.mapInArrow(run, "doc_id long, lang string, toxic int, z double")
+        .groupBy("doc_id", "lang").agg(F.max("toxic").alias("toxic"), F.min("z").alias("z"))
+        .groupBy("lang", F.floor(F.col("z") * LOGIT_BINS).alias("bin")).agg(
+            F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("hits"),
+            F.min(score).alias("low"), F.max(score).alias("high")))
+    shared.unpersist()
+    whole = bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"),
+                                    F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    if not len(whole) or not 0 < whole["hits"].sum() < whole["n"].sum():
+        return
+    net.limit = _best_limit(whole)
+    enough = bins.groupBy(F.col("lang").alias("own")).agg(
+        F.sum("n").alias("all"), F.sum("hits").alias("toxic")).filter(
+        (F.col("toxic") >= OWN_THRESHOLD) & (F.col("toxic") < F.col("all")))
+    net.limits = {r.lang: r.best for r in bins.join(enough, bins["lang"] == enough["own"], "left_semi")
+                  .groupBy("lang").applyInPandas(best, "lang string, best double").collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Fit on a bounded sample: TRAIN_ROWS labelled rows outside the held-out fifth, by hash.
 
     Only labels that are set count; if a document has several, the toxic one does. Rows of more
     than TRAIN_WORDS words are not used for fitting. The sample is what a driver can hold at any
-    size of the input: at most TRAIN_ROWS * TRAIN_WORDS words of 12 bytes.
+    size of the input: at most TRAIN_ROWS * TRAIN_WORDS words of 12 bytes. All labelled rows that
+    the fit did not see, but for the held-out fifth, set the thresholds.
     """
-    known = (labels.filter("doc_id is not null and toxic is not null")
-             .filter(bucket(F.col("doc_id"), 5) != 0)
-             .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
-             .orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS))
+    labelled = small_side(labels.filter("doc_id is not null and toxic is not null")
+                          .filter(bucket(F.col("doc_id"), 5) != 0)
+                          .groupBy(F.col("doc_id").cast("long").alias("label_id"))
+                          .agg(F.max("toxic").alias("toxic")))
+    known = labelled.orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"),
                         F.coalesce("lang", F.lit("")).alias("lang"))
     sample = texts.join(F.broadcast(known), texts["doc_id"] == known["label_id"]).select(
@@ -255,9 +301,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
             .orderBy(F.xxhash64("doc_id")).toPandas())
     if not len(rows):
         return None
-    return fit([np.frombuffer(w, np.uint32).reshape(-1, 1 + len(STEMS))
-                for w in rows["words"]],
-               (rows["toxic"] > 0).to_numpy(), rows["lang"].tolist())
+    net = fit([np.frombuffer(w, np.uint32).reshape(-1, 1 + len(STEMS)) for w in rows["words"]],
+              (rows["toxic"] > 0).to_numpy())
+    if net is None:
+        return None
+    seen = docs.sparkSession.createDataFrame(
+        rows.loc[~calibrating(len(rows)), ["doc_id"]].rename(columns={"doc_id": "seen_id"}),
+        "seen_id long")
+    others = labelled.join(F.broadcast(seen), labelled["label_id"] == seen["seen_id"], "left_anti")
+    others = small_side(others)
+    set_limits(net, texts.join(others, texts["doc_id"] == others["label_id"]).select(
+        F.col("doc_id").cast("long"), "lang", F.col("toxic").cast("int"), "text"))
+    return net
 
 
 def scored(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -304,8 +359,6 @@ def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def toxic(text, lang):
-        import pandas as pd
-
         model = shared.value
         if model is None or not len(text):
             return pd.Series([False] * len(text))

@@ -84,3 +84,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.not_toxic(odd_docs, none).count() == odd_docs.count()
     assert toxicity.toxicity(no_docs, some).collect() == []
     assert toxicity.not_toxic(no_docs, some).collect() == []
+
+
+def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 200)
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 100)
+    # a fifteenth of the rows is in a language of its own, half of them toxic
+    rows = [(i, t, "rare" if i % 30 < 2 else g, y) for i, t, g, y in corpus(1500)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    assert set(net.limits) == {"en", "de", "xx", "rare"}
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    sample = [i for i in order if zlib.crc32(str(i).encode()) % 5][:200]
+    sample = [i for i in sample if len(rows[i][1].split()) <= 100]
+    fitted = {i for k, i in enumerate(sample) if k % toxicity.CALIBRATE}
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, net).collect()}
+
+    def f1(mine, limit):
+        hit = sum(y for i, y in mine if score[i] >= limit)
+        return 2 * hit / (sum(score[i] >= limit for i, _ in mine) + sum(y for _, y in mine))
+
+    for lang in (None, *net.limits):
+        mine = [(i, y) for i, _, g, y in rows if lang in (None, g) and i not in fitted
+                and zlib.crc32(str(i).encode()) % 5]
+        assert any(len(rows[i][1].split()) > 100 for i, _ in mine)
+        best = max(f1(mine, score[i]) for i, _ in mine)
+        assert f1(mine, net.limit if lang is None else net.limits[lang]) > best - 0.005
