@@ -46,3 +46,16 @@ def pigeonhole_masks(bits: int, blocks: int, differing: int) -> list[int]:
 def signed(value: int) -> int:
     """An unsigned 64-bit number as Spark's long."""
     return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def text_slices(texts, most: int = 4_000_000):
+    """Places (a, b) of neighbouring texts of at most ``most`` bytes together, or of one text."""
+    begin = total = 0
+    for k, text in enumerate(texts):
+        n = len(text.as_buffer() or b"")
+        if total + n > most and k > begin:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(texts):
+        yield begin, len(texts)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import exact, licences, lines, lm, packing, pieces, quality, simhash, toxicity, warc
+from quire.llm import (exact, licences, lines, lm, packing, periodic, pieces, quality, simhash,
+                       toxicity, warc)
 from quire.llm.common import table
 
 
@@ -57,13 +58,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.planted(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_toxicity, op3_lm_scores, op4_line_quality, op5_line_runs,
                                    op6_licences, op7_exact_dedup, op8_warc, op9_simhash,
-                                   op10_packing, pipeline)}
+                                   op10_packing, op12_periodic_runs, pipeline)}
 
 SQL = {
     "op5_line_runs": lines.SQL,
