@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import (exact, licences, lines, lm, packing, periodic, pieces, quality, simhash,
+from quire.llm import (alignment, exact, licences, lines, lm, packing, periodic, pieces, quality, simhash,
                        toxicity, warc)
 from quire.llm.common import table
 
@@ -58,6 +58,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned_tokens(table(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("byte_bpe_50k.json"),
+                                    public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.planted(table(spark, sf_dir, "documents")))
 
@@ -68,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_toxicity, op3_lm_scores, op4_line_quality, op5_line_runs,
                                    op6_licences, op7_exact_dedup, op8_warc, op9_simhash,
-                                   op10_packing, op12_periodic_runs, pipeline)}
+                                   op10_packing, op11_token_alignment, op12_periodic_runs, pipeline)}
 
 SQL = {
     "op5_line_runs": lines.SQL,
