@@ -5,8 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import (alignment, exact, licences, lines, lm, packing, periodic, pieces, quality, simhash,
-                       toxicity, warc)
+from quire.llm import (alignment, exact, licences, lines, lm, ngram_join, packing, periodic, pieces,
+                       quality, simhash, toxicity, warc)
 from quire.llm.common import table
 
 
@@ -70,13 +70,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.planted(table(spark, sf_dir, "documents")))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_toxicity, op3_lm_scores, op4_line_quality, op5_line_runs,
                                    op6_licences, op7_exact_dedup, op8_warc, op9_simhash,
-                                   op10_packing, op11_token_alignment, op12_periodic_runs, pipeline)}
+                                   op10_packing, op11_token_alignment, op12_periodic_runs,
+                                   op13_ngram_join, pipeline)}
 
 SQL = {
     "op5_line_runs": lines.SQL,
