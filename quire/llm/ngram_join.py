@@ -5,15 +5,8 @@ the others by their hash. The order is cut into fragments, the same for all sets
 sizes, so that every set falls into segments. Two sets of Jaccard similarity 0.85 or more differ
 in at most d = 15/85 of the smaller one's shingles; each set names its first d + 1 segments that
 are not empty. At most d of these can hold a difference, so two similar sets share a name, always.
-Any order is a valid one: the sample only keeps common passages out of the names.
-
-Sets that share a name are candidates. Equal sets count once, and not all pairs of a bucket are
-made: in each round every bucket sends its most connected member against the others. A candidate
-pair is dropped if the sizes or 512 parity bits of the sets exclude a link (each difference turns
-at most one bit); for the rest the overlap is counted in each of ``PARTS`` fragments separately and
-summed per pair. Linked sets become one component; buckets whose members are one component are
-done, the others go on with more leaders (``STEP`` times as many in each round) that are not in the
-bucket's largest component, until every pair that could still join two components was compared.
+Any order is a valid one: the sample only keeps common passages out of the names. Sets that share
+a name are compared as ``quire.llm.overlap`` says: partial overlaps by fragment, summed per pair.
 """
 
 from __future__ import annotations
@@ -23,38 +16,25 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import signed, small_side, text_slices
-from quire.llm.components import components
-from quire.llm.simhash import shingle_hashes
+from quire.llm.common import text_slices
+from quire.llm.overlap import Rule, classes_of, components_of, named_sets
 from quire.plans.durable import settled
 
-WORDS = 4
-#: least similarity of a link, in hundredths
-SHARE = 85
-#: fragments in which overlaps are counted separately
-PARTS = 8
+#: words of a shingle, least similarity of a link in hundredths
+RULE = Rule(4, 85)
 #: one text of so many is in the sample; shingles found FREQUENT times there come last, of them
 #: the MOST most frequent ones (8 bytes each are sent to the workers)
 SAMPLE, FREQUENT, MOST = 64, 3, 1 << 20
-#: leaders of a bucket in a round, as a multiple of those in the round before
-STEP = 4
 #: sets below this size name single shingles, nearly
 _SMALL_LEVEL, _FINE = 6, 1024
-_BITS = 512
 _MIX = np.random.default_rng(13).integers(1, 2 ** 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Hashes of the different shingles, ascending."""
-    return np.unique(shingle_hashes(text, WORDS))
-
-
 def differing(n: int) -> int:
     """Most shingles in which a set of n and a larger or equal one can differ and still link."""
-    return (100 - SHARE) * n // SHARE
+    return (100 - RULE.share) * n // RULE.share
 
 
 def _fragments(level: int) -> int:
@@ -62,17 +42,17 @@ def _fragments(level: int) -> int:
     return _FINE if level < _SMALL_LEVEL else 2 * (differing((2 << level) - 1) + 1)
 
 
-def segment_names(found: np.ndarray, rare: np.ndarray, seed: int) -> tuple[list[np.ndarray], bool]:
+def segment_names(found: np.ndarray, rare: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
     """Names of the first segments of a set, and whether there were enough of them."""
     n = len(found)
     if not differing(n):  # only an equal set can link
-        return [], True
+        return np.zeros(0, np.int64), True
     level = n.bit_length() - 1
     most = [(level, differing(n))]
-    if 100 * ((1 << level) - 1) >= SHARE * n:  # a partner may be of the level below
+    if 100 * ((1 << level) - 1) >= RULE.share * n:  # a partner may be of the level below
         most.append((level - 1, differing((1 << level) - 1)))
     names, enough = [], True
-    high = (found * _MIX[0] if seed else found) ^ np.uint64(seed)
+    high = found * (_MIX[:1] * np.uint64(2 * seed + 1)) if seed else found
     for at, d in most:
         f = _fragments(at)
         place = ((high >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32)
@@ -85,26 +65,14 @@ def segment_names(found: np.ndarray, rare: np.ndarray, seed: int) -> tuple[list[
         x = (sums ^ (where * _MIX[1] + np.array([at], np.uint64) * _MIX[2])) * _MIX[3]
         names.append((x ^ (x >> np.uint64(31))) * _MIX[0])
         enough &= len(starts) > d
-    return names, enough
-
-
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Parity bits of a set: two sets differ in at least as many shingles as in bits."""
-    odd = np.bincount((found >> np.uint64(7)).astype(np.int64) & (_BITS - 1), minlength=_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64, copy=False)))
+    return np.concatenate(names).view(np.int64), enough
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of texts (one column)."""
     for batch in batches:
         for a, b in text_slices(batch.column(0)):
-            found = [shingles(x.as_py() or b"") for x in batch.column(0).slice(a, b - a)]
+            found = [RULE.shingles(x.as_py() or b"") for x in batch.column(0).slice(a, b - a)]
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
 
 
@@ -119,148 +87,6 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(found.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
 
-def named_sets(texts: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, print and total (two hashes of the set), n, names, bits, enough of (doc_id, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
-        for batch in batches:
-            for a, b in text_slices(batch.column(1)):
-                prints, totals, sizes, names, bits, enough = [], [], [], [], [], []
-                for x in batch.column(1).slice(a, b - a):
-                    found = shingles(x.as_py() or b"")
-                    rare = np.ones(len(found), bool)
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-                        rare = last[at] != found
-                    of, good = segment_names(found, rare, seed)
-                    prints.append(signed(xxhash.xxh64_intdigest(found.tobytes())))
-                    totals.append(signed(int(found.sum(dtype=np.uint64))))
-                    sizes.append(len(found))
-                    names.append(np.concatenate(of).view(np.int64) if of else np.zeros(0, np.int64))
-                    bits.append(sketch(found))
-                    enough.append(good)
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(prints, pa.int64()),
-                     pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), _lists(names),
-                     _lists(bits), pa.array(enough, pa.bool_())],
-                    names=["doc_id", "print", "total", "n", "names", "bits", "enough"])
-
-    return texts.mapInArrow(run, "doc_id long, print long, total long, n long, names array<long>, "
-                                 "bits array<long>, enough boolean")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of (doc_id, text) as segments: print, total, part, segment."""
-    for batch in batches:
-        for a, b in text_slices(batch.column(1), 1_000_000):
-            prints, totals, parts, segments = [], [], [], []
-            for x in batch.column(1).slice(a, b - a):
-                found = shingles(x.as_py() or b"")
-                edges = np.searchsorted(found >> np.uint64(32),
-                                        np.arange(PARTS + 1, dtype=np.uint64) * np.uint64(
-                                            (1 << 32) // PARTS))
-                prints += [signed(xxhash.xxh64_intdigest(found.tobytes()))] * PARTS
-                totals += [signed(int(found.sum(dtype=np.uint64)))] * PARTS
-                parts += range(PARTS)
-                segments += [found[y:z].view(np.int64) for y, z in zip(edges, edges[1:])]
-            yield pa.record_batch(
-                [pa.array(prints, pa.int64()), pa.array(totals, pa.int64()),
-                 pa.array(parts, pa.int32()), _lists(segments)],
-                names=["print", "total", "part", "segment"])
-
-
-def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of sets (key, n, bits) that sizes and parity bits do not exclude, with sizes."""
-    for x in "uv":
-        side = sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"),
-                           F.col("bits").alias(f"bits_{x}"))
-        pairs = pairs.join(side, x)
-    other = sum((F.bit_count(F.col("bits_u")[k].bitwiseXOR(F.col("bits_v")[k]))
-                 for k in range(_BITS // 64)), F.lit(0))
-    fits = 100 * F.least("n_u", "n_v") >= SHARE * F.greatest("n_u", "n_v")
-    near = (100 + SHARE) * other <= (100 - SHARE) * (F.col("n_u") + F.col("n_v"))
-    return pairs.filter(fits & near).select("u", "v", "n_u", "n_v")
-
-
-def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Links among pairs (u, v, n_u, n_v): overlaps of segments (key, part, segment) are counted
-    in each fragment by itself, then summed."""
-    of_v = segments.select(F.col("key").alias("v"), "part", F.col("segment").alias("segment_v"))
-    of_u = segments.select(F.col("key").alias("u"), "part", F.col("segment").alias("segment_u"))
-    counted = pairs.join(of_v, "v").join(of_u, ["u", "part"]).select(
-        "u", "v", "n_u", "n_v", F.size(F.array_intersect("segment_u", "segment_v")).alias("common"))
-    common = F.sum("common")
-    return (counted.groupBy("u", "v", "n_u", "n_v").agg(common.cast("long").alias("common"))
-            .filter((100 + SHARE) * F.col("common") >= SHARE * (F.col("n_u") + F.col("n_v")))
-            .select("u", "v"))
-
-
-def _leaders(rows: DataFrame, most: int) -> DataFrame:
-    """name, leader, of (its component): up to ``most`` members of each bucket of rows (name, key,
-    weight, component), the most connected first and those of a large component last."""
-    if most == 1:
-        best = F.max(F.struct("weight", (-F.col("key")).alias("key"), "component"))
-        return rows.groupBy("name").agg(best.alias("b")).select(
-            "name", (-F.col("b.key")).alias("leader"), F.col("b.component").alias("of"))
-    members = rows.groupBy("name", "component").agg(F.count("*").alias("members"))
-    largest = members.filter("members > 1").groupBy("name").agg(
-        F.max(F.struct("members", "component")).alias("l")).select("name", "l.component").select(
-        F.col("name").alias("bucket"), F.col("component").alias("largest"))
-    rows = rows.join(largest, rows["name"] == largest["bucket"], "left")
-    place = Window.partitionBy("name").orderBy(
-        F.coalesce(F.col("component") == F.col("largest"), F.lit(False)), F.desc("weight"), "key")
-    return rows.withColumn("no", F.row_number().over(place)).filter(F.col("no") <= most).select(
-        "name", F.col("key").alias("leader"), F.col("component").alias("of"))
-
-
-def _segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, part, segment of the sets that pairs (u, v) ask for."""
-    keys = pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct()
-    wanted = settled(classes.join(keys, "key", "left_semi").select("key", "node", "print", "total"))
-    nodes = small_side(wanted.select(F.col("node").alias("wanted")).distinct())
-    cut = texts.join(nodes, texts["doc_id"] == nodes["wanted"], "left_semi").mapInArrow(
-        _cut, "print long, total long, part int, segment array<long>")
-    cut = cut.groupBy("print", "total", "part").agg(F.first("segment").alias("segment"))
-    return settled(cut.join(wanted, ["print", "total"]).select("key", "part", "segment"))
-
-
-def similar_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component of the classes (key, node, print, total, n, names, bits) that link others.
-
-    ``texts`` are rows (doc_id, text) in which the nodes are found.
-    """
-    spark = texts.sparkSession
-    rows = classes.select("key", F.explode("names").alias("name"))
-    sizes = small_side(rows.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1")
-                       .withColumnRenamed("name", "bucket"))
-    rows = settled(rows.join(sizes, rows["name"] == sizes["bucket"]).select("name", "key", "size"))
-    weights = rows.groupBy("key").agg(F.sum("size").alias("weight"))
-    rows = settled(rows.join(weights, "key").select("name", "key", "weight"))
-    found = spark.createDataFrame([], "u long, v long")
-    joined = spark.createDataFrame([], "node long, component long")
-    for most in (STEP ** k for k in count()):
-        of = joined.select(F.col("node").alias("key"), "component")
-        rows = rows.join(of, "key", "left").select(
-            "name", "key", "weight", F.coalesce("component", "key").alias("component"))
-        open_names = rows.groupBy("name").agg(
-            F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("name")
-        rows = settled(rows.join(open_names, "name", "left_semi"))
-        if rows.isEmpty():
-            return joined
-        leaders = settled(_leaders(rows, most))
-        pairs = rows.join(leaders, "name").filter(F.col("component") != F.col("of")).select(
-            F.least("key", "leader").alias("u"), F.greatest("key", "leader").alias("v")).distinct()
-        pairs = settled(possible(pairs, classes))
-        links = settled(linked(pairs, _segments(texts, classes, pairs)))
-        if not links.isEmpty():
-            found = found.unionAll(links)
-            joined = settled(components(found))
-        rows = rows.join(leaders.select("name", F.col("leader").alias("key")), ["name", "key"],
-                         "left_anti").drop("component")
-
-
 def joined_documents(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -270,22 +96,23 @@ def joined_documents(docs: DataFrame) -> DataFrame:
     their component. No rows give no rows; other columns, whatever their names, are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    frequent = frequent_shingles(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+
+    def names_by(seed: int):
+        def names(found: np.ndarray) -> tuple[np.ndarray, bool]:
+            last = shared.value
+            rare = np.ones(len(found), bool)
+            if len(last):
+                rare = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] != found
+            return segment_names(found, rare, seed)
+
+        return names
+
     for seed in count():  # a set with too few segments asks for other fragments
-        rows = settled(named_sets(texts, frequent, seed))
+        rows = settled(named_sets(texts, RULE, names_by(seed)))
         if rows.filter(~F.col("enough")).isEmpty():
             break
-    classes = settled(rows.filter("doc_id is not null and n > 0").groupBy("print", "total").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("names").alias("names"),
-        F.first("bits").alias("bits")).withColumn("key", F.monotonically_increasing_id()))
-    joined = similar_links(texts, classes).withColumnRenamed("node", "key")
-    known = classes.join(joined, "key", "left").select(
-        "print", "total", "node", F.coalesce("component", "key").alias("component"))
-    least = known.groupBy("component").agg(F.min("node").alias("component_id"))
-    known = known.join(least, "component").select(
-        F.col("print").alias("of_print"), F.col("total").alias("of_total"), "component_id")
-    return rows.join(known, (rows["print"] == known["of_print"])
-                     & (rows["total"] == known["of_total"]) & (rows["n"] > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        .alias("component_id"))
+    rows = components_of(rows, texts, classes_of(rows.filter("n > 0")), RULE)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"),
+                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+                       .alias("component_id"))
