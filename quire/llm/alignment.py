@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -111,7 +112,11 @@ class Unit(NamedTuple):
     n_groups: int
     groups: bytes
     links: bytes  # a number (int64) for each link
-    tokens: tuple[bytes, bytes, bytes, bytes]  # ids and ends of A's tokens, then of B's (int64)
+    a: bytes  # ids (unsigned, 32 bits)
+    b: bytes
+
+
+_BAD = Unit(False, 0, 0, 0, b"", b"", b"", b"")
 
 
 class Aligner:
@@ -132,8 +137,11 @@ class Aligner:
         self.a_bytes = {i: bytes(byte[c] for c in t) if set(t) <= byte.keys() else t.encode()
                         for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_sizes[[*self.a_bytes]] = [*map(len, self.a_bytes.values())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
                         else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.b_sizes = np.array([*map(len, self.b_bytes)], np.int64)
         feed = self.b.encode("\n")
         self.units = (len(feed) == 2 and self.b.is_byte(feed[1])
                       and not any("\n" in p or _MARK in p.lstrip(_MARK) for p in pieces))
@@ -150,22 +158,26 @@ class Aligner:
         return self._unit.findall(text) if self.units else [text]
 
     def _read(self, unit: str, a: list[int], b: list[int]) -> Unit:
-        own = unit.encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        own, a_bytes, b_bytes = unit.encode(), self.a_bytes, self.b_bytes
+        x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
         if b"".join(x) != own or b"".join(y) != own:
-            return Unit(False, 0, 0, 0, b"", b"", (b"",) * 4)
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        a_ends = np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))
-        b_ends = np.cumsum(np.fromiter(map(len, y), np.int64, len(y)))
-        if len(a) == 1 or len(b) == 1:
-            groups = [(tuple(a), tuple(b))]
-        else:
-            of = fragment(a_ids, a_ends, b_ids, b_ends)
-            groups = [of.head, *of.groups]
-        codes = b"".join([(np.array(p, np.int64)[:, None] * _PAIR + np.array(q, np.int64)).tobytes()
-                          for p, q in groups])
-        return Unit(True, len(a), len(b), len(groups), spelled(groups), codes,
-                    (a_ids.tobytes(), a_ends.tobytes(), b_ids.tobytes(), b_ends.tobytes()))
+            return _BAD
+        told, links = [], []
+        i = j = p = q = a_end = b_end = 0
+        while j < len(b):
+            if a_end <= b_end:
+                a_end += len(x[i])
+                i += 1
+            else:
+                b_end += len(y[j])
+                j += 1
+            if a_end == b_end:
+                told.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
+                links += [m * _PAIR + n for m in a[p:i] for n in b[q:j]]
+                p, q = i, j
+        return Unit(True, len(a), len(b), len(told), ";".join(told).encode(),
+                    struct.pack(f"<{len(links)}q", *links), struct.pack(f"<{len(a)}I", *a),
+                    struct.pack(f"<{len(b)}I", *b))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remember the units of texts."""
@@ -244,18 +256,11 @@ def range_fragment(of: Aligner, window: str, lo: int, hi: int) -> dict:
     found = of.of(units)
     if not all(u.good for u in found):
         return _row(False, 0, 0, Fragment())
-    at, kept = 0, ([], [], [], [])
-    for u in found:
-        size = 0
-        for k in (0, 2):
-            ids, ends = (np.frombuffer(x, np.int64) for x in u.tokens[k:k + 2])
-            inside = (at + ends > lo) & (at + ends <= hi)
-            kept[k].append(ids[inside])
-            kept[k + 1].append(at + ends[inside])
-            size = int(ends[-1])
-        at += size
-    a, a_ends, b, b_ends = map(np.concatenate, kept)
-    return _row(True, len(a), len(b), fragment(a, a_ends, b, b_ends))
+    a, b = (np.frombuffer(b"".join([u[k] for u in found]), np.uint32).astype(np.int64)
+            for k in (6, 7))
+    a_ends, b_ends = np.cumsum(of.a_sizes[a]), np.cumsum(of.b_sizes[b])
+    x, y = (a_ends > lo) & (a_ends <= hi), (b_ends > lo) & (b_ends <= hi)
+    return _row(True, int(x.sum()), int(y.sum()), fragment(a[x], a_ends[x], b[y], b_ends[y]))
 
 
 def _row(good: bool, n_a: int, n_b: int, of: Fragment) -> dict:
@@ -312,7 +317,7 @@ def finished(r: dict) -> dict:
 
 def short_result(units: list[Unit]) -> dict:
     """Result of a text from the fragments of its units, all of which are closed."""
-    good, n_a, n_b, n_groups, groups, links, _ = zip(*units)
+    good, n_a, n_b, n_groups, groups, links, _, _ = zip(*units)
     if not all(good):
         return finished(_row(False, 0, 0, Fragment()))
     codes = np.frombuffer(b"".join(links), np.int64)
