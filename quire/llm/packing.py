@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,7 +24,7 @@ LENGTH, END = 4096, 1
 #: pieces of one packed group, on average
 GROUP = 50_000
 #: words that a worker remembers, in each of two generations
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: bytes of text whose words are held at a time
 _SLICE = 2_000_000
 
@@ -38,10 +39,10 @@ class WordIds:
 
     _simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?-@\\[-`{-~]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_buffer(vocabulary)
         self.model = self.whole.model
         spare = iter(range(256, 512))
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -91,13 +92,16 @@ class WordIds:
         return b"".join(out)
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[int, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+def word_ids(vocabulary: bytes) -> WordIds:
+    """The worker's encoder of a vocabulary; it remembers the words of one at a time."""
+    key = xxhash.xxh64_intdigest(vocabulary)
+    if key not in _WORDS:
+        _WORDS.clear()
+        _WORDS[key] = WordIds(vocabulary)
+    return _WORDS[key]
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END,
@@ -109,9 +113,11 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END,
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     last = np.array([end], "<u4").tobytes()
+    with open(path, "rb") as f:
+        vocabulary = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = word_ids(path)
+        of = word_ids(vocabulary)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in names]

@@ -36,8 +36,8 @@ STEMS = (4, 6)
 EPOCHS, BATCH, RATE, NEGATIVES = 14, 32, 0.04, 4
 #: spread of fresh embeddings; what Adagrad's sums start from; share of words left out in a pass
 SPREAD, START, LEFT_OUT = 0.02, 1e-4, 0.5
-#: words whose filters are evaluated at a time
-_BLOCK = 100_000
+#: words whose filters are evaluated at a time, bytes of text whose words are held
+_BLOCK, _BYTES = 100_000, 1_000_000
 _MASK = (1 << HASH_BITS) - 1
 #: letters A-Z become small, other ASCII but digits and letters parts words
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122
@@ -127,8 +127,19 @@ class Network:
         z = self.pooled(texts) @ self.out + self.out_bias
         return self.scale * z.astype(np.float64) + self.shift
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -40, 40)))
+    def text_logits(self, texts: list[bytes]) -> np.ndarray:
+        """Logits of whole texts; the words of about ``_BYTES`` of them are held at a time."""
+        out, held, size = [np.zeros(0)], [], 0
+        for k, text in enumerate(texts):
+            held.append(word_hashes(text))
+            size += len(text)
+            if size >= _BYTES or k + 1 == len(texts):
+                out.append(self.logits(held))
+                held, size = [], 0
+        return np.concatenate(out)
+
+    def text_scores(self, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.text_logits(texts), -40, 40)))
 
 
 def _step(net: Network, texts: list[np.ndarray], y: np.ndarray, sums: dict) -> None:
@@ -242,7 +253,7 @@ def set_limits(net: Network, rows: DataFrame) -> None:
         model = shared.value
         for b in batches:
             if b.num_rows:
-                z = model.logits([word_hashes(x.as_py() or b"") for x in b.column(3)])
+                z = model.text_logits([x.as_py() or b"" for x in b.column(3)])
                 yield pa.record_batch([*b.columns[:3], pa.array(np.clip(z, -40, 40))],
                                       names=["doc_id", "lang", "toxic", "z"])
 
@@ -322,8 +333,8 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts = [word_hashes(x.as_py() or b"") for x in b.column(3)]
-            s = model.scores(texts) if model and texts else np.zeros(len(texts))
+            texts = [x.as_py() or b"" for x in b.column(3)]
+            s = model.text_scores(texts) if model else np.zeros(len(texts))
             limit = np.array([model.limits.get(x, model.limit) if model else 0.5
                               for x in b.column(2).to_pylist()], np.float64)
             yield pa.record_batch(
@@ -353,7 +364,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose text stays below the threshold of their language."""
+    """Rows of ``docs`` whose text stays below the threshold of their language.
+
+    Null and empty texts get the score of a text without words; a null or rare language has the
+    common threshold. Rows without doc_id and repeated rows are judged each. Without labels of both
+    classes all rows stay. All columns of ``docs`` are kept, whatever their names; no rows give none.
+    """
     net = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -362,7 +378,7 @@ def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model = shared.value
         if model is None or not len(text):
             return pd.Series([False] * len(text))
-        s = model.scores([word_hashes(x or b"") for x in text])
+        s = model.text_scores([x or b"" for x in text])
         return pd.Series([bool(v >= model.limits.get(g or "", model.limit))
                           for v, g in zip(s, lang)])
 

@@ -17,7 +17,7 @@ def library(text):
 
 
 def own(text):
-    return np.frombuffer(packing.word_ids(PATH).encode(text.encode()), "<u4").tolist()
+    return np.frombuffer(packing.word_ids(open(PATH, "rb").read()).encode(text.encode()), "<u4").tolist()
 
 
 @settings(max_examples=500, deadline=None)
