@@ -164,7 +164,7 @@ class Aligner:
             return _BAD
         told, links = [], []
         i = j = p = q = a_end = b_end = 0
-        while j < len(b):
+        while i < len(a) or j < len(b):
             if a_end <= b_end:
                 a_end += len(x[i])
                 i += 1
