@@ -11,7 +11,9 @@ AREAS = ["text", "pii", "search", "redaction", "catalog", "compare", "usage",
          "records", "media", "extraction", "streams"]
 
 
-def _tuned(fn):
+def tuned(fn):
+    """A query that sets what the plans rely on before it runs."""
+
     @functools.wraps(fn)
     def run(spark, sf_dir):
         return fn(tune(spark), sf_dir)
@@ -23,7 +25,7 @@ def all_queries() -> dict:
     found = {}
     for area in AREAS:
         found.update(importlib.import_module(f"quire.queries.{area}").QUERIES)
-    return {name: _tuned(fn) for name, fn in found.items()}
+    return {name: tuned(fn) for name, fn in found.items()}
 
 
 def all_sql() -> dict:
