@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,6 +37,29 @@ def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest doc_id.
+
+    ``components`` gives doc_id and component_id of rows (doc_id, text). Where rows lack a doc_id or
+    share one, rows are numbered and written out first: each counts by itself, and of a component
+    the smallest doc_id stays, then the lowest number; rows without doc_id come last.
+    """
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        gone = small_side(components(docs.select("doc_id", "text")).filter("doc_id <> component_id")
+                          .select(F.col("doc_id").alias("gone_id")))
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    rows = settled(docs.select(F.monotonically_increasing_id().alias("number"),
+                               F.struct(*docs.columns).alias("row")))
+    found = components(rows.select(F.col("number").alias("doc_id"), "row.text")).select(
+        F.col("doc_id").alias("number"), "component_id")
+    place = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("number"))
+    first = settled(rows.select("number", place.alias("place")).join(found, "number")
+                    .groupBy("component_id").agg(F.min("place").alias("place")))
+    kept = small_side(first.select(F.col("place.number").alias("number")))
+    return rows.join(kept, "number", "left_semi").select("row.*")
+
+
 def pigeonhole_masks(bits: int, blocks: int, differing: int) -> list[int]:
     """Masks such that two numbers differing in at most ``differing`` bits agree under one."""
     edges = [bits * i // blocks for i in range(blocks + 1)]

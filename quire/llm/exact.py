@@ -183,9 +183,23 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_duplicates keeps, with all their columns."""
-    result = exact_duplicates(docs)
+    """The rows of ``docs`` but for copies, with all their columns: of equal texts one row stays.
+
+    It is the row with the largest doc_id; if several rows share that doc_id, or none has any, one
+    of them by a hash of its columns. A null text counts as the empty one. No rows give no rows.
+    """
+    result = settled(exact_duplicates(docs).withColumn("hash", F.xxhash64("text_sha256")))
     gone = small_side(result.filter("not kept").select(
-        F.col("doc_id").alias("gone_id"), F.xxhash64("text_sha256").alias("gone_text")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (
-        F.xxhash64(F.sha2(whole_text(docs), 256)) == gone["gone_text"]), "left_anti")
+        F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_text")))
+    text = F.xxhash64(F.sha2(whole_text(docs), 256))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"])
+                     & (text == gone["gone_text"]), "left_anti")
+    tied = result.filter("kept and group_size > 1").groupBy("hash").count().filter(
+        "count > 1").select(F.col("hash").alias("tied_text"))
+    if tied.isEmpty():
+        return left
+    tied = small_side(tied)
+    row = F.struct(*docs.columns)
+    one = left.join(tied, text == tied["tied_text"], "left_semi").groupBy(
+        F.sha2(whole_text(docs), 256)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return left.join(tied, text == tied["tied_text"], "left_anti").unionAll(one.select("row.*"))

@@ -151,7 +151,9 @@ def line_quality(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are kept, with the failed lines removed from text.
 
-    A column n_chars becomes the length of the text that is left.
+    A column n_chars becomes the length of the text that is left. Null and empty texts fail the
+    base and go; rows without doc_id and repeated rows are judged each. Other columns stay as they
+    are, whatever their names; no rows give no rows.
     """
     name = _free(docs.columns, "line_verdict")
     # an explode, since a filter would be moved below the arrays and evaluate them again

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import (alignment, exact, licences, lines, lm, ngram_join, packing, periodic, pieces,
                        quality, simhash, toxicity, warc)
 from quire.llm.common import table
+from quire.queries import tuned
 
 
 def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +75,12 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_merge_dropout, op2_toxicity, op3_lm_scores, op4_line_quality, op5_line_runs,
+QUERIES = {f.__name__: tuned(f) for f in (op1_merge_dropout, op2_toxicity, op3_lm_scores, op4_line_quality, op5_line_runs,
                                    op6_licences, op7_exact_dedup, op8_warc, op9_simhash,
                                    op10_packing, op11_token_alignment, op12_periodic_runs,
                                    op13_ngram_join, pipeline)}

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from quire.llm import common
 from quire.llm.common import pigeonhole_masks, signed, small_side
 from quire.llm.components import components
 from quire.plans.durable import settled
@@ -176,10 +177,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` but for near copies: of a component its smallest doc_id stays.
+    """Rows of ``docs`` but for near copies: of a component one row with the smallest doc_id stays.
 
-    Rows without doc_id stay.
+    Rows without doc_id, or that share one, count each; those without go first. All columns stay,
+    whatever their names; no rows give no rows.
     """
-    gone = small_side(near_duplicates(docs).filter("doc_id <> component_id")
-                      .select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return common.one_of_each(docs, near_duplicates)

@@ -59,8 +59,9 @@ def test_against_brute_force(odd_docs, sample):
 def test_kept_rows_keep_their_columns(odd_docs, no_docs):
     kept = exact.without_copies(odd_docs)
     assert kept.columns == odd_docs.columns
-    want = sorted(str(r.doc_id) for r in exact.exact_duplicates(odd_docs).collect() if r.kept)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    want = {(r.doc_id, r.text_sha256) for r in exact.exact_duplicates(odd_docs).collect() if r.kept}
+    rows = [(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept.collect()]
+    assert set(rows) == want and len(rows) == len({sha for _, sha in rows})
     assert {r.keep_id for r in kept.collect()} == {"own keep_id"}
     assert exact.exact_duplicates(no_docs).collect() == []
     assert exact.without_copies(no_docs).collect() == []
@@ -73,3 +74,14 @@ def test_large_group(spark):
     assert rows.filter("group_size > 1").groupBy("keep_id", "group_size").count().collect() == [
         (3998, 2666, 2666)]
     assert exact.without_copies(docs).count() == 1335
+
+
+def test_one_row_of_equal_texts_stays(spark):
+    rows = [(7, "same", "a"), (7, "same", "b"), (3, "same", "c"), (None, "same", "d"),
+            (None, "nameless", "e"), (None, "nameless", "e"), (None, None, "f"), (None, "", "g"),
+            (1, "alone", "h"), (1, "other", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string")
+    for part in (1, 4):
+        kept = [tuple(r) for r in exact.without_copies(docs.repartition(part)).collect()]
+        assert sorted(t or "" for _, t, _ in kept) == ["", "alone", "nameless", "other", "same"]
+        assert set(kept) <= set(rows) and [i for i, t, _ in kept if t == "same"] == [7]
