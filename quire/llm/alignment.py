@@ -17,8 +17,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import struct
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +37,8 @@ RANGE = 16_384
 FAN = 16
 #: units that a worker remembers, in each of two generations
 REMEMBERED = 150_000
+#: links of a group that are listed one by one
+_FEW = 1000
 #: a pair of ids as one number: A's id times this and B's id
 _PAIR = 1 << 32
 _MARK = "▁"
@@ -86,15 +88,17 @@ def spelled(groups) -> bytes:
 
 def pairs(groups) -> tuple[np.ndarray, np.ndarray]:
     """Different linked pairs of ids as numbers, ascending, and their links."""
-    codes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    single: list[int] = []
+    codes, times = [], []
     for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            codes.append(np.array([a[0] * _PAIR + b[0]]))
-            times.append(np.ones(1, np.int64))
-            continue
-        (x, m), (y, n) = (np.unique(np.array(i, np.int64), return_counts=True) for i in (a, b))
-        codes.append((x[:, None] * _PAIR + y).reshape(-1))
-        times.append((m[:, None] * n).reshape(-1))
+        if len(a) * len(b) <= _FEW:
+            single += [x * _PAIR + y for x in a for y in b]
+        else:
+            (x, m), (y, n) = (np.unique(np.array(i, np.int64), return_counts=True) for i in (a, b))
+            codes.append((x[:, None] * _PAIR + y).reshape(-1))
+            times.append((m[:, None] * n).reshape(-1))
+    codes.append(np.array(single, np.int64))
+    times.append(np.ones(len(single), np.int64))
     return summed(np.concatenate(codes), np.concatenate(times))
 
 
@@ -157,27 +161,44 @@ class Aligner:
         """Units of space + text."""
         return self._unit.findall(text) if self.units else [text]
 
-    def _read(self, unit: str, a: list[int], b: list[int]) -> Unit:
-        own, a_bytes, b_bytes = unit.encode(), self.a_bytes, self.b_bytes
-        x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        if b"".join(x) != own or b"".join(y) != own:
-            return _BAD
-        told, links = [], []
-        i = j = p = q = a_end = b_end = 0
-        while i < len(a) or j < len(b):
-            if a_end <= b_end:
-                a_end += len(x[i])
-                i += 1
-            else:
-                b_end += len(y[j])
-                j += 1
-            if a_end == b_end:
-                told.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-                links += [m * _PAIR + n for m in a[p:i] for n in b[q:j]]
-                p, q = i, j
-        return Unit(True, len(a), len(b), len(told), ";".join(told).encode(),
-                    struct.pack(f"<{len(links)}q", *links), struct.pack(f"<{len(a)}I", *a),
-                    struct.pack(f"<{len(b)}I", *b))
+    def _read(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        """Remember units, given their ids; all of them are laid one after the other."""
+        own = [u.encode() for u in units]
+        good = [b"".join([self.b_bytes[i] for i in y]) == o
+                and b"".join([self.a_bytes[i] for i in x]) == o for o, x, y in zip(own, a, b)]
+        if not all(good):
+            self.young.update((u, _BAD) for u, fine in zip(units, good) if not fine)
+            units, own, a, b = ([x for x, fine in zip(xs, good) if fine]
+                                for xs in (units, own, a, b))
+        if not units:
+            return
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum()))
+                        for x, n in ((a, n_a), (b, n_b)))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        cut_a, cut_b = (np.append(0, np.searchsorted(x, ends) + 1) for x in (a_ends, b_ends))
+        in_a, in_b = np.diff(cut_a), np.diff(cut_b)
+        n = in_a * in_b
+        of = np.repeat(np.arange(len(ends)), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        links = (a_ids[cut_a[of] + at // in_b[of]] * _PAIR + b_ids[cut_b[of] + at % in_b[of]])
+        told_a, told_b = [*map(str, a_ids.tolist())], [*map(str, b_ids.tolist())]
+        w, x = cut_a.tolist(), cut_b.tolist()
+        told = [f"{','.join(told_a[p:q])}|{','.join(told_b[y:z])}"
+                for p, q, y, z in zip(w, w[1:], x, x[1:])]
+        unit_ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        groups = np.append(0, np.searchsorted(ends, unit_ends) + 1)
+        link_ends = (8 * np.append(0, np.cumsum(n))[groups]).tolist()
+        spans_a, spans_b = ((4 * np.append(0, np.cumsum(x))).tolist() for x in (n_a, n_b))
+        groups, packed = groups.tolist(), links.tobytes()
+        bytes_a, bytes_b = (x.astype("<u4").tobytes() for x in (a_ids, b_ids))
+        for k, u in enumerate(units):
+            i, j = groups[k:k + 2]
+            self.young[u] = Unit(
+                True, len(a[k]), len(b[k]), j - i, ";".join(told[i:j]).encode(),
+                packed[link_ends[k]:link_ends[k + 1]], bytes_a[spans_a[k]:spans_a[k + 1]],
+                bytes_b[spans_b[k]:spans_b[k + 1]])
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remember the units of texts."""
@@ -192,12 +213,12 @@ class Aligner:
                 new.append(u)
         for k in range(0, len(new), 10_000):
             some = new[k:k + 10_000]
-            a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
+            a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
             if self.units:  # a line feed is two pieces in front of which nothing depends
                 b = [i[2:] for i in self.b.encode(["\n" + u for u in some], num_threads=1)]
             else:
                 b = self.b.encode([u[1:] for u in some], num_threads=1)
-            self.young.update(zip(some, map(self._read, some, a, b)))
+            self._read(some, a, b)
 
     def of(self, units: list[str]) -> list[Unit]:
         return [*map(self.young.__getitem__, units)]
