@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import names as N, text as X
 from quire.operators import catalog as C, textlayer
 from quire.plans.durable import fresh_folder
-from quire.sources import corpus
+from quire.sources import corpus, rawfiles
 from quire.sources.tables import spread, table
 
 # extensions given to documents by number, to exercise routing
@@ -212,10 +212,40 @@ def corpus_profile(spark, sf):
 
 
 def corpus_files(spark, sf):
-    """The table files themselves as a corpus; those above the limit come with a reason."""
-    files = corpus.checked(corpus.read_files(spark, sf))
-    return files.select("filename", "ext", "mime_type", "length",
-                        F.sha2("content", 256).alias("sha256"), "reason")
+    """Documents written as files, a third with sidecars and a fifth with a new version, and read
+    back in byte ranges; files above a limit are listed without being opened."""
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    root = fresh_folder(spark, "files")
+    path = F.concat(F.lit("in/"), F.col("doc_id") % 10, F.lit("/"), "doc_id", F.lit(".txt"))
+    rawfiles.save_files(d.select(path.alias("path"), "content"), root)
+    corpus.save_sidecars(d.where("doc_id % 3 = 0").select(
+        path.alias("path"), F.concat(F.lit("<xfdf>"), "doc_id").alias("xfdf")), root)
+    corpus.save_versions(d.where("doc_id % 5 = 0").select(
+        path.alias("path"), F.concat("doc_id", F.lit("-2.txt")).alias("filename"),
+        F.concat(F.lit("2 ").cast("binary"), "content").alias("content")), root)
+    ranges, rejects = rawfiles.split_by_size(spark, root, 20_000, 4096)
+    read = rawfiles.whole_files(ranges).select(
+        "path", "size", "n_ranges", F.sha2("content", 256).alias("sha256"),
+        F.lit(None).cast("string").alias("reason"))
+    return read.unionByName(rejects.drop("modified"), allowMissingColumns=True)
+
+
+def store_notes(spark, sf):
+    """Files of a store with the text of their sidecars, all read from files."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.encode("text", "utf-8").alias("content"))
+    root = fresh_folder(spark, "store")
+    path = F.concat("lang", F.lit("/"), "doc_id", F.lit(".pdf"))
+    rawfiles.save_files(d.select(path.alias("path"), "content"), root)
+    corpus.save_sidecars(d.where("doc_id % 4 = 0").select(
+        path.alias("path"), F.concat(F.lit("<xfdf>"), "lang").alias("xfdf")), root)
+    # the same sidecars saved again replace the files
+    corpus.save_sidecars(d.where("doc_id % 8 = 0").select(
+        path.alias("path"), F.concat(F.lit("<xfdf>"), "doc_id").alias("xfdf")), root)
+    notes = rawfiles.whole_files(rawfiles.read_ranges(spark, root).where(
+        F.col("path").endswith(".xfdf"))).select("path", "content")
+    files = rawfiles.list_files(spark, root).where(~F.col("path").endswith(".xfdf"))
+    return corpus.attach_sidecars(files.select("path", "size", F.lit(None).cast("binary").alias(
+        "content")).unionByName(notes, allowMissingColumns=True))
 
 
 def sidecar_notes(spark, sf):
@@ -270,7 +300,8 @@ def document_versions(spark, sf):
 QUERIES = {f.__name__: f for f in (
     catalog_ids, catalog_dedup, catalog_merged, catalog_formats, catalog_lookup, catalog_expired,
     catalog_survivors, catalog_cascade, page_geometry, document_rollup, url_filenames, url_safety,
-    path_checks, download_permissions, request_caps, corpus_profile, corpus_files, sidecar_notes,
+    path_checks, download_permissions, request_caps, corpus_profile, corpus_files, store_notes,
+    sidecar_notes,
     annotation_save,
     connector_mappings, catalog_sidecars, document_versions)}
 
@@ -330,6 +361,22 @@ _AFTER_Q = "split_part(url, '?', len(string_split(url, '?')))"
 _LAST = f"string_split({_AFTER_Q}, '/')[-1]"
 
 SQL = {
+    "corpus_files": """
+WITH f AS (
+  SELECT 'in/' || doc_id % 10 || '/' || doc_id || '.txt' AS path, encode(text) AS content FROM documents
+  UNION ALL SELECT 'in/' || doc_id % 10 || '/' || doc_id || '.xfdf', encode('<xfdf>' || doc_id)
+  FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'in/' || doc_id % 10 || '/' || doc_id || '-2.txt',
+                   encode('2 ' || text) FROM documents WHERE doc_id % 5 = 0),
+s AS (SELECT *, octet_length(content) AS size FROM f)
+SELECT path, size, CASE WHEN size <= 20000 THEN greatest(1, CAST(ceil(size / 4096) AS BIGINT)) END
+         AS n_ranges,
+       CASE WHEN size <= 20000 THEN sha256(content) END AS sha256,
+       CASE WHEN size > 20000 THEN 'too_large' END AS reason FROM s""",
+    "store_notes": """
+SELECT lang || '/' || doc_id || '.pdf' AS path, CAST(strlen(text) AS BIGINT) AS size,
+       CASE WHEN doc_id % 8 = 0 THEN '<xfdf>' || doc_id WHEN doc_id % 4 = 0 THEN '<xfdf>' || lang END
+         AS xfdf FROM documents""",
     "sidecar_notes": """
 SELECT '/store/' || lang || '/' || doc_id || '.pdf' AS path,
        CASE WHEN doc_id % 3 = 0 THEN '<xfdf>' || lang END AS xfdf FROM documents""",
