@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.catalog import RETENTION_SECONDS
+from quire.plans.increments import Increments
 from quire.plans.skew import last_per_key
 from quire.sources.corpus import TELEMETRY_SCHEMA
 
@@ -37,22 +38,27 @@ def annotation_updates(batches: DataFrame) -> DataFrame:
     )
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return last_per_key(rows, ["doc_id"], ["batch_ts", "batch"])
+
+
 def publish_updates(batches: DataFrame, path: str, checkpoint: str,
                     trigger: dict | None = None) -> StreamingQuery:
-    """Add the updates of every micro-batch to a table of increments.
+    """Add the updates of every micro-batch to a table of increments, merged as it grows.
 
-    No state is held between batches; a repeated batch writes the same increment.
+    No state is held between batches; a repeated batch counts once.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        annotation_updates(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        rows = annotation_updates(batch).withColumn("batch", F.lit(epoch).cast("bigint"))
+        Increments(batch.sparkSession, path, _newest).add(rows, epoch)
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
 
 
 def latest_updates(spark: SparkSession, path: str) -> DataFrame:
-    """The newest update of every document over all increments."""
-    return last_per_key(spark.read.parquet(path), ["doc_id"], ["batch_ts", "batch"])
+    """The newest update of every document, from few parts however many batches there were."""
+    return Increments(spark, path, _newest).read()
 
 
 def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
