@@ -14,7 +14,9 @@ A vocabulary that does not allow this (see ``Aligner``) gets whole texts.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from quire.llm.common import small_side, text_slices
 from quire.plans.durable import settled
 
 #: bytes of a range of a long text; texts of at most that many are not cut
-RANGE = 16_384
+RANGE = 65_536
 #: fragments that are put together at a time
 FAN = 16
 #: units that a worker remembers, in each of two generations
@@ -47,13 +49,17 @@ Ids = tuple[int, ...]
 Group = tuple[Ids, Ids]
 
 
+_EMPTY: Group = ((), ())
+
+
 class Fragment(NamedTuple):
-    """Tokens that end in a byte range. Without a common end (``cut``) all are in ``head``."""
+    """Tokens that end in a byte range. Without a common end (``cut``) all are in ``head``; with
+    one and an empty ``head`` the range begins at a common end."""
 
     cut: bool = False
-    head: Group = ((), ())
+    head: Group = _EMPTY
     groups: tuple[Group, ...] = ()
-    tail: Group = ((), ())
+    tail: Group = _EMPTY
 
 
 def joined(x: Group, y: Group) -> Group:
@@ -66,7 +72,8 @@ def composed(x: Fragment, y: Fragment) -> Fragment:
         return y._replace(head=joined(x.head, y.head))
     if not y.cut:
         return x._replace(tail=joined(x.tail, y.head))
-    return Fragment(True, x.head, (*x.groups, joined(x.tail, y.head), *y.groups), y.tail)
+    between = joined(x.tail, y.head)
+    return Fragment(True, x.head, (*x.groups, *[between] * (between != _EMPTY), *y.groups), y.tail)
 
 
 def fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Fragment:
@@ -107,20 +114,10 @@ def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, np.bincount(place, times, len(codes)).astype(np.int64)
 
 
-class Unit(NamedTuple):
-    """What is remembered of a unit; of no tokens if a tokenizer does not give its bytes again."""
-
-    good: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: bytes  # a number (int64) for each link
-    a: bytes  # ids (unsigned, 32 bits)
-    b: bytes
-
-
-_BAD = Unit(False, 0, 0, 0, b"", b"", b"", b"")
+#: what is remembered of a unit: whether both tokenizers give its bytes again, its tokens of A and
+#: of B, its groups, the groups' text, and a number (int64) for each link
+Unit = tuple[bool, int, int, int, bytes, bytes]
+_BAD: Unit = (False, 0, 0, 0, b"", b"")
 
 
 class Aligner:
@@ -146,12 +143,30 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
                         else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.b_sizes = np.array([*map(len, self.b_bytes)], np.int64)
+        self.fast = self._merges(json.loads(a_file), self.a_bytes)
         feed = self.b.encode("\n")
         self.units = (len(feed) == 2 and self.b.is_byte(feed[1])
                       and not any("\n" in p or _MARK in p.lstrip(_MARK) for p in pieces))
         self.young: dict[str, Unit] = {}
         self.old: dict[str, Unit] = {}
 
+    @staticmethod
+    def _merges(of: dict, known: dict[int, bytes]):
+        """A faster encoder of words for a vocabulary whose ids are the order of its merges."""
+        cut = of["pre_tokenizer"] or {}
+        if of["normalizer"] or of["model"]["type"] != "BPE" or of["model"].get("dropout") or (
+                cut.get("type") != "ByteLevel" or not cut.get("use_regex")):
+            return None
+        merges, ids = of["model"]["merges"], of["model"]["vocab"]
+        pairs_ = (m.split(" ") if isinstance(m, str) else m for m in merges)
+        if any(ids.get("".join(m)) != 256 + k for k, m in enumerate(pairs_)):
+            return None
+        import tiktoken
+
+        ranks = {known[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks,
+                                 special_tokens={})
+
     #: white space and what follows it, to the next space or line feed behind something else
     _unit = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
     #: where a unit may begin
@@ -190,35 +205,46 @@ class Aligner:
         unit_ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
         groups = np.append(0, np.searchsorted(ends, unit_ends) + 1)
         link_ends = (8 * np.append(0, np.cumsum(n))[groups]).tolist()
-        spans_a, spans_b = ((4 * np.append(0, np.cumsum(x))).tolist() for x in (n_a, n_b))
         groups, packed = groups.tolist(), links.tobytes()
-        bytes_a, bytes_b = (x.astype("<u4").tobytes() for x in (a_ids, b_ids))
-        for k, u in enumerate(units):
-            i, j = groups[k:k + 2]
-            self.young[u] = Unit(
-                True, len(a[k]), len(b[k]), j - i, ";".join(told[i:j]).encode(),
-                packed[link_ends[k]:link_ends[k + 1]], bytes_a[spans_a[k]:spans_a[k + 1]],
-                bytes_b[spans_b[k]:spans_b[k + 1]])
+        self.young.update(
+            (u, (True, m, n, j - i, ";".join(told[i:j]).encode(), packed[y:z]))
+            for u, m, n, i, j, y, z in zip(units, n_a.tolist(), n_b.tolist(), groups, groups[1:],
+                                           link_ends, link_ends[1:]))
+
+    def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A's and B's ids of each unit."""
+        if self.fast:  # a space and letters are one word to A's pattern
+            word = [u[1:].isalpha() and u[0] == " " for u in units]
+            rest = iter(self.a.encode_batch_fast([u for u, w in zip(units, word) if not w],
+                                                 add_special_tokens=False))
+            merge = self.fast.encode_ordinary
+            a = [merge(u) if w else next(rest).ids for u, w in zip(units, word)]
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        if self.units:  # a line feed is two pieces, and nothing behind depends on it
+            b = [i[2:] for i in self.b.encode(["\n" + u for u in units], num_threads=1)]
+        else:
+            b = self.b.encode([u[1:] for u in units], num_threads=1)
+        return a, b
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remember the units of texts."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        missing = {u for t in texts for u in t}.difference(self.young)
         new = []
-        for u in missing:
-            if u in self.old:
-                self.young[u] = self.old[u]
+        for u in set().union(*texts).difference(self.young):
+            known = self.old.get(u)
+            if known:
+                self.young[u] = known
             else:
                 new.append(u)
-        for k in range(0, len(new), 10_000):
-            some = new[k:k + 10_000]
-            a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            if self.units:  # a line feed is two pieces in front of which nothing depends
-                b = [i[2:] for i in self.b.encode(["\n" + u for u in some], num_threads=1)]
-            else:
-                b = self.b.encode([u[1:] for u in some], num_threads=1)
-            self._read(some, a, b)
+        gc.disable()  # many new objects, none of them in a cycle
+        try:
+            for k in range(0, len(new), 10_000):
+                some = new[k:k + 10_000]
+                self._read(some, *self.ids(some))
+        finally:
+            gc.enable()
 
     def of(self, units: list[str]) -> list[Unit]:
         return [*map(self.young.__getitem__, units)]
@@ -275,13 +301,31 @@ def range_fragment(of: Aligner, window: str, lo: int, hi: int) -> dict:
     units = of.cut(window)
     of.learn([units])
     found = of.of(units)
-    if not all(u.good for u in found):
+    if not all(u[0] for u in found):
         return _row(False, 0, 0, Fragment())
-    a, b = (np.frombuffer(b"".join([u[k] for u in found]), np.uint32).astype(np.int64)
-            for k in (6, 7))
-    a_ends, b_ends = np.cumsum(of.a_sizes[a]), np.cumsum(of.b_sizes[b])
-    x, y = (a_ends > lo) & (a_ends <= hi), (b_ends > lo) & (b_ends <= hi)
-    return _row(True, int(x.sum()), int(y.sum()), fragment(a[x], a_ends[x], b[y], b_ends[y]))
+    ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+    first = int(np.searchsorted(ends - np.diff(ends, prepend=0), lo))  # units inside the range
+    last = max(first, int(np.searchsorted(ends, hi, side="right")))
+    parts = [_closed(found[first:last])]
+    for k in {first - 1, last} & set(range(len(units))):  # units that it cuts
+        a, b = (np.array(x[0], np.int64) for x in of.ids([units[k]]))
+        begin = int(ends[k]) - len(units[k].encode())
+        a_ends, b_ends = begin + np.cumsum(of.a_sizes[a]), begin + np.cumsum(of.b_sizes[b])
+        x, y = (a_ends > lo) & (a_ends <= hi), (b_ends > lo) & (b_ends <= hi)
+        part = _row(True, int(x.sum()), int(y.sum()),
+                    fragment(a[x], a_ends[x], b[y], b_ends[y]))
+        parts.insert(0 if k < first else len(parts), part)
+    return together(parts)
+
+
+def _closed(units: list[Unit]) -> dict:
+    """Columns of the fragment of whole units; none at all is the neutral fragment."""
+    if not units:
+        return _row(True, 0, 0, Fragment())
+    _, n_a, n_b, n_groups, groups, links = zip(*units)
+    codes, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+    return _row(True, sum(n_a), sum(n_b), Fragment(True)) | {
+        "groups": b";".join(groups), "n_groups": sum(n_groups), "codes": codes, "times": times}
 
 
 def _row(good: bool, n_a: int, n_b: int, of: Fragment) -> dict:
@@ -327,18 +371,18 @@ def finished(r: dict) -> dict:
         none = np.zeros(0, np.int64)
         return {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "",
                 "codes": none, "times": none}
-    first = [_open(r, "head")]
+    first = [g for g in [_open(r, "head")] if g != _EMPTY]
     codes, times = pairs(first)
     codes, times = summed(np.concatenate([codes, r["codes"]]), np.concatenate([times, r["times"]]))
-    groups = spelled(first) + (b";" + r["groups"] if r["n_groups"] else b"")
-    return {"n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_groups"] + 1,
+    groups = b";".join([spelled(first)] * len(first) + [r["groups"]] * (r["n_groups"] > 0))
+    return {"n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_groups"] + len(first),
             "n_links": int(times.sum()), "groups_sha256": hashlib.sha256(groups).hexdigest(),
             "codes": codes, "times": times}
 
 
 def short_result(units: list[Unit]) -> dict:
     """Result of a text from the fragments of its units, all of which are closed."""
-    good, n_a, n_b, n_groups, groups, links, _, _ = zip(*units)
+    good, n_a, n_b, n_groups, groups, links = zip(*units)
     if not all(good):
         return finished(_row(False, 0, 0, Fragment()))
     codes = np.frombuffer(b"".join(links), np.int64)
