@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ GRID_TOLERANCE = 15
 GRID_MIN_CELLS = 50
 BLANK = 255
 
+#: pairs of tokens of two pages up to which all of them are compared
+TABLE = 4_000_000
 EQUAL, INSERT, DELETE = "equal", "insert", "delete"
 
 
@@ -38,40 +41,23 @@ def _rows_of(prev: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[n
         prev = cur
 
 
-def diff_runs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Runs of equal, inserted and deleted text between two token lists.
+def _by_table(ia: np.ndarray, ib: np.ndarray) -> Iterator[tuple[str, int]]:
+    """Edits and matches from the ends of two lists to their beginnings, one token at a time.
 
-    Ties take the insertion, read from the end. Only every s-th row of the
-    table is kept (s = square root of its height); the rows between are made
-    again when the walk back reaches them, so memory grows with n * sqrt(m).
+    Only every s-th row of the table is kept (s = square root of its height); the rows between are
+    made again when the walk back reaches them, so memory grows with n * sqrt(m).
     """
-    if not a or not b:
-        text = "".join(a or b)
-        return [(DELETE if a else INSERT, text)] if a or b else []
-    ids: dict[str, int] = {}
-    ia = np.fromiter((ids.setdefault(t, len(ids)) for t in a), np.int64, len(a))
-    ib = np.fromiter((ids.setdefault(t, len(ids)) for t in b), np.int64, len(b))
-    i, j = len(a), len(b)
-    ops: list[tuple[str, str]] = []
-
-    # a common end is matched first by the walk back, so it needs no table
-    same = min(i, j)
-    unequal = np.flatnonzero(ia[i - same:][::-1] != ib[j - same:][::-1])
-    tail = int(unequal[0]) if len(unequal) else same
-    ops += [(EQUAL, a[i - 1 - k]) for k in range(tail)]
-    i, j = i - tail, j - tail
-
-    cols = ib[:j]
+    i, j = len(ia), len(ib)
     step = max(64, int(i ** 0.5))
     kept = [np.zeros(j + 1, np.int32)]
     if i and j:
-        for no, row in enumerate(_rows_of(kept[0], ia[:i], cols), 1):
+        for no, row in enumerate(_rows_of(kept[0], ia, ib), 1):
             if no % step == 0:
                 kept.append(row)
     block, first, table = None, 0, []
     while i or j:
         if i and j and ia[i - 1] == ib[j - 1]:
-            ops.append((EQUAL, a[i - 1]))
+            yield EQUAL, 1
             i, j = i - 1, j - 1
             continue
         insert = i == 0
@@ -79,29 +65,118 @@ def diff_runs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
             if block != (i - 1) // step:
                 block = (i - 1) // step
                 first = block * step
-                table = [kept[block], *_rows_of(kept[block], ia[first:first + step][:i - first], cols)]
+                table = [kept[block], *_rows_of(kept[block], ia[first:first + step][:i - first], ib)]
             insert = table[i - first][j - 1] >= table[i - first - 1][j]
-        if insert:
-            ops.append((INSERT, b[j - 1]))
-            j -= 1
-        else:
-            ops.append((DELETE, a[i - 1]))
-            i -= 1
+        yield (INSERT if insert else DELETE), 1
+        i, j = (i, j - 1) if insert else (i - 1, j)
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning of two arrays."""
+    at, step, n = 0, 64, min(len(a), len(b))
+    while at < n:
+        other = np.flatnonzero(a[at:at + step][:n - at] != b[at:at + step][:n - at])
+        if len(other):
+            return at + int(other[0])
+        at, step = at + step, step * 4
+    return n
+
+
+def _reached(before: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Furthest places with one edit more: element t is the diagonal 2 * t - d, counted in ``ia``."""
+    d, n, m = len(before), len(ia), len(ib)
+    k = 2 * np.arange(d + 1) - d
+    x = np.maximum(np.append(-1, before + 1), np.append(before, -1))
+    x = np.minimum(x, np.minimum(n, m + k))
+    x = np.where(x < np.maximum(k, 0), -n - m, x)
+    going = np.flatnonzero((x >= 0) & (x < n) & (x - k < m))
+    for _ in range(8):  # most matches behind an edit are short
+        going = going[ia[x[going]] == ib[x[going] - k[going]]]
+        x[going] += 1
+        going = going[(x[going] < n) & (x[going] - k[going] < m)]
+        if not len(going):
+            return x
+    for t in going.tolist():
+        x[t] += _same(ia[x[t]:], ib[x[t] - k[t]:])
+    return x
+
+
+def _by_edits(ia: np.ndarray, ib: np.ndarray, most: int) -> list[tuple[str, int]] | None:
+    """As ``_by_table`` in time (n + m) * edits (Myers, 1986); None if there are over ``most``.
+
+    A cell of the table is at most d edits away if the furthest place of d edits on its diagonal
+    is not before it, so the furthest places answer the walk back. Of them every s-th row is kept.
+    """
+    n, m = len(ia), len(ib)
+    step = max(16, int((n + m) ** 0.25) * 8)
+    row = np.array([_same(ia, ib)])
+    kept = [row]
+    d = 0
+    while (n - m + d) % 2 or not 0 <= (n - m + d) // 2 <= d or row[(n - m + d) // 2] < n:
+        d += 1
+        if d > most:
+            return None
+        row = _reached(row, ia, ib)
+        if d % step == 0:
+            kept.append(row)
+    out: list[tuple[str, int]] = []
+    i, j, first, rows = n, m, d + 1, []
+    while i or j:
+        same = _same(ia[:i][::-1], ib[:j][::-1])
+        if same:
+            out.append((EQUAL, same))
+            i, j = i - same, j - same
+            continue
+        d -= 1
+        if d < first:
+            first = d // step * step
+            rows = [kept[first // step]]
+            while len(rows) <= d - first:
+                rows.append(_reached(rows[-1], ia, ib))
+        t = (i - j + 1 + d) // 2  # the diagonal of an insertion
+        insert = j > 0 and 0 <= t <= d and rows[d - first][t] >= i
+        out.append((INSERT if insert else DELETE, 1))
+        i, j = (i, j - 1) if insert else (i - 1, j)
+    return out
+
+
+def diff_runs(a: list[str], b: list[str], table: int = TABLE) -> list[tuple[str, str]]:
+    """Runs of equal, inserted and deleted text between two token lists.
 
+    Ties take the insertion, read from the end. Up to ``table`` pairs of tokens the whole table is
+    filled; for longer lists the time grows with the edits, unless there are so many that the table
+    is cheaper. Both ways give the same runs.
+    """
+    if not a or not b:
+        text = "".join(a or b)
+        return [(DELETE if a else INSERT, text)] if a or b else []
+    ids: dict[str, int] = {}
+    ia = np.fromiter((ids.setdefault(t, len(ids)) for t in a), np.int64, len(a))
+    ib = np.fromiter((ids.setdefault(t, len(ids)) for t in b), np.int64, len(b))
+    # a common end is matched first by the walk back
+    tail = _same(ia[::-1], ib[::-1])
+    ia, ib = ia[:len(a) - tail], ib[:len(b) - tail]
+    ops = None
+    if len(ia) * len(ib) > table:
+        ops = _by_edits(ia, ib, int((len(ia) * len(ib)) ** 0.5))
+    i, j = len(a), len(b)
     runs: list[tuple[str, list[str]]] = []
-    for op, token in reversed(ops):
-        if runs and runs[-1][0] == op:
-            runs[-1][1].append(token)
-        else:
-            runs.append((op, [token]))
-    return [(op, "".join(tokens)) for op, tokens in runs]
+    for op, n in chain([(EQUAL, tail)], _by_table(ia, ib) if ops is None else ops):
+        if not n:
+            continue
+        tokens = b[j - n:j] if op == INSERT else a[i - n:i]
+        i, j = i - n * (op != INSERT), j - n * (op != DELETE)
+        if not runs or runs[-1][0] != op:
+            runs.append((op, []))
+        runs[-1][1].extend(reversed(tokens))
+    return [(op, "".join(reversed(tokens))) for op, tokens in reversed(runs)]
 
 
 def token_diff(pairs: DataFrame, keys: tuple[str, ...] = ("pair_id", "page_number")) -> DataFrame:
     """Diff runs of aligned pages: keys, run_no, op, text.
 
     Equal pages are answered by comparison alone. The others are spread over
-    the cluster; the quadratic table of one page pair is local to its row.
+    the cluster; a pair is worked on in its row, in time that grows with its edits.
     """
     changed = F.col("text_a") != F.col("text_b")
     rows = pairs.where((F.col("text_a") != "") | (F.col("text_b") != "")).select(
