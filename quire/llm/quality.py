@@ -20,14 +20,45 @@ MARKS, MARKS_FREE, MARKS_PERCENT = r"[\p{P}\p{S}]", 2, 12
 LONG_LINE, SENTENCE = 12, r"[.,;:!?…。！？、]"
 #: a line with so many separators and at most so many words to each is a menu
 SEPARATORS, MIN_SEPARATORS, WORDS_EACH = r"[|»›>·•]", 2, 5
-#: lines that are nothing but one of these are menu entries; fixed values
-MENU = (r"(?i)^\W*(home|menu|search|login|log in|sign in|sign up|register|next|next page|previous"
-        r"|previous page|back|back to top|skip to content|read more|load more|share|contact us"
-        r"|about us|sitemap)\W*$")
-#: phrases of page furniture; fixed values
-BOILERPLATE = (r"(?i)(all rights reserved|privacy policy|cookie policy|uses cookies|accept cookies"
-               r"|terms of use|terms of service|enable javascript|click here|lorem ipsum"
-               r"|subscribe to our newsletter|powered by)")
+#: lines that are nothing but one of these are menu entries, by language; fixed values
+MENU_ENTRIES = {
+    "en": "home|menu|search|login|log in|sign in|sign up|register|next|next page|previous"
+          "|previous page|back|back to top|skip to content|read more|load more|share|contact us"
+          "|about us|sitemap",
+    "fr": "accueil|menu|rechercher|recherche|connexion|se connecter|s'inscrire|inscription|suivant"
+          "|page suivante|pr[éÉ]c[éÉ]dent|page pr[éÉ]c[éÉ]dente|retour|retour en haut|haut de page"
+          "|aller au contenu|lire la suite|en savoir plus|partager|contactez-nous|plan du site"
+          "|qui sommes-nous",
+    "de": "startseite|men[üÜ]|suche|suchen|anmelden|einloggen|registrieren|weiter|n[äÄ]chste seite"
+          "|zur[üÜ]ck|vorherige seite|nach oben|zum inhalt springen|weiterlesen|mehr lesen"
+          "|mehr erfahren|teilen|kontakt|[üÜ]ber uns|impressum",
+    "es": "inicio|men[úÚ]|buscar|b[úÚ]squeda|iniciar sesi[óÓ]n|acceder|registrarse|reg[íÍ]strate"
+          "|siguiente|p[áÁ]gina siguiente|anterior|p[áÁ]gina anterior|volver|volver arriba"
+          "|ir al contenido|saltar al contenido|leer m[áÁ]s|ver m[áÁ]s|compartir|contacto"
+          "|sobre nosotros|mapa del sitio",
+}
+#: phrases of page furniture, by language; fixed values
+FURNITURE = {
+    "en": "all rights reserved|privacy policy|cookie policy|uses cookies|accept cookies"
+          "|terms of use|terms of service|enable javascript|click here|lorem ipsum"
+          "|subscribe to our newsletter|powered by",
+    "fr": "tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|mentions l[éÉ]gales"
+          "|utilise des cookies|accepter les cookies|conditions d'utilisation"
+          "|activer javascript|cliquez ici|inscrivez-vous [àÀ] notre newsletter|propuls[éÉ] par",
+    "de": "alle rechte vorbehalten|datenschutzerkl[äÄ]rung|cookie-richtlinie|verwendet cookies"
+          "|cookies akzeptieren|nutzungsbedingungen|javascript aktivieren|klicken sie hier"
+          "|hier klicken|newsletter abonnieren|allgemeine gesch[äÄ]ftsbedingungen",
+    "es": "todos los derechos reservados|pol[íÍ]tica de privacidad|pol[íÍ]tica de cookies"
+          "|utiliza cookies|usa cookies|aceptar cookies|t[éÉ]rminos de uso|condiciones de uso"
+          "|aviso legal|activar javascript|haga clic aqu[íÍ]|haz clic aqu[íÍ]"
+          "|suscr[íÍ]bete a nuestro bolet[íÍ]n",
+}
+MENU = rf"(?i)^\W*({'|'.join(MENU_ENTRIES.values()).replace(chr(39), '.')})\W*$"
+#: a phrase begins a line or follows a space or one of these marks
+BOILERPLATE = (r"(?i)(^|[\x20\x09-\x0D(\[>\"«¿¡,.;:|©-])"
+               rf"({'|'.join(FURNITURE.values()).replace(chr(39), '.')})")
+#: percent of a line's characters in words that such phrases need for the line to fail
+BOILERPLATE_PERCENT = 25
 #: percent of the characters in words that may go with the lines
 MAX_LOST_PERCENT = 30
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -60,7 +91,8 @@ def failed_rule(line: Column) -> Column:
         .when(line.rlike(MENU), "navigation")
         .when(marks * 100 > MARKS_FREE * 100 + MARKS_PERCENT * bare, "punctuation")
         .when((words >= LONG_LINE) & ~line.rlike(SENTENCE), "punctuation")
-        .when(line.rlike(BOILERPLATE), "boilerplate")
+        .when(line.rlike(BOILERPLATE) & ((bare - F.length(_bare(F.regexp_replace(
+            line, BOILERPLATE, "")))) * 100 >= BOILERPLATE_PERCENT * bare), "boilerplate")
     )
 
 
@@ -195,7 +227,9 @@ SQL = rf"""
             WHEN regexp_matches(line, '{MENU}') THEN 'navigation'
             WHEN marks * 100 > {MARKS_FREE * 100} + {MARKS_PERCENT} * bare THEN 'punctuation'
             WHEN n >= {LONG_LINE} AND NOT regexp_matches(line, '{SENTENCE}') THEN 'punctuation'
-            WHEN regexp_matches(line, '{BOILERPLATE}') THEN 'boilerplate' END AS rule
+            WHEN regexp_matches(line, '{BOILERPLATE}') AND 100 * (bare - length(regexp_replace(
+                regexp_replace(line, '{BOILERPLATE}', '', 'g'), '[\x20\x09-\x0D]+', '', 'g')))
+                >= {BOILERPLATE_PERCENT} * bare THEN 'boilerplate' END AS rule
         FROM line),
     by_row AS (
         SELECT row_no, count(*) FILTER (bare > 0) - count(DISTINCT line) FILTER (bare > 0) AS dup,

@@ -42,6 +42,13 @@ def test_counts_against_brute_force(odd_docs, sample):
     ("one two three four five six, seven eight nine ten eleven twelve", None),
     ("Copyright 2020 Someone, all rights reserved.", "boilerplate"),
     ("This site uses cookies to work.", "boilerplate"),
+    ("© 2021 Éditions X. TOUS DROITS RÉSERVÉS.", "boilerplate"),
+    ("Alle Rechte vorbehalten, Verlag X.", "boilerplate"),
+    ("Este sitio utiliza cookies.", "boilerplate"), ("Lire la suite", "navigation"),
+    ("S'inscrire", "navigation"), ("» Nächste Seite", "navigation"), ("Página anterior", "navigation"),
+    ("Die nächste Seite ist leer.", None),
+    ("A law on any privacy policy was passed last week, after two years of talks in both houses.", None),
+    ("Le débat sur les mentions légales a duré trois heures, sans le moindre résultat pour eux.", None),
 ])
 def test_rules(spark, line, rule):
     from pyspark.sql import functions as F
@@ -65,6 +72,12 @@ def test_failed_lines_go_first_and_decide(spark):
     assert kept[1].text == good and kept[1].n_chars == len(good) and kept[3].text == good
 
 
+def test_a_long_line_may_name_a_phrase(spark):
+    text = " ".join(f"word{k}" + "," * (k % 9 == 0) for k in range(200)) + " and the privacy policy of the shop."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert quality.clean_documents(docs).first().text == text
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = quality.line_quality(odd_docs).collect()
     assert len(out) == odd_docs.count()
