@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: small-letter strings one of which every block has; fixed values
 CUES = ("licen", "copyright", "permission is hereby", "redistribution and use", "public domain",
-        "cc by", "creativecommons")
+        "cc by", "creativecommons", "express or implied warrant", "neither the name of")
 #: notices and their names; fixed values, the licences' own words
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -43,14 +43,18 @@ TEMPLATES = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are "
             "permitted provided that the following conditions are met:"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the "
-            "terms of the GNU General Public License as published by the Free Software "
-            "Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors "
+                     "may be used to endorse or promote products derived from this software "
+                     "without specific prior written permission."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no "
+             "event will the authors be held liable for any damages arising from the use of this "
+             "software."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made "
+                "available under the terms of the Eclipse Public License v1.0 which accompanies "
+                "this distribution"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of "
+                "the Eclipse Public License 2.0 which is available at"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, "
                 "v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -64,7 +68,48 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced without "
                     "the prior written permission of the copyright holder."),
 )
-#: share of a template's words that may differ, but for those with a digit
+#: the GNU licences: short name, name, versions and what a header calls the work; fixed values
+GNU = (("GPL", "General", ("1", "2", "3"), "program"), ("LGPL", "Library General", ("2",), "library"),
+       ("LGPL", "Lesser General", ("2.1", "3"), "library"), ("AGPL", "Affero General", ("3",), "program"))
+
+
+def gnu_templates() -> list[tuple[str, str]]:
+    """Headers and short notices of the GNU licences, by version and by what is said of later ones.
+
+    A notice that says neither "only" nor "any later version" has the version's plain name.
+    """
+    out = []
+    for short, name, versions, work in GNU:
+        for v in versions:
+            spdx = f"{short}-{v if '.' in v else v + '.0'}"
+            gnu = f"GNU {name} Public License"
+            begin = (f"This {work} is free software: you can redistribute it and/or modify it under "
+                     f"the terms of the {gnu} as published by the Free Software Foundation, ")
+            out += [
+                (f"{spdx}-or-later", f"{begin}either version {v} of the License, or (at your "
+                                     "option) any later version."),
+                (f"{spdx}-only", f"{begin}version {v} only."),
+                (f"{spdx}-only", f"{begin}only version {v} of the License."),
+                (spdx, f"{begin}version {v}."),
+                (spdx, f"{begin}version {v} of the License."),
+                (spdx, f"This {work} is free software; you can redistribute it and/or modify it "
+                       f"under the terms of the {gnu} version {v} as published by the Free Software "
+                       "Foundation."),
+                *[(spdx + option, f"{who} under the {gnu}, version {v}{words}.")
+                  for who in ("This work is licensed", "Licensed")
+                  for option, words in (("", ""), ("-or-later", " or later"), ("-only", " only"))],
+                (f"{spdx}-only", f"SPDX-License-Identifier: {spdx}-only"),
+                (f"{spdx}-or-later", f"SPDX-License-Identifier: {spdx}-or-later"),
+            ]
+    return out
+
+
+TEMPLATES = (*TEMPLATES, *gnu_templates())
+#: words that name a licence or limit it: a span has those of its template and no others
+NAMING = frozenset(
+    "later only lesser affero eclipse mozilla apache boost mit isc bsd attribution noncommercial "
+    "sharealike noderivatives noderivs".split())
+#: share of a template's words that may differ, but for versions and naming words
 MAX_DIFFERENT = 0.1
 LEVEL = 9
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +119,14 @@ def _plain(word: str) -> str:
     return word.lower().strip(".,;:\"'()[]{}<>*/#!-")
 
 
+def _names(words: list[str]) -> tuple[frozenset[str], frozenset[tuple[str, ...]]]:
+    """What names a licence: versions and naming words, and what stands before "public license"."""
+    named = frozenset(w for w in words if w in NAMING or any(c.isdigit() for c in w))
+    gnu = frozenset(tuple(words[k + 1:words.index("public", k)])
+                    for k, w in enumerate(words) if w == "gnu" and "public" in words[k:k + 4])
+    return named, gnu
+
+
 def closest_span(template: list[str], words: list[str]) -> tuple[int, int, int]:
     """Fewest word edits between the template and any span of words, and that span.
 
@@ -111,6 +164,7 @@ class Scanner:
             self.given.append(zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
         self.words = [[w for w in map(_plain, _WORD.findall(text)) if w] for _, text in TEMPLATES]
+        self.names = [_names(w) for w in self.words]
         self.reach = max(map(len, self.words))
 
     def ranked(self, block: str) -> list[tuple[int, int]]:
@@ -128,9 +182,12 @@ class Scanner:
         cues = sorted({m.start() for m in re.finditer("|".join(map(re.escape, CUES)), low)})
         if not cues:
             return
-        words = [m.span() for m in _WORD.finditer(text)]
+        # marks alone, as at the beginning of a comment's lines, are no words
+        words = [m.span() for m in _WORD.finditer(text) if _plain(m[0])]
         starts = np.array([a for a, _ in words])
-        at = np.searchsorted(starts, cues, "right") - 1
+        if not words:
+            return
+        at = np.maximum(np.searchsorted(starts, cues, "right") - 1, 0)
         low_edge = np.maximum(at - self.reach, 0)
         high_edge = np.minimum(at + self.reach + 1, len(words))
         begin, end = int(low_edge[0]), int(high_edge[0])
@@ -167,9 +224,11 @@ class Scanner:
                 if saved <= 0:
                     break
                 differ, a, b = closest_span(self.words[k], plain)
-                numbers = {w for w in self.words[k] if any(c.isdigit() for c in w)}
+                after = plain[b:b + 6]
+                option = {"only"} & {*after[:2]} | {"later"} & {*after}
                 if (differ <= MAX_DIFFERENT * len(self.words[k])
-                        and numbers <= set(plain[a:b])):
+                        and _names(plain[a:b]) == self.names[k]
+                        and (option <= self.names[k][0] or {"only", "later"} & self.names[k][0])):
                     yield {"license": TEMPLATES[k][0], "template": k, "saved_bytes": saved,
                            "rank": rank, "differences": differ, "begin": part[a][0],
                            "end": part[b - 1][1]}

@@ -30,6 +30,63 @@ def test_wording():
     assert [(n, d) for n, _, d in notices(long)] == [("MIT", 1)]
 
 
+HEADERS = [
+    ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it
+ under the terms of the GNU General Public License as published by the Free Software Foundation;
+ either version 2 of the License, or (at your option) any later version."""),
+    ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it
+ under the terms of the GNU General Public License as published by the Free Software Foundation,
+ either version 3 of the License, or (at your option) any later version."""),
+    ("LGPL-2.1-or-later", """This library is free software; you can redistribute it and/or modify it
+ under the terms of the GNU Lesser General Public License as published by the Free Software
+ Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("LGPL-2.0-or-later", """This library is free software; you can redistribute it and/or modify it
+ under the terms of the GNU Library General Public License as published by the Free Software
+ Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("LGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it
+ under the terms of the GNU Lesser General Public License as published by the Free Software
+ Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it
+ under the terms of the GNU Affero General Public License as published by the Free Software
+ Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the
+ terms of the GNU General Public License version 2 as published by the Free Software Foundation."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the
+ terms of the GNU General Public License as published by the Free Software Foundation, version 3."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the
+ terms of the GNU Affero General Public License as published by the Free Software Foundation,
+ version 3 of the License."""),
+    ("GPL-2.0-only", """This program is free software; you can redistribute it and/or modify it under
+ the terms of the GNU General Public License as published by the Free Software Foundation; version 2
+ only."""),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of
+ the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+]
+
+
+@pytest.mark.parametrize("name, text", HEADERS)
+def test_headers_get_their_own_name(name, text):
+    prose = "some words that are no notice " * 20
+    assert [n for n, _, _ in notices(prose + text + "\n" + prose)] == [name]
+    # as a comment, with a mark on every line
+    found = [n for n, _, _ in notices("\n".join(" * " + x for x in text.split("\n")))]
+    assert found == [name]
+
+
+def test_other_versions_and_families_have_no_row():
+    for text in ("This work is licensed under the GNU General Public License, version 4.",
+                 "This work is licensed under the GNU Free Documentation License, version 3.",
+                 HEADERS[0][1].replace("version 2", "version 7"),
+                 HEADERS[5][1].replace("Affero", "Imaginary")):
+        assert notices(text) == []
+
+
 def test_several_notices_in_one_text():
     text = ("Released under the MIT License. Some words between. Licensed under CC BY-NC 4.0.\n"
             + "x " * 500 + "\n" + "Released under the MIT License.\n" * 150)
