@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.queries.shared import LINES
-from quire.sources import extract as E
+from quire.plans.durable import settled
+from quire.sources import extract as E, members
 from quire.sources.tables import spread, table
 
 
@@ -80,7 +81,7 @@ def _zipped(member):
     return pack
 
 
-def docx_paragraphs(spark, sf):
+def _docx_files(spark, sf):
     d = _docs(spark, sf)
     para = F.transform(X.lines(F.col("text")), lambda t: F.concat(
         F.lit("<w:p><w:pPr/><w:r><w:t xml:space=\"preserve\">"), X.escape_xml(t),
@@ -89,23 +90,48 @@ def docx_paragraphs(spark, sf):
                   '<a:blip r:embed="rId7"/></w:r></w:p>')
     xml = F.concat(F.lit("<w:document><w:body>"), F.array_join(para, ""), image,
                    F.lit("</w:body></w:document>"))
-    files = _files(d, "docx", _zipped("word/document.xml")(xml))
-    return E.docx_blocks(E.decode(files, ("docx",))).select(
+    return _files(d, "docx", _zipped("word/document.xml")(xml))
+
+
+def _docx_columns(blocks):
+    return blocks.select(
         F.col("path").cast("bigint").alias("doc_id"), F.col("para_no").cast("bigint")
         .alias("para_no"), "kind", "text", "is_heading", "rel_id", "cx_pt", "cy_pt")
 
 
-def xlsx_rows(spark, sf):
+def docx_paragraphs(spark, sf):
+    return _docx_columns(E.docx_blocks(E.decode(_docx_files(spark, sf), ("docx",))))
+
+
+def docx_pulled(spark, sf):
+    """The same paragraphs from members that are never held whole."""
+    return _docx_columns(members.docx_blocks(members.nodes(_docx_files(spark, sf))))
+
+
+def _xlsx_files(spark, sf):
     d = _docs(spark, sf)
     cells = F.transform(X.lines(F.col("text")), lambda t: F.concat(
         F.lit("<si><t>"), X.escape_xml(t), F.lit("</t></si>")))
     xml = F.concat(F.lit("<sst>"), F.array_join(cells, ""), F.lit("</sst>"))
-    files = _files(d, "xlsx", _zipped("xl/sharedStrings.xml")(xml))
-    return E.part_lines(E.decode(files, ("xlsx",))).select(
+    return _files(d, "xlsx", _zipped("xl/sharedStrings.xml")(xml))
+
+
+def _xlsx_columns(lines):
+    return lines.select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"), F.md5("line").alias("line_md5"))
 
 
+def xlsx_rows(spark, sf):
+    return _xlsx_columns(E.part_lines(E.decode(_xlsx_files(spark, sf), ("xlsx",))))
+
+
+def xlsx_pulled(spark, sf):
+    """The same lines from shared strings that are pulled one by one."""
+    files = settled(_xlsx_files(spark, sf))
+    return _xlsx_columns(members.xlsx_lines(files, settled(members.nodes(files))))
+
+
 def odt_lines(spark, sf):
     d = _docs(spark, sf)
     body = F.transform(X.lines(F.col("text")), lambda t: F.concat(
@@ -164,7 +190,8 @@ def extracted_lines(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    rtf_lines, mail_messages, mail_attachments, docx_paragraphs, xlsx_rows, odt_lines,
+    rtf_lines, mail_messages, mail_attachments, docx_paragraphs, docx_pulled, xlsx_rows,
+    xlsx_pulled, odt_lines,
     extraction_rejects, extracted_lines)}
 
 _HEADING = (r"(strlen(line) < 50 AND (regexp_matches(line, '^[1-6][.]') OR NOT regexp_matches(line, "
@@ -238,3 +265,4 @@ r AS (SELECT doc_id, n, c, CASE WHEN broken THEN 'broken' WHEN kind = 'png' THEN
 SELECT doc_id, coalesce(n, 0) AS n_lines, c AS n_chars, reason FROM r
 WHERE n IS NOT NULL OR reason IS NOT NULL""",
 }
+SQL["docx_pulled"], SQL["xlsx_pulled"] = SQL["docx_paragraphs"], SQL["xlsx_rows"]

@@ -23,6 +23,9 @@ MEMBERS = {
     "odg": ["content.xml"], "odt": ["content.xml"], "ods": ["content.xml"], "odp": ["content.xml"],
     "vsdx": ["visio/pages/page*.xml", "visio/document.xml"],
 }
+# Fixed value: bytes that a member may inflate to when it is read whole; quire.sources.members pulls
+# longer ones.
+MEMBER_LIMIT = 30 << 20
 # Titles and fallback lines of extracted archives.
 TITLES = {
     "odg": "=== DESSIN / SCHEMA VECTORIEL OPENDOCUMENT (ODG) ===",
@@ -87,7 +90,11 @@ def _decode_archive(ext: str):
                 pattern = re.compile(re.escape(wanted).replace(r"\*", "([0-9]+)"))
                 found = [m for m in map(pattern.fullmatch, z.namelist()) if m]
                 for m in sorted(found, key=lambda m: [int(n) for n in m.groups()]):
-                    bodies.append(z.read(m[0]).decode("utf-8", "replace"))
+                    with z.open(m[0]) as stream:  # what it inflates to is not told reliably
+                        body = stream.read(MEMBER_LIMIT + 1)
+                    if len(body) > MEMBER_LIMIT:
+                        raise ValueError(f"{m[0]} inflates to more than {MEMBER_LIMIT} bytes")
+                    bodies.append(body.decode("utf-8", "replace"))
         return [{"part": "xml", "body": "\n".join(bodies)}]
 
     return decode
@@ -194,11 +201,20 @@ def _docx_blocks(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(_PARAGRAPH), 1), walk)
 
 
+def docx_paragraph_blocks(xml: Column) -> Column:
+    """The blocks of an XML text of one paragraph."""
+    return F.get(_docx_blocks(xml), F.lit(0))
+
+
 def docx_blocks(parts: DataFrame) -> DataFrame:
     """Paragraphs and image references of DOCX bodies in order."""
     xml = parts.where((F.col("ext") == "docx") & (F.col("part") == "xml"))
-    paras = xml.select("path", _docx_blocks(F.col("body")).alias("_ps")).select(
-        "path", F.posexplode("_ps").alias("para_no", "_b"))
+    return block_rows(xml.select("path", _docx_blocks(F.col("body")).alias("_ps")).select(
+        "path", F.posexplode("_ps").alias("para_no", "_b")))
+
+
+def block_rows(paras: DataFrame) -> DataFrame:
+    """One row for each block of paragraphs (path, para_no, _b)."""
     rows = paras.select(
         "path", "para_no", (F.size("_b.blocks") - 1).alias("_last"),
         F.col("_b.ends_in_text").alias("_text"), F.posexplode("_b.blocks").alias("block_no", "b"))
