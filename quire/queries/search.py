@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import search, textlayer
+from quire.operators.gram_index import GramIndex
+from quire.plans.durable import fresh_folder
 from quire.queries.shared import LINES, words_of
 from quire.queries.text import docs
 from quire.sources.tables import spread, table
@@ -53,6 +55,24 @@ def search_phrases(spark, sf):
         "query_id", "doc_id", F.col("line_no").cast("bigint").alias("line_no"))
 
 
+def search_indexed(spark, sf):
+    """Names of nations and parts' types as words, whole benchmark items as phrases, from an index
+    that the documents were added to in two rounds."""
+    d = docs(spark, sf).select("doc_id", "text")
+    index = GramIndex(spark, fresh_folder(spark, "index"))
+    for batch in (0, 1):
+        index.add(d.where(F.col("doc_id") % 2 == batch), batch)
+    queries = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item "), "item_id").alias("query_id"), F.col("text").alias("query")).unionByName(
+        table(spark, sf, "nation").select(F.concat(F.lit("nation "), "n_nationkey"), F.col("n_name"))
+        .toDF("query_id", "query")).unionByName(
+        table(spark, sf, "documents").select("source", "lang").distinct().select(
+            F.concat(F.lit("lang "), "lang", F.lit(" "), "source").alias("query_id"),
+            F.concat("lang", F.lit("t")).alias("query")))
+    return index.search(queries).groupBy("query_id", "doc_id").agg(
+        F.count("*").alias("matches"), F.min("position").cast("bigint").alias("first"))
+
+
 def search_ordinals(spark, sf):
     found = search.search_text(docs(spark, sf).select("doc_id", "text"), "ing")
     numbered = search.ordinals(found, ["doc_id"], ORDER)
@@ -64,7 +84,7 @@ def search_ordinals(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     search_one, search_page_counts, search_many_queries, search_benchmark_words, search_phrases,
-    search_ordinals)}
+    search_indexed, search_ordinals)}
 
 _W = f"WITH {LINES}, {words_of('lines')}"
 
@@ -90,6 +110,27 @@ FROM v JOIN q ON contains(word, q) GROUP BY 1""",
 q AS (SELECT item_id AS query_id, lower(trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))) AS q
   FROM benchmark)
 SELECT query_id, doc_id, line_no FROM lines JOIN q ON contains(lower(line), q)""",
+    "search_indexed": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\f\r\x0B]+'), lambda x: x <> '') AS ws
+  FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+v AS (SELECT DISTINCT word FROM p),
+q AS (
+  SELECT 'item ' || item_id AS query_id, text AS query FROM benchmark
+  UNION ALL SELECT 'nation ' || n_nationkey, n_name FROM nation
+  UNION ALL SELECT DISTINCT 'lang ' || lang || ' ' || source, lang || 't' FROM documents),
+t AS (SELECT query_id, list_filter(string_split_regex(lower(query), '[ \t\n\f\r\x0B]+'), lambda x: x <> '') AS qs
+      FROM q),
+k AS (SELECT query_id, len(qs) AS n, unnest(qs) AS needle, unnest(range(len(qs))) AS k FROM t),
+m AS (
+  SELECT query_id, n, k, word FROM k JOIN v ON word = needle WHERE k > 0 AND k < n - 1
+  UNION ALL SELECT query_id, n, k, word FROM (SELECT * FROM k WHERE k = 0 OR k = n - 1) k JOIN v
+    ON CASE WHEN n = 1 THEN contains(word, needle) WHEN k = 0 THEN ends_with(word, needle)
+            ELSE starts_with(word, needle) END),
+h AS (SELECT query_id, doc_id, pos - k AS pos FROM m JOIN p USING (word)
+      GROUP BY query_id, doc_id, pos - k, n HAVING count(DISTINCT k) = n)
+SELECT query_id, doc_id, count(*) AS matches, min(pos) AS first FROM h GROUP BY ALL""",
     "search_ordinals": f"""{_W},
 m AS (SELECT doc_id, line_no, idx FROM words WHERE contains(lower(word), 'ing'))
 SELECT doc_id, line_no, idx AS span_idx, row_number() OVER o AS match_no,
