@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OWNERS = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,16 +44,36 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     where, store = _hadoop(spark, path)
     store.mkdirs(where)
     store.deleteOnExit(where)
+    if getattr(_OWNERS, "held", None):
+        _OWNERS.held[-1].append(path)
     return path
 
 
-def settled(df: DataFrame) -> DataFrame:
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Delete all folders made inside when the block ends, for long sessions.
+
+    Results that read them must be written inside the block; what is to stay is written to a folder
+    made before it.
+    """
+    if not hasattr(_OWNERS, "held"):
+        _OWNERS.held = []
+    _OWNERS.held.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.held.pop():
+            delete(spark, path)
+
+
+def settled(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the rows once and read them back: later uses do not recompute them.
 
     Unlike a cache the table survives the loss of executors, and unlike
     checkpoint() the rows are computed a single time. The table goes when the
-    application ends, since results that read it may be computed until then.
+    application ends, since results that read it may be computed until then, or
+    with the block of ``owned`` around it. ``folder`` is one made before.
     """
-    path = f"{fresh_folder(df.sparkSession, 'settled')}/rows"
+    path = f"{folder or fresh_folder(df.sparkSession, 'settled')}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
