@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.catalog import RETENTION_SECONDS
+from quire.operators.usage import SCENARIO_PROBS
 from quire.plans.increments import Increments
 from quire.plans.skew import last_per_key
 from quire.sources.corpus import TELEMETRY_SCHEMA
@@ -76,3 +79,23 @@ def telemetry_windows(samples: DataFrame, width: str = "1 minute",
         .select(F.col("w.start").alias("start"), "samples", "mean_cpu", "peak_cpu", "peak_rss_mb",
                 "max_hwm_mb")
     )
+
+
+#: entries of a percentile summary: the rank of a value is off by one part in so many at most
+ACCURACY = 1000
+
+
+def latency_windows(samples: DataFrame, value: str, keys: Sequence[str] = (), width: str = "1 minute",
+                    delay: str = "1 minute", probs: Mapping[str, float] = SCENARIO_PROBS,
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """Percentiles of a column by keys in tumbling windows of samples with an event time ``ts``.
+
+    The state of a window is one mergeable summary (Greenwald and Khanna) a key, whatever the number
+    of samples: tasks summarise their own rows, and summaries meet. Of n values the one given for p
+    has a rank within n / accuracy of p * n. ``usage.percentiles`` is exact, in batch.
+    """
+    of = F.percentile_approx(value, list(probs.values()), accuracy)
+    found = samples.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), *keys).agg(
+        F.count(value).alias("n"), of.alias("_p"))
+    return found.select(F.col("w.start").alias("start"), *keys, "n",
+                        *[F.col("_p")[k].alias(name) for k, name in enumerate(probs)])

@@ -133,6 +133,25 @@ def test_annotation_save_replaces_only_its_documents(spark, tmp_path):
     assert {(r.doc_id, r.v) for r in corpus.read_annotations(spark, path + "-new").collect()} == want
 
 
+def test_annotation_save_stopped_between_writes(spark, tmp_path, monkeypatch):
+    """A save that stops after its rows, before its mark, has changed nothing; done again it counts."""
+    path = str(tmp_path / "ann")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, v string")
+    corpus.save_annotations(first, first, path, 1)
+    second = spark.createDataFrame([(1, "new")], "doc_id long, v string")
+    broken = spark.createDataFrame([(1,)], "doc_id long").select(
+        F.when(F.raise_error(F.lit("stop")).isNull(), F.col("doc_id")).alias("doc_id"))
+    try:
+        corpus.save_annotations(broken, second, path, 2)
+        raise AssertionError("did not stop")
+    except Exception as e:
+        assert "stop" in str(e)
+    read = lambda: {(r.doc_id, r.v) for r in corpus.read_annotations(spark, path).collect()}
+    assert read() == {(1, "a"), (2, "b")}
+    corpus.save_annotations(second, second, path, 2)
+    assert read() == {(1, "new"), (2, "b")}
+
+
 def test_versions_and_mapping(spark, tmp_path):
     path = str(tmp_path / "v")
     for no in (1, 2):

@@ -72,6 +72,26 @@ def test_telemetry_windows_drop_late_samples(spark, tmp_path):
     assert got == [(2, 20.0, 30.0), (2, 2.0, 3.0)]
 
 
+def test_percentiles_keep_their_bound(spark, tmp_path):
+    rng = random.Random(3)
+    values = [round(rng.expovariate(1 / 40), 1) for _ in range(6000)]
+    df = spark.createDataFrame([(i, at(i / 100), v) for i, v in enumerate(values)],
+                               "i int, ts timestamp, latency double")
+    stream = stream_of(spark, df, str(tmp_path / "in"), 5)
+    q = S.latency_windows(stream, "latency", (), "20 seconds", "1 second", accuracy=100) \
+        .writeStream.format("memory").queryName("latency").outputMode("append") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.table("latency").orderBy("start").collect()
+    assert len(rows) == 2
+    for k, r in enumerate(rows):
+        own = sorted(values[2000 * k:2000 * (k + 1)])
+        assert r.n == 2000
+        for name, p in S.SCENARIO_PROBS.items():
+            low, high = (sum(v < r[name] for v in own), sum(v <= r[name] for v in own))
+            assert low - 20 <= p * 2000 <= high + 20
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Alpha beta\nALPHABET soup"), (2, "gamma")], "doc_id int, text string")
     found = search.search_text(df, " alpha ")
