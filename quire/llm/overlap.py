@@ -1,13 +1,14 @@
 """Verified links of shingle sets that share names, without the pairs of a group.
 
-Equal sets are one class. Classes that share a name are a bucket. In each round every bucket sends
-its most connected member, the leader, against the others. A pair is dropped if the sizes or 512
-parity bits of the sets exclude a link (each difference turns at most one bit); for the rest the
-overlap is counted in each of ``PARTS`` fragments of the hashes' order separately, and summed per
-pair. Linked sets become one component; buckets whose members are one component are done, the
-others go on with more leaders (``STEP`` times as many in each round) that are not in the bucket's
-largest component, until every pair that could still join two components was compared. A group of
-near copies takes as many pairs as it has members and names, not their square.
+Equal sets are one class. Classes that share a name are a bucket, and its most connected member is
+its leader. First every set is compared with one of its leaders: as many pairs as sets. A pair is
+dropped if the sizes or 512 parity bits of the sets exclude a link (each difference turns at most
+one bit); for the rest the overlap is counted in each of ``PARTS`` fragments of the hashes' order
+separately, and summed per pair. Linked sets become one component, and buckets whose members are one
+component are done. In the others each set looks for the nearest sets of other components, by
+the parity bits, in cells of bounded size; those pairs are compared, ``STEP`` times as many for a set
+in each round, until no pair that could still join two components is left. No task holds a
+bucket, and a group of near copies sends no pairs inside a component.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.common import signed, small_side, text_slices
 from quire.llm.components import components
@@ -28,8 +29,10 @@ from quire.plans.durable import settled
 
 #: fragments in which overlaps are counted separately
 PARTS = 8
-#: leaders of a bucket in a round, as a multiple of those in the round before
+#: nearest sets that a set is compared with in a round, as a multiple of those in the round before
 STEP = 4
+#: sets of a bucket or chunk that meet in one cell
+MEMBERS = 500
 _BITS = 512
 
 
@@ -99,26 +102,36 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def _cut(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of (doc_id, text) as segments: print, total, part, segment."""
+        """Sets of rows (text, print, total, u, v) as segments, where the text has these prints:
+        u, v, part, segment."""
         edges_of = np.arange(PARTS + 1, dtype=np.uint64) * np.uint64((1 << 32) // PARTS)
         for batch in batches:
-            for a, b in text_slices(batch.column(1), 1_000_000):
-                of, parts, segments = [], [], []
-                for x in batch.column(1).slice(a, b - a):
+            for a, b in text_slices(batch.column(0), 1_000_000):
+                part = batch.slice(a, b - a)
+                out, segments = [], []
+                for x, *of, u, v in zip(part.column(0),
+                                        *(part.column(k).to_pylist() for k in range(1, 5))):
                     found = rule.shingles(x.as_py() or b"")
+                    if prints(found) != tuple(of):  # another text of the same doc_id
+                        continue
                     edges = np.searchsorted(found >> np.uint64(32), edges_of)
-                    of += [prints(found)] * PARTS
-                    parts += range(PARTS)
+                    out += [(u, v, k) for k in range(PARTS)]
                     segments += [found[y:z].view(np.int64) for y, z in zip(edges, edges[1:])]
+                cols = [*zip(*out)] or [(), (), ()]
                 yield pa.record_batch(
-                    [pa.array([x for x, _ in of], pa.int64()),
-                     pa.array([x for _, x in of], pa.int64()),
-                     pa.array(parts, pa.int32()), lists(segments)],
-                    names=["print", "total", "part", "segment"])
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                     pa.array(cols[2], pa.int32()), lists(segments)],
+                    names=["u", "v", "part", "segment"])
 
     return run
 
 
+def _possible(share: int, n_u: Column, n_v: Column, other: Column) -> Column:
+    """Whether sets of these sizes, differing in at least ``other`` shingles, may link."""
+    return ((100 * F.least(n_u, n_v) >= share * F.greatest(n_u, n_v))
+            & ((100 + share) * other <= (100 - share) * (n_u + n_v)))
+
+
 def possible(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (u, v) of sets (key, n, bits) that sizes and parity bits do not exclude, with sizes."""
     for x in "uv":
@@ -127,51 +140,105 @@ def possible(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         pairs = pairs.join(side, x)
     other = sum((F.bit_count(F.col("bits_u")[k].bitwiseXOR(F.col("bits_v")[k]))
                  for k in range(_BITS // 64)), F.lit(0))
-    fits = 100 * F.least("n_u", "n_v") >= share * F.greatest("n_u", "n_v")
-    near = (100 + share) * other <= (100 - share) * (F.col("n_u") + F.col("n_v"))
-    return pairs.filter(fits & near).select("u", "v", "n_u", "n_v")
-
-
-def linked(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
-    """Links among pairs (u, v, n_u, n_v): overlaps of segments (key, part, segment) are counted
-    in each fragment by itself, then summed."""
-    of_v = segments.select(F.col("key").alias("v"), "part", F.col("segment").alias("segment_v"))
-    of_u = segments.select(F.col("key").alias("u"), "part", F.col("segment").alias("segment_u"))
-    counted = pairs.join(of_v, "v").join(of_u, ["u", "part"]).select(
-        "u", "v", "n_u", "n_v", F.size(F.array_intersect("segment_u", "segment_v")).alias("common"))
-    common = F.sum("common")
-    return (counted.groupBy("u", "v", "n_u", "n_v").agg(common.cast("long").alias("common"))
-            .filter((100 + share) * F.col("common") >= share * (F.col("n_u") + F.col("n_v")))
-            .select("u", "v"))
-
-
-def _leaders(rows: DataFrame, most: int) -> DataFrame:
-    """name, leader, of (its component): up to ``most`` members of each bucket of rows (name, key,
-    weight, component), the most connected first and those of a large component last."""
-    if most == 1:
-        best = F.max(F.struct("weight", (-F.col("key")).alias("key"), "component"))
-        return rows.groupBy("name").agg(best.alias("b")).select(
-            "name", (-F.col("b.key")).alias("leader"), F.col("b.component").alias("of"))
-    members = rows.groupBy("name", "component").agg(F.count("*").alias("members"))
-    largest = members.filter("members > 1").groupBy("name").agg(
-        F.max(F.struct("members", "component")).alias("l")).select("name", "l.component").select(
-        F.col("name").alias("bucket"), F.col("component").alias("largest"))
-    rows = rows.join(largest, rows["name"] == largest["bucket"], "left")
-    place = Window.partitionBy("name").orderBy(
-        F.coalesce(F.col("component") == F.col("largest"), F.lit(False)), F.desc("weight"), "key")
-    return rows.withColumn("no", F.row_number().over(place)).filter(F.col("no") <= most).select(
-        "name", F.col("key").alias("leader"), F.col("component").alias("of"))
-
-
-def _segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """key, part, segment of the sets that pairs (u, v) ask for."""
-    keys = pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct()
-    wanted = settled(classes.join(keys, "key", "left_semi").select("key", "node", "print", "total"))
-    nodes = small_side(wanted.select(F.col("node").alias("wanted")).distinct())
-    cut = texts.join(nodes, texts["doc_id"] == nodes["wanted"], "left_semi").mapInArrow(
-        _cut(rule), "print long, total long, part int, segment array<long>")
-    cut = cut.groupBy("print", "total", "part").agg(F.first("segment").alias("segment"))
-    return settled(cut.join(wanted, ["print", "total"]).select("key", "part", "segment"))
+    return pairs.filter(_possible(share, F.col("n_u"), F.col("n_v"), other)).select(
+        "u", "v", "n_u", "n_v")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Links among pairs (u, v, n_u, n_v): the overlaps are counted in each fragment by itself,
+    then summed. Only texts that stand for a set of a pair are cut into segments again."""
+    sets = classes.select("key", "node", "print", "total")
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        asked = small_side(wanted.join(sets, "key").select("node", "print", "total", "u", "v"))
+        rows = texts.join(asked, texts["doc_id"] == asked["node"])
+        return rows.select("text", "print", "total", "u", "v").mapInArrow(
+            _cut(rule), "u long, v long, part int, segment array<long>")
+
+    members = cut(pairs.select(F.col("v").alias("key"), "u", "v")).withColumnRenamed(
+        "segment", "segment_v")
+    leaders = cut(pairs.select(F.col("u").alias("key"), "u", F.lit(0).cast("long").alias("v"))
+                  .distinct()).drop("v")
+    common = F.size(F.array_intersect("segment_u", "segment_v"))
+    counted = members.join(leaders.withColumnRenamed("segment", "segment_u"), ["u", "part"]).groupBy(
+        "u", "v", "part").agg(F.max(common).alias("common"))  # rows that repeat say the same
+    of = counted.groupBy("u", "v").agg(F.sum("common").alias("common"))
+    return of.join(pairs, ["u", "v"]).filter(
+        (100 + rule.share) * F.col("common") >= rule.share * (F.col("n_u") + F.col("n_v"))).select(
+        "u", "v")
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of every member v of rows (name, key, size) and one leader u: of each bucket the
+    member with the largest buckets, and of a member's leaders again the one with the largest."""
+    weights = rows.groupBy("key").agg(F.sum("size").alias("weight"))
+    weighed = rows.join(weights, "key")
+    place = F.struct("weight", (-F.col("key")).alias("key"))
+    leaders = weighed.groupBy("name").agg(F.max(place).alias("leader"))
+    best = rows.select("name", "key").join(leaders, "name").groupBy("key").agg(
+        F.max("leader").alias("leader"))
+    return best.select((-F.col("leader.key")).alias("u"), F.col("key").alias("v")).filter("u <> v")
+
+
+def near_pairs(bits: np.ndarray, n: np.ndarray, component: np.ndarray, share: int, most: int
+               ) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of sets of different components that sizes and parity bits do not exclude: for each
+    set the ``most`` that differ in the fewest bits, and whether there are more."""
+    a, b, more = [], [], False
+    for i in range(len(n)):
+        far = np.zeros(len(n), np.int64)
+        for k in range(bits.shape[1]):
+            far += np.bitwise_count(bits[:, k] ^ bits[i, k])
+        fits = ((component != component[i]) & (100 * np.minimum(n, n[i]) >= share * np.maximum(n, n[i]))
+                & ((100 + share) * far <= (100 - share) * (n + n[i])))
+        hits = np.flatnonzero(fits)
+        if len(hits) > most:
+            hits = hits[np.argsort(far[hits], kind="stable")[:most]]
+            more = True
+        a.append(np.full(len(hits), i))
+        b.append(hits)
+    return np.concatenate(a), np.concatenate(b), more
+
+
+def _cell_pairs(share: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each group of rows (name, cell, key, component, n, bits) that arrives sorted."""
+        of, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            keys, component, n, bits = (np.array(x) for x in zip(*held))
+            a, b, more = near_pairs(bits.view(np.uint64), n, component, share, most)
+            u, v = np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b])
+            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()),
+                                    pa.array(np.full(len(u), more), pa.bool_())],
+                                   names=["u", "v", "more"])
+
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(6)]
+            for name, cell, *row in zip(*cols):
+                if (name, cell) != of:
+                    if len(held) > 1:
+                        yield pairs()
+                    of, held = (name, cell), []
+                held.append(row)
+        if len(held) > 1:
+            yield pairs()
+
+    return run
+
+
+def _more_pairs(rows: DataFrame, classes: DataFrame, share: int, most: int) -> DataFrame:
+    """Pairs (u, v, more) of rows (name, key, component, size): buckets are cut into chunks of
+    ``MEMBERS``, of which every two meet in a cell."""
+    chunks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("key"), chunks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), chunks - 1),
+                        lambda j: F.least(own, j) * chunks + F.greatest(own, j))
+    sets = classes.select("key", "n", "bits")
+    return (rows.select("name", F.explode(cells).alias("cell"), "key", "component").join(sets, "key")
+            .select("name", "cell", "key", "component", "n", "bits")
+            .repartition("name", "cell").sortWithinPartitions("name", "cell")
+            .mapInArrow(_cell_pairs(share, most), "u long, v long, more boolean"))
 
 
 def similar_links(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -184,29 +251,25 @@ def similar_links(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     sizes = small_side(rows.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1")
                        .withColumnRenamed("name", "bucket"))
     rows = settled(rows.join(sizes, rows["name"] == sizes["bucket"]).select("name", "key", "size"))
-    weights = rows.groupBy("key").agg(F.sum("size").alias("weight"))
-    rows = settled(rows.join(weights, "key").select("name", "key", "weight"))
-    found = spark.createDataFrame([], "u long, v long")
-    joined = spark.createDataFrame([], "node long, component long")
-    for most in (STEP ** k for k in count()):
+    pairs = settled(possible(_first_pairs(rows), classes, rule.share))
+    tested, found = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), None
+    for most in (STEP ** k for k in count(1)):
+        links = settled(linked(pairs, texts, classes, rule))
+        found = links if found is None else found.unionAll(links)
+        joined = settled(components(found))
         of = joined.select(F.col("node").alias("key"), "component")
-        rows = rows.join(of, "key", "left").select(
-            "name", "key", "weight", F.coalesce("component", "key").alias("component"))
-        open_names = rows.groupBy("name").agg(
-            F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("name")
-        rows = settled(rows.join(open_names, "name", "left_semi"))
-        if rows.isEmpty():
-            return joined
-        leaders = settled(_leaders(rows, most))
-        pairs = rows.join(leaders, "name").filter(F.col("component") != F.col("of")).select(
-            F.least("key", "leader").alias("u"), F.greatest("key", "leader").alias("v")).distinct()
+        now = rows.join(of, "key", "left").select(
+            "name", "key", "size", F.coalesce("component", "key").alias("component"))
+        names = now.groupBy("name").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        open_names = small_side(names.filter("a < b").select("name"))
+        rows = settled(now.join(open_names, "name", "left_semi"))
+        near = settled(_more_pairs(rows, classes, rule.share, most))
+        pairs = near.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
         pairs = settled(possible(pairs, classes, rule.share))
-        links = settled(linked(pairs, _segments(texts, classes, pairs, rule), rule.share))
-        if not links.isEmpty():
-            found = found.unionAll(links)
-            joined = settled(components(found))
-        rows = rows.join(leaders.select("name", F.col("leader").alias("key")), ["name", "key"],
-                         "left_anti").drop("component")
+        if pairs.isEmpty() and near.filter("more").isEmpty():
+            return joined
+        tested = tested.unionAll(pairs.select("u", "v"))
+        rows = rows.drop("component")
 
 
 def components_of(rows: DataFrame, texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
