@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.common import signed, small_side, text_slices
+from quire.llm.common import BROADCAST_ROWS, signed, small_side, text_slices
 from quire.llm.components import components
 from quire.llm.simhash import shingle_hashes
 from quire.plans.durable import settled
@@ -102,8 +102,8 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def _cut(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of rows (text, print, total, u, v) as segments, where the text has these prints:
-        u, v, part, segment."""
+        """Sets of rows (text, print, total, u, v) as segments, where the text has these prints: u,
+        v (lists), part, segment."""
         edges_of = np.arange(PARTS + 1, dtype=np.uint64) * np.uint64((1 << 32) // PARTS)
         for batch in batches:
             for a, b in text_slices(batch.column(0), 1_000_000):
@@ -115,11 +115,12 @@ def _cut(rule: Rule):
                     if prints(found) != tuple(of):  # another text of the same doc_id
                         continue
                     edges = np.searchsorted(found >> np.uint64(32), edges_of)
+                    own = [found[y:z].view(np.int64) for y, z in zip(edges, edges[1:])]
                     out += [(u, v, k) for k in range(PARTS)]
-                    segments += [found[y:z].view(np.int64) for y, z in zip(edges, edges[1:])]
+                    segments += own
                 cols = [*zip(*out)] or [(), (), ()]
                 yield pa.record_batch(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                    [pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.list_(pa.int64())),
                      pa.array(cols[2], pa.int32()), lists(segments)],
                     names=["u", "v", "part", "segment"])
 
@@ -150,10 +151,17 @@ def linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, rule: Rule) -
     sets = classes.select("key", "node", "print", "total")
 
     def cut(wanted: DataFrame) -> DataFrame:
-        asked = small_side(wanted.join(sets, "key").select("node", "print", "total", "u", "v"))
+        # a text is cut once, whatever the number of its pairs
+        of = wanted.groupBy("key").agg(F.collect_list(F.struct("u", "v")).alias("w")).select(
+            "key", F.col("w.u").alias("u"), F.col("w.v").alias("v"))
+        asked = settled(of.join(sets, "key").select("node", "print", "total", "u", "v"))
+        if wanted.count() <= BROADCAST_ROWS:
+            asked = F.broadcast(asked)
         rows = texts.join(asked, texts["doc_id"] == asked["node"])
-        return rows.select("text", "print", "total", "u", "v").mapInArrow(
-            _cut(rule), "u long, v long, part int, segment array<long>")
+        found = rows.select("text", "print", "total", "u", "v").mapInArrow(
+            _cut(rule), "u array<long>, v array<long>, part int, segment array<long>")
+        return found.select(F.explode(F.arrays_zip("u", "v")).alias("p"), "part", "segment").select(
+            "p.u", "p.v", "part", "segment")
 
     members = cut(pairs.select(F.col("v").alias("key"), "u", "v")).withColumnRenamed(
         "segment", "segment_v")
