@@ -216,7 +216,10 @@ def _cell_pairs(share: int, most: int):
         def pairs() -> pa.RecordBatch:
             keys, component, n, bits = (np.array(x) for x in zip(*held))
             a, b, more = near_pairs(bits.view(np.uint64), n, component, share, most)
-            u, v = np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b])
+            # two sets that look for each other are one pair
+            both = np.unique(np.minimum(a, b) * len(keys) + np.maximum(a, b))
+            a, b = keys[both // len(keys)], keys[both % len(keys)]
+            u, v = np.minimum(a, b), np.maximum(a, b)
             return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()),
                                     pa.array(np.full(len(u), more), pa.bool_())],
                                    names=["u", "v", "more"])
@@ -261,7 +264,7 @@ def similar_links(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     rows = settled(rows.join(sizes, rows["name"] == sizes["bucket"]).select("name", "key", "size"))
     pairs = settled(possible(_first_pairs(rows), classes, rule.share))
     tested, found = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), None
-    for most in (STEP ** k for k in count(1)):
+    for most in (STEP ** k for k in count()):
         links = settled(linked(pairs, texts, classes, rule))
         found = links if found is None else found.unionAll(links)
         joined = settled(components(found))
