@@ -81,8 +81,10 @@ def telemetry_windows(samples: DataFrame, width: str = "1 minute",
     )
 
 
-#: entries of a percentile summary: the rank of a value is off by one part in so many at most
+#: the rank of a percentile is off by one part in so many at most
 ACCURACY = 1000
+#: size of a summary for each part; the bound is then seven standard errors of a rank away
+_SIZE = 16
 
 
 def latency_windows(samples: DataFrame, value: str, keys: Sequence[str] = (), width: str = "1 minute",
@@ -90,12 +92,18 @@ def latency_windows(samples: DataFrame, value: str, keys: Sequence[str] = (), wi
                     accuracy: int = ACCURACY) -> DataFrame:
     """Percentiles of a column by keys in tumbling windows of samples with an event time ``ts``.
 
-    The state of a window is one mergeable summary (Greenwald and Khanna) a key, whatever the number
-    of samples: tasks summarise their own rows, and summaries meet. Of n values the one given for p
-    has a rank within n / accuracy of p * n. ``usage.percentiles`` is exact, in batch.
+    The state of a window is one mergeable summary (Karnin, Lang and Liberty) a key, whatever the
+    number of samples: tasks summarise their own rows, and summaries meet. Of n values the one given
+    for p has a rank within n / accuracy of p * n; up to ``_SIZE`` * accuracy values are all kept.
+    ``usage.percentiles`` is exact, in batch.
     """
-    of = F.percentile_approx(value, list(probs.values()), accuracy)
+    if not 1 <= accuracy * _SIZE <= 65535:
+        raise ValueError(f"accuracy from 1 to {65535 // _SIZE}")
     found = samples.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), *keys).agg(
-        F.count(value).alias("n"), of.alias("_p"))
-    return found.select(F.col("w.start").alias("start"), *keys, "n",
-                        *[F.col("_p")[k].alias(name) for k, name in enumerate(probs)])
+        F.count(value).alias("n"),
+        F.kll_sketch_agg_double(F.col(value).cast("double"), accuracy * _SIZE).alias("_s"))
+    # a window without values has no percentiles
+    given = found.select(F.col("w.start").alias("start"), *keys, "n", F.when(
+        F.col("n") > 0, F.kll_sketch_get_quantile_double(
+            "_s", F.array(*map(F.lit, probs.values())))).alias("_p"))
+    return given.select("start", *keys, "n", *[F.col("_p")[k].alias(name) for k, name in enumerate(probs)])

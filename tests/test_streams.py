@@ -119,3 +119,14 @@ def test_caps(spark):
     df = spark.createDataFrame(rows, "request_id int, kind string, amount bigint")
     assert {r.request_id: r.reason for r in catalog.caps_violations(df).collect()} == {
         1: "page_below_1", 3: "sources_above_50", 5: "annotations_above_10000"}
+
+
+def test_percentiles_of_repeated_values_keep_their_bound(spark, tmp_path):
+    from quire.queries.streams import stream_percentiles
+
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    e = e.where(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz"))
+    e.join(spark.range(6), how="cross").withColumn("event_id", F.col("event_id") + 100_000 * F.col("id")) \
+        .drop("id").write.parquet(str(tmp_path / "events.parquet"))
+    rows = stream_percentiles(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 * 5 * len(S.SCENARIO_PROBS) and all(r.in_bound for r in rows)
