@@ -12,19 +12,21 @@ def _events(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
 
 
+def _requests_by(spark, sf, key, limit):
+    """Requests against a limit; an event that is there twice with its time and key counts once."""
+    e = _events(spark, sf).select(F.col(key).alias("quota_key"), "ts", "event_id").distinct()
+    return e.withColumn("quota_limit", F.lit(limit).cast("bigint"))
+
+
 def quota_windows(spark, sf):
-    req = _events(spark, sf).select(
-        F.col("user_id").alias("quota_key"), F.lit(2).cast("bigint").alias("quota_limit"), "ts",
-        "event_id")
+    req = _requests_by(spark, sf, "user_id", 2)
     return U.quota_decisions(req).select(
         "event_id", "window_start", "used", "remaining", "reset_epoch", "accepted")
 
 
 def quota_daily(spark, sf):
     """Day-long windows on event types: few keys with very many requests."""
-    req = _events(spark, sf).select(
-        F.col("event_type").alias("quota_key"), F.lit(50).cast("bigint").alias("quota_limit"),
-        "ts", "event_id")
+    req = _requests_by(spark, sf, "event_type", 50)
     return U.quota_decisions(req, window=86400).select(
         "event_id", "window_start", "used", "remaining", "reset_epoch", "accepted")
 

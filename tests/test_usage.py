@@ -135,3 +135,13 @@ def test_process_cpu(spark):
     assert got[(1, 0, 150)] == 0.0 and got[(1, 2, 350)] == 100.0 and got[(2, 0, 10)] == 0.0
     total = U.interval_totals(U.process_cpu(df)).orderBy("ts").collect()[0]
     assert total.active_nodes == 2 and total.total_rss_mb == 3.0
+
+
+def test_repeated_requests_count_once(spark, tmp_path):
+    from quire.queries.usage import quota_daily
+
+    rows = [(no, T0 + timedelta(seconds=no), user, "view", 1.0) for no in range(60) for user in (1, 2, 3)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.event_id, r.used, r.accepted) for r in quota_daily(spark, str(tmp_path)).collect())
+    assert got == [(no, no + 1, no < 50) for no in range(60)]
