@@ -1,15 +1,16 @@
 """Drawing exchange files as layer and entity tables.
 
-A drawing is one input row. Texts are partitioned by drawing before they are
-cut into pairs, so the windows below work on rows that are already in place and
-no pair is shuffled.
+A drawing is one input row. Its text is cut into records by a small function
+inside its task; only records are written and shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
 
-from quire.functions import text as X
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Colors by index number; first entry of each range and its color.
 ACI_RANGES = [
@@ -44,125 +45,130 @@ def aci_hex(aci: Column) -> Column:
     return color.otherwise(ACI_OTHER)
 
 
-def raw_records(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
-    """Records of drawing texts: runs of group-code pairs that start at a code 0.
-
-    Output: key, pos (pair number of the start), type, items array<struct<code, value>>,
-    marks (the section and table markers of the drawing).
-    """
-    rows = F.transform(X.lines(F.col(content)), lambda s: F.trim(s, F.lit(" \t\r\x0b\x0c")))
-
-    def paired(ls: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.floor(F.size(ls) / 2).cast("int")),
-            lambda i: F.struct(F.get(ls, 2 * i - 2).alias("code"), F.get(ls, 2 * i - 1).alias("value")))
-
-    def cut(ps: Column) -> Column:
-        opens = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: F.get(ps, i - 1)["code"] == "0")
-        return X.bind(opens, lambda at: F.zip_with(
-            at, F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(ps) + 1)),
-            lambda a, b: F.when(a.isNotNull(), F.struct(
-                a.alias("pos"), F.get(ps, a - 1)["value"].alias("type"),
-                F.slice(ps, a + 1, b - a - 1).alias("items")))))
-
-    recs = X.bind(rows, lambda ls: X.bind(paired(ls), cut))
-    def mark(r: Column) -> Column:
-        first = F.get(r["items"], F.lit(0))
-        return F.named_struct(F.lit("pos"), r["pos"], F.lit("type"), r["type"], F.lit("name"),
-                              F.when(first["code"] == "2", first["value"]))
-
-    marks = F.transform(F.filter("_recs", lambda r: r["type"].isin(*MARKS)), mark)
-    usable = drawings.select(key, content).where(F.col(content).contains("\n"))
-    return (
-        usable.select(key, recs.alias("_recs"))
-        .select(key, marks.alias("marks"), F.explode_outer("_recs").alias("_r"))
-        .where("_r is not null").select(key, "_r.*", "marks")
-    )
-
-
 # Records that open and close sections and tables.
-MARKS = ("SECTION", "ENDSEC", "TABLE", "ENDTAB")
-
-
-def _section_at(marks: Column, pos: Column) -> Column:
-    """Name set by the last section marker up to a record; empty outside of sections."""
-    so_far = F.filter(marks, lambda m: (m["pos"] <= pos) & (
-        (m["type"] == "ENDSEC") | ((m["type"] == "SECTION") & m["name"].isNotNull())))
-    last = F.try_element_at(so_far, F.lit(-1))
-    return F.coalesce(F.when(last["type"] == "SECTION", last["name"]), F.lit(""))
-
-
-def _table_at(marks: Column, pos: Column) -> Column:
-    """Name set by the last marker of a table in the section of tables, empty outside."""
-    so_far = F.filter(marks, lambda m: (m["pos"] <= pos) & (
-        m["type"].isin("ENDTAB", "ENDSEC") | (
-            (m["type"] == "TABLE") & m["name"].isNotNull()
-            & (_section_at(marks, m["pos"]) == "TABLES"))))
-    last = F.try_element_at(so_far, F.lit(-1))
-    return F.coalesce(F.when(last["type"] == "TABLE", last["name"]), F.lit(""))
-
-
-def _points(items: Column) -> Column:
+SECTION, END_SECTION, TABLE, END_TABLE = "SECTION", "ENDSEC", "TABLE", "ENDTAB"
+#: records that are handed on at a time
+RECORDS = 10_000
+_LINE_END, _SPACES = re.compile("\r?\n"), " \t\r\x0b\x0c"
+_WHOLE = re.compile("[+-]?[0-9]+")
+_DOUBLE = re.compile("([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)[dDfF]?")
+_HEX = re.compile("[+-]?0[xX](?:[0-9a-fA-F]+[.]?[0-9a-fA-F]*|[.][0-9a-fA-F]+)[pP][+-]?[0-9]+")
+_NAMED = {"inf", "+inf", "-inf", "infinity", "+infinity", "-infinity", "nan"}
+
+
+def _double(value: str) -> float | None:
+    """A number in the forms that a cast reads; null for other text."""
+    if found := _DOUBLE.fullmatch(value):
+        return float(found[1])
+    if _HEX.fullmatch(value):
+        return float.fromhex(value)
+    return float(value) if value.lower() in _NAMED else None
+
+
+def _whole(value: str) -> int | None:
+    if not _WHOLE.fullmatch(value):
+        return None
+    n = int(value)
+    return n if -2 ** 31 <= n < 2 ** 31 else None
+
+
+def drawing_records(content: str) -> Iterator[tuple[int, str, str, str, list[tuple[str, str]]]]:
+    """Pair number, type, section, table and pairs of the records of a drawing: runs of group-code
+    pairs that start at a code 0. A record that opens or closes a section or table lies in what it
+    sets."""
+    if "\n" not in content:
+        return
+    rows = [s.strip(_SPACES) for s in _LINE_END.split(content)]
+    if rows[-1] == "":
+        rows.pop()
+    pairs = [*zip(rows[::2], rows[1::2])]
+    starts = [i for i, (code, _) in enumerate(pairs) if code == "0"]
+    section = table = ""
+    for a, b in zip(starts, [*starts[1:], len(pairs)]):
+        kind, items = pairs[a][1], pairs[a + 1:b]
+        name = items[0][1] if items and items[0][0] == "2" else None
+        if kind == END_SECTION:
+            section = table = ""
+        elif kind == END_TABLE:
+            table = ""
+        elif kind == SECTION and name is not None:
+            section = name
+        elif kind == TABLE and name is not None and section == "TABLES":
+            table = name
+        yield a + 1, kind, section, table, items
+
+
+def _points(items: list[tuple[str, str]]) -> list[dict]:
     """Vertices: every y (code 20) with the x (code 10) read last before it."""
-    coords = F.transform(
-        F.filter(items, lambda p: p["code"].isin("10", "20") & p["value"].try_cast("double").isNotNull()),
-        lambda p: F.struct((p["code"] == "20").alias("is_y"), p["value"].cast("double").alias("v")))
-    none = F.expr("cast(array() as array<struct<x:double,y:double>>)")
-
-    def point(x: Column, y: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    def in_pairs(cs: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.floor(F.size(cs) / 2).cast("int")),
-                           lambda i: point(F.get(cs, 2 * i - 2)["v"], F.get(cs, 2 * i - 1)["v"]))
-
-    def one_by_one(cs: Column) -> Column:
-        return F.aggregate(
-            cs, F.struct(F.lit(0.0).alias("x"), none.alias("pts")),
-            lambda a, c: F.when(c["is_y"], F.struct(
-                a["x"].alias("x"), F.array_append(a["pts"], point(a["x"], c["v"])).alias("pts")))
-            .otherwise(F.struct(c["v"].alias("x"), a["pts"].alias("pts"))),
-            lambda a: a["pts"])
-
-    def regular(cs: Column) -> Column:
-        return (F.size(cs) % 2 == 0) & F.forall(
-            F.sequence(F.lit(1), F.greatest(F.size(cs), F.lit(1))),
-            lambda i: F.get(cs, i - 1)["is_y"] == (i % 2 == 0))
-
-    return X.bind(coords, lambda cs: F.when(F.size(cs) == 0, none)
-                  .when(regular(cs), in_pairs(cs)).otherwise(one_by_one(cs)))
+    x, out = 0.0, []
+    for code, value in items:
+        if code in ("10", "20") and (v := _double(value)) is not None:
+            if code == "10":
+                x = v
+            else:
+                out.append({"x": x, "y": v})
+    return out
+
+
+_DOUBLES = {"10": ("x1", 0.0), "20": ("y1", 0.0), "11": ("x2", 0.0), "21": ("y2", 0.0),
+            "40": ("radius", 0.0), "50": ("start_angle", 0.0), "51": ("end_angle", 360.0)}
+_FIELDS = {"rec": pa.int32(), "type": pa.string(), "section": pa.string(), "in_table": pa.string(),
+           "name": pa.string(), "layer": pa.string(), "aci": pa.int32(), "text": pa.string(),
+           "negative": pa.bool_(), "odd_flag": pa.bool_(), "flag": pa.int32(),
+           **{n: pa.float64() for n, _ in _DOUBLES.values()}, "height": pa.float64(),
+           "points": pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))}
+_FIELDS_TYPE = ("rec int, type string, section string, in_table string, name string, layer string, "
+                "aci int, text string, negative boolean, odd_flag boolean, flag int, x1 double, "
+                "y1 double, x2 double, y2 double, radius double, start_angle double, "
+                "end_angle double, height double, points array<struct<x:double,y:double>>")
+
+
+def _fields(kind: str, items: list[tuple[str, str]]) -> tuple:
+    """Last readable value of each field, whether a color is negative and whether a flag is odd."""
+    text: dict[str, str] = {}
+    number = {n: d for n, d in _DOUBLES.values()}
+    height, aci, flag, negative, odd = TEXT_HEIGHT, None, None, False, False
+    for code, value in items:
+        if code in _DOUBLES:
+            if (v := _double(value)) is not None:
+                number[_DOUBLES[code][0]] = v
+                height = v if code == "40" else height
+        elif code == "62":
+            if (n := _whole(value)) is not None:
+                aci, negative = n, negative or n < 0
+        elif code == "70":
+            if (n := _whole(value)) is not None:
+                flag, odd = n, odd or n & 1 != 0
+        elif code in ("1", "2", "8"):
+            text[code] = value
+    points = _points(items) if kind in ("LWPOLYLINE", "POLYLINE") else None
+    return (text.get("2"), text.get("8"), aci, text.get("1"), negative, odd, flag, *number.values(),
+            height, points)
 
 
 def records(drawings: DataFrame, key: str = "drawing_id", content: str = "content") -> DataFrame:
     """Records opened by code 0 with their place (section, in_table) and fields."""
-    def values(code: int) -> Column:
-        return F.transform(F.filter("items", lambda p: p["code"] == str(code)), lambda p: p["value"])
-
-    def numbers(code: int) -> Column:
-        return F.array_compact(F.transform(values(code), lambda v: v.try_cast("double")))
-
-    def wholes(code: int) -> Column:
-        return F.transform(F.filter(values(code), lambda v: v.rlike("^[+-]?[0-9]+$")
-                                    & v.try_cast("int").isNotNull()), lambda v: v.cast("int"))
-
-    def last(array: Column, default=None) -> Column:
-        found = F.try_element_at(array, F.lit(-1))
-        return found if default is None else F.coalesce(found, F.lit(default))
-
-    # the state set by the last section or table marker is looked up in the row
-    return raw_records(drawings, key, content).select(
-        key, F.col("pos").alias("rec"), "type",
-        _section_at(F.col("marks"), F.col("pos")).alias("section"),
-        _table_at(F.col("marks"), F.col("pos")).alias("in_table"),
-        last(values(2)).alias("name"), last(values(8)).alias("layer"),
-        last(wholes(62)).alias("aci"), last(values(1)).alias("text"),
-        F.exists(wholes(62), lambda c: c < 0).alias("negative"),
-        F.exists(wholes(70), lambda f: f.bitwiseAND(1) != 0).alias("odd_flag"),
-        last(wholes(70)).alias("flag"),
-        *[last(numbers(code), 0.0).alias(n) for code, n in (
-            (10, "x1"), (20, "y1"), (11, "x2"), (21, "y2"), (40, "radius"), (50, "start_angle"))],
-        last(numbers(51), 360.0).alias("end_angle"), last(numbers(40), TEXT_HEIGHT).alias("height"),
-        F.when(F.col("type").isin("LWPOLYLINE", "POLYLINE"), _points(F.col("items"))).alias("points"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows = [], []
+
+            def flush() -> pa.RecordBatch:
+                cols = [*zip(*rows)] or [()] * len(_FIELDS)
+                return pa.record_batch(
+                    [batch.column(0).take(pa.array(of, pa.int64())),
+                     *[pa.array(c, t) for c, t in zip(cols, _FIELDS.values())]], names=[key, *_FIELDS])
+
+            for no, drawing in enumerate(batch.column(1)):
+                for pos, kind, section, table, items in drawing_records(drawing.as_py() or ""):
+                    of.append(no)
+                    rows.append((pos, kind, section, table, *_fields(kind, items)))
+                    if len(rows) >= RECORDS:
+                        yield flush()
+                        of, rows = [], []
+            yield flush()
+
+    kind = drawings.schema[key].dataType.simpleString()
+    return drawings.select(key, content).mapInArrow(run, f"`{key}` {kind}, {_FIELDS_TYPE}")
 
 
 def _layer_record() -> Column:

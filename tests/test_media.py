@@ -217,3 +217,16 @@ def test_registered_names(name):
     import __spark_entry__ as entry
 
     assert name in entry.queries() and name in entry.oracle_sql()
+
+
+def test_numbers_and_places_of_drawing_records(spark):
+    assert [C._double(v) for v in ("1.5", "-2e3", "1.0f", ".5D", "0x1p3", "Infinity", "1_000", "", "x", "٣")] == [
+        1.5, -2000.0, 1.0, 0.5, 8.0, float("inf"), None, None, None, None]
+    assert [C._whole(v) for v in ("+7", "2147483648", "1.0")] == [7, None, None]
+    text = "0\nSECTION\n2\nTABLES\r\n0\nTABLE\n2\nLAYER\n0\nLAYER\n62\n-3\n62\nx\n0\nENDTAB\n0\nLINE\n10\n1\n10\n1_0\n"
+    df = spark.createDataFrame([(7, text), (8, "0"), (9, None), (10, "")], "drawing_id bigint, content string")
+    got = C.records(df).orderBy("rec").collect()
+    assert [(r.drawing_id, r.rec, r.type, r.section, r.in_table, r.aci, r.negative, r.x1) for r in got] == [
+        (7, 1, "SECTION", "TABLES", "", None, False, 0.0), (7, 3, "TABLE", "TABLES", "LAYER", None, False, 0.0),
+        (7, 5, "LAYER", "TABLES", "LAYER", -3, True, 0.0), (7, 8, "ENDTAB", "TABLES", "", None, False, 0.0),
+        (7, 9, "LINE", "TABLES", "", None, False, 1.0)]
