@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Window presets (name, center, width).
@@ -45,6 +45,7 @@ HEADER_SCHEMA = (
     "spacing_y double, has_pixels boolean, reject string, declared_rows int, declared_columns int"
 )
 _COLUMNS = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def _elements(data: bytes, total: int) -> Iterator[tuple[tuple[int, int], memoryview, int, int]]:
@@ -147,13 +148,16 @@ def headers(files: DataFrame) -> DataFrame:
     The few objects whose beginning ends without the pixel data are read whole.
     """
     fields = HEADER_SCHEMA.split(", ", 1)[1]
+    types = {n: _ARROW[t] for n, t in (c.split() for c in f"{fields}, cut_off boolean".split(", "))}
 
-    @F.pandas_udf(f"{fields}, cut_off boolean")
-    def read(contents: pd.Series, totals: pd.Series) -> pd.DataFrame:
-        rows = [{} if c is None else read_header(bytes(c), n)[0] for c, n in zip(contents, totals)]
-        return pd.DataFrame(rows, columns=[*_COLUMNS[1:], "cut_off"]).astype(object).where(
-            lambda d: d.notna(), None)
+    def found(contents: pa.Array, totals: pa.Array) -> pa.Array:
+        rows = [{} if c is None else read_header(c, n)[0]
+                for c, n in zip(contents.to_pylist(), totals.to_pylist())]
+        return pa.StructArray.from_arrays(
+            [pa.array([r.get(n) for r in rows], t) for n, t in types.items()], names=[*types])
 
+    # a filter on the result would otherwise read every header a second time
+    read = F.arrow_udf(found, f"{fields}, cut_off boolean").asNondeterministic()
     total = F.octet_length("content")
     first = files.select(F.col("object_id").cast("string").alias("object_id"), "content",
                          read(before_pixels(F.col("content")), total).alias("_h"))
@@ -166,23 +170,38 @@ def headers(files: DataFrame) -> DataFrame:
 
 def samples(files: DataFrame, block: int = 65_536) -> DataFrame:
     """Raw samples (object_id, idx, raw) of objects with plain pixel data."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, n = [], [], 0  # (object_id, first sample) and samples not handed on yet
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(p) for p in parts]
+            at = np.concatenate([np.arange(a, a + k) for (_, a), k in zip(ids, sizes)])
+            names = pa.array([i for i, _ in ids], pa.string()).take(
+                pa.array(np.repeat(np.arange(len(ids)), sizes)))
+            return pa.record_batch([names, pa.array(at, pa.int64()), pa.array(np.concatenate(parts))],
+                                   names=["object_id", "idx", "raw"])
+
         for batch in batches:
-            for i, content in zip(batch["object_id"], batch["content"]):
-                head, pixels = read_header(bytes(content))
+            for i, content in zip(*(c.to_pylist() for c in batch.columns)):
+                head, pixels = ({}, None) if content is None else read_header(content)
                 if pixels is None:
                     continue
                 kind = "u1" if head["bits_allocated"] == 8 else (
                     "<i2" if head["pixel_representation"] == 1 else "<u2")
                 size = np.dtype(kind).itemsize
                 raw = np.frombuffer(pixels, kind, len(pixels) // size)
-                raw = raw[:head["declared_rows"] * head["declared_columns"]].astype(float)
+                raw = raw[:head["declared_rows"] * head["declared_columns"]]
                 for a in range(0, len(raw), block):
-                    part = raw[a:a + block]
-                    yield pd.DataFrame({"object_id": i, "idx": np.arange(a, a + len(part)),
-                                        "raw": part})
-
-    return files.select(F.col("object_id").cast("string"), "content").mapInPandas(
+                    ids.append((i, a))
+                    parts.append(raw[a:a + block].astype(float))
+                    n += len(parts[-1])
+                    if n >= block:
+                        yield flush()
+                        ids, parts, n = [], [], 0
+        if parts:
+            yield flush()
+
+    return files.select(F.col("object_id").cast("string"), "content").mapInArrow(
         run, "object_id string, idx bigint, raw double")
 
 

@@ -2,6 +2,7 @@ import io
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,17 @@ def test_numbers_and_places_of_drawing_records(spark):
         (7, 1, "SECTION", "TABLES", "", None, False, 0.0), (7, 3, "TABLE", "TABLES", "LAYER", None, False, 0.0),
         (7, 5, "LAYER", "TABLES", "LAYER", -3, True, 0.0), (7, 8, "ENDTAB", "TABLES", "", None, False, 0.0),
         (7, 9, "LINE", "TABLES", "", None, False, 1.0)]
+
+
+def test_samples_of_many_objects_come_in_blocks(spark):
+    def data(n):
+        return (b"\0" * 128 + b"DICM" + b"\x28\x00\x10\x00US\x02\x00\x01\x00" + b"\x28\x00\x11\x00US\x02\x00"
+                + n.to_bytes(2, "little") + b"\xe0\x7f\x10\x00OW\x00\x00" + (2 * n).to_bytes(4, "little")
+                + np.arange(n, dtype="<u2").tobytes())
+
+    sizes = {str(k): k % 5 for k in range(1, 40)} | {"large": 25}
+    df = spark.createDataFrame([*((k, bytearray(data(n))) for k, n in sizes.items()), ("none", None)],
+                               "object_id string, content binary").coalesce(1)
+    got = sorted((r.object_id, r.idx, r.raw) for r in M.samples(df, block=7).collect())
+    assert got == sorted((k, i, float(i)) for k, n in sizes.items() for i in range(n))
+    assert M.headers(df).where("reject is null").count() == len(sizes) + 1
