@@ -12,6 +12,11 @@ from quire.operators import pii, textlayer
 DEFAULT_LABEL = "CONFIDENTIEL"
 
 
+#: Orders come from texts, which are much larger than the tables' files: by the size of those Spark would
+#: send all of them to every executor.
+SHUFFLED = "merge"
+
+
 def label() -> Column:
     return F.coalesce("overlay_text", "reason", F.lit(DEFAULT_LABEL))
 
@@ -22,7 +27,7 @@ def place(orders: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("doc_id"
     heights = pages.select(*keys, F.col("height").alias("_page_height"))
     y = F.greatest(F.col("_page_height") - (F.col("y") + F.col("height")), F.lit(0.0))
     return (
-        orders.join(heights, list(keys))
+        orders.join(heights.hint(SHUFFLED), list(keys))
         .withColumns({
             "pdf_y": y,
             "label": label(),
@@ -72,7 +77,8 @@ def _redacted(line: Column, orders: Column) -> Column:
 
 def redact_lines(lines: DataFrame, orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFrame:
     """Lines of a table with the words under an order removed; others pass through unchanged."""
-    return lines.join(covered_lines(orders, per_page), ["doc_id", "line_no"], "left").select(
+    found = covered_lines(orders, per_page).hint(SHUFFLED)
+    return lines.join(found, ["doc_id", "line_no"], "left").select(
         *[F.col(c) for c in lines.columns if c != "line"],
         _redacted(F.col("line"), F.col("orders")).alias("line"),
         F.col("orders").isNotNull().alias("is_redacted")).select(*lines.columns, "is_redacted")
@@ -91,7 +97,7 @@ def redact_texts(docs: DataFrame, orders: DataFrame, text: str = "text",
     cells = F.transform(X.lines(F.col(text)), lambda line, no: F.struct(
         line.alias("line"), F.try_element_at("_by_line", no).alias("orders")))
     return (
-        docs.join(found, "doc_id", "left").select(*kept, F.posexplode(cells).alias("line_no", "_c"))
+        docs.join(found.hint(SHUFFLED), "doc_id", "left").select(*kept, F.posexplode(cells).alias("line_no", "_c"))
         .select(*kept, "line_no", _redacted(F.col("_c.line"), F.col("_c.orders")).alias("line"),
                 F.col("_c.orders").isNotNull().alias("is_redacted"))
     )
@@ -111,9 +117,9 @@ def remaining_hits(redacted: DataFrame, hits: DataFrame) -> DataFrame:
     next to kept digits may by chance read as a new number; that is no leak, so
     the new hits are matched with the original ones.
     """
-    touched = redacted.join(hits.select("doc_id", "line_no").distinct(),
+    touched = redacted.join(hits.select("doc_id", "line_no").distinct().hint(SHUFFLED),
                             ["doc_id", "line_no"], "left_semi")
     again = pii.scan_text(touched.select("doc_id", F.col("line_no").alias("orig_line"),
                                          F.col("line").alias("text")))
     known = hits.select("doc_id", F.col("line_no").alias("orig_line"), "category", "matched_text")
-    return again.join(known.distinct(), known.columns, "left_semi")
+    return again.join(known.distinct().hint(SHUFFLED), known.columns, "left_semi")
