@@ -17,7 +17,9 @@ GRID_MIN_CELLS = 50
 BLANK = 255
 
 #: pairs of tokens of two pages up to which all of them are compared
-TABLE = 4_000_000
+TABLE = 100_000_000
+#: cells of a table whose rows are all kept, a bit each
+ROWS = 1 << 26
 EQUAL, INSERT, DELETE = "equal", "insert", "delete"
 
 
@@ -31,44 +33,80 @@ def align_pages(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("pair_id",
         F.coalesce("text_b", F.lit("")).alias("text_b"))
 
 
-def _rows_of(prev: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[np.ndarray]:
-    """Successive rows of the longest-common-subsequence table below ``prev``."""
-    for token in rows:
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + (cols == token)), out=cur[1:])
-        yield cur
-        prev = cur
+class _Places(dict):
+    """Places of a token in a list as a number with a bit for each. Those that fit into ``most`` bytes
+    are kept, others made each time."""
+
+    def __init__(self, b: list[int], most: int = 64 << 20):
+        self.at: dict[int, list[int]] = {}
+        for j, token in enumerate(b):
+            self.at.setdefault(token, []).append(j)
+        self.width, self.left = len(b) // 8 + 1, most
+
+    def __missing__(self, token: int) -> int:
+        at, found = self.at.get(token, ()), 0
+        if len(at) < 16:
+            for j in at:
+                found |= 1 << j
+        else:
+            bits = np.zeros(8 * self.width, np.uint8)
+            bits[at] = 1
+            found = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if self.left > 0:
+            self.left -= 100 + (self.width if at else 0)
+            self[token] = found
+        return found
+
+
+def _rows_of(row: int, tokens: list[int], places: _Places, ones: int) -> list[int]:
+    """Successive rows of the longest-common-subsequence table below ``row``.
+
+    A row is a number: bit j is 0 if column j + 1 holds one more than column j, so that a row takes a
+    few operations on whole numbers (Hyyro, 2004).
+    """
+    out = []
+    for token in tokens:
+        met = row & places[token]
+        if met:
+            row = (row + met | row - met) & ones
+        out.append(row)
+    return out
 
 
-def _by_table(ia: np.ndarray, ib: np.ndarray) -> Iterator[tuple[str, int]]:
-    """Edits and matches from the ends of two lists to their beginnings, one token at a time.
+def _by_table(a: list[int], b: list[int]) -> Iterator[tuple[str, int]]:
+    """Runs of edits and matches from the ends of two lists to their beginnings.
 
-    Only every s-th row of the table is kept (s = square root of its height); the rows between are
-    made again when the walk back reaches them, so memory grows with n * sqrt(m).
+    Where two tokens differ the walk takes the insertion if the column before holds as much. Of a
+    large table only every s-th row is kept (s = square root of its height); the rows between
+    are made again when the walk back reaches them, so memory grows with n * sqrt(m).
     """
-    i, j = len(ia), len(ib)
-    step = max(64, int(i ** 0.5))
-    kept = [np.zeros(j + 1, np.int32)]
-    if i and j:
-        for no, row in enumerate(_rows_of(kept[0], ia, ib), 1):
-            if no % step == 0:
-                kept.append(row)
-    block, first, table = None, 0, []
-    while i or j:
-        if i and j and ia[i - 1] == ib[j - 1]:
-            yield EQUAL, 1
-            i, j = i - 1, j - 1
-            continue
-        insert = i == 0
-        if i and j:
-            if block != (i - 1) // step:
-                block = (i - 1) // step
-                first = block * step
-                table = [kept[block], *_rows_of(kept[block], ia[first:first + step][:i - first], ib)]
-            insert = table[i - first][j - 1] >= table[i - first - 1][j]
-        yield (INSERT if insert else DELETE), 1
-        i, j = (i, j - 1) if insert else (i - 1, j)
+    i, j = len(a), len(b)
+    step = max(i, 1) if i * j <= ROWS else max(64, int(i ** 0.5))
+    places, ones = _Places(b), (1 << j) - 1
+    kept = [ones]
+    for start in range(0, i - step, step):
+        kept.append(_rows_of(kept[-1], a[start:start + step], places, ones)[-1])
+    first, table = i, []
+    op, n = EQUAL, 0
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            now, i, j = EQUAL, i - 1, j - 1
+        else:
+            if i <= first:
+                first = (i - 1) // step * step
+                table = _rows_of(kept[first // step], a[first:i], places, ones)
+            if table[i - first - 1] >> (j - 1) & 1:
+                now, j = INSERT, j - 1
+            else:
+                now, i = DELETE, i - 1
+        if now is op:
+            n += 1
+        else:
+            yield op, n
+            op, n = now, 1
+    yield op, n
+    yield INSERT, j
+    yield DELETE, i
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> int:
@@ -144,32 +182,34 @@ def diff_runs(a: list[str], b: list[str], table: int = TABLE) -> list[tuple[str,
     """Runs of equal, inserted and deleted text between two token lists.
 
     Ties take the insertion, read from the end. Up to ``table`` pairs of tokens the whole table is
-    filled; for longer lists the time grows with the edits, unless there are so many that the table
-    is cheaper. Both ways give the same runs.
+    filled, 64 columns at once; for longer lists the time grows with the edits, unless there are so
+    many that the table is cheaper. Both ways give the same runs.
     """
     if not a or not b:
         text = "".join(a or b)
         return [(DELETE if a else INSERT, text)] if a or b else []
-    ids: dict[str, int] = {}
-    ia = np.fromiter((ids.setdefault(t, len(ids)) for t in a), np.int64, len(a))
-    ib = np.fromiter((ids.setdefault(t, len(ids)) for t in b), np.int64, len(b))
+    ids = {token: no for no, token in enumerate(dict.fromkeys(chain(a, b)))}
+    ia, ib = [*map(ids.__getitem__, a)], [*map(ids.__getitem__, b)]
     # a common end is matched first by the walk back
-    tail = _same(ia[::-1], ib[::-1])
-    ia, ib = ia[:len(a) - tail], ib[:len(b) - tail]
+    tail, most = 0, min(len(a), len(b))
+    while tail < most and ia[-1 - tail] == ib[-1 - tail]:
+        tail += 1
+    del ia[len(a) - tail:], ib[len(b) - tail:]
     ops = None
     if len(ia) * len(ib) > table:
-        ops = _by_edits(ia, ib, int((len(ia) * len(ib)) ** 0.5))
+        ops = _by_edits(np.array(ia), np.array(ib), max(500, int((len(ia) * len(ib)) ** 0.5) // 32))
     i, j = len(a), len(b)
-    runs: list[tuple[str, list[str]]] = []
+    runs: list[list] = []  # op, begin and end in its list
     for op, n in chain([(EQUAL, tail)], _by_table(ia, ib) if ops is None else ops):
         if not n:
             continue
-        tokens = b[j - n:j] if op == INSERT else a[i - n:i]
+        end = j if op == INSERT else i
         i, j = i - n * (op != INSERT), j - n * (op != DELETE)
-        if not runs or runs[-1][0] != op:
-            runs.append((op, []))
-        runs[-1][1].extend(reversed(tokens))
-    return [(op, "".join(reversed(tokens))) for op, tokens in reversed(runs)]
+        if runs and runs[-1][0] == op:
+            runs[-1][1] = end - n
+        else:
+            runs.append([op, end - n, end])
+    return [(op, "".join((b if op == INSERT else a)[low:high])) for op, low, high in reversed(runs)]
 
 
 def token_diff(pairs: DataFrame, keys: tuple[str, ...] = ("pair_id", "page_number")) -> DataFrame:

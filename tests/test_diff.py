@@ -68,3 +68,14 @@ def test_long_texts_without_a_common_token():
     a, b = ["a"] * 3000, ["b"] * 3000
     assert compare.diff_runs(a, b, 0) == compare.diff_runs(a, b) == [
         ("delete", "a" * 3000), ("insert", "b" * 3000)]
+
+
+def test_long_texts_with_little_in_common():
+    """Their whole table has 900 million cells."""
+    rng = random.Random(5)
+    a, b = ([f"w{int(rng.paretovariate(0.7)) % 3000} " for _ in range(30_000)] for _ in range(2))
+    started = time.process_time()
+    runs = compare.diff_runs(a, b)
+    assert time.process_time() - started < 8
+    assert "".join(t for op, t in runs if op != "insert") == "".join(a)
+    assert "".join(t for op, t in runs if op != "delete") == "".join(b)
