@@ -37,7 +37,7 @@ def search_many(spans: DataFrame, queries: DataFrame, gram: int = 3) -> DataFram
     Spans are reduced to their distinct texts, which are matched; the spans with
     their coordinates join the result. A phrase matches spans that hold it.
     """
-    texts = settled(spans.select(F.lower("text").alias("word")).distinct())
+    texts = spans.select(F.lower("text").alias("word")).distinct()
     # written out, so that the size of the pairs is known when the spans are joined
     # and the spans stay in place if it is small
     pairs = settled(matched_texts(texts, queries, gram))
@@ -56,7 +56,9 @@ def matched_texts(texts: DataFrame, queries: DataFrame, gram: int = 3) -> DataFr
 
     Substring search becomes equi joins: a query is compared only with the texts
     that hold its rarest n-gram, so a common piece does not pair every text with
-    every query. Queries shorter than n use pieces of their own length.
+    every query. Queries shorter than n use pieces of their own length. The pieces of
+    a text, many times its size, are made once to count them and once to find the
+    rarest ones, and only met there: what is written are numbered texts.
     """
     wanted = (
         queries.select("query_id", clean_query(F.col("query")).alias("needle"))
@@ -72,18 +74,21 @@ def matched_texts(texts: DataFrame, queries: DataFrame, gram: int = 3) -> DataFr
         return df.withColumn("_grams", F.array_distinct(found)).select(
             *df.columns, F.explode("_grams").alias("_gram"))
 
-    sizes = wanted.select("_n").distinct()  # at most `gram` rows
+    needle_grams = settled(pieces(wanted, "needle"))
+    numbered = settled(texts.select("word", F.monotonically_increasing_id().alias("_text")))
+    sizes = needle_grams.select("_n").distinct()  # at most `gram` rows
     lengths = F.explode(F.array(*[F.lit(n) for n in range(1, gram + 1)]))
-    needle_grams = pieces(wanted, "needle")
-    # only grams that a query has can be its rarest one; what is left is read twice
-    word_grams = settled(pieces(texts.select("word", lengths.alias("_n")).join(
-        F.broadcast(sizes), "_n", "left_semi"), "word").join(
-        needle_grams.select("_n", "_gram").distinct(), ["_n", "_gram"], "left_semi"))
-    frequency = word_grams.groupBy("_n", "_gram").agg(F.count("*").alias("_words"))
+    text_grams = pieces(numbered.select("word", "_text", lengths.alias("_n")).join(
+        F.broadcast(sizes), "_n", "left_semi"), "word").select("_text", "_n", "_gram")
+    # only grams that a query has can be its rarest one
+    frequency = text_grams.join(
+        needle_grams.select("_n", "_gram").distinct(), ["_n", "_gram"], "left_semi").groupBy(
+        "_n", "_gram").agg(F.count("*").alias("_words"))
     # a query with a gram that no word has cannot match and may drop out here
-    rarest = needle_grams.join(frequency, ["_n", "_gram"]).groupBy(
-        "query_id", "needle", "_n").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram"))
-    return word_grams.join(rarest, ["_n", "_gram"]).where(
+    rarest = settled(needle_grams.join(frequency, ["_n", "_gram"]).groupBy(
+        "query_id", "needle", "_n").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram")))
+    candidates = settled(text_grams.join(rarest, ["_n", "_gram"]).select("_text", "query_id", "needle"))
+    return numbered.join(candidates, "_text").where(
         F.contains("word", F.col("needle"))).select("word", "query_id")
 
 
