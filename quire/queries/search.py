@@ -58,7 +58,8 @@ def search_phrases(spark, sf):
 def search_indexed(spark, sf):
     """Names of nations and parts' types as words, whole benchmark items as phrases, from an index
     that the documents were added to in two rounds."""
-    d = docs(spark, sf).select("doc_id", "text")
+    # not spread: the fewer tasks, the longer the blocks of the index
+    d = table(spark, sf, "documents").select("doc_id", "text")
     index = GramIndex(spark, fresh_folder(spark, "index"))
     for batch in (0, 1):
         index.add(d.where(F.col("doc_id") % 2 == batch), batch)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import gram_index
 from quire.operators.gram_index import GramIndex
+from quire.plans.durable import settled
 
 
 def plain(texts, queries):
@@ -66,3 +67,17 @@ def test_only_the_asked_row_groups_are_read(spark, tmp_path):
     assert rows.count() == 2
     found = index.search(spark.createDataFrame([(1, "w01234")], "query_id int, query string"))
     assert found.count() == 10
+
+
+def test_other_words_are_read_for_candidates_alone(spark, tmp_path, monkeypatch):
+    """Phrases of frequent words around one rare word make no row for each frequent occurrence."""
+    texts = [(k, " ".join(["oft"] * 200)) for k in range(50)] + [(50, "oft oft rare oft oft")]
+    index = GramIndex(spark, f"{tmp_path}/i")
+    index.add(spark.createDataFrame(texts, "doc_id long, text string"), 0)
+    words = index.words.read()
+    assert words.where("word = 'oft'").count() < 50  # a row a block
+    written = []
+    monkeypatch.setattr(gram_index, "settled", lambda rows: written.append(rows) or settled(rows))
+    found = index.search(spark.createDataFrame([(1, "oft oft rare oft oft")], "query_id int, query string"))
+    assert [tuple(r) for r in found.collect()] == [(1, 50, 0)]
+    assert max(rows.count() for rows in written) < 100
