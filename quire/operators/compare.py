@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import text as X
+from quire.sources.tables import dealt
 
 # Luminance tolerance and the number of cells that makes a difference.
 GRID_TOLERANCE = 15
@@ -293,13 +294,14 @@ def luminance(r, g, b):
 def grid_cells(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Cells of two grids (x, y, lum) side by side with their class.
 
-    Both sides are aggregated by cell instead of joined, which keeps cells that
-    only one side has and combines on the map side.
+    Both sides are aggregated by cell instead of joined, which keeps cells that only one side has;
+    of a cell that a side has several times the largest luminance counts. The cells are dealt to
+    tasks whose number grows with the grids.
     """
     both = a.select(*keys, "x", "y", F.col("lum").alias("a"), F.lit(None).cast("int").alias("b"))
     both = both.unionAll(
         b.select(*keys, "x", "y", F.lit(None).cast("int").alias("a"), F.col("lum").alias("b")))
-    cells = both.groupBy(*keys, "x", "y").agg(
+    cells = dealt(both, *keys, "x", "y").groupBy(*keys, "x", "y").agg(
         F.coalesce(F.max("a"), F.lit(BLANK)).alias("lum_a"),
         F.coalesce(F.max("b"), F.lit(BLANK)).alias("lum_b"))
     differs = F.abs(F.col("lum_a") - F.col("lum_b")) > GRID_TOLERANCE

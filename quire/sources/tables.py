@@ -16,6 +16,10 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 SMALL_TABLE = 1 << 30
 # bytes of a table that make a task: rows become files and pages, so few are much work
 TASK_BYTES = 2 << 20
+# bytes that a grouping by many keys holds in a task, as they are in the file
+DEALT_BYTES = 8 << 20
+# an estimate above this says that nothing is known
+UNKNOWN = 1 << 42
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -29,3 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
     if size > SMALL_TABLE:
         return df
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to a number of tasks that grows with the table, so that a task does not,
+    whatever the session's number of shuffle partitions; a grouping by these keys needs no more.
+
+    Rows of no known size get the session's number.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > UNKNOWN:
+        return df.repartition(*keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // DEALT_BYTES), *keys)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import compare as D
+from quire.sources import tables
 
 
 def table_diff(a, b):
@@ -90,3 +91,18 @@ def test_line_diff_and_grid(spark):
     assert more.removed == 50 and not more.has_differences and more.diff_ratio == 0.5
     wide = D.grid_diff(D.grid_cells(base, grid(11, 6, lambda x, y: 100))).collect()[0]
     assert wide.total_cells == 110 and wide.removed == 40 and wide.added == 6
+
+
+def test_grid_tasks_grow_with_the_grids(spark, tmp_path, monkeypatch):
+    """Cells are dealt by the size of the grids, not by the session's shuffle partitions."""
+    grid = spark.range(20_000).selectExpr("id % 50 AS page_id", "cast(id % 20 AS int) AS x",
+                                          "cast(id DIV 1000 AS int) AS y", "cast(id % 256 AS int) AS lum")
+    grid.write.parquet(f"{tmp_path}/g")
+    monkeypatch.setattr(tables, "DEALT_BYTES", 500)
+    a = spark.read.parquet(f"{tmp_path}/g")
+    cells = D.grid_cells(a, a.where("x > 3"))
+    assert cells.rdd.getNumPartitions() > 8
+    counted = {r["class"]: r["count"] for r in cells.groupBy("class").count().collect()}
+    want = a.groupBy("page_id", "x", "y").agg({"lum": "max"}).where("x <= 3").where(
+        f"abs(`max(lum)` - {D.BLANK}) > {D.GRID_TOLERANCE}").count()
+    assert counted.get("removed", 0) + counted.get("added", 0) == want > 0
