@@ -5,6 +5,8 @@ import subprocess
 import sys
 import zipfile
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,19 @@ def test_rows(spark):
         ("d", 0): E.XLSX_TITLE, ("d", 1): E.XLSX_EMPTY}
     assert [(r.path, r.nodes) for r in members.rejects(found).collect()] == [("b", 0)]
     assert found.where(F.col("path") == "e").count() == 0
+
+
+def test_python_workers_get_small_batches(spark):
+    """Rows of a megabyte reach Python in batches of 8 MB, in functions of a column and of batches."""
+    rows = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1 << 20)").alias("t"))
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    assert rows.select(together("t").alias("n")).agg(F.max("n")).first()[0] <= 9 << 20
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 10 << 20
