@@ -107,3 +107,16 @@ def test_odd_rows(odd_docs, no_docs):
     only = odd_docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")
     rows = lm.language_scores(only).collect()
     assert rows and {(r.n_known, r.train_tokens, r.score) for r in rows} == {(0, 0, 0.0)}
+
+
+def test_large_corpora_keep_their_rare_pairs(spark):
+    """Among 36 million tokens a pair that occurs once is still told from one that does not occur."""
+    from pyspark.sql import functions as F
+
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    many = spark.createDataFrame([(i,) for i in ids[:36]], "doc_id long").repartition(4).withColumn(
+        "text", F.repeat(F.lit("a "), 1_000_000))
+    held = next(i for i in range(100) if i not in ids)
+    few = spark.createDataFrame([(ids[36], "foo bar"), (held, "zig zag")], many.schema)
+    got = {r.doc_id: r.score for r in lm.language_scores(many.unionAll(few)).collect()}
+    assert got[ids[36]] > got[held] + 1
