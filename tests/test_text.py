@@ -150,3 +150,32 @@ def test_fit_to_boxes_brute_force(spark):
     for line in want:
         for g, w in zip(got[line], want[line], strict=True):
             assert all(abs(p - q) < 1e-9 for p, q in zip(g, w))
+
+
+def test_spans_meet_their_boxes_in_one_join(spark):
+    """The boxes of a cell are one row, so spans are neither grouped nor joined again."""
+    spans = spark.createDataFrame(
+        [], "doc_id int, page_number int, line_no int, span_idx int, text string, x double, "
+            "y double, width double, height double")
+    boxes = spark.createDataFrame(
+        [], "doc_id int, page_number int, box_no int, x double, top_y double, width double")
+    plan = L.match_boxes(spans, boxes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_lines_that_span_batches_are_walked_whole(spark):
+    """Groups over many Arrow batches and lines give what each line gives by itself."""
+    words = [(1, 1, line, k, "wort", 10.0 + 20 * k, 50.0 + 60 * line, 15.0, 10.0)
+             for line in range(3) for k in range(2500 if line == 1 else 4)]
+    s = spark.createDataFrame(
+        words, "doc_id int, page_number int, line_no int, span_idx int, text string, x double, "
+               "y double, width double, height double")
+    boxes = [(10.0, 50.0, 300.0), (30010.0, 110.0, 30000.0), (50.0, 170.0, 90.0)]
+    b = spark.createDataFrame([(1, 1, k, *x) for k, x in enumerate(boxes)],
+                              "doc_id int, page_number int, box_no int, x double, top_y double, width double")
+    got = [(round(r.x, 6), round(r.width, 6), round(r.scale, 6))
+           for r in L.fit_to_boxes(s, b).orderBy("line_no", "span_idx").collect()]
+    want = []
+    for line in range(3):
+        want += brute_fit([w[4:] for w in words if w[2] == line], boxes)
+    assert got == [tuple(round(v, 6) for v in w) for w in want]
