@@ -29,11 +29,14 @@ from quire.plans.durable import settled
 
 #: fragments in which overlaps are counted separately
 PARTS = 8
-#: nearest sets that a set is compared with in a round, as a multiple of those in the round before
-STEP = 4
+#: nearest sets that a set is compared with in the first round of cells, and in each further one as
+#: a multiple of those in the round before
+FIRST, STEP = 4, 16
 #: sets of a bucket or chunk that meet in one cell
 MEMBERS = 500
 _BITS = 512
+#: rows of cells that are gone through side by side
+_ROWS = 20_000
 
 
 class Rule(NamedTuple):
@@ -188,59 +191,80 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     return best.select((-F.col("leader.key")).alias("u"), F.col("key").alias("v")).filter("u <> v")
 
 
-def near_pairs(bits: np.ndarray, n: np.ndarray, component: np.ndarray, share: int, most: int
-               ) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of sets of different components that sizes and parity bits do not exclude: for each
-    set the ``most`` that differ in the fewest bits, and whether there are more."""
-    a, b, more = [], [], False
-    for i in range(len(n)):
-        far = np.zeros(len(n), np.int64)
-        for k in range(bits.shape[1]):
-            far += np.bitwise_count(bits[:, k] ^ bits[i, k])
-        fits = ((component != component[i]) & (100 * np.minimum(n, n[i]) >= share * np.maximum(n, n[i]))
-                & ((100 + share) * far <= (100 - share) * (n + n[i])))
-        hits = np.flatnonzero(fits)
-        if len(hits) > most:
-            hits = hits[np.argsort(far[hits], kind="stable")[:most]]
-            more = True
-        a.append(np.full(len(hits), i))
-        b.append(hits)
-    return np.concatenate(a), np.concatenate(b), more
+def near_pairs(cell: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray, share: int,
+               most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, more) of sets of one cell, but of different components, that sizes and parity bits
+    do not exclude: for each set the ``most`` that differ in the fewest bits, and whether one of the
+    two has more. The rows of a cell are neighbours; the cells are gone through side by side.
+    """
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    end = np.repeat(np.append(starts[1:], len(cell)), np.diff(np.append(starts, len(cell))))
+    found = []
+    i = np.arange(len(cell))
+    for step in range(1, int((end - i).max())):
+        i = i[end[i] - i > step]
+        a = i[(component[i] != component[i + step]) & (
+            100 * np.minimum(n[i], n[i + step]) >= share * np.maximum(n[i], n[i + step]))]
+        far = np.zeros(len(a), np.int64)
+        for few in (slice(0, 2), slice(2, None)):  # two of the words exclude most pairs
+            far += np.bitwise_count(bits[a, few] ^ bits[a + step, few]).sum(axis=1, dtype=np.int64)
+            fits = (100 + share) * far <= (100 - share) * (n[a] + n[a + step])
+            a, far = a[fits], far[fits]
+        found.append((a, a + step, far))
+    a, b, far = (np.concatenate(x) for x in zip(*found))
+    of, other, far = np.append(a, b), np.append(b, a), np.append(far, far)
+    order = np.lexsort((other, far, of))
+    of, other = of[order], other[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    count = np.diff(np.append(first, len(of)))
+    near = np.arange(len(of)) - np.repeat(first, count) < most
+    many = np.repeat(count > most, count)[near]
+    of, other = of[near], other[near]
+    # two sets that look for each other are one pair
+    both, pair = np.unique(np.minimum(of, other) * len(cell) + np.maximum(of, other),
+                           return_inverse=True)
+    more = np.zeros(len(both), bool)
+    more[pair[many]] = True
+    return both // len(cell), both % len(cell), more
 
 
 def _cell_pairs(share: int, most: int):
+    def pairs(name, cell, key, component, n, bits) -> Iterator[pa.RecordBatch]:
+        of = np.cumsum(np.append(True, (name[1:] != name[:-1]) | (cell[1:] != cell[:-1])))
+        several = np.bincount(of)[of] > 1
+        if several.any():
+            key, n = key[several], n[several]
+            a, b, more = near_pairs(of[several], component[several], n, bits[several], share, most)
+            a, b = np.where(key[a] < key[b], a, b), np.where(key[a] < key[b], b, a)
+            yield pa.record_batch([*map(pa.array, (key[a], key[b], n[a], n[b], more))],
+                                  names=["u", "v", "n_u", "n_v", "more"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of each group of rows (name, cell, key, component, n, bits) that arrives sorted."""
-        of, held = None, []
-
-        def pairs() -> pa.RecordBatch:
-            keys, component, n, bits = (np.array(x) for x in zip(*held))
-            a, b, more = near_pairs(bits.view(np.uint64), n, component, share, most)
-            # two sets that look for each other are one pair
-            both = np.unique(np.minimum(a, b) * len(keys) + np.maximum(a, b))
-            a, b = keys[both // len(keys)], keys[both % len(keys)]
-            u, v = np.minimum(a, b), np.maximum(a, b)
-            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()),
-                                    pa.array(np.full(len(u), more), pa.bool_())],
-                                   names=["u", "v", "more"])
-
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for name, cell, *row in zip(*cols):
-                if (name, cell) != of:
-                    if len(held) > 1:
-                        yield pairs()
-                    of, held = (name, cell), []
-                held.append(row)
-        if len(held) > 1:
-            yield pairs()
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(5)]
+            parts.append([*cols, batch.column(5).flatten().to_numpy().view(np.uint64).reshape(
+                batch.num_rows, _BITS // 64)])
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            if sum(len(p[0]) for p in parts) < _ROWS or not len(last):
+                continue
+            cut = int(last[-1]) + 1  # the last group goes on
+            rest = [c[cut:] for c in parts[-1]]
+            parts[-1] = [c[:cut] for c in parts[-1]]
+            yield from pairs(*(np.concatenate(x) for x in zip(*parts)))
+            parts = [rest]
+        if parts:
+            yield from pairs(*(np.concatenate(x) for x in zip(*parts)))
 
     return run
 
 
 def _more_pairs(rows: DataFrame, classes: DataFrame, share: int, most: int) -> DataFrame:
-    """Pairs (u, v, more) of rows (name, key, component, size): buckets are cut into chunks of
-    ``MEMBERS``, of which every two meet in a cell."""
+    """Pairs (u, v, n_u, n_v, more) of rows (name, key, component, size) that sizes and parity bits do
+    not exclude: buckets are cut into chunks of ``MEMBERS``, of which every two meet in a cell."""
     chunks = F.ceil(F.col("size") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), chunks - 1),
@@ -249,7 +273,8 @@ def _more_pairs(rows: DataFrame, classes: DataFrame, share: int, most: int) -> D
     return (rows.select("name", F.explode(cells).alias("cell"), "key", "component").join(sets, "key")
             .select("name", "cell", "key", "component", "n", "bits")
             .repartition("name", "cell").sortWithinPartitions("name", "cell")
-            .mapInArrow(_cell_pairs(share, most), "u long, v long, more boolean"))
+            .mapInArrow(_cell_pairs(share, most),
+                        "u long, v long, n_u long, n_v long, more boolean"))
 
 
 def similar_links(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -263,11 +288,14 @@ def similar_links(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
                        .withColumnRenamed("name", "bucket"))
     rows = settled(rows.join(sizes, rows["name"] == sizes["bucket"]).select("name", "key", "size"))
     pairs = settled(possible(_first_pairs(rows), classes, rule.share))
-    tested, found = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), None
-    for most in (STEP ** k for k in count()):
+    tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    found, left = None, True
+    for most in (FIRST * STEP ** k for k in count()):
         links = settled(linked(pairs, texts, classes, rule))
         found = links if found is None else found.unionAll(links)
         joined = settled(components(found))
+        if not left:
+            return joined
         of = joined.select(F.col("node").alias("key"), "component")
         now = rows.join(of, "key", "left").select(
             "name", "key", "size", F.coalesce("component", "key").alias("component"))
@@ -275,9 +303,11 @@ def similar_links(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
         open_names = small_side(names.filter("a < b").select("name"))
         rows = settled(now.join(open_names, "name", "left_semi"))
         near = settled(_more_pairs(rows, classes, rule.share, most))
-        pairs = near.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = settled(possible(pairs, classes, rule.share))
-        if pairs.isEmpty() and near.filter("more").isEmpty():
+        # once no set has more, these pairs are the last
+        left = not near.filter("more").isEmpty()
+        pairs = settled(near.select("u", "v", "n_u", "n_v").distinct().join(
+            tested, ["u", "v"], "left_anti"))
+        if not left and pairs.isEmpty():
             return joined
         tested = tested.unionAll(pairs.select("u", "v"))
         rows = rows.drop("component")
