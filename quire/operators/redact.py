@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
 from quire.operators import pii, textlayer
+from quire.plans.durable import settled
 
 DEFAULT_LABEL = "CONFIDENTIEL"
 
@@ -39,12 +40,8 @@ def place(orders: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("doc_id"
     )
 
 
-def covered_lines(orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFrame:
-    """Orders per text line whose word boxes they overlap.
-
-    Lines lie on a fixed pitch, so the overlap in y is a number range and the
-    later join is an equi join on (doc_id, line_no).
-    """
+def _on_lines(orders: DataFrame, per_page: int, *columns: Column) -> DataFrame:
+    """doc_id, line_no and ``columns`` of every text line whose word boxes an order overlaps."""
     top0 = X.PAGE_HEIGHT - X.FIRST_BASELINE - X.FONT_SIZE
     # a line [top, top + font) overlaps (y, y + h) strictly
     first = F.floor((F.col("y") - top0 - X.FONT_SIZE) / X.LINE_PITCH) + 1
@@ -52,14 +49,45 @@ def covered_lines(orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFr
     lo, hi = F.greatest(first, F.lit(0)), F.least(last, F.lit(per_page - 1))
     return (
         orders.where(lo <= hi)
-        .select("doc_id", F.explode(F.sequence(lo, hi)).alias("_on_page"), "page_number",
-                "x", "width", "order_id", label().alias("label"))
+        .withColumn("_on_page", F.explode(F.sequence(lo, hi)))
         .select("doc_id", ((F.col("page_number") - 1) * per_page + F.col("_on_page"))
-                .cast("int").alias("line_no"),
-                F.struct("order_id", "label", F.col("x").alias("x0"),
-                         (F.col("x") + F.col("width")).alias("x1")).alias("order"))
-        .groupBy("doc_id", "line_no")
-        .agg(F.array_sort(F.collect_set("order")).alias("orders"))
+                .cast("int").alias("line_no"), *columns)
+    )
+
+
+def _edges() -> list[Column]:
+    return [label().alias("label"), F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1")]
+
+
+def covered_lines(orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFrame:
+    """Orders per text line whose word boxes they overlap.
+
+    Lines lie on a fixed pitch, so the overlap in y is a number range and the
+    later join is an equi join on (doc_id, line_no).
+    """
+    order = F.struct("order_id", *_edges()).alias("order")
+    return _on_lines(orders, per_page, order).groupBy("doc_id", "line_no").agg(
+        F.array_sort(F.collect_set("order")).alias("orders"))
+
+
+def covered_documents(orders: DataFrame, per_page: int = X.LINES_PER_PAGE) -> DataFrame:
+    """The orders of ``covered_lines`` as one map by line number for each document.
+
+    Both groupings need one shuffle, by document; ids that are hexadecimal digits are sent as half
+    as many bytes.
+    """
+    packed = F.when(F.col("order_id").rlike("^(?:[0-9a-f]{2})+\\z"), F.unhex("order_id"))
+    found = _on_lines(orders, per_page, F.struct(
+        packed.alias("packed"), F.when(packed.isNull(), F.col("order_id")).alias("order_id"),
+        *_edges()).alias("order"))
+    plain = F.transform(F.collect_set("order"), lambda o: F.struct(
+        F.coalesce(F.lower(F.hex(o["packed"])), o["order_id"]).alias("order_id"),
+        *[o[c].alias(c) for c in ("label", "x0", "x1")]))
+    return (
+        found.repartition("doc_id").groupBy("doc_id", "line_no")
+        .agg(F.array_sort(plain).alias("orders"))
+        .groupBy("doc_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("line_no", "orders"))).alias("_by_line"))
     )
 
 
@@ -91,8 +119,7 @@ def redact_texts(docs: DataFrame, orders: DataFrame, text: str = "text",
     The orders of a document meet its row once; its lines are cut and redacted
     there, so no line takes part in a join.
     """
-    by_line = F.map_from_entries(F.collect_list(F.struct("line_no", "orders")))
-    found = covered_lines(orders, per_page).groupBy("doc_id").agg(by_line.alias("_by_line"))
+    found = covered_documents(orders, per_page)
     kept = [c for c in docs.columns if c != text]
     cells = F.transform(X.lines(F.col(text)), lambda line, no: F.struct(
         line.alias("line"), F.try_element_at("_by_line", no).alias("orders")))
@@ -113,13 +140,12 @@ def rebuild_text(lines: DataFrame) -> DataFrame:
 def remaining_hits(redacted: DataFrame, hits: DataFrame) -> DataFrame:
     """Original hits found again in redacted lines (doc_id, line_no, line); none is expected.
 
-    Only lines that had a hit before can leak, so only those are scanned. A label
-    next to kept digits may by chance read as a new number; that is no leak, so
-    the new hits are matched with the original ones.
+    A label next to kept digits may by chance read as a new number; that is no leak, so
+    the new hits are matched with the original ones. Few lines hold anything to scan after the
+    redaction, so no line takes part in a join: what is found is written out and meets the hits.
     """
-    touched = redacted.join(hits.select("doc_id", "line_no").distinct().hint(SHUFFLED),
-                            ["doc_id", "line_no"], "left_semi")
-    again = pii.scan_text(touched.select("doc_id", F.col("line_no").alias("orig_line"),
-                                         F.col("line").alias("text")))
+    again = settled(pii.scan_text(redacted.select("doc_id", F.col("line_no").alias("orig_line"),
+                                                  F.col("line").alias("text"))))
     known = hits.select("doc_id", F.col("line_no").alias("orig_line"), "category", "matched_text")
-    return again.join(known.distinct().hint(SHUFFLED), known.columns, "left_semi")
+    found = known.join(again.select(known.columns).distinct(), known.columns, "left_semi")
+    return again.join(found.distinct(), known.columns, "left_semi")

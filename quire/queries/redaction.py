@@ -31,7 +31,11 @@ def redacted_text(spark, sf):
 def redaction_leaks(spark, sf):
     """Hits per category before and after redaction."""
     text = contacts(spark, sf)
-    hits = settled(pii.scan_text(text))
+    # ids are twice the size of the rest of a hit, and made again from its place
+    hits = settled(pii.scan_text(text).select(
+        "doc_id", "page_number", "line_no", "span_idx", "span_count", "category", "matched_text",
+        "x", "y", "width", "height"))
+    hits = hits.withColumn("hit_id", pii.hit_id(["doc_id", "page_number", "line_no"]))
     done = redact.redact_texts(text, pii.redaction_orders(hits))
     left = redact.remaining_hits(done, hits)
     tagged = hits.select("category", F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
